@@ -91,4 +91,4 @@ DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yy", "d-MM
 def to_year(s: Column, formats: list[str] | None = None) -> Column:
     """the year of date text, trying each format in turn (NULL when none parses)."""
     fmts = formats or DATE_FORMATS
-    return F.year(F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in fmts]))
+    return F.year(F.coalesce(*[F.try_to_date(s, f) for f in fmts]))

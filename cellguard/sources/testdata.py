@@ -43,6 +43,11 @@ def _map_col(c, mapping: dict):
     return expr
 
 
+def _fmt2(c: str):
+    """Two-decimal text of a number; NULL stays NULL."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c)))
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chart table (case, age_bl, age_fu, sex, enrollment, followup_years) with raw ages."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -82,9 +87,9 @@ def cohort_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("order_dt"),
         F.substring("o_orderpriority", 1, 1).alias("priority"),
         F.lower(F.substring("o_orderpriority", 3, 100)).alias("priority_desc"),
-        F.format_string("%.2f", F.col("d_max")).alias("disc"),
-        F.format_string("%.2f", F.col("q_avg")).alias("qty_avg"),
-        F.format_string("%.2f", F.col("c_acctbal")).alias("balance_band"),
+        _fmt2("d_max").alias("disc"),
+        _fmt2("q_avg").alias("qty_avg"),
+        _fmt2("c_acctbal").alias("balance_band"),
         F.col("o_custkey").cast("string").alias("cust_ref"),
     )
 
