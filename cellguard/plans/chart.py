@@ -23,6 +23,7 @@ from ..config import ChartConfig
 from ..functions.privacy import jitter_and_mask
 from ..functions.text import capitalize
 from ..operators.histogram import age_bin, bucket_of, dense_bins
+from ..session import cut_lineage
 
 AGES = ("age_bl", "age_fu")
 
@@ -216,7 +217,8 @@ def filter_chart(
 ) -> ChartResult:
     """Q1. ``selected`` is DataFrame[case] from ``operators.filters.select_cases`` (None = no filter)."""
     if cells is None:
-        cells = cell_table(subjects, cfg, selected)
+        # the cell table is small (bounded by labels x bins^2) and feeds every branch below: materialise it once
+        cells = cut_lineage(cell_table(subjects, cfg, selected))
     everyone = cells.groupBy("sex", "enrollment", "bl_bin", "fu_bin").agg(
         F.sum("n").alias("n"), F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt")
     )

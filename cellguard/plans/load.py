@@ -27,6 +27,7 @@ from ..functions.rounding import int_ceil, int_floor, int_mid, int_only, to_doub
 from ..functions.text import clean_number, clean_text
 from ..operators.ranges import infer_ranges
 from ..operators.rows import with_row_index
+from ..session import cut_lineage
 
 # Cell texts that count as missing (after lower-casing): the reference's own three plus the tokens
 # its CSV reader turns into missing values by default.
@@ -220,8 +221,12 @@ def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadCo
     return numeric.unionByName(raw).unionByName(coded)
 
 
-def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig) -> Store:
-    """Q6: the whole load as one lazy plan per output table."""
+def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, materialize: bool = True) -> Store:
+    """Q6: normalise once, then derive the five store tables from the normalised rows.
+
+    With ``materialize`` the normalised EAV rows are written to the checkpoint folder first (one job), so the five
+    tables and everything queried from them read those files instead of re-running the unpivot and code joins.
+    """
     spark = cohort.sparkSession
     cohort = cohort.toDF(*[c.lower() for c in cohort.columns])
     case_col = cfg.case_col.lower() if cfg.case_col else None
@@ -241,6 +246,8 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig) -> St
     long = drop_missing(long, "raw")
     options = K.value_options(d)
     norm = normalize(long, rules, options, cfg)
+    if materialize:
+        norm = cut_lineage(norm)
     vid = value_id(F.col("varname"), F.col("name"))
 
     variable = norm.where(F.col("item_id").isNotNull()).select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charts
+from . import charts, store
 
-_MODULES = [charts]
+_MODULES = [charts, store]
 
 
 def queries() -> dict:

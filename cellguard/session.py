@@ -47,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the session's checkpoint folder and return a DataFrame that reads it.
+
+    Used where one intermediate feeds many branches of a plan (the EAV rows of a load, the chart's cell table):
+    the plan below it is computed once, later plans stay small, and the files live in the shared checkpoint folder
+    so a lost executor does not lose them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
