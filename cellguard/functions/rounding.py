@@ -52,7 +52,7 @@ def round_to(val: Column, r: float, decimals: int = 1, direction: int = 1) -> Co
     """
     d = val.cast("decimal(38,10)")
     rr = F.lit(r).cast("decimal(38,10)")
-    res = F.round(d - F.pmod(d, rr), decimals)
+    res = F.bround(d - F.pmod(d, rr), decimals)
     if direction == 1:
         res = F.when(res != d, res + rr).otherwise(res)
     return res.cast("double")

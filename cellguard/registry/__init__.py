@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charts, store
+from . import charts, events, facets, store, text
 
-_MODULES = [charts, store]
+_MODULES = [charts, store, facets, text, events]
 
 
 def queries() -> dict:

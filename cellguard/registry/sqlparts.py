@@ -127,3 +127,14 @@ def chart_ctes(p: str, src: str, cfg: ChartConfig, jitter: bool) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes)
+
+
+def clean_text(x: str) -> str:
+    """F1 in DuckDB SQL (same substitutions, same order)."""
+    from ..functions.text import TEXT_SUBS
+
+    out = x
+    for src, dst in TEXT_SUBS:
+        d = "chr(10)" if dst == "\n" else "'" + dst.replace("'", "''") + "'"
+        out = f"replace({out}, '{src.replace(chr(39), chr(39) * 2)}', {d})"
+    return out
