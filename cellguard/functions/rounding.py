@@ -85,10 +85,23 @@ def typed_name(s: Column) -> Column:
     return F.coalesce(to_long(s).cast("string"), floor1(to_double(s)).cast("string"), s)
 
 
-DATE_FORMATS = ["M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "M/d/yy", "d-MMM-yyyy", "yyyyMMdd"]
-
-
-def to_year(s: Column, formats: list[str] | None = None) -> Column:
-    """the year of date text, trying each format in turn (NULL when none parses)."""
-    fmts = formats or DATE_FORMATS
-    return F.year(F.coalesce(*[F.try_to_date(s, f) for f in fmts]))
+# Accepted date layouts and the text shape that selects each (a parse is tried only on text of
+# the right shape, so no row pays for failed parses).
+DATE_FORMATS = [
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+]
+
+
+def to_year(s: Column, formats: list[tuple[str, str]] | None = None) -> Column:
+    """the year of date text in any accepted layout (NULL when none fits)."""
+    t = F.trim(s)
+    expr = None
+    for fmt, shape in formats or DATE_FORMATS:
+        parse = F.when(t.rlike(shape), F.try_to_date(t, fmt))
+        expr = parse if expr is None else F.coalesce(expr, parse)
+    return F.year(expr)

@@ -218,7 +218,7 @@ def filter_chart(
     """Q1. ``selected`` is DataFrame[case] from ``operators.filters.select_cases`` (None = no filter)."""
     if cells is None:
         # the cell table is small (bounded by labels x bins^2) and feeds every branch below: materialise it once
-        cells = cut_lineage(cell_table(subjects, cfg, selected))
+        cells = cut_lineage(cell_table(subjects, cfg, selected), "cells")
     everyone = cells.groupBy("sex", "enrollment", "bl_bin", "fu_bin").agg(
         F.sum("n").alias("n"), F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt")
     )

@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 
 from ..config import LoadConfig
 from ..functions import codes as K
-from ..functions.rounding import int_ceil, int_floor, int_mid, int_only, to_double, to_long, to_year, typed_name
+from ..functions.rounding import (
+    floor1, int_ceil, int_floor, int_mid, int_only, is_int_text, to_double, to_long, to_year, typed_name,
+)
 from ..functions.text import clean_number, clean_text
 from ..operators.ranges import infer_ranges
 from ..operators.rows import with_row_index
@@ -126,8 +128,12 @@ def column_rules(spark, columns: list[str], dictionary: DataFrame, cfg: LoadConf
 
 def _edge(v: Column, m: Column, mx: Column) -> Column:
     """The column minimum floored to 5, then the (new) maximum ceiled to 5."""
+    return _edge_from_floored(F.when(v == m, int_floor(v)).otherwise(v), m, mx)
+
+
+def _edge_from_floored(floored: Column, m: Column, mx: Column) -> Column:
+    """W5 second half: given the value with the minimum already floored, ceil the new maximum."""
     m2 = F.when(mx == m, int_floor(m)).otherwise(mx)
-    floored = F.when(v == m, int_floor(v)).otherwise(v)
     return F.when(floored == m2, int_ceil(floored)).otherwise(floored)
 
 
@@ -190,35 +196,55 @@ def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
 
 
 def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataFrame:
-    """(case, col, raw) -> (case, col, varname, role, kind, item_id, name, order, categorical)."""
-    x = long.join(F.broadcast(rules.where(F.col("kind") != "excluded")), "col")
-    num = to_double(F.col("raw"))
-    year = to_year(F.col("raw"))
+    """(case, col, raw) -> (case, col, varname, role, kind, item_id, name, num, order, categorical).
+
+    One pass over the rule-tagged rows handles every kind; the two side tables it needs are small: per-column
+    min/max of the numeric kinds (one row per column, broadcast) and the resolved distinct codes of coded columns
+    (one row per distinct coded cell; Spark/AQE broadcasts it when its measured size allows, else a shuffle join).
+    Each intermediate (parsed number, year, mid-bin) is its own column, computed once per row: nesting them would
+    copy the parsing into every branch of the CASE chains that use them.
+    """
     k = F.col("kind")
-    v0 = (
-        F.when(k == "date", int_mid(year))
-        .when(k == "date_int", int_only(year))
-        .when(k == "int_only", int_only(num))
-        .when(k.isin("age", "year"), int_mid(num))
+    x = (
+        long.join(F.broadcast(rules.where(F.col("kind") != "excluded")), "col")
+        .withColumn("_isint", is_int_text(F.col("raw")))
+        .withColumn("_num", to_double(F.col("raw")))
+        .withColumn("_year", F.when(k.isin("date", "date_int"), to_year(F.col("raw"))).cast("double"))
     )
-    numeric = x.where(k.isin(NUMERIC_KINDS)).withColumn("v0", v0).where(F.col("v0").isNotNull())
-    stats = numeric.groupBy("col").agg(F.min("v0").alias("m"), F.max("v0").alias("mx"))
-    numeric = numeric.join(F.broadcast(stats), "col")
-    v = (
-        F.when(k.isin("date", "year"), _edge(F.col("v0"), F.col("m"), F.col("mx")))
+    x = x.withColumn(
+        "v0",
+        F.when(k == "date", int_mid(F.col("_year")))
+        .when(k == "date_int", int_only(F.col("_year")))
+        .when(k == "int_only", int_only(F.col("_num")))
+        .when(k.isin("age", "year"), int_mid(F.col("_num"))),
+    )
+    stats = x.where(k.isin(NUMERIC_KINDS)).groupBy("col").agg(F.min("v0").alias("m"), F.max("v0").alias("mx"))
+    coded_cells = x.where(k == "coded").select("col", "varname", "raw")
+    resolved = _resolve_codes(coded_cells, options).select(
+        "col", "raw", F.col("name").alias("c_name"), F.col("order").alias("c_order"),
+        F.col("categorical").alias("c_cat"),
+    )
+    j = x.join(F.broadcast(stats), "col", "left").join(resolved, ["col", "raw"], "left")
+    j = j.withColumn("_fl", F.when(F.col("v0") == F.col("m"), int_floor(F.col("v0"))).otherwise(F.col("v0")))
+    edged = (
+        F.when(k.isin("date", "year"), _edge_from_floored(F.col("_fl"), F.col("m"), F.col("mx")))
         .when(k == "age", _edge_age(F.col("v0"), F.col("m"), F.col("mx"), cfg.age_min, cfg.age_max, cfg.age_step))
         .otherwise(F.col("v0"))
     )
-    cols = ["case", "col", "varname", "role", "kind", "item_id"]
-    numeric = numeric.select(*cols, v.cast("string").alias("name"), F.lit(None).cast("int").alias("order"),
-                             F.lit(False).alias("categorical"))
-    raw = x.where(k == "raw").select(*cols, typed_name(F.col("raw")).alias("tn"))
-    raw = raw.select(*cols, F.when(to_double(F.col("tn")).isNull(), clean_text(F.col("tn"))).otherwise(F.col("tn"))
-                     .alias("name"), F.lit(None).cast("int").alias("order"), F.lit(False).alias("categorical"))
-    coded_rows = x.where(k == "coded")
-    resolved = _resolve_codes(coded_rows, options)
-    coded = coded_rows.join(resolved, ["col", "raw"]).select(*cols, "name", "order", "categorical")
-    return numeric.unionByName(raw).unionByName(coded)
+    raw_name = (
+        F.when(F.col("_isint"), F.trim(F.col("raw")).cast("long").cast("string"))
+        .when(F.col("_num").isNotNull(), floor1(F.col("_num")).cast("string"))
+        .otherwise(clean_text(F.col("raw")))
+    )
+    out = j.select(
+        "case", "col", "varname", "role", "kind", "item_id",
+        F.when(k.isin(NUMERIC_KINDS), edged.cast("string"))
+        .when(k == "raw", raw_name)
+        .otherwise(F.col("c_name")).alias("name"),
+        F.when(k == "coded", F.col("c_order")).cast("int").alias("order"),
+        F.coalesce(F.when(k == "coded", F.col("c_cat")), F.lit(False)).alias("categorical"),
+    ).where(F.col("name").isNotNull())
+    return out.withColumn("num", to_double(F.col("name")))
 
 
 def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, materialize: bool = True) -> Store:
@@ -244,10 +270,13 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
         ["case"], columns, "col", "raw"
     )
     long = drop_missing(long, "raw")
+    if materialize:
+        # the unpivoted cells feed the normalisation and its two side tables: compute them once
+        long = cut_lineage(long, "cells")
     options = K.value_options(d)
     norm = normalize(long, rules, options, cfg)
     if materialize:
-        norm = cut_lineage(norm)
+        norm = cut_lineage(norm, "eav")
     vid = value_id(F.col("varname"), F.col("name"))
 
     variable = norm.where(F.col("item_id").isNotNull()).select(
@@ -285,13 +314,13 @@ def _items(spark, norm: DataFrame, d: DataFrame, rules: DataFrame, values: DataF
     per = norm.where(F.col("item_id").isNotNull())
     kinds = rules.where(F.col("item_id").isNotNull() & (F.col("kind") != "excluded")).select("item_id", "kind")
     stats = per.groupBy("item_id").agg(
-        F.min(to_double(F.col("name"))).alias("vmin"),
-        F.max(to_double(F.col("name"))).alias("vmax"),
-        F.count_if(to_double(F.col("name")).isNull()).alias("n_text"),
+        F.min("num").alias("vmin"),
+        F.max("num").alias("vmax"),
+        F.count_if(F.col("num").isNull()).alias("n_text"),
         F.bool_or("categorical").alias("any_cat"),
     )
     inferred = infer_ranges(
-        per.select(F.col("item_id"), to_double(F.col("name")).alias("v")), key="item_id", v="v"
+        per.select(F.col("item_id"), F.col("num").alias("v")), key="item_id", v="v"
     ).select("item_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"), F.col("step").alias("i_step"),
              F.col("is_float").alias("i_float"))
     k = F.col("kind")

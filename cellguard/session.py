@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -49,12 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the session's checkpoint folder and return a DataFrame that reads it.
+def cut_lineage(df, name: str = "cut"):
+    """Write ``df`` as parquet into the session's checkpoint folder and return a DataFrame reading it back.
 
     Used where one intermediate feeds many branches of a plan (the EAV rows of a load, the chart's cell table):
-    the plan below it is computed once, later plans stay small, and the files live in the shared checkpoint folder
-    so a lost executor does not lose them.
+    the plan below it runs once (one job; ``Dataset.checkpoint`` would run it twice unless cached), later plans
+    stay small and get parquet column pruning and filter pushdown, and the files live in the shared checkpoint
+    folder so a lost executor does not lose them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
