@@ -41,7 +41,6 @@ MISSING = [
 
 ROLES = ["age_bl", "age_fu", "gender", "enrollment", "followup_years"]
 NUMERIC_KINDS = ["date", "date_int", "age", "year", "int_only"]
-MAX_VALUE_LIST = 1000  # items with more distinct values are listed through the store (J9), not in one array
 
 
 @dataclass
@@ -335,7 +334,7 @@ def _items(spark, norm: DataFrame, d: DataFrame, rules: DataFrame, values: DataF
     has_range = fixed | (valid_range & F.col("i_start").isNotNull())
     n_vals = per.select("item_id", "name").distinct().groupBy("item_id").agg(F.count("name").alias("n_vals"))
     listed = (
-        values.join(n_vals.where(F.col("n_vals") <= MAX_VALUE_LIST), F.col("item") == F.col("item_id"))
+        values.join(n_vals.where(F.col("n_vals") <= cfg.max_value_list), F.col("item") == F.col("item_id"))
         .join(per.select(F.col("item_id").alias("item"), "name").distinct(), ["item", "name"], "left_semi")
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("order", F.lit(1 << 30)), "name", "id"))).alias("vl"))

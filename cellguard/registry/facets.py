@@ -8,7 +8,7 @@ from ..operators.ranges import age_axis
 from ..operators.search import search_facets
 from ..plans import catalogue as CT
 from . import store_sql as Q
-from .store import BALANCE, LCFG, PRICE, QTY, SEX, store, vid
+from .store import BALANCE, LCFG, LCFG_SHORT_LISTS, PRICE, QTY, SEX, store, vid
 from . import sqlparts as S
 
 VALUE_IDS = [vid("priority", "high"), vid("gender", "male"), vid("balance_band", "0-2,500")]
@@ -19,6 +19,11 @@ def catalogue(spark, sf):
     return CT.catalogue(store(spark, sf))
 
 
+def catalogue_fallback(spark, sf):
+    """Items with more distinct values than the stored-list limit are listed from the variable table."""
+    return CT.catalogue(store(spark, sf, LCFG_SHORT_LISTS))
+
+
 def catalogue_nested(spark, sf):
     return CT.catalogue_nested(store(spark, sf)).select(
         "category_id", "category_name", F.size("items").alias("n_items"),
@@ -55,6 +60,7 @@ def facet_search(spark, sf):
 QUERIES = {
     "catalogue": catalogue,
     "catalogue_nested": catalogue_nested,
+    "catalogue_fallback": catalogue_fallback,
     "category": one_category,
     "category_of_item": category_of_item,
     "category_of_value": category_of_value,
@@ -134,6 +140,7 @@ SELECT * FROM (
 
 SQL = {
     "catalogue": BASE + "\nSELECT * FROM cat_rows",
+    "catalogue_fallback": S.with_(Q.store_ctes(LCFG_SHORT_LISTS), CAT_CTES) + "\nSELECT * FROM cat_rows",
     "catalogue_nested": BASE + """
 SELECT category_id, category_name, CAST(count(*) AS INTEGER) AS n_items, CAST(sum(nv) AS INTEGER) AS n_values
 FROM (SELECT category_id, category_name, item_id, count(value_id) AS nv FROM cat_rows GROUP BY ALL) GROUP BY ALL""",

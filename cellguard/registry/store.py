@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from ..config import ChartConfig, LoadConfig
 from ..operators import filters as FL
@@ -43,8 +44,24 @@ F_EXPORT = FL.parse_filters(
 )
 
 
-def store(spark, sf):
-    return load_cohort(T.cohort_wide(spark, sf), T.dictionary(spark), LCFG)
+LCFG_PRIORITY = replace(LCFG, min_priority=1)
+LCFG_DICT_ONLY = replace(LCFG, dictionary_only=True)
+LCFG_MAPPED = replace(LCFG, enrollment_mapping="building==construction&machinery==heavy_industry",
+                      gender_mapping="female==F&male==M")
+LCFG_SHORT_LISTS = replace(LCFG, max_value_list=3)
+
+
+def store(spark, sf, cfg: LoadConfig = LCFG):
+    return load_cohort(T.cohort_wide(spark, sf), T.dictionary(spark), cfg)
+
+
+def column_rules_query(spark, sf):
+    from ..plans.load import column_rules, prepare_dictionary
+
+    w = T.cohort_wide(spark, sf)
+    cols = [c for c in w.columns if c != "subject_id"]
+    d = prepare_dictionary(T.dictionary(spark), LCFG)
+    return column_rules(spark, cols, d, LCFG).select("col", "role", "kind", "item_id")
 
 
 def _sel(fs):
@@ -80,6 +97,11 @@ QUERIES = {
     "load_items": lambda spark, sf: store(spark, sf).item,
     "load_categories": lambda spark, sf: store(spark, sf).category,
     "load_subjects": lambda spark, sf: store(spark, sf).subjects,
+    "column_rules": column_rules_query,
+    "load_items_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).item,
+    "load_categories_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).category,
+    "load_items_dictionary_only": lambda spark, sf: store(spark, sf, LCFG_DICT_ONLY).item,
+    "load_subjects_mapped": lambda spark, sf: store(spark, sf, LCFG_MAPPED).subjects,
     "filter_range": _sel(F_RANGE),
     "filter_range_open": _sel(F_OPEN),
     "filter_range_upper": _sel(F_UPPER),
@@ -175,6 +197,11 @@ SQL = {
     "load_items": _store_sql("SELECT * FROM s_item"),
     "load_categories": _store_sql("SELECT * FROM s_category"),
     "load_subjects": _store_sql("SELECT * FROM s_subjects"),
+    "column_rules": _store_sql("SELECT col, role, kind, item_id FROM rules"),
+    "load_items_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_item",
+    "load_categories_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_category",
+    "load_items_dictionary_only": S.with_(Q.store_ctes(LCFG_DICT_ONLY)) + "\nSELECT * FROM s_item",
+    "load_subjects_mapped": S.with_(Q.store_ctes(LCFG_MAPPED)) + "\nSELECT * FROM s_subjects",
     "filter_range": _store_sql(_sel_sql(F_RANGE)),
     "filter_range_open": _store_sql(_sel_sql(F_OPEN)),
     "filter_range_upper": _store_sql(_sel_sql(F_UPPER)),

@@ -12,7 +12,7 @@ from ..sources import testdata as T
 
 WIDE_COLS = [
     "age_bl", "age_fu", "gender", "current_status", "followup_years", "price_k", "order_dt", "priority",
-    "priority_desc", "disc", "qty_avg", "balance_band", "cust_ref",
+    "priority_desc", "disc", "qty_avg", "balance_band", "cust_ref", "urgency",
 ]
 
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -60,12 +60,22 @@ def value_id(varname: str, name: str) -> str:
     return f"(('0x' || substr(md5({varname} || '|' || {name}), 1, 15))::BIGINT)"
 
 
-def _dict_values() -> str:
+def _dict_values(min_priority: int = 0) -> str:
     rows = ", ".join(
         f"({i}, {q(n)}, {q(lab)}, {q(desc)}, {q(vals)}, {q(dom)}, {pri})"
         for i, (n, lab, desc, vals, dom, pri) in enumerate(T.DICTIONARY)
     )
-    return f"dict(seq, name, label, description, vals, domain, priority) AS (VALUES {rows})"
+    return (f"_dict0(seq, name, label, description, vals, domain, priority) AS (VALUES {rows}),\n"
+            f"dict AS (SELECT * FROM _dict0 WHERE priority >= {min_priority})")
+
+
+def _mapped(x: str, mapping: str | None) -> str:
+    """J7 in SQL: 'k==v&k==v' with '_' as a space; unmapped values pass through."""
+    if not mapping:
+        return x
+    pairs = [m.split("==") for m in mapping.replace("_", " ").split("&")]
+    whens = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in pairs)
+    return f"(CASE {x} {whens} ELSE {x} END)"
 
 
 def store_ctes(cfg: LoadConfig) -> str:
@@ -113,10 +123,11 @@ wide AS (
     substr(o_orderpriority, 1, 1) AS priority,
     lower(substr(o_orderpriority, 3, 100)) AS priority_desc,
     printf('%.2f', d_max) AS disc, printf('%.2f', q_avg) AS qty_avg, printf('%.2f', c_acctbal) AS balance_band,
-    CAST(o_custkey AS VARCHAR) AS cust_ref
+    CAST(o_custkey AS VARCHAR) AS cust_ref,
+    lower(substr(o_orderpriority, 3, 100)) AS urgency
   FROM orders LEFT JOIN _lines ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey
 ),
-{_dict_values()},
+{_dict_values(cfg.min_priority)},
 _cols(pos, col) AS (VALUES {cols}),
 rules AS (
   SELECT c.col, c.col AS varname, CASE c.col {roles} ELSE NULL END AS role,
@@ -127,6 +138,7 @@ rules AS (
       WHEN contains(c.col, 'age') OR contains(c.col, 'yr') OR contains(c.col, 'year') THEN
         CASE WHEN c.col IN ({skip}) THEN 'int_only' WHEN contains(c.col, 'age') THEN 'age' ELSE 'year' END
       WHEN regexp_matches(trim(coalesce(d.vals, '')), '^\\w{{1,3}}\\s*=') THEN 'coded'
+      WHEN {str(cfg.dictionary_only).lower()} THEN 'excluded'
       ELSE 'raw' END AS kind,
     CAST(d.seq + 1 AS INTEGER) AS item_id
   FROM _cols c LEFT JOIN dict d ON d.name = c.col
@@ -248,13 +260,13 @@ s_subjects AS (
   SELECT "case",
     CAST(max(CASE WHEN role = 'age_bl' THEN name END) AS INTEGER) AS age_bl,
     CAST(max(CASE WHEN role = 'age_fu' THEN name END) AS INTEGER) AS age_fu,
-    max(CASE WHEN role = 'gender' THEN name END) AS sex,
-    max(CASE WHEN role = 'enrollment' THEN name END) AS enrollment,
+    {_mapped("max(CASE WHEN role = 'gender' THEN name END)", cfg.gender_mapping)} AS sex,
+    {_mapped("max(CASE WHEN role = 'enrollment' THEN name END)", cfg.enrollment_mapping)} AS enrollment,
     CAST(max(CASE WHEN role = 'followup_years' THEN name END) AS INTEGER) AS followup_years
   FROM (SELECT "case", role, name FROM norm WHERE role IS NOT NULL
         UNION ALL SELECT "case", NULL, NULL FROM wide) GROUP BY "case"
 ),
-{ranges_ctes()},
+{ranges_ctes(cfg.max_value_list)},
 s_item AS (
   SELECT d.seq + 1 AS id, d.label AS name, d.name AS varname, d.description, c.id AS category,
     (NOT regexp_matches(trim(d.vals), '^\\w{{1,3}}\\s*=') AND d.vals != '') AS is_numeric,
@@ -282,7 +294,7 @@ s_item AS (
 )"""
 
 
-def ranges_ctes() -> str:
+def ranges_ctes(max_list: int = 1000) -> str:
     """A13 in SQL over norm (per item) plus the per-item stats and value lists."""
     trunc = "trunc"
     return f"""
@@ -350,5 +362,7 @@ _ilist AS (
   SELECT v.item AS item_id, list(v.id ORDER BY coalesce(v."order", 1073741824), v.name, v.id) AS vals
   FROM s_value v
   JOIN (SELECT DISTINCT item_id, name FROM norm WHERE item_id IS NOT NULL) u ON u.item_id = v.item AND u.name = v.name
+  WHERE v.item IN (SELECT item_id FROM norm WHERE item_id IS NOT NULL GROUP BY item_id
+                   HAVING count(DISTINCT name) <= {max_list})
   GROUP BY v.item
 )"""

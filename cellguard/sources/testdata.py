@@ -91,6 +91,7 @@ def cohort_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         _fmt2("q_avg").alias("qty_avg"),
         _fmt2("c_acctbal").alias("balance_band"),
         F.col("o_custkey").cast("string").alias("cust_ref"),
+        F.lower(F.substring("o_orderpriority", 3, 100)).alias("urgency"),
     )
 
 
@@ -111,6 +112,7 @@ DICTIONARY = [
     ("qty_avg", "Mean quantity", "Mean quantity per line", "", "Orders", 0),
     ("balance_band", "Account balance", "Account balance band of the customer",
      "1 = <0||2 = 0-2,500||3 = 2,500-5,000||4 = 5,000+", "Accounts", 0),
+    ("urgency", "Urgency", "Urgency named in the order priority", "1 = urgent||2 = high", "Orders", 0),
 ]
 
 DATAMODEL_VARS = {
