@@ -73,10 +73,13 @@ def group_runs(df: DataFrame, order: list[str], key: str, partition: list[str],
     )
 
 
-def dictionary_view(entries: DataFrame, seq: str = "id", key: str = "category") -> DataFrame:
+def dictionary_view(entries: DataFrame, seq: str = "id", key: str = "category",
+                    bucket: Column | None = None) -> DataFrame:
     """Q5: consecutive dictionary rows of one category form a group, its id the group's first row id; members keep
-    their order and NULL values become ''. (The dictionary is small: one row per described variable.)"""
-    g = consecutive_groups(entries, [seq], key)
+    their order and NULL values become ''. A ``bucket`` of the sequence (non-decreasing along it) splits the global
+    ordering over many tasks for large dictionaries."""
+    g = (consecutive_groups_bucketed(entries, [seq], key, [], bucket) if bucket is not None
+         else consecutive_groups(entries, [seq], key))
     member = F.struct(
         F.col(seq).alias("seq"), F.col("label"), F.col("variable").alias("category"), F.col("description"),
         F.coalesce(F.col("values"), F.lit("")).alias("values"),

@@ -55,6 +55,18 @@ def store(spark, sf, cfg: LoadConfig = LCFG):
     return load_cohort(T.cohort_wide(spark, sf), T.dictionary(spark), cfg)
 
 
+def subjects_from_csv(spark, sf):
+    """S8 then S1: the cohort written as CSV into the checkpoint folder, scanned back as text, then loaded."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import scan_cohort, write_rows_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohort-csv-{uuid.uuid4().hex}"
+    write_rows_csv(T.cohort_wide(spark, sf), path)
+    return load_cohort(scan_cohort(spark, path), T.dictionary(spark), LCFG).subjects
+
+
 def column_rules_query(spark, sf):
     from ..plans.load import column_rules, prepare_dictionary
 
@@ -98,6 +110,7 @@ QUERIES = {
     "load_categories": lambda spark, sf: store(spark, sf).category,
     "load_subjects": lambda spark, sf: store(spark, sf).subjects,
     "column_rules": column_rules_query,
+    "load_subjects_from_csv": subjects_from_csv,
     "load_items_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).item,
     "load_categories_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).category,
     "load_items_dictionary_only": lambda spark, sf: store(spark, sf, LCFG_DICT_ONLY).item,
@@ -197,6 +210,7 @@ SQL = {
     "load_items": _store_sql("SELECT * FROM s_item"),
     "load_categories": _store_sql("SELECT * FROM s_category"),
     "load_subjects": _store_sql("SELECT * FROM s_subjects"),
+    "load_subjects_from_csv": _store_sql("SELECT * FROM s_subjects"),
     "column_rules": _store_sql("SELECT col, role, kind, item_id FROM rules"),
     "load_items_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_item",
     "load_categories_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_category",

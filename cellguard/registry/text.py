@@ -9,7 +9,8 @@ from ..functions.text import capitalize, clean_number, clean_text, trunc_decimal
 from ..operators.groups import consecutive_groups_bucketed
 from . import sqlparts as S
 from ..operators.search import search
-from ..sources.files import comments_for, parse_sections
+from ..operators.groups import dictionary_view
+from ..sources.files import comments_for, ingest_dictionary, parse_sections, scan_cohort, write_rows_csv
 from ..sources.testdata import table
 
 PART_QUERY = "green  bolt*"
@@ -79,7 +80,27 @@ def text_scalars(spark, sf):
     )
 
 
+def _part_entries(spark, sf):
+    """Q8 on the part table as stacked dictionary sheets: one entry per named part, category = type."""
+    return ingest_dictionary(table(spark, sf, "part"), label="p_name", name="p_partkey", description="p_size",
+                             values="p_brand", category="p_type", seq="p_partkey")
+
+
+def data_dictionary(spark, sf):
+    return _part_entries(spark, sf).select("id", "label", "variable", "values", "category",
+                                           F.col("description").cast("string").alias("description"))
+
+
+def dictionary_groups(spark, sf):
+    """Q5: consecutive entries of one category, split by blocks of 1000 ids so no task holds every entry."""
+    v = dictionary_view(_part_entries(spark, sf), bucket=F.floor(F.col("id") / 1000))
+    return v.select("id", "name", F.size("data").alias("n"), F.col("data")[0]["label"].alias("first_label"),
+                    F.element_at("data", -1)["label"].alias("last_label"))
+
+
 QUERIES = {
+    "data_dictionary": data_dictionary,
+    "dictionary_view": dictionary_groups,
     "search_parts": search_parts,
     "search_documents": search_documents,
     "search_documents_top": search_documents_top,
@@ -114,6 +135,17 @@ _parsed AS (
 )"""
 
 SQL = {
+    "data_dictionary": """SELECT p_partkey AS id, p_name AS label, CAST(p_partkey AS VARCHAR) AS variable,
+  p_brand AS "values", p_type AS category, CAST(p_size AS VARCHAR) AS description
+FROM part WHERE p_partkey IS NOT NULL""",
+    "dictionary_view": """WITH g AS (
+  SELECT *, sum(s) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS grp FROM (
+    SELECT *, CASE WHEN lag(p_type) OVER (ORDER BY p_partkey) IS NOT DISTINCT FROM p_type
+                    AND row_number() OVER (ORDER BY p_partkey) > 1 THEN 0 ELSE 1 END AS s
+    FROM part WHERE p_partkey IS NOT NULL))
+SELECT min(p_partkey) AS id, arg_min(p_type, p_partkey) AS name, CAST(count(*) AS INTEGER) AS n,
+       arg_min(p_name, p_partkey) AS first_label, arg_max(p_name, p_partkey) AS last_label
+FROM g GROUP BY grp""",
     "search_parts": f"""SELECT p_partkey, p_name, p_type, {_score_sql(['p_name', 'p_type'], PART_QUERY)} AS score
 FROM part WHERE {_score_sql(['p_name', 'p_type'], PART_QUERY)} > 0""",
     "search_documents": f"""SELECT doc_id, lang, {_score_sql(['text'], DOC_QUERY)} AS score

@@ -170,3 +170,19 @@ def to_json_rows(df: DataFrame) -> DataFrame:
 def line_not_empty(df: DataFrame, col: str) -> DataFrame:
     """F24 as a filter."""
     return df.where(not_empty(F.col(col)))
+
+
+def ingest_dictionary(stacked: DataFrame, label: str, name: str, description: str, values: str,
+                      category: str | None = None, sheet_col: str = "SheetName", seq: str | None = None) -> DataFrame:
+    """Q8: data-dictionary entries (id, label, variable, values, category, description) from stacked sheets.
+
+    One entry per row that names a variable (nameless rows are skipped); the category comes from ``category`` or,
+    without one, from the sheet name column. ``seq`` orders the entries (else the row index, W6).
+    """
+    df = stacked if seq else with_row_index(stacked, "__seq")
+    order = F.col(seq) if seq else F.col("__seq")
+    cat = F.col(category) if category else F.col(sheet_col)
+    return df.where(not_empty(F.col(name))).select(
+        order.alias("id"), F.col(label).alias("label"), F.col(name).cast("string").alias("variable"),
+        F.col(values).alias("values"), cat.alias("category"), F.col(description).alias("description"),
+    )
