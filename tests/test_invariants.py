@@ -83,3 +83,29 @@ def test_split_grouping_equals_plain_with_a_hot_key(spark):
     split = consecutive_groups_bucketed(hot, ["ts", "event_id"], "event_type", ["user_id"], F.to_date("ts"))
     cols = ["event_id", "user_id", "group_no"]
     assert _rows(plain.select(cols)) == _rows(split.select(cols))
+
+
+def test_smallest_gaps_split_equals_brute_force(spark):
+    from cellguard.operators.ranges import smallest_gaps
+
+    li = T.table(spark, SF_SMALL, "lineitem").select(
+        "l_returnflag", (F.floor(F.col("l_extendedprice") / 7) - 3).alias("v"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.l_returnflag: (r.vmin, r.vmax, r.gap, r.nvals)
+               for r in smallest_gaps(li, "l_returnflag", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = {}
+    for k, vals in _group(li.collect()).items():
+        vs = sorted(set(vals))
+        gaps = [b - a for a, b in zip(vs, vs[1:]) if a != 0]
+        want[k] = (vs[0], vs[-1], min(gaps) if gaps else None, len(vs))
+    assert got == want
+
+
+def _group(rows):
+    out = {}
+    for k, v in rows:
+        out.setdefault(k, []).append(float(v))
+    return out
