@@ -26,7 +26,9 @@ LOCAL_DEFAULTS = {
 def local_session(cpus: int | str = "*", app: str = "cellguard", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
-    for key, value in {**LOCAL_DEFAULTS, "spark.driver.memory": "16g", **(extra or {})}.items():
+    scratch = os.environ.get("CELLGUARD_SCRATCH", "/tmp")
+    warehouse = {"spark.sql.warehouse.dir": f"{scratch}/cellguard-warehouse-{os.getpid()}"}
+    for key, value in {**LOCAL_DEFAULTS, "spark.driver.memory": "16g", **warehouse, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

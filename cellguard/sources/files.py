@@ -152,6 +152,27 @@ def read_store(spark: SparkSession, path: str):
                     ("variable", "value", "item", "category", "subjects")})
 
 
+def save_store_tables(store, prefix: str, buckets: int, mode: str = "overwrite") -> None:
+    """S7 as catalog tables with the subject-level tables bucketed by case.
+
+    ``variable`` (partitioned by item) and ``subjects`` share ``buckets`` buckets on ``case``: the filter's
+    ``groupBy(case)`` and the chart's join of subjects with the selected cases then need no exchange.
+    """
+    for name, df in store.tables().items():
+        w = df.write.mode(mode).format("parquet")
+        if name == "variable":
+            w = w.partitionBy("item").bucketBy(buckets, "case").sortBy("case")
+        elif name == "subjects":
+            w = w.bucketBy(buckets, "case").sortBy("case")
+        w.saveAsTable(f"{prefix}_{name}")
+
+
+def read_store_tables(spark: SparkSession, prefix: str):
+    from ..plans.load import Store
+
+    return Store(**{n: spark.table(f"{prefix}_{n}") for n in ("variable", "value", "item", "category", "subjects")})
+
+
 def write_rows_csv(df: DataFrame, path: str, cols: list[str] | None = None, join_multiline: str | None = None,
                    mode: str = "overwrite") -> None:
     """CSV with header in the given column order; newlines replaced by ``join_multiline``, NULL written ''."""
