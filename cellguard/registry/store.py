@@ -67,6 +67,18 @@ def subjects_from_csv(spark, sf):
     return load_cohort(scan_cohort(spark, path), T.dictionary(spark), LCFG).subjects
 
 
+def precomputed_chart(spark, sf):
+    """The unfiltered chart written once with the catalogue and population, read back from the files."""
+    import uuid
+
+    from ..plans.precompute import precompute, read_precomputed
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/precomputed-{uuid.uuid4().hex}"
+    precompute(store(spark, sf), CFG_F, path)
+    return read_precomputed(spark, path)["chart_subject_counts"]
+
+
 def column_rules_query(spark, sf):
     from ..plans.load import column_rules, prepare_dictionary
 
@@ -110,6 +122,7 @@ QUERIES = {
     "load_categories": lambda spark, sf: store(spark, sf).category,
     "load_subjects": lambda spark, sf: store(spark, sf).subjects,
     "column_rules": column_rules_query,
+    "precomputed_chart": precomputed_chart,
     "load_subjects_from_csv": subjects_from_csv,
     "load_items_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).item,
     "load_categories_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).category,
@@ -211,6 +224,7 @@ SQL = {
     "load_categories": _store_sql("SELECT * FROM s_category"),
     "load_subjects": _store_sql("SELECT * FROM s_subjects"),
     "load_subjects_from_csv": _store_sql("SELECT * FROM s_subjects"),
+    "precomputed_chart": _chart_sel_sql(None, "counts"),
     "column_rules": _store_sql("SELECT col, role, kind, item_id FROM rules"),
     "load_items_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_item",
     "load_categories_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_category",

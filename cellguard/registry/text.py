@@ -10,7 +10,7 @@ from ..operators.groups import consecutive_groups_bucketed
 from . import sqlparts as S
 from ..operators.search import search
 from ..operators.groups import dictionary_view
-from ..sources.files import comments_for, ingest_dictionary, parse_sections, scan_cohort, write_rows_csv
+from ..sources.files import comments_for, ingest_dictionary, parse_sections, stack_sheets
 from ..sources.testdata import table
 
 PART_QUERY = "green  bolt*"
@@ -98,7 +98,19 @@ def dictionary_groups(spark, sf):
                     F.element_at("data", -1)["label"].alias("last_label"))
 
 
+# The market segments of the customer table (one sheet each).
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def stacked_sheets(spark, sf):
+    """S3: one sheet per market segment, columns kept by name case-insensitively, the sheet name appended."""
+    c = table(spark, sf, "customer")
+    sheets = {seg: c.where(F.col("c_mktsegment") == seg) for seg in SEGMENTS}
+    return stack_sheets(sheets, keep=["C_NAME", "c_acctbal", "c_custkey"], sheet_col="Segment", drop_empty=True)
+
+
 QUERIES = {
+    "stack_sheets": stacked_sheets,
     "data_dictionary": data_dictionary,
     "dictionary_view": dictionary_groups,
     "search_parts": search_parts,
@@ -135,6 +147,10 @@ _parsed AS (
 )"""
 
 SQL = {
+    "stack_sheets": f"""SELECT c_name AS "C_NAME", c_acctbal, c_custkey, c_mktsegment AS "Segment" FROM customer
+WHERE c_mktsegment IN ({", ".join("'" + x + "'" for x in SEGMENTS)})
+  AND (length(trim(CAST(c_name AS VARCHAR))) > 0 OR length(trim(CAST(c_acctbal AS VARCHAR))) > 0
+       OR length(trim(CAST(c_custkey AS VARCHAR))) > 0)""",
     "data_dictionary": """SELECT p_partkey AS id, p_name AS label, CAST(p_partkey AS VARCHAR) AS variable,
   p_brand AS "values", p_type AS category, CAST(p_size AS VARCHAR) AS description
 FROM part WHERE p_partkey IS NOT NULL""",
