@@ -151,47 +151,47 @@ def _edge_age(v: Column, m: Column, mx: Column, amin, amax, astep) -> Column:
 
 
 def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
-    """J5 + J6 + W7 on distinct (col, raw) of coded columns -> (col, raw, name, order)."""
-    d = coded.select("col", "varname", "raw").distinct()
-    key = K.numeric_key(F.col("raw"))
-    d = d.withColumn("key", key).withColumn("x", to_double(clean_number(F.col("raw"))))
+    """J5 + J6 + W7 on distinct (col, raw) of coded columns -> (col, raw, name, order, categorical).
+
+    The distinct cells are read once: they are left-joined with three small lookups built from the dictionary
+    options (exact code, label, labelled ranges; each a broadcast of dictionary size), one ``groupBy`` picks the
+    lowest-order match of each kind, and one window numbers unseen labels after the largest code (W7).
+    """
     o = options.select(F.col("name").alias("varname"), "code_key", "order", "label", "lo", "lo_incl", "hi",
                        "hi_incl", "rng_float")
-    exact = o.select("varname", F.col("code_key").alias("key"), F.col("label").alias("e_label"),
-                     F.col("order").alias("e_order"))
-    exact = exact.groupBy("varname", "key").agg(F.min_by(F.struct("e_order", "e_label"), "e_order").alias("e"))
+    exact = o.groupBy("varname", F.col("code_key").alias("key")).agg(
+        F.min_by(F.struct(F.col("order").alias("o"), F.col("label").alias("n")), "order").alias("e"))
     by_label = o.groupBy("varname", F.col("label").alias("raw")).agg(
-        F.min_by(F.struct(F.col("order").alias("l_order"), F.col("label").alias("l_label")), "order").alias("l")
-    )
-    ranges = o.where(F.col("lo").isNotNull() | F.col("hi").isNotNull())
-    in_rng = d.select("col", "varname", "raw", "x").join(
-        ranges, (d.varname == ranges.varname) & K.in_range(d.x), "inner"
-    ).groupBy("col", "raw").agg(
-        F.min_by(F.struct(F.col("order").alias("r_order"), F.col("label").alias("r_label")), "order").alias("r")
+        F.min_by(F.struct(F.col("order").alias("o"), F.col("label").alias("n")), "order").alias("l"))
+    ranges = o.where(F.col("lo").isNotNull() | F.col("hi").isNotNull()).select(
+        F.col("varname").alias("r_var"), F.struct(F.col("order").alias("o"), F.col("label").alias("n")).alias("r"),
+        "lo", "lo_incl", "hi", "hi_incl", "rng_float")
+    top = o.groupBy(F.col("varname").alias("t_var")).agg(F.max("code_key").alias("top"))
+    d = (
+        coded.select("col", "varname", "raw").distinct()
+        .withColumn("key", K.numeric_key(F.col("raw")))
+        .withColumn("x", to_double(clean_number(F.col("raw"))))
     )
-    res = (
-        d.join(exact, ["varname", "key"], "left")
-        .join(by_label, ["varname", "raw"], "left")
-        .join(in_rng, ["col", "raw"], "left")
+    cand = (
+        d.join(F.broadcast(exact), ["varname", "key"], "left")
+        .join(F.broadcast(by_label), ["varname", "raw"], "left")
+        .join(F.broadcast(ranges), (F.col("varname") == F.col("r_var")) & K.in_range(F.col("x")), "left")
+        .join(F.broadcast(top), F.col("varname") == F.col("t_var"), "left")
     )
-    matched = F.coalesce(F.col("e.e_label"), F.col("l.l_label"), F.col("r.r_label"))
-    m_order = F.coalesce(F.col("e.e_order"), F.col("l.l_order"), F.col("r.r_order"))
-    res = res.select("col", "varname", "raw", "key", matched.alias("m_name"), m_order.alias("m_order"))
-    # Unseen text labels get the next orders after the largest code, in label order
-    top = o.groupBy("varname").agg(F.max("code_key").alias("top"))
-    unseen = res.where(F.col("m_name").isNull() & F.col("key").isNull())
-    w = Window.partitionBy("col").orderBy("raw")
-    unseen = unseen.join(top, "varname", "left").select(
-        "col", "raw",
-        (F.floor(F.coalesce(F.col("top"), F.lit(123.0))) + F.row_number().over(w)).cast("int").alias("n_order"),
+    best = cand.groupBy("col", "varname", "raw", "key").agg(
+        F.first("e", ignorenulls=True).alias("e"), F.first("l", ignorenulls=True).alias("l"),
+        F.min("r").alias("r"), F.max("top").alias("top"),
     )
-    res = res.join(unseen, ["col", "raw"], "left")
-    name = F.coalesce(
-        F.col("m_name"), F.when(F.col("key").isNotNull(), typed_name(F.col("raw"))), clean_text(F.col("raw"))
+    m_name = F.coalesce(F.col("e.n"), F.col("l.n"), F.col("r.n"))
+    m_order = F.coalesce(F.col("e.o"), F.col("l.o"), F.col("r.o"))
+    unseen = m_name.isNull() & F.col("key").isNull()
+    w = Window.partitionBy("col", unseen).orderBy("raw")
+    n_order = F.when(unseen, F.floor(F.coalesce(F.col("top"), F.lit(123.0))) + F.row_number().over(w))
+    name = F.coalesce(m_name, F.when(F.col("key").isNotNull(), typed_name(F.col("raw"))), clean_text(F.col("raw")))
+    return best.select(
+        "col", "raw", name.alias("name"), F.coalesce(m_order, n_order).cast("int").alias("order"),
+        m_name.isNotNull().alias("categorical"),
     )
-    order = F.coalesce(F.col("m_order"), F.col("n_order"))
-    return res.select("col", "raw", name.alias("name"), order.cast("int").alias("order"),
-                      F.col("m_name").isNotNull().alias("categorical"))
 
 
 def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataFrame:
