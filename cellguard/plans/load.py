@@ -223,7 +223,9 @@ def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadCo
         "col", "raw", F.col("name").alias("c_name"), F.col("order").alias("c_order"),
         F.col("categorical").alias("c_cat"),
     )
-    j = x.join(F.broadcast(stats), "col", "left").join(resolved, ["col", "raw"], "left")
+    # numeric and raw cells need only the per-column stats (broadcast); only coded cells join the resolved codes,
+    # so the rest of the cells are never shuffled for that join
+    j = x.where(k != "coded").join(F.broadcast(stats), "col", "left")
     j = j.withColumn("_fl", F.when(F.col("v0") == F.col("m"), int_floor(F.col("v0"))).otherwise(F.col("v0")))
     edged = (
         F.when(k.isin("date", "year"), _edge_from_floored(F.col("_fl"), F.col("m"), F.col("mx")))
@@ -235,14 +237,18 @@ def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadCo
         .when(F.col("_num").isNotNull(), floor1(F.col("_num")).cast("string"))
         .otherwise(clean_text(F.col("raw")))
     )
-    out = j.select(
-        "case", "col", "varname", "role", "kind", "item_id",
-        F.when(k.isin(NUMERIC_KINDS), edged.cast("string"))
-        .when(k == "raw", raw_name)
-        .otherwise(F.col("c_name")).alias("name"),
-        F.when(k == "coded", F.col("c_order")).cast("int").alias("order"),
-        F.coalesce(F.when(k == "coded", F.col("c_cat")), F.lit(False)).alias("categorical"),
-    ).where(F.col("name").isNotNull())
+    cols = ["case", "col", "varname", "role", "kind", "item_id"]
+    plain = j.select(
+        *cols,
+        F.when(k.isin(NUMERIC_KINDS), edged.cast("string")).when(k == "raw", raw_name).alias("name"),
+        F.lit(None).cast("int").alias("order"),
+        F.lit(False).alias("categorical"),
+    )
+    coded = x.where(k == "coded").join(resolved, ["col", "raw"], "left").select(
+        *cols, F.col("c_name").alias("name"), F.col("c_order").cast("int").alias("order"),
+        F.coalesce(F.col("c_cat"), F.lit(False)).alias("categorical"),
+    )
+    out = plain.unionByName(coded).where(F.col("name").isNotNull())
     return out.withColumn("num", to_double(F.col("name")))
 
 
