@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import ChartConfig
 from ..functions.privacy import jitter_and_mask
 from ..functions.text import capitalize
-from ..operators.histogram import age_bin, bucket_of, dense_bins
+from ..operators.histogram import age_bin, bucket_of
 from ..session import cut_lineage
 
 AGES = ("age_bl", "age_fu")
@@ -61,28 +61,27 @@ def cell_table(subjects: DataFrame, cfg: ChartConfig, selected: DataFrame | None
     )
 
 
-def _matrix(cells: DataFrame, which: str, cfg: ChartConfig, jitter: bool) -> DataFrame:
-    """Sex-by-age matrix of one age from the cells: (sex, label, bin, bucket, raw, value, masked)."""
-    b = f"{which[4:]}_bin"  # bl_bin / fu_bin
-    with_sex = cells.where(F.col("sex").isNotNull())
-    counts = with_sex.where(F.col(b).isNotNull()).groupBy("sex", F.col(b).alias("bin")).agg(F.sum("n").alias("raw"))
-    labels = with_sex.select("sex").distinct()
-    label = capitalize(F.col("sex"))
-    raw = F.coalesce(F.col("raw"), F.lit(0).cast("long"))
-    value = jitter_and_mask(raw, F.concat(label, F.col("bin").cast("string")), cfg, jitter)
-    return (
-        dense_bins(labels, cfg.n_bins)
-        .join(counts, ["sex", "bin"], "left")
-        .select(
-            "sex",
-            label.alias("label"),
-            "bin",
-            bucket_of(F.col("bin"), cfg).alias("bucket"),
-            raw.alias("raw"),
-            value.alias("value"),
-            ((raw > 0) & (value == 0)).alias("masked"),
-        )
+def _matrices(cells: DataFrame, cfg: ChartConfig, jitter: bool) -> DataFrame:
+    """Both sex-by-age matrices from the cells in one aggregation: (age, sex, label, bin, bucket, raw, value, masked).
+
+    One ``groupBy(sex)`` gathers each sex's cells (at most |enrollment| x (bins+1)^2 of them); the dense grid of
+    (age, bin) is then filled with higher-order functions inside that row, so no label ``distinct`` and no join of
+    counts back onto a grid is needed.
+    """
+    per_sex = cells.where(F.col("sex").isNotNull()).groupBy("sex").agg(
+        F.collect_list(F.struct("bl_bin", "fu_bin", "n")).alias("cs")
     )
+    grid = F.array(*[F.struct(F.lit(a).alias("age"), F.lit(b).alias("bin")) for a in AGES for b in range(cfg.n_bins)])
+    g = per_sex.select("sex", "cs", F.explode(grid).alias("g")).select(
+        "sex", "cs", F.col("g.age").alias("age"), F.col("g.bin").alias("bin"))
+    in_cell = F.filter("cs", lambda c: F.when(F.col("age") == "age_bl", c["bl_bin"]).otherwise(c["fu_bin"])
+                       == F.col("bin"))
+    raw = F.aggregate(in_cell, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    label = capitalize(F.col("sex"))
+    return g.select("age", "sex", "bin", raw.alias("raw")).select(
+        "age", "sex", label.alias("label"), "bin", bucket_of(F.col("bin"), cfg).alias("bucket"), "raw",
+        jitter_and_mask(F.col("raw"), F.concat(label, F.col("bin").cast("string")), cfg, jitter).alias("value"),
+    ).withColumn("masked", (F.col("raw") > 0) & (F.col("value") == 0))
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -92,50 +91,35 @@ def _one(df: DataFrame) -> DataFrame:
 
 def chart_parts(cells: DataFrame, cfg: ChartConfig, jitter: bool = True) -> dict[str, DataFrame]:
     """Steps 2-4 on cells of one selection; returns the pieces the chart and the single-purpose queries use."""
-    bl = _matrix(cells, "age_bl", cfg, jitter)
-    fu = _matrix(cells, "age_fu", cfg, jitter)
+    m = _matrices(cells, cfg, jitter)
+    bl = m.where(F.col("age") == "age_bl").drop("age")
+    fu = m.where(F.col("age") == "age_fu").drop("age")
     # The age whose published (censored) total is larger wins; ties go to follow-up
     choice = F.broadcast(
-        _one(bl.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("s_bl")))
-        .join(_one(fu.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("s_fu"))), "_k")
-        .select("_k", "s_bl", "s_fu", (F.col("s_bl") > F.col("s_fu")).alias("use_bl"))
-    )
-    m_bl = bl.where("masked").select("sex", F.col("bin").alias("bl_bin"), F.lit(True).alias("x_bl"))
-    m_fu = fu.where("masked").select("sex", F.col("bin").alias("fu_bin"), F.lit(True).alias("x_fu"))
-    flagged = (
-        _one(cells)
-        .join(m_bl, ["sex", "bl_bin"], "left")
-        .join(m_fu, ["sex", "fu_bin"], "left")
-        .join(choice, "_k")
-    )
-    use_bl = F.col("use_bl")
-    excluded = F.when(use_bl, F.coalesce(F.col("x_bl"), F.lit(False))).otherwise(
-        F.coalesce(F.col("x_fu"), F.lit(False))
-    )
-    kept = flagged.where(~excluded).withColumn(
-        "chosen_bin", F.when(use_bl, F.col("bl_bin")).otherwise(F.col("fu_bin"))
+        _one(m.agg(
+            F.coalesce(F.sum(F.when(F.col("age") == "age_bl", F.col("value"))), F.lit(0)).alias("s_bl"),
+            F.coalesce(F.sum(F.when(F.col("age") == "age_fu", F.col("value"))), F.lit(0)).alias("s_fu"),
+        )).select("_k", "s_bl", "s_fu", (F.col("s_bl") > F.col("s_fu")).alias("use_bl"))
+    )
+    chosen_age = F.when(F.col("use_bl"), F.lit("age_bl")).otherwise(F.lit("age_fu"))
+    chosen = _one(m).join(choice, "_k").where(F.col("age") == chosen_age)
+    masked = chosen.where("masked").select("sex", F.col("bin").alias("chosen_bin"))
+    # cells of masked (sex, bin) of the chosen age leave every other statistic; a NULL bin never matches
+    kept = (
+        _one(cells).join(choice, "_k")
+        .withColumn("chosen_bin", F.when(F.col("use_bl"), F.col("bl_bin")).otherwise(F.col("fu_bin")))
+        .join(masked, ["sex", "chosen_bin"], "left_anti")
     )
     # Enrolment totals over the kept cells, jittered and masked on the total with the plain label
-    enr_labels = kept.where(F.col("enrollment").isNotNull()).select("enrollment").distinct()
-    enr_counts = (
-        kept.where(F.col("enrollment").isNotNull() & F.col("chosen_bin").isNotNull())
-        .groupBy("enrollment")
-        .agg(F.sum("n").alias("total"))
-    )
-    enr = enr_labels.join(enr_counts, "enrollment", "left").select(
-        "enrollment",
-        capitalize(F.col("enrollment")).alias("label"),
-        F.coalesce(F.col("total"), F.lit(0).cast("long")).alias("raw"),
-    )
+    enr = kept.where(F.col("enrollment").isNotNull()).groupBy("enrollment").agg(
+        F.coalesce(F.sum(F.when(F.col("chosen_bin").isNotNull(), F.col("n"))), F.lit(0)).cast("long").alias("raw")
+    ).withColumn("label", capitalize(F.col("enrollment")))
     if cfg.enrollment_retain:
         enr = enr.where(F.lower("label").isin([r.lower() for r in cfg.enrollment_retain]))
     enr = enr.withColumn("value", jitter_and_mask(F.col("raw"), F.col("label"), cfg, jitter))
     # Mean follow-up over every kept subject (NULL and under-min ages included)
     follow = kept.agg(F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt"))
     # A5 totals per sex from the chosen matrix
-    chosen = _one(bl.withColumn("age", F.lit("age_bl")).unionByName(fu.withColumn("age", F.lit("age_fu")))).join(
-        choice, "_k"
-    ).where(F.when(F.col("use_bl"), F.col("age") == "age_bl").otherwise(F.col("age") == "age_fu"))
     sex_totals = chosen.groupBy("sex", "label").agg(F.sum("value").alias("value"))
     return {
         "bl": bl,
