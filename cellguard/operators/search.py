@@ -14,6 +14,7 @@ from ..functions.text import search_terms
 
 
 def score(fields: list[str], terms: list[str]) -> Column:
+    """Number of (term, field) pairs where the term occurs in the lower-cased field."""
     total = F.lit(0)
     for f in fields:
         low = F.lower(F.coalesce(F.col(f).cast("string"), F.lit("")))
@@ -22,6 +23,13 @@ def score(fields: list[str], terms: list[str]) -> Column:
     return total
 
 
+def _lowered(df: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
+    """Each searched field lower-cased once, as its own column (a long text is not lowered once per term)."""
+    names = [f"__low{i}" for i in range(len(fields))]
+    return df.select("*", *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(n)
+                            for f, n in zip(fields, names)]), names
+
+
 def search(
     df: DataFrame,
     id_col: str,
@@ -38,7 +46,8 @@ def search(
     """
     terms = search_terms(query)
     keep = [c for c in (keep if keep is not None else fields) if c != id_col]
-    hits = df.select(id_col, *keep, score(fields, terms).alias("score")).where(F.col("score") > 0)
+    low, names = _lowered(df.select(id_col, *sorted(set(keep) | set(fields))), fields)
+    hits = low.select(id_col, *keep, score(names, terms).alias("score")).where(F.col("score") > 0)
     by_rel = [F.col("score").desc(), F.col(id_col).asc()]
     if limit is not None:
         return hits.orderBy(*by_rel).limit(limit)

@@ -105,7 +105,12 @@ def categories_of_items(store: Store, item_ids: list[int]) -> DataFrame:
 
 def categories_of_values(store: Store, value_ids: list[int]) -> DataFrame:
     """Value id -> the item a subject holds it under -> that item's category."""
-    used = store.variable.where(F.col("value").isin(value_ids)).select(
+    # the value table names each value's item: joining on (item, value) lets the variable scan prune its item
+    # partitions at run time instead of reading every partition for a value filter
+    vals = store.value.where(F.col("id").isin(value_ids)).select(F.col("id").alias("value_id"),
+                                                                  F.col("item").alias("item_id"))
+    v = store.variable
+    used = v.join(vals, (v.item == vals.item_id) & (v.value == vals.value_id), "left_semi").select(
         F.col("value").alias("value_id"), F.col("item").alias("item_id")
     ).distinct()
     return used.join(store.item.select(F.col("id").alias("item_id"), F.col("category").alias("category_id")),
