@@ -198,20 +198,34 @@ def filter_chart(
     selected: DataFrame | None = None,
     jitter: bool = True,
     cells: DataFrame | None = None,
+    precomputed: dict | None = None,
 ) -> ChartResult:
-    """Q1. ``selected`` is DataFrame[case] from ``operators.filters.select_cases`` (None = no filter)."""
+    """Q1. ``selected`` is DataFrame[case] from ``operators.filters.select_cases`` (None = no filter).
+
+    ``precomputed`` (from ``plans.precompute.read_precomputed``, written with the same ``cfg``) supplies the
+    population and the un-jittered / zeroed answers over everyone, as the reference serves them: then no filter
+    reads only those files, and a filtered chart computes only the selected cells.
+    """
+    if precomputed is not None:
+        population = precomputed["population"]
+        base_counts, base_bl, base_fu = (precomputed[f"chart_{n}"] for n in ("subject_counts", "age_bl", "age_fu"))
+        zero_counts, zero_bl, zero_fu = (precomputed[f"null_{n}"] for n in ("subject_counts", "age_bl", "age_fu"))
+        if selected is None:
+            return ChartResult(base_counts, base_bl, base_fu)
     if cells is None:
         # the cell table is small (bounded by labels x bins^2) and feeds every branch below: materialise it once
         cells = cut_lineage(cell_table(subjects, cfg, selected), "cells")
-    everyone = cells.groupBy("sex", "enrollment", "bl_bin", "fu_bin").agg(
-        F.sum("n").alias("n"), F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt")
-    )
-    population = everyone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("population"))
-    base = chart_parts(everyone, cfg, jitter=False)
-    base_counts = subject_counts(base, population, cfg)
-    base_bl, base_fu = _matrix_out(base["bl"]), _matrix_out(base["fu"])
-    if selected is None:
-        return ChartResult(base_counts, base_bl, base_fu)
+    if precomputed is None:
+        everyone = cells.groupBy("sex", "enrollment", "bl_bin", "fu_bin").agg(
+            F.sum("n").alias("n"), F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt")
+        )
+        population = everyone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("population"))
+        base = chart_parts(everyone, cfg, jitter=False)
+        base_counts = subject_counts(base, population, cfg)
+        base_bl, base_fu = _matrix_out(base["bl"]), _matrix_out(base["fu"])
+        if selected is None:
+            return ChartResult(base_counts, base_bl, base_fu)
+        zero_counts, zero_bl, zero_fu = _zeroed(base_counts), _zeroed(base_bl), _zeroed(base_fu)
     sel_cells = cells.where("sel").drop("sel")
     n_sel = sel_cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_sel"))
     mode = F.broadcast(
@@ -229,13 +243,14 @@ def filter_chart(
     f_counts = subject_counts(parts, population, cfg)
     f_bl, f_fu = _matrix_out(parts["bl"]), _matrix_out(parts["fu"])
 
-    def pick(filtered: DataFrame, full: DataFrame) -> DataFrame:
+    def pick(filtered: DataFrame, full: DataFrame, zero: DataFrame) -> DataFrame:
         def when(df: DataFrame, m: str) -> DataFrame:
             return _one(df).join(mode.where(F.col("mode") == m), "_k").drop("_k", "mode")
 
-        return when(filtered, "filtered").unionByName(when(full, "all")).unionByName(when(_zeroed(full), "empty"))
+        return when(filtered, "filtered").unionByName(when(full, "all")).unionByName(when(zero, "empty"))
 
-    return ChartResult(pick(f_counts, base_counts), pick(f_bl, base_bl), pick(f_fu, base_fu))
+    return ChartResult(pick(f_counts, base_counts, zero_counts), pick(f_bl, base_bl, zero_bl),
+                       pick(f_fu, base_fu, zero_fu))
 
 
 def pivot_chart(m: DataFrame, labels: list[str]) -> DataFrame:

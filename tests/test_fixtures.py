@@ -121,3 +121,22 @@ def test_precompute_roundtrip(spark):
     assert pre["population"].collect()[0][0] == st.subjects.count()
     assert pre["null_subject_counts"].agg(F.sum(F.abs("value"))).collect()[0][0] == 0
     assert pre["chart_age_bl"].count() == pre["null_age_bl"].count() > 0
+
+
+def test_chart_from_precomputed_equals_direct(spark):
+    from cellguard.operators import filters as FL
+    from cellguard.plans.chart import filter_chart
+    from cellguard.registry import store as RS
+    from conftest import SF_SMALL
+
+    st = RS.store(spark, SF_SMALL)
+    d = tempfile.mkdtemp(prefix="cellguard-pre2-")
+    precompute(st, RS.CFG_F, d)
+    pre = read_precomputed(spark, d)
+    for fs in (None, RS.F_AND, RS.F_EMPTY, RS.F_ALL):
+        sel = FL.select_cases(st.variable, st.value, fs) if fs is not None else None
+        a = filter_chart(st.subjects, RS.CFG_F, sel)
+        b = filter_chart(st.subjects, RS.CFG_F, sel, precomputed=pre)
+        for part in ("subject_counts", "age_bl", "age_fu"):
+            assert sorted(tuple(r) for r in getattr(a, part).collect()) == \
+                sorted(tuple(r) for r in getattr(b, part).collect()), (fs, part)
