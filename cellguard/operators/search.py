@@ -54,18 +54,17 @@ def search(
     if order_by_relevance < 0:
         return hits.orderBy(*by_rel)
     if order_by_relevance > 0:
-        # the N-th best (score, id) as a one-row threshold, then one sort key for "top N first"
+        # the N-th best (score, id) as scalar subqueries, then one sort key for "top N first"
         nth = hits.orderBy(*by_rel).limit(order_by_relevance).select(
             F.col("score").alias("t_score"), F.col(id_col).alias("t_id")
-        ).orderBy(F.col("t_score").asc(), F.col("t_id").desc()).limit(1).withColumn("_k", F.lit(1))
-        j = hits.withColumn("_k", F.lit(1)).join(F.broadcast(nth), "_k", "left").drop("_k")
-        in_top = (F.col("score") > F.col("t_score")) | (
-            (F.col("score") == F.col("t_score")) & (F.col(id_col) <= F.col("t_id"))
-        )
+        ).orderBy(F.col("t_score").asc(), F.col("t_id").desc()).limit(1)
+        t_score = nth.select("t_score").scalar()
+        t_id = nth.select("t_id").scalar()
+        in_top = (F.col("score") > t_score) | ((F.col("score") == t_score) & (F.col(id_col) <= t_id))
         return (
-            j.withColumn("top", F.coalesce(in_top, F.lit(False)))
+            hits.withColumn("top", F.coalesce(in_top, F.lit(False)))
             .orderBy(F.col("top").desc(), F.when(F.col("top"), -F.col("score")), F.col(id_col))
-            .drop("t_score", "t_id", "top")
+            .drop("top")
         )
     return hits
 

@@ -84,32 +84,25 @@ def _matrices(cells: DataFrame, cfg: ChartConfig, jitter: bool) -> DataFrame:
     ).withColumn("masked", (F.col("raw") > 0) & (F.col("value") == 0))
 
 
-def _one(df: DataFrame) -> DataFrame:
-    """Tag a one-row frame for an equi-join on a constant key (a broadcast hash join of one row)."""
-    return df.withColumn("_k", F.lit(1))
+def chart_parts(cells: DataFrame, cfg: ChartConfig, jitter: bool = True) -> dict:
+    """Steps 2-4 on cells of one selection; returns the pieces the chart and the single-purpose queries use.
 
-
-def chart_parts(cells: DataFrame, cfg: ChartConfig, jitter: bool = True) -> dict[str, DataFrame]:
-    """Steps 2-4 on cells of one selection; returns the pieces the chart and the single-purpose queries use."""
+    One-row results (the two published totals, the follow-up sums) are scalar subqueries: each is computed once and
+    read as a value by the rows that need it, with no join.
+    """
+    spark = cells.sparkSession
     m = _matrices(cells, cfg, jitter)
     bl = m.where(F.col("age") == "age_bl").drop("age")
     fu = m.where(F.col("age") == "age_fu").drop("age")
     # The age whose published (censored) total is larger wins; ties go to follow-up
-    choice = F.broadcast(
-        _one(m.agg(
-            F.coalesce(F.sum(F.when(F.col("age") == "age_bl", F.col("value"))), F.lit(0)).alias("s_bl"),
-            F.coalesce(F.sum(F.when(F.col("age") == "age_fu", F.col("value"))), F.lit(0)).alias("s_fu"),
-        )).select("_k", "s_bl", "s_fu", (F.col("s_bl") > F.col("s_fu")).alias("use_bl"))
-    )
-    chosen_age = F.when(F.col("use_bl"), F.lit("age_bl")).otherwise(F.lit("age_fu"))
-    chosen = _one(m).join(choice, "_k").where(F.col("age") == chosen_age)
+    s_bl = m.agg(F.coalesce(F.sum(F.when(F.col("age") == "age_bl", F.col("value"))), F.lit(0))).scalar()
+    s_fu = m.agg(F.coalesce(F.sum(F.when(F.col("age") == "age_fu", F.col("value"))), F.lit(0))).scalar()
+    use_bl = s_bl > s_fu
+    chosen = m.where(F.col("age") == F.when(use_bl, F.lit("age_bl")).otherwise(F.lit("age_fu")))
     masked = chosen.where("masked").select("sex", F.col("bin").alias("chosen_bin"))
     # cells of masked (sex, bin) of the chosen age leave every other statistic; a NULL bin never matches
-    kept = (
-        _one(cells).join(choice, "_k")
-        .withColumn("chosen_bin", F.when(F.col("use_bl"), F.col("bl_bin")).otherwise(F.col("fu_bin")))
-        .join(masked, ["sex", "chosen_bin"], "left_anti")
-    )
+    kept = cells.withColumn("chosen_bin", F.when(use_bl, F.col("bl_bin")).otherwise(F.col("fu_bin"))).join(
+        masked, ["sex", "chosen_bin"], "left_anti")
     # Enrolment totals over the kept cells, jittered and masked on the total with the plain label
     enr = kept.where(F.col("enrollment").isNotNull()).groupBy("enrollment").agg(
         F.coalesce(F.sum(F.when(F.col("chosen_bin").isNotNull(), F.col("n"))), F.lit(0)).cast("long").alias("raw")
@@ -124,10 +117,15 @@ def chart_parts(cells: DataFrame, cfg: ChartConfig, jitter: bool = True) -> dict
     return {
         "bl": bl,
         "fu": fu,
-        "choice": choice,
+        "s_bl": s_bl,
+        "s_fu": s_fu,
+        "use_bl": use_bl,
+        "choice": spark.range(1).select(s_bl.alias("s_bl"), s_fu.alias("s_fu"), use_bl.alias("use_bl")),
         "kept": kept,
         "enrollment": enr,
         "follow": follow,
+        "fsum": kept.agg(F.sum("fsum")).scalar(),
+        "fcnt": kept.agg(F.sum("fcnt")).scalar(),
         "sex_totals": sex_totals,
     }
 
@@ -142,21 +140,19 @@ def subject_counts(parts: dict, population: DataFrame, cfg: ChartConfig, no_resu
     """A10: total, selected, enrolment rows, sex rows, mean follow-up -> (section, pos, id, header, value)."""
     upd = cfg.update_text()
     title = cfg.cohort_title
-    head = (
-        _one(population)
-        .join(parts["choice"], "_k")
-        .join(_one(parts["follow"]), "_k")
-    )
-    selected = F.when(F.col("use_bl"), F.col("s_bl")).otherwise(F.col("s_fu"))
+    head = parts["bl"].sparkSession.range(1)
+    pop = population.select("population").scalar()
+    fsum, fcnt = parts["fsum"], parts["fcnt"]
+    selected = F.when(parts["use_bl"], parts["s_bl"]).otherwise(parts["s_fu"])
     ok = selected > F.lit(cfg.mask)
     if no_result is not None:
         ok = ok & ~no_result
-    mean = F.when(ok & (F.col("fcnt") > 0), round2_ratio(F.col("fsum"), F.col("fcnt"))).otherwise(F.lit(0.0))
-    sel_shown = F.when(ok, F.least(selected, F.col("population"))).otherwise(F.lit(0))
+    mean = F.when(ok & (fcnt > 0), round2_ratio(fsum, fcnt)).otherwise(F.lit(0.0))
+    sel_shown = F.when(ok, F.least(selected, pop)).otherwise(F.lit(0))
     total_row = head.select(
         F.lit(0).alias("section"), F.lit(1).alias("pos"), F.lit("total-count").alias("id"),
         F.lit(f"Total {title} Population {upd}".strip()).alias("header"),
-        F.col("population").cast("double").alias("value"),
+        pop.cast("double").alias("value"),
     )
     sel_row = head.select(
         F.lit(1).alias("section"), F.lit(1).alias("pos"), F.lit("selected-count").alias("id"),
@@ -227,25 +223,16 @@ def filter_chart(
             return ChartResult(base_counts, base_bl, base_fu)
         zero_counts, zero_bl, zero_fu = _zeroed(base_counts), _zeroed(base_bl), _zeroed(base_fu)
     sel_cells = cells.where("sel").drop("sel")
-    n_sel = sel_cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_sel"))
-    mode = F.broadcast(
-        _one(n_sel)
-        .join(_one(population), "_k")
-        .select(
-            "_k",
-            F.when(F.col("n_sel") == 0, F.lit("empty"))
-            .when(F.col("n_sel") >= F.col("population"), F.lit("all"))
-            .otherwise(F.lit("filtered"))
-            .alias("mode"),
-        )
-    )
+    n_sel = sel_cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    pop = population.select("population").scalar()
+    mode = F.when(n_sel == 0, F.lit("empty")).when(n_sel >= pop, F.lit("all")).otherwise(F.lit("filtered"))
     parts = chart_parts(sel_cells, cfg, jitter=jitter)
     f_counts = subject_counts(parts, population, cfg)
     f_bl, f_fu = _matrix_out(parts["bl"]), _matrix_out(parts["fu"])
 
     def pick(filtered: DataFrame, full: DataFrame, zero: DataFrame) -> DataFrame:
         def when(df: DataFrame, m: str) -> DataFrame:
-            return _one(df).join(mode.where(F.col("mode") == m), "_k").drop("_k", "mode")
+            return df.where(mode == F.lit(m))
 
         return when(filtered, "filtered").unionByName(when(full, "all")).unionByName(when(zero, "empty"))
 

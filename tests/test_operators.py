@@ -41,3 +41,18 @@ def test_not_empty(spark):
     got = [r[0] for r in spark.createDataFrame([("a",), ("",), (None,)], "s string").select(
         not_empty(F.col("s"))).collect()]
     assert got == [True, False, False]
+
+
+def test_search_relevance_modes(spark):
+    from cellguard.operators.search import search
+
+    df = spark.createDataFrame(
+        [(1, "red bolt", "x"), (2, "red red", "bolt"), (3, "blue", "nut"), (4, "bolt", "red"), (5, "redbolt", "")],
+        "id long, name string, kind string")
+    all_rows = [(r.id, r.score) for r in search(df, "id", ["name", "kind"], "red bolt").collect()]
+    assert all_rows == [(1, 2), (2, 2), (4, 2), (5, 2)]
+    top = [r.id for r in search(df, "id", ["name", "kind"], "red bolt", limit=2).collect()]
+    assert top == [1, 2]
+    part = [r.id for r in search(df, "id", ["name", "kind"], "bolt red*", order_by_relevance=1).collect()]
+    assert part[0] == 1 and sorted(part) == [1, 2, 4, 5]
+    assert sorted(r.id for r in search(df, "id", ["name"], "blu", order_by_relevance=0).collect()) == [3]
