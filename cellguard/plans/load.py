@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import LoadConfig
 from ..functions import codes as K
@@ -410,9 +409,3 @@ def _subjects(cases: DataFrame, norm: DataFrame, cfg: LoadConfig) -> DataFrame:
         K.apply_mapping(F.col("enrollment"), em).alias("enrollment"),
         to_long(F.col("followup_years")).cast("int").alias("followup_years"),
     )
-
-
-STORE_SCHEMAS = {
-    "variable": T.StructType([T.StructField("case", T.LongType()), T.StructField("item", T.IntegerType()),
-                              T.StructField("value", T.LongType())]),
-}

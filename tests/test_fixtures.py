@@ -140,3 +140,17 @@ def test_chart_from_precomputed_equals_direct(spark):
         for part in ("subject_counts", "age_bl", "age_fu"):
             assert sorted(tuple(r) for r in getattr(a, part).collect()) == \
                 sorted(tuple(r) for r in getattr(b, part).collect()), (fs, part)
+
+
+def test_store_write_read_roundtrip(spark):
+    from cellguard.registry import store as RS
+    from conftest import SF_SMALL
+
+    st = RS.store(spark, SF_SMALL)
+    d = tempfile.mkdtemp(prefix="cellguard-store-") + "/store"
+    S.write_store(st, d)
+    assert os.path.isdir(os.path.join(d, "variable", "item=1"))  # partitioned by item
+    back = S.read_store(spark, d)
+    for name in ("variable", "value", "item", "category", "subjects"):
+        a, b = getattr(st, name), getattr(back, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), name

@@ -56,3 +56,10 @@ def test_search_relevance_modes(spark):
     part = [r.id for r in search(df, "id", ["name", "kind"], "bolt red*", order_by_relevance=1).collect()]
     assert part[0] == 1 and sorted(part) == [1, 2, 4, 5]
     assert sorted(r.id for r in search(df, "id", ["name"], "blu", order_by_relevance=0).collect()) == [3]
+
+
+def test_line_not_empty(spark):
+    from cellguard.sources.files import line_not_empty
+
+    df = spark.createDataFrame([("a", 1), ("", 2), (None, 3)], "first string, n int")
+    assert [r.n for r in line_not_empty(df, "first").collect()] == [1]
