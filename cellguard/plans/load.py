@@ -193,14 +193,12 @@ def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
     )
 
 
-def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataFrame:
-    """(case, col, raw) -> (case, col, varname, role, kind, item_id, name, num, order, categorical).
+def parse_cells(long: DataFrame, rules: DataFrame) -> DataFrame:
+    """(case, col, raw) + column rules -> the rule-tagged cells with their parsed readings as columns.
 
-    One pass over the rule-tagged rows handles every kind; the two side tables it needs are small: per-column
-    min/max of the numeric kinds (one row per column, broadcast) and the resolved distinct codes of coded columns
-    (one row per distinct coded cell; Spark/AQE broadcasts it when its measured size allows, else a shuffle join).
-    Each intermediate (parsed number, year, mid-bin) is its own column, computed once per row: nesting them would
-    copy the parsing into every branch of the CASE chains that use them.
+    ``_isint``, ``_num`` (number), ``_year`` (date cells) and ``v0`` (the first rounding of numeric kinds) are
+    computed here, before the cells are materialised, so that they become stored columns: the CASE chains of the
+    normalisation then read them instead of Catalyst inlining the parsing into every branch.
     """
     k = F.col("kind")
     x = (
@@ -209,14 +207,37 @@ def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadCo
         .withColumn("_num", to_double(F.col("raw")))
         .withColumn("_year", F.when(k.isin("date", "date_int"), to_year(F.col("raw"))).cast("double"))
     )
-    x = x.withColumn(
+    return x.withColumn(
         "v0",
         F.when(k == "date", int_mid(F.col("_year")))
         .when(k == "date_int", int_only(F.col("_year")))
         .when(k == "int_only", int_only(F.col("_num")))
         .when(k.isin("age", "year"), int_mid(F.col("_num"))),
     )
-    stats = x.where(k.isin(NUMERIC_KINDS)).groupBy("col").agg(F.min("v0").alias("m"), F.max("v0").alias("mx"))
+
+
+def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataFrame:
+    """(case, col, raw) -> (case, col, varname, role, kind, item_id, name, order, categorical, num)."""
+    return normalize_parsed(parse_cells(long, rules), options, cfg)
+
+
+def normalize_parsed(x: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataFrame:
+    """Parsed cells -> normalised rows.
+
+    One pass over the cells handles every kind; the two side tables it needs are small: per-column min/max of the
+    numeric kinds (one row per column, broadcast) and the resolved distinct codes of coded columns (one row per
+    distinct coded cell; Spark/AQE broadcasts it when its measured size allows, else a shuffle join).
+    """
+    k = F.col("kind")
+    # per column: min / max of the first rounding pass and the maximum after the minimum is floored (W5), all
+    # computed once per column in this small table so that the per-row expressions stay small
+    amin, amax, astep = cfg.age_min, cfg.age_max, cfg.age_step
+    m, mx = F.col("m"), F.col("mx")
+    a_m2 = F.when(mx == m, int_floor(m)).otherwise(mx)
+    if amin is not None:
+        a_m2 = F.when(mx <= F.lit(amin), F.lit(amin)).otherwise(a_m2)
+    stats = x.where(k.isin(NUMERIC_KINDS)).groupBy("col").agg(F.min("v0").alias("m"), F.max("v0").alias("mx")).select(
+        "col", "m", F.when(mx == m, int_floor(m)).otherwise(mx).alias("e_m2"), a_m2.alias("a_m2"))
     coded_cells = x.where(k == "coded").select("col", "varname", "raw")
     resolved = _resolve_codes(coded_cells, options).select(
         "col", "raw", F.col("name").alias("c_name"), F.col("order").alias("c_order"),
@@ -224,31 +245,42 @@ def normalize(long: DataFrame, rules: DataFrame, options: DataFrame, cfg: LoadCo
     )
     # numeric and raw cells need only the per-column stats (broadcast); only coded cells join the resolved codes,
     # so the rest of the cells are never shuffled for that join
-    j = x.where(k != "coded").join(F.broadcast(stats), "col", "left")
-    j = j.withColumn("_fl", F.when(F.col("v0") == F.col("m"), int_floor(F.col("v0"))).otherwise(F.col("v0")))
-    edged = (
-        F.when(k.isin("date", "year"), _edge_from_floored(F.col("_fl"), F.col("m"), F.col("mx")))
-        .when(k == "age", _edge_age(F.col("v0"), F.col("m"), F.col("mx"), cfg.age_min, cfg.age_max, cfg.age_step))
-        .otherwise(F.col("v0"))
-    )
-    raw_name = (
-        F.when(F.col("_isint"), F.trim(F.col("raw")).cast("long").cast("string"))
-        .when(F.col("_num").isNotNull(), floor1(F.col("_num")).cast("string"))
-        .otherwise(clean_text(F.col("raw")))
+    v0 = F.col("v0")
+    edge_kind = k.isin("date", "year", "age")
+    first = F.when(edge_kind & (v0 == F.col("m")), int_floor(v0)).otherwise(v0)
+    if amin is not None:
+        first = F.when((k == "age") & (v0 <= F.lit(amin)), F.lit(amin)).otherwise(first)
+    j = (
+        x.where((k != "coded") & ~(k.isin(NUMERIC_KINDS) & v0.isNull()))
+        .join(F.broadcast(stats), "col", "left")
+        .withColumn("_p1", first)
+        .withColumn("_m2", F.when(k == "age", F.col("a_m2")).otherwise(F.col("e_m2")))
     )
+    p1 = F.col("_p1")
+    edged = F.when(edge_kind & (p1 == F.col("_m2")), int_ceil(p1)).otherwise(p1)
+    if amax is not None and astep is not None:
+        edged = F.when((k == "age") & (p1 >= F.lit(amax - astep)), F.lit(amax - astep)).otherwise(edged)
+    numeric = k.isin(NUMERIC_KINDS)
+    raw_int = F.trim(F.col("raw")).cast("long")
+    raw_dec = floor1(F.col("_num"))
     cols = ["case", "col", "varname", "role", "kind", "item_id"]
     plain = j.select(
         *cols,
-        F.when(k.isin(NUMERIC_KINDS), edged.cast("string")).when(k == "raw", raw_name).alias("name"),
+        F.when(numeric, edged.cast("string"))
+        .when(F.col("_isint"), raw_int.cast("string"))
+        .when(F.col("_num").isNotNull(), raw_dec.cast("string"))
+        .otherwise(clean_text(F.col("raw"))).alias("name"),
         F.lit(None).cast("int").alias("order"),
         F.lit(False).alias("categorical"),
+        F.when(numeric, edged.cast("double"))
+        .when(F.col("_isint"), raw_int.cast("double"))
+        .when(F.col("_num").isNotNull(), raw_dec.cast("double")).alias("num"),
     )
     coded = x.where(k == "coded").join(resolved, ["col", "raw"], "left").select(
         *cols, F.col("c_name").alias("name"), F.col("c_order").cast("int").alias("order"),
-        F.coalesce(F.col("c_cat"), F.lit(False)).alias("categorical"),
+        F.coalesce(F.col("c_cat"), F.lit(False)).alias("categorical"), to_double(F.col("c_name")).alias("num"),
     )
-    out = plain.unionByName(coded).where(F.col("name").isNotNull())
-    return out.withColumn("num", to_double(F.col("name")))
+    return plain.unionByName(coded)
 
 
 def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, materialize: bool = True) -> Store:
@@ -274,11 +306,12 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
         ["case"], columns, "col", "raw"
     )
     long = drop_missing(long, "raw")
+    cells = parse_cells(long, rules)
     if materialize:
-        # the unpivoted cells feed the normalisation and its two side tables: compute them once
-        long = cut_lineage(long, "cells")
+        # the parsed cells feed the normalisation and its two side tables: compute them once, as stored columns
+        cells = cut_lineage(cells, "cells")
     options = K.value_options(d)
-    norm = normalize(long, rules, options, cfg)
+    norm = normalize_parsed(cells, options, cfg)
     if materialize:
         norm = cut_lineage(norm, "eav")
     vid = value_id(F.col("varname"), F.col("name"))
