@@ -67,10 +67,15 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cohort as the loader expects it: one row per subject, every column text, names as in DICTIONARY."""
+    """The cohort as the loader expects it: one row per subject, every column text, names as in DICTIONARY.
+
+    Orders are hash-partitioned by key first: that is the partitioning the join with the per-order line
+    aggregates needs at scale (so it is reused there), and it spreads the unpivot and parsing of the loader over
+    all cores even when the orders input is one small file.
+    """
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
+    ).repartition(F.col("o_orderkey"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     lines = _order_lines(spark, sf_dir)
     j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").join(c, o.o_custkey == c.c_custkey, "left")
