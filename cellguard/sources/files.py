@@ -161,9 +161,9 @@ def save_store_tables(store, prefix: str, buckets: int, mode: str = "overwrite")
     for name, df in store.tables().items():
         w = df.write.mode(mode).format("parquet")
         if name == "variable":
-            w = w.partitionBy("item").bucketBy(buckets, "case").sortBy("case")
+            w = w.partitionBy("item").bucketBy(buckets, "case")
         elif name == "subjects":
-            w = w.bucketBy(buckets, "case").sortBy("case")
+            w = w.bucketBy(buckets, "case")
         w.saveAsTable(f"{prefix}_{name}")
 
 
