@@ -39,6 +39,7 @@ MISSING = [
 ]
 
 ROLES = ["age_bl", "age_fu", "gender", "enrollment", "followup_years"]
+UNSEEN_ORDER_BASE = 123  # fixed value: an unseen label of a variable without codes gets order 124, 125, ...
 NUMERIC_KINDS = ["date", "date_int", "age", "year", "int_only"]
 
 
@@ -185,7 +186,7 @@ def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
     m_order = F.coalesce(F.col("e.o"), F.col("l.o"), F.col("r.o"))
     unseen = m_name.isNull() & F.col("key").isNull()
     w = Window.partitionBy("col", unseen).orderBy("raw")
-    n_order = F.when(unseen, F.floor(F.coalesce(F.col("top"), F.lit(123.0))) + F.row_number().over(w))
+    n_order = F.when(unseen, F.floor(F.coalesce(F.col("top"), F.lit(float(UNSEEN_ORDER_BASE)))) + F.row_number().over(w))
     name = F.coalesce(m_name, F.when(F.col("key").isNotNull(), typed_name(F.col("raw"))), clean_text(F.col("raw")))
     return best.select(
         "col", "raw", name.alias("name"), F.coalesce(m_order, n_order).cast("int").alias("order"),

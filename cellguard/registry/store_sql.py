@@ -7,7 +7,7 @@ functions, so it is an independent restatement of the load rules, not a copy of
 from __future__ import annotations
 
 from ..config import LoadConfig
-from ..plans.load import MISSING
+from ..plans.load import MISSING, UNSEEN_ORDER_BASE
 from ..sources import testdata as T
 
 WIDE_COLS = [
@@ -225,7 +225,7 @@ _res AS (
 ),
 _unseen AS (
   SELECT u.col, u.raw,
-         CAST(floor(coalesce(t.top, 123.0)) + row_number() OVER (PARTITION BY u.col ORDER BY u.raw) AS INTEGER) AS n_order
+         CAST(floor(coalesce(t.top, {float(UNSEEN_ORDER_BASE)})) + row_number() OVER (PARTITION BY u.col ORDER BY u.raw) AS INTEGER) AS n_order
   FROM _res u LEFT JOIN _top t ON t.name = u.varname WHERE u.m_name IS NULL AND u.key IS NULL
 ),
 resolved AS (
