@@ -30,6 +30,26 @@ def returning_visits(spark, sf):
     return mark_returning(e, "user_id", "ts", "event_id")
 
 
+def returning_visits_stream(spark, sf):
+    """R1 as a Structured Streaming job over the events table: run to completion (availableNow) into parquet in
+    the checkpoint folder (state and progress checkpointed beside it), then read the output back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.visits import mark_returning_stream
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/visits-stream-{uuid.uuid4().hex}"
+    src = table(spark, sf, "events")
+    # a file stream reads a folder: take the events file from the tables folder
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    q = (mark_returning_stream(stream.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id")
+         .writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        F.col("id").alias("event_id"), F.col("key").alias("user_id"), "returning", "first_token")
+
+
 def synth(spark, sf):
     return synth_cohort(table(spark, sf, "orders").select(F.col("o_orderkey").alias("case")), seed=7)
 
@@ -56,6 +76,7 @@ QUERIES = {
     "consecutive_groups": event_runs,
     "consecutive_groups_split": event_runs_bucketed,
     "returning_visits": returning_visits,
+    "returning_visits_stream": returning_visits_stream,
     "synth_cohort": synth,
     "scalar_rounding": scalar_rounding,
 }
@@ -81,6 +102,10 @@ SQL = {
     "consecutive_groups_split": _RUNS,
     "returning_visits": """SELECT e.event_id, e.user_id, e.ts, (e.ts, e.event_id) > (f.ts, f.event_id) AS returning,
   f.event_id AS first_token
+FROM events e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id
+                    FROM events GROUP BY user_id) f ON f.user_id = e.user_id""",
+    "returning_visits_stream": """SELECT e.event_id, e.user_id, (e.ts, e.event_id) > (f.ts, f.event_id) AS returning,
+  f.event_id AS first_token
 FROM events e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id
                     FROM events GROUP BY user_id) f ON f.user_id = e.user_id""",
     "scalar_rounding": f"""SELECT l_quantity AS x,
