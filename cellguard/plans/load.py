@@ -39,6 +39,7 @@ MISSING = [
 ]
 
 ROLES = ["age_bl", "age_fu", "gender", "enrollment", "followup_years"]
+MARKER = "__row"
 UNSEEN_ORDER_BASE = 123  # fixed value: an unseen label of a variable without codes gets order 124, 125, ...
 NUMERIC_KINDS = ["date", "date_int", "age", "year", "int_only"]
 
@@ -303,16 +304,18 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
         columns = dm + [c for c in cfg.target_columns if c not in dm and c in columns]
     d = prepare_dictionary(dictionary, cfg)
     rules = column_rules(spark, columns, d, cfg)
-    long = cohort.select(F.col("__case").alias("case"), *[F.col(c).cast("string") for c in columns]).unpivot(
-        ["case"], columns, "col", "raw"
-    )
+    # one marker cell per row carries every case into the materialised cells, so the subject table needs no
+    # second pass over the cohort input for subjects whose cells are all missing
+    marker = spark.createDataFrame([(len(columns), MARKER, MARKER, None, "marker", None, None)], rules.schema)
+    long = cohort.select(F.col("__case").alias("case"), F.lit("1").alias(MARKER),
+                         *[F.col(c).cast("string") for c in columns]).unpivot(["case"], [MARKER, *columns], "col", "raw")
     long = drop_missing(long, "raw")
-    cells = parse_cells(long, rules)
+    cells = parse_cells(long, rules.unionByName(marker))
     if materialize:
         # the parsed cells feed the normalisation and its two side tables: compute them once, as stored columns
         cells = cut_lineage(cells, "cells")
     options = K.value_options(d)
-    norm = normalize_parsed(cells, options, cfg)
+    norm = normalize_parsed(cells.where(F.col("kind") != "marker"), options, cfg)
     if materialize:
         norm = cut_lineage(norm, "eav")
     vid = value_id(F.col("varname"), F.col("name"))
@@ -323,7 +326,7 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     values = _values(norm, options, rules)
     items = _items(spark, norm, d, rules, values, cfg)
     category = _categories(d)
-    subjects = _subjects(cohort.select(F.col("__case").alias("case")), norm, cfg)
+    subjects = _subjects(cells.where(F.col("kind") == "marker").select("case"), norm, cfg)
     return Store(variable, values, items, category, subjects)
 
 
