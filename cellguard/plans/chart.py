@@ -198,46 +198,45 @@ def filter_chart(
 ) -> ChartResult:
     """Q1. ``selected`` is DataFrame[case] from ``operators.filters.select_cases`` (None = no filter).
 
-    ``precomputed`` (from ``plans.precompute.read_precomputed``, written with the same ``cfg``) supplies the
-    population and the un-jittered / zeroed answers over everyone, as the reference serves them: then no filter
-    reads only those files, and a filtered chart computes only the selected cells.
+    With a selection, the two totals of the materialised cell table (selected subjects, population) are read as
+    one row to choose the reference's shortcut, so only the plan of the chosen answer is built: the filtered
+    chart, the un-jittered chart over everyone (the selection covers the population) or its zeroed copy (empty
+    selection). ``precomputed`` (from ``plans.precompute.read_precomputed``, written with the same ``cfg``)
+    supplies the population and the answers over everyone, as the reference serves them.
     """
-    if precomputed is not None:
-        population = precomputed["population"]
-        base_counts, base_bl, base_fu = (precomputed[f"chart_{n}"] for n in ("subject_counts", "age_bl", "age_fu"))
-        zero_counts, zero_bl, zero_fu = (precomputed[f"null_{n}"] for n in ("subject_counts", "age_bl", "age_fu"))
-        if selected is None:
-            return ChartResult(base_counts, base_bl, base_fu)
+    if precomputed is not None and selected is None:
+        return ChartResult(*(precomputed[f"chart_{n}"] for n in ("subject_counts", "age_bl", "age_fu")))
     if cells is None:
         # the cell table is small (bounded by labels x bins^2) and feeds every branch below: materialise it once
         cells = cut_lineage(cell_table(subjects, cfg, selected), "cells")
-    if precomputed is None:
+    spark = cells.sparkSession
+
+    def over_everyone() -> tuple[ChartResult, DataFrame]:
+        if precomputed is not None:
+            pre = ChartResult(*(precomputed[f"chart_{n}"] for n in ("subject_counts", "age_bl", "age_fu")))
+            return pre, precomputed["population"]
         everyone = cells.groupBy("sex", "enrollment", "bl_bin", "fu_bin").agg(
             F.sum("n").alias("n"), F.sum("fsum").alias("fsum"), F.sum("fcnt").alias("fcnt")
         )
         population = everyone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("population"))
         base = chart_parts(everyone, cfg, jitter=False)
-        base_counts = subject_counts(base, population, cfg)
-        base_bl, base_fu = _matrix_out(base["bl"]), _matrix_out(base["fu"])
-        if selected is None:
-            return ChartResult(base_counts, base_bl, base_fu)
-        zero_counts, zero_bl, zero_fu = _zeroed(base_counts), _zeroed(base_bl), _zeroed(base_fu)
-    sel_cells = cells.where("sel").drop("sel")
-    n_sel = sel_cells.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    pop = population.select("population").scalar()
-    mode = F.when(n_sel == 0, F.lit("empty")).when(n_sel >= pop, F.lit("all")).otherwise(F.lit("filtered"))
-    parts = chart_parts(sel_cells, cfg, jitter=jitter)
-    f_counts = subject_counts(parts, population, cfg)
-    f_bl, f_fu = _matrix_out(parts["bl"]), _matrix_out(parts["fu"])
+        return ChartResult(subject_counts(base, population, cfg), _matrix_out(base["bl"]),
+                           _matrix_out(base["fu"])), population
 
-    def pick(filtered: DataFrame, full: DataFrame, zero: DataFrame) -> DataFrame:
-        def when(df: DataFrame, m: str) -> DataFrame:
-            return df.where(mode == F.lit(m))
-
-        return when(filtered, "filtered").unionByName(when(full, "all")).unionByName(when(zero, "empty"))
-
-    return ChartResult(pick(f_counts, base_counts, zero_counts), pick(f_bl, base_bl, zero_bl),
-                       pick(f_fu, base_fu, zero_fu))
+    if selected is None:
+        return over_everyone()[0]
+    totals = cells.agg(
+        F.coalesce(F.sum(F.when(F.col("sel"), F.col("n"))), F.lit(0)).alias("n_sel"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("population"),
+    ).first()
+    if totals.n_sel == 0 or totals.n_sel >= totals.population:
+        full, _ = over_everyone()
+        if totals.n_sel == 0:
+            return ChartResult(_zeroed(full.subject_counts), _zeroed(full.age_bl), _zeroed(full.age_fu))
+        return full
+    population = spark.range(1).select(F.lit(totals.population).cast("long").alias("population"))
+    parts = chart_parts(cells.where("sel").drop("sel"), cfg, jitter=jitter)
+    return ChartResult(subject_counts(parts, population, cfg), _matrix_out(parts["bl"]), _matrix_out(parts["fu"]))
 
 
 def pivot_chart(m: DataFrame, labels: list[str]) -> DataFrame:
