@@ -323,18 +323,29 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     variable = norm.where(F.col("item_id").isNotNull()).select(
         "case", F.col("item_id").alias("item"), vid.alias("value")
     )
-    values = _values(norm, options, rules)
-    items = _items(spark, norm, d, rules, values, cfg)
+    dv = distinct_values(norm)
+    if materialize:
+        dv = cut_lineage(dv, "values")
+    values = _values(dv, options, rules)
+    items = _items(spark, dv, d, rules, values, cfg)
     category = _categories(d)
     subjects = _subjects(cells.where(F.col("kind") == "marker").select("case"), norm, cfg)
     return Store(variable, values, items, category, subjects)
 
 
-def _values(norm: DataFrame, options: DataFrame, rules: DataFrame) -> DataFrame:
-    """Value table: every value seen in the data plus every dictionary option of a loaded coded column."""
-    seen = norm.where(F.col("item_id").isNotNull()).groupBy("varname", "item_id", "name").agg(
-        F.min("order").alias("order")
+def distinct_values(norm: DataFrame) -> DataFrame:
+    """One row per (variable, item, value name) seen in the data, with its order, number and kind.
+
+    The value table and the item metadata both read this table, so the normalised rows are aggregated once
+    (partial aggregation map-side: a hot value costs one row per task)."""
+    return norm.where(F.col("item_id").isNotNull()).groupBy("varname", "item_id", "name").agg(
+        F.min("order").alias("order"), F.first("num").alias("num"), F.bool_or("categorical").alias("categorical")
     )
+
+
+def _values(dv: DataFrame, options: DataFrame, rules: DataFrame) -> DataFrame:
+    """Value table: every value seen in the data plus every dictionary option of a loaded coded column."""
+    seen = dv.select("varname", "item_id", "name", "order")
     opts = options.join(
         F.broadcast(rules.where(F.col("kind") == "coded").select("varname", "item_id")),
         options.name == F.col("varname"),
@@ -350,15 +361,18 @@ def _values(norm: DataFrame, options: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _items(spark, norm: DataFrame, d: DataFrame, rules: DataFrame, values: DataFrame, cfg: LoadConfig) -> DataFrame:
-    """Per item a numeric range (fixed for date/age/year columns, inferred A13 otherwise) or a value list."""
-    per = norm.where(F.col("item_id").isNotNull())
+def _items(spark, dv: DataFrame, d: DataFrame, rules: DataFrame, values: DataFrame, cfg: LoadConfig) -> DataFrame:
+    """Per item a numeric range (fixed for date/age/year columns, inferred A13 otherwise) or a value list.
+
+    Reads the distinct values (one row per item and value name), never the normalised rows."""
+    per = dv
     kinds = rules.where(F.col("item_id").isNotNull() & (F.col("kind") != "excluded")).select("item_id", "kind")
     stats = per.groupBy("item_id").agg(
         F.min("num").alias("vmin"),
         F.max("num").alias("vmax"),
         F.count_if(F.col("num").isNull()).alias("n_text"),
         F.bool_or("categorical").alias("any_cat"),
+        F.count("name").alias("n_vals"),
     )
     inferred = infer_ranges(
         per.select(F.col("item_id"), F.col("num").alias("v")), key="item_id", v="v"
@@ -374,10 +388,10 @@ def _items(spark, norm: DataFrame, d: DataFrame, rules: DataFrame, values: DataF
     f_step = F.when(k == "age", astep).otherwise(F.lit(5.0))
     valid_range = (F.col("n_text") == 0) & ~F.col("any_cat")
     has_range = fixed | (valid_range & F.col("i_start").isNotNull())
-    n_vals = per.select("item_id", "name").distinct().groupBy("item_id").agg(F.count("name").alias("n_vals"))
+    short = stats.where(F.col("n_vals") <= cfg.max_value_list).select("item_id")
     listed = (
-        values.join(n_vals.where(F.col("n_vals") <= cfg.max_value_list), F.col("item") == F.col("item_id"))
-        .join(per.select(F.col("item_id").alias("item"), "name").distinct(), ["item", "name"], "left_semi")
+        values.join(short, F.col("item") == F.col("item_id"))
+        .join(per.select(F.col("item_id").alias("item"), "name"), ["item", "name"], "left_semi")
         .groupBy("item_id")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("order", F.lit(1 << 30)), "name", "id"))).alias("vl"))
         .select("item_id", F.transform("vl", lambda s: s["id"]).alias("values"))
