@@ -126,31 +126,6 @@ def column_rules(spark, columns: list[str], dictionary: DataFrame, cfg: LoadConf
     return r.select("pos", "col", "varname", "role", kind.alias("kind"), "item_id", "coded")
 
 
-def _edge(v: Column, m: Column, mx: Column) -> Column:
-    """The column minimum floored to 5, then the (new) maximum ceiled to 5."""
-    return _edge_from_floored(F.when(v == m, int_floor(v)).otherwise(v), m, mx)
-
-
-def _edge_from_floored(floored: Column, m: Column, mx: Column) -> Column:
-    """W5 second half: given the value with the minimum already floored, ceil the new maximum."""
-    m2 = F.when(mx == m, int_floor(m)).otherwise(mx)
-    return F.when(floored == m2, int_ceil(floored)).otherwise(floored)
-
-
-def _edge_age(v: Column, m: Column, mx: Column, amin, amax, astep) -> Column:
-    """W5, age variant: ages at or under age_min become age_min, at or over (age_max - step) become that."""
-    if amin is not None:
-        p1 = F.when(v <= F.lit(amin), F.lit(amin)).when(v == m, int_floor(v)).otherwise(v)
-        m2 = F.when(mx <= F.lit(amin), F.lit(amin)).when(mx == m, int_floor(m)).otherwise(mx)
-    else:
-        p1 = F.when(v == m, int_floor(v)).otherwise(v)
-        m2 = F.when(mx == m, int_floor(m)).otherwise(mx)
-    if amax is not None and astep is not None:
-        top = amax - astep
-        return F.when(p1 >= F.lit(top), F.lit(top)).when(p1 == m2, int_ceil(p1)).otherwise(p1)
-    return F.when(p1 == m2, int_ceil(p1)).otherwise(p1)
-
-
 def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
     """J5 + J6 + W7 on distinct (col, raw) of coded columns -> (col, raw, name, order, categorical).
 
