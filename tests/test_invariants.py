@@ -109,3 +109,16 @@ def _group(rows):
     for k, v in rows:
         out.setdefault(k, []).append(float(v))
     return out
+
+
+def test_load_independent_of_partition_count(spark):
+    def snapshot():
+        st = RS.store(spark, SF_SMALL)
+        return {n: sorted(map(str, getattr(st, n).collect())) for n in ("value", "item", "subjects")}
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        one = snapshot()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert one == snapshot()
