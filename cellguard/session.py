@@ -40,15 +40,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session; set a scratch one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS, object store); it is read, never
-    overridden. Only an unset value (local runs, tests) falls back to a fresh folder.
+    overridden. Only an unset value (local runs, tests) falls back to a fresh folder. Recording the fallback in the
+    session is best effort: ``cut_lineage`` only needs the returned path.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        try:
+            current = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - sessions without a SparkContext handle (e.g. Spark Connect)
+            current = None
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="cellguard-ckpt-", dir=os.environ.get("CELLGUARD_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    for record in (lambda: spark.conf.set("spark.checkpoint.dir", path),
+                   lambda: spark.sparkContext.setCheckpointDir(path)):
+        try:
+            record()
+        except Exception:  # noqa: BLE001 - a session may refuse to change core settings at run time
+            pass
     return path
 
 
