@@ -83,10 +83,12 @@ def send(held: DataFrame, ask: Callable[[tuple, list], dict[int, object]], answe
 
         return held.select("block", "data").mapInPandas(scan, SENT)
 
+    rounds = len(answers)
+
     def one(key, block: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for data in block["data"]:
-            asked = ask(unpack(data), by_round(back, len(answers)))
+            asked = ask(unpack(data), by_round(back, rounds))
             frames.append(pd.DataFrame({"part": list(asked), "block": key[0], "sent": [pack(x) for x in asked.values()]}))
         return pd.concat(frames) if frames else pd.DataFrame({"part": [], "block": [], "sent": []})
 
@@ -104,7 +106,7 @@ def with_answers(held: DataFrame, answers: list[DataFrame], one: Callable, schem
     """``one(key, block rows, answer rows)`` for each block with the answers of all rounds."""
     back = None
     for r, a in enumerate(answers):
-        a = a.select("block", "part", "answer", F.lit(r).alias("round"))
+        a = a.where(f"block <> {OWN}").select("block", "part", "answer", F.lit(r).alias("round"))
         back = a if back is None else back.unionByName(a)
     return held.select("block", "data").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(one, schema)
 
@@ -117,7 +119,8 @@ def answer(sent: DataFrame, merge: Callable[[list], tuple[list, pd.DataFrame | N
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found, known = merge([unpack(x) for x in rows["sent"]])
-        out = pd.DataFrame({"block": rows["block"], "part": rows["part"], "answer": [pack(x) for x in found]})
+        to = rows.iloc[:len(found)]  # a merge that answers no block returns no list
+        out = pd.DataFrame({"block": to["block"], "part": to["part"], "answer": [pack(x) for x in found]})
         if known is not None:
             own = pd.DataFrame({"block": [OWN], "part": rows["part"][:1].tolist(), "answer": [pack(known)]})
             out = pd.concat([out, own], ignore_index=True)
