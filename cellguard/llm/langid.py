@@ -169,22 +169,38 @@ def fit(labelled: DataFrame) -> LanguageModel | None:
     return LanguageModel(languages, code, plain.weights, scale, right / right.sum(axis=1, keepdims=True))
 
 
+def decide(texts: list[str | None], model: LanguageModel | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, ambiguous) of each text."""
+    known = np.array([has_letter(t) for t in texts], bool)
+    if model is None or not len(texts):
+        none = np.zeros(len(texts))
+        return [UNKNOWN] * len(texts), none, none == 0
+    best, score, unsure = model.decode(model.margins(texts))
+    names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+    return names, np.where(known, score, 0.0), unsure | ~known
+
+
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) for each row of docs (doc_id, text)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            known = np.array([has_letter(t) for t in texts], bool)
-            if model is None or not len(texts):
-                known[:] = False
-                best, score, unsure = np.zeros(len(texts), int), np.zeros(len(texts)), known
-            else:
-                best, score, unsure = model.decode(model.margins(texts))
-            names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+            names, score, unsure = decide(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)),
-                 pa.array(unsure | ~known)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(unsure)],
+                names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         label, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_recognised(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language that is not in doubt."""
+    at = docs.columns.index("text")
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, unsure = decide(batch.column(at).to_pylist(), model)
+            yield batch.filter(pa.array(~unsure))
+
+    return docs.mapInArrow(sieve, docs.schema)

@@ -127,6 +127,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark window."""
+    bad = contamination(docs, benchmark, width).where("contaminated").select("doc_id", "text_key").distinct()
+    bad = cut_lineage(bad, "contaminated").alias("b")
+    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    same = (F.col("d._key") == F.col("b.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
+    return own.join(bad, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, width: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, phrase, start): the two rarest terms of a window stand within ``slack`` of their distance."""
     phrases, _ = windows(benchmark, width)

@@ -60,15 +60,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed LONG."""
+    """(doc_id, text_key, fp): text_key hashes the text, fp is the fingerprint's 64 bits as a signed LONG."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        scan, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(
+        scan, "doc_id long, text_key long, fp long")
 
 
 def block_keys(bits: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -162,14 +164,37 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return placed.select("task", "fp", "table").mapInPandas(compare, "a long, b long")
 
 
+def rooted(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """(doc_id, text_key, fp, root): root is one fingerprint of the component, the same for all its rows."""
+    prints = cut_lineage(fingerprints(docs, words), "prints")
+    distinct = cut_lineage(prints.select("fp").distinct(), "distinct")
+    roots = cut_lineage(components(links(distinct, bits)).where("node <> root"), "roots")
+    named = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return named.select("doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
-    prints = cut_lineage(fingerprints(docs, words), "prints")
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), bits))
-    grouped = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    grouped = grouped.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(grouped.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(
+    rows = cut_lineage(rooted(docs, words, bits), "rooted")
+    least = cut_lineage(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return rows.join(least, "root").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, that come first in their component: by doc_id (null last), then text.
+
+    Of rows with equal doc_id and text the least in all columns stays.
+    """
+    rows = rooted(docs, words, bits)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+                                     .alias("f"), F.count(F.lit(1)).alias("n")).select("f.*", "n")
+    first = cut_lineage(first.drop("none"), "first").alias("f")
+    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    same = (F.col("d._key") == F.col("f.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))
+    cols = [F.col(f"d.`{c}`") for c in docs.columns]
+    alone = own.join(first.where("n = 1"), same, "left_semi").select(*cols)
+    # groups of several rows may hold the first one twice
+    several = own.join(first.where("n > 1"), same).groupBy("f.text_key", "f.doc_id").agg(
+        F.min(F.struct(*cols)).alias("row")).select("row.*")
+    return alone.unionByName(several)
