@@ -205,7 +205,7 @@ def read_bundles(spark, path: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=READ.names, dtype=object)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     return files.select("path", "content").mapInPandas(records, READ)
 
 

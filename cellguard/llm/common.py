@@ -37,14 +37,14 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     interchangeable. The only table that meets in one task has one row per partition.
     """
     laid = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-            .withColumn("_at", F.monotonically_increasing_id()))
-    frozen = cut_lineage(laid, "rank").withColumn("_part", F.shiftright("_at", 33))
-    sizes = frozen.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return (frozen.join(starts, "_part")
-            .withColumn(name, F.col("_start") + position).drop("_part", "_start", "_at"))
+            .withColumn("__at", F.monotonically_increasing_id()))
+    frozen = cut_lineage(laid, "rank").withColumn("__part", F.shiftright("__at", 33))
+    sizes = frozen.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    position = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (frozen.join(starts, "__part")
+            .withColumn(name, F.col("__start") + position).drop("__part", "__start", "__at"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

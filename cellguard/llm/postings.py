@@ -131,8 +131,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIN
     """The rows of ``docs``, all columns, that hold no benchmark window."""
     bad = contamination(docs, benchmark, width).where("contaminated").select("doc_id", "text_key").distinct()
     bad = cut_lineage(bad, "contaminated").alias("b")
-    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).alias("d")
-    same = (F.col("d._key") == F.col("b.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
+    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    same = (F.col("d.__key") == F.col("b.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id"))
     return own.join(bad, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 

@@ -190,8 +190,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
                                      .alias("f"), F.count(F.lit(1)).alias("n")).select("f.*", "n")
     first = cut_lineage(first.drop("none"), "first").alias("f")
-    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).alias("d")
-    same = (F.col("d._key") == F.col("f.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))
+    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    same = (F.col("d.__key") == F.col("f.text_key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.doc_id"))
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
     alone = own.join(first.where("n = 1"), same, "left_semi").select(*cols)
     # groups of several rows may hold the first one twice

@@ -122,9 +122,12 @@ def ask_grams(block: tuple, parts: int) -> dict:
 
 def merge_grams(asked: list[np.ndarray]) -> tuple[list[np.ndarray], None]:
     """For each question, as bits, which of its hashes another block sent too."""
-    values, counts = np.unique(np.concatenate(asked), return_counts=True)
-    twice = values[counts > 1]
-    return [np.packbits(np.isin(a, twice)) for a in asked], None
+    values = np.concatenate(asked)
+    order = np.argsort(values)
+    same = np.diff(values[order]) == 0
+    twice = np.zeros(len(values), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return [np.packbits(t) for t in np.split(twice, np.cumsum([len(a) for a in asked])[:-1])], None
 
 
 def chosen_stretches(block: tuple, told: dict, parts: int) -> tuple[Stretches, np.ndarray]:
@@ -137,18 +140,18 @@ def chosen_stretches(block: tuple, told: dict, parts: int) -> tuple[Stretches, n
 
 
 def dealt_contents(block: tuple, told: dict, gram_parts: int, parts: int):
-    """(stretches, chosen, number of each chosen's content, [(part, numbers of its contents)], contents, ids)."""
+    """(stretches, chosen, number of each chosen's content, [(part, numbers of its contents)], contents, ids, hashes)."""
     found, chosen = chosen_stretches(block, told, gram_parts)
     texts, number, least = found.contents(chosen)
     first = np.full(len(texts), len(number))
     np.minimum.at(first, number, np.arange(len(number)))
     hashes = found.hash[chosen[first]] if len(texts) else np.zeros(0, np.uint64)
-    return found, chosen, number, list(B.split_by(part_of(hashes, parts))), texts, least
+    return found, chosen, number, list(B.split_by(part_of(hashes, parts))), texts, least, hashes.astype(np.uint32)
 
 
 def ask_stretches(block: tuple, told: list[dict], gram_parts: int, parts: int) -> dict:
-    _, _, _, dealt, texts, least = dealt_contents(block, told[0], gram_parts, parts)
-    return {p: ([texts[i] for i in own], least[own]) for p, own in dealt}
+    _, _, _, dealt, texts, least, hashes = dealt_contents(block, told[0], gram_parts, parts)
+    return {p: ([texts[i] for i in own], least[own], hashes[own]) for p, own in dealt}
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,13 +247,22 @@ def shard_windows(texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def merge_stretches(asked: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], None]:
-    """For each question: the smallest document of each stretch, and the windows that start in a smaller one, as bits."""
+    """For each question: the smallest document of each stretch, and the windows that start in a smaller one, as bits.
+
+    A stretch that is the only one with its gram (interior of a copy) shares windows with no other and is done; the
+    others go through suffix arrays.
+    """
     seen: dict[bytes, int] = {}
-    numbers = [np.array([seen.setdefault(t, len(seen)) for t in texts], np.int64) for texts, _ in asked]
-    least = np.full(len(seen), LAST)
-    for number, (_, ids) in zip(numbers, asked):
-        np.minimum.at(least, number, ids)
-    texts = list(seen)
+    numbers = [np.array([seen.setdefault(t, len(seen)) for t in a[0]], np.int64) for a in asked]
+    all_least = np.full(len(seen), LAST)
+    gram = np.zeros(len(seen), np.uint32)
+    for number, (_, ids, hashes) in zip(numbers, asked):
+        np.minimum.at(all_least, number, ids)
+        gram[number] = hashes
+    _, at, held = np.unique(gram, return_inverse=True, return_counts=True)
+    several = np.nonzero(held[at] > 1)[0] if len(gram) else at
+    all_texts = list(seen)
+    texts, least = [all_texts[i] for i in several.tolist()], all_least[several]
     edges = np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(SHARD, SHARD * 100_000, SHARD))
     edges = np.unique(np.concatenate(([0], edges[edges < len(texts)], [len(texts)])))
     shards = []
@@ -269,7 +281,9 @@ def merge_stretches(asked: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[t
         text, offset = where // 64, (where % 64).astype(np.uint64)
         earlier = low[group] < least[text]
         np.bitwise_or.at(bits, text[earlier], np.uint64(1) << offset[earlier])
-    return [(least[number], bits[number].astype(np.uint32)) for number in numbers], None
+    all_bits = np.zeros(len(all_texts), np.uint32)
+    all_bits[several] = bits
+    return [(all_least[number], all_bits[number]) for number in numbers], None
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -306,7 +320,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         for data in block["data"]:
             told = B.by_round(back, 2)
             ids, texts = B.unpack(data)
-            seen, chosen, number, dealt, contents, _ = dealt_contents((ids, texts), told[0], gram_parts, parts)
+            seen, chosen, number, dealt, contents, _, _ = dealt_contents((ids, texts), told[0], gram_parts, parts)
             least, bits = np.zeros(len(contents), np.int64), np.zeros(len(contents), np.uint32)
             for p, own in dealt:
                 least[own], bits[own] = told[1][p]

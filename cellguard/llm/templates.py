@@ -117,15 +117,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with text rid of boilerplate lines, and n_lines (before) and n_dropped (LONG) after its columns."""
-    gone = recurring_lines(docs, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone"))
+    gone = recurring_lines(docs, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__gone"))
     gone = cut_lineage(gone, "gone").alias("g")
-    own = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string"))).alias("d")
+    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).alias("d")
     both = own.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id"))
-                    & (F.col("d._key") == F.col("g.text_key")), "left")
+                    & (F.col("d.__key") == F.col("g.text_key")), "left")
     lines = F.split(F.col("d.text").cast("string"), "\n")
     left = let(lines, lambda all_: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone")), lambda i: F.get(all_, i)), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("d.text")).otherwise(left)
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("g.__gone")), lambda i: F.get(all_, i)), "\n"))
+    text = F.when(F.col("g.__gone").isNull(), F.col("d.text")).otherwise(left)
     kept = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     return both.select(*kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+                       F.coalesce(F.size("g.__gone"), F.lit(0)).cast("long").alias("n_dropped"))
