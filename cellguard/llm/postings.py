@@ -47,18 +47,21 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"),
                         F.posexplode(F.concat(words_of(text), F.array(F.lit("")))).alias("pos", "term"))
-    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string"))
+    # written first: Spark then knows the size of the vocabulary, and whether to send it to the tokens or shuffle both
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    wanted = cut_lineage(wanted, "terms")
     return cut_lineage(keyed.join(wanted, "term", "left_semi"), "postings")
 
 
 def anchors(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """(phrase, n, offset, term, place): terms of the windows that can occur, rarest first (place 1, 2, ...)."""
+    """(phrase, n, offset, term, place): the two rarest terms (places 1 and 2) of the windows that can occur."""
     counts = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("many"))
     terms = phrases.select("phrase", "n", F.posexplode("words").alias("offset", "term")).join(counts, "term")
     own = Window.partitionBy("phrase")
     found = terms.withColumn("known", F.count(F.lit(1)).over(own)).where("known = n")
-    return found.select("phrase", "n", "offset", "term",
-                        F.row_number().over(own.orderBy("many", "offset")).alias("place"))
+    placed = found.select("phrase", "n", "offset", "term",
+                          F.row_number().over(own.orderBy("many", "offset")).alias("place")).where("place <= 2")
+    return cut_lineage(placed, "anchors")
 
 
 def moved_lists(index: DataFrame, rare: DataFrame, place: int) -> DataFrame:
