@@ -48,12 +48,18 @@ def consecutive_groups_bucketed(df: DataFrame, order: list[str], key: str, parti
         F.max("_local").alias("_n"),
     )
     pw = Window.partitionBy(*partition).orderBy("_bucket")
-    has_prev = F.lag("_bucket").over(pw).isNotNull()
+    has_prev = F.row_number().over(pw) > 1
     continues = has_prev & _eq_null_safe(F.lag("_last").over(pw), F.col("_first"))
     offs = first_last.withColumn("_adj", F.col("_n") - F.when(continues, 1).otherwise(0)).withColumn(
         "_off", F.coalesce(F.sum("_adj").over(pw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("_cont", continues).select(*partition, "_bucket", "_off", "_cont")
-    out = b.join(offs, [*partition, "_bucket"])
+    # null-safe: rows without a partition key or a bucket form groups of their own
+    keys = [*partition, "_bucket"]
+    offs = offs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_off", "_cont")
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & _eq_null_safe(F.col(c), F.col(f"_k{i}"))
+    out = b.join(offs, same).drop(*[f"_k{i}" for i in range(len(keys))])
     g = F.col("_off") + F.col("_local") - F.when(F.col("_cont"), 1).otherwise(0)
     return out.withColumn(group_col, g).drop("_bucket", "_rn", "_local_start", "_local", "_off", "_cont")
 

@@ -16,7 +16,8 @@ def mark_returning(visits: DataFrame, key: str, ts: str, id_col: str, token: str
     """Visits with ``returning`` (bool) and ``first_token`` (the token of the key's first visit, or its id)."""
     tok = token or id_col
     first = visits.groupBy(key).agg(F.min(F.struct(ts, id_col, F.col(tok).alias("_tok"))).alias("_first"))
-    j = visits.join(first, key)
+    first = first.withColumnRenamed(key, "_key")
+    j = visits.join(first, F.col(key).eqNullSafe(F.col("_key")))  # visits without a key share one
     me = F.struct(F.col(ts), F.col(id_col))
     first_key = F.struct(F.col("_first")[ts], F.col("_first")[id_col])
     return j.select(
