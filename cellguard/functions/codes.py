@@ -24,14 +24,18 @@ def base36(c: Column) -> Column:
     return F.conv(c, 36, 10).cast("long")
 
 
+#: The parts of a variable name that raise each flag (anywhere in it, so 'dosage' counts as an age).
+NAME_PARTS = {
+    "has_age": ("age",),
+    "has_age_year": ("age", "year", "yr"),
+    "has_date": ("date", "dt"),
+    "has_years": ("years", "yrs"),
+}
+
+
 def name_flags(name: str) -> dict:
-    """F16: flags from a variable name (plain substrings, so 'dosage' counts as an age)."""
-    return {
-        "has_age_year": "age" in name or "yr" in name or "year" in name,
-        "has_age": "age" in name,
-        "has_years": ("yr" in name and "yrs" in name) or ("year" in name and "years" in name),
-        "has_date": "dt" in name or "date" in name,
-    }
+    """F16: which flags a variable name raises."""
+    return {flag: any(part in name for part in parts) for flag, parts in NAME_PARTS.items()}
 
 
 def numeric_key(raw: Column) -> Column:

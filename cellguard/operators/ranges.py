@@ -22,14 +22,6 @@ def _trunc(x: Column) -> Column:
     return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
 
 
-def _round_to(val: Column, r: float, decimals: int, up: bool) -> Column:
-    """F9 on doubles: round(val - val mod r, decimals), plus r when rounding up changed the value."""
-    res = F.bround(val - F.pmod(val, F.lit(float(r))), decimals)
-    if up:
-        res = F.when(res != val, res + F.lit(float(r))).otherwise(res)
-    return res
-
-
 def _frac_zeros(x: Column) -> Column:
     """Number of '0' characters after the decimal point in the shortest text of a double."""
     s = x.cast("string")
@@ -62,52 +54,46 @@ def smallest_gaps(values: DataFrame, key: str, v: str, skip_zero: bool = True) -
 
 
 def infer_ranges(values: DataFrame, key: str = "item", v: str = "v", ideal: int = IDEAL_BUCKETS) -> DataFrame:
-    """(key, start, end, step, is_float) for keys with at least two distinct values and one usable gap."""
-    s = smallest_gaps(values, key, v).where((F.col("nvals") > 1) & F.col("gap").isNotNull())
-    lo0, mx, st0 = F.col("vmin"), F.col("vmax"), F.col("gap")
-    hi0 = F.when(F.floor(mx).cast("double") != mx, mx + F.lit(0.1)).otherwise(mx)
-    s = s.select(key, lo0.alias("lo0"), hi0.alias("hi0"), st0.alias("st0"))
-    lo0, hi0, st0 = F.col("lo0"), F.col("hi0"), F.col("st0")
-    b1 = (st0 == 1.0) & ((hi0 - lo0) > 20)
-    b2 = ~b1 & (F.abs(st0 - F.lit(0.1)) <= F.lit(1e-9) * F.greatest(F.abs(st0), F.lit(0.1)))
-    wide = (hi0 - lo0) > 10
-    s = s.select(
+    """(key, start, end, step, is_float) for keys with at least two distinct values and one usable gap.
+
+    Unit steps over more than 20 and steps of a tenth get ends on multiples of 5. If the steps then make more than
+    ``ideal`` buckets, the step becomes a multiple of twice itself that makes about ``ideal``, and the ends move
+    outwards to multiples of it.
+    """
+    gaps = smallest_gaps(values, key, v).where((F.col("nvals") > 1) & F.col("gap").isNotNull())
+    high = F.col("vmax") + F.when(F.floor("vmax") != F.col("vmax"), F.lit(0.1)).otherwise(F.lit(0.0))
+    gaps = gaps.select(key, "gap", F.col("vmin").alias("low"), high.alias("high"))
+    low, high, gap = F.col("low"), F.col("high"), F.col("gap")
+    units = (gap == 1.0) & (high - low > 20)
+    tenths = ~units & (F.abs(gap - 0.1) <= 1e-9 * F.greatest(F.abs(gap), F.lit(0.1)))
+    fives = units | tenths
+    ends = gaps.select(
         key,
-        F.when(b1, _round_to(lo0, 5, 0, False)).when(b2, _trunc(_round_to(lo0, 5, 1, False))).otherwise(lo0)
-        .alias("lo"),
-        F.when(b1, _round_to(hi0, 5, 0, True)).when(b2, _trunc(_round_to(hi0, 5, 1, True))).otherwise(hi0)
-        .alias("hi"),
-        F.when(b1, F.lit(5.0)).when(b2, F.when(wide, F.lit(1.0)).otherwise(F.lit(0.1))).otherwise(st0).alias("st"),
-        (~b2).alias("lo_f"),
-        F.when(b1, F.lit(False)).when(b2, ~wide).otherwise(F.lit(True)).alias("st_f"),
+        F.when(fives, F.floor(low / 5) * 5.0).otherwise(low).alias("low"),
+        F.when(fives, F.ceil(high / 5) * 5.0).otherwise(high).alias("high"),
+        F.when(units, 5.0).when(tenths & (high - low > 10), 1.0).when(tenths, 0.1).otherwise(gap).alias("step"),
+        (~tenths).alias("ends_float"),
+        F.when(fives, tenths & (high - low <= 10)).otherwise(True).alias("step_float"),
     )
-    lo, hi, st = F.col("lo"), F.col("hi"), F.col("st")
-    cr = st * 2
-    segments = (hi - lo) / st
-    cr_i = _trunc(cr)
-    z = (_frac_zeros(st) + 1).cast("double") * 10
-    r_int_big = _trunc(_ceil((hi - lo) / F.lit(float(ideal)) / cr_i) * cr_i)
-    r_small = _trunc(_ceil((hi * z - lo * z) / F.lit(float(ideal)) / (cr * z)) * cr * z) / z
-    r_int = _trunc(_ceil((hi - lo) / F.lit(float(ideal)) / cr) * cr)
-    rounded = F.when(F.col("st_f"), F.when(cr > 1, r_int_big).otherwise(r_small)).otherwise(r_int)
-    r_f = F.col("st_f") & ~(cr > 1)
-    s = s.select("*", rounded.alias("r"), r_f.alias("r_f"), (segments > ideal).alias("seg"))
-    r = F.col("r")
-    nmin0 = _ceil(lo / r) * r
-    nmin = F.when(nmin0 > lo, _ceil((lo - r) / r) * r).otherwise(nmin0)
-    nmax = _ceil(hi / r) * r
-    seg = F.col("seg")
-    start = F.when(seg, nmin).otherwise(lo)
-    end = F.when(seg, nmax).otherwise(hi)
-    step = F.when(seg, r).otherwise(st)
-    is_float = F.when(seg, F.col("r_f")).otherwise(F.col("lo_f"))
-    return s.select(
+    low, high, step = F.col("low"), F.col("high"), F.col("step")
+    small = F.col("step_float") & (step * 2 <= 1)
+    coarse = F.when(F.col("step_float") & ~small, _trunc(step * 2)).otherwise(step * 2)
+    scale = F.when(small, (_frac_zeros(step) + 1).cast("double") * 10).otherwise(F.lit(1.0))
+    times = _ceil((high * scale - low * scale) / float(ideal) / (coarse * scale))
+    wide = ends.withColumn("many", (high - low) / step > ideal).withColumn(
+        "wider", _trunc(times * coarse * scale) / scale).withColumn("wider_float", small)
+    many, wider = F.col("many"), F.col("wider")
+    out = wide.select(
         key,
-        F.when(is_float, _trunc(start * 10) / 10).otherwise(_trunc(start)).alias("start"),
-        F.when(is_float, _trunc(end * 10) / 10).otherwise(_trunc(end)).alias("end"),
-        F.when(is_float, _trunc(step * 10) / 10).otherwise(step).alias("step"),
-        is_float.alias("is_float"),
+        F.when(many, F.floor(low / wider) * wider).otherwise(low).alias("start"),
+        F.when(many, F.ceil(high / wider) * wider).otherwise(high).alias("end"),
+        F.when(many, wider).otherwise(step).alias("step"),
+        F.when(many, F.col("wider_float")).otherwise(F.col("ends_float")).alias("is_float"),
     )
+    shown = {c: F.when(F.col("is_float"), _trunc(F.col(c) * 10) / 10) for c in ("start", "end", "step")}
+    return out.select(key, shown["start"].otherwise(_trunc(F.col("start"))).alias("start"),
+                      shown["end"].otherwise(_trunc(F.col("end"))).alias("end"),
+                      shown["step"].otherwise(F.col("step")).alias("step"), "is_float")
 
 
 def age_axis(subjects: DataFrame, age_min=None, age_max=None, age_step=None, age: str = "age_bl") -> DataFrame:

