@@ -65,7 +65,6 @@ class LoadConfig:
     gender_mapping: str | None = None
     min_priority: int = 0
     target_columns: tuple[str, ...] | None = None
-    max_value_list: int = 1000  # items with more distinct values are listed from the store (J9), not stored
 
     @property
     def followup_column(self) -> str | None:

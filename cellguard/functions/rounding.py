@@ -19,7 +19,7 @@ def _num(c: Column) -> Column:
 
 def int_round(x: Column, base: int = 5) -> Column:
     """base * round-half-even(x / base)."""
-    return (F.bround(_num(x) / F.lit(float(base))) * F.lit(base)).cast("int")
+    return (F.bround(_num(x) / F.lit(float(base))) * F.lit(base)).try_cast("int")
 
 
 def int_only(x: Column) -> Column:
@@ -30,13 +30,13 @@ def int_only(x: Column) -> Column:
 def int_ceil(x: Column, base: int = 5) -> Column:
     """x + (base - x mod base) mod 5, truncated to int."""
     v = _num(x)
-    return (v + F.pmod(F.lit(float(base)) - F.pmod(v, F.lit(float(base))), F.lit(5.0))).cast("int")
+    return (v + F.pmod(F.lit(float(base)) - F.pmod(v, F.lit(float(base))), F.lit(5.0))).try_cast("int")
 
 
 def int_floor(x: Column, base: int = 5) -> Column:
     """x - x mod base, truncated to int."""
     v = _num(x)
-    return (v - F.pmod(v, F.lit(float(base)))).cast("int")
+    return (v - F.pmod(v, F.lit(float(base)))).try_cast("int")
 
 
 def int_mid(x: Column, base: int = 5) -> Column:
@@ -59,8 +59,9 @@ def round_to(val: Column, r: float, decimals: int = 1, direction: int = 1) -> Co
 
 
 def floor1(x: Column) -> Column:
-    """floor to one decimal, exactly (decimal(38,1))."""
-    return (F.floor(x.cast("decimal(38,10)") * F.lit(10)) / F.lit(10)).cast("decimal(38,1)")
+    """floor to one decimal, exactly (decimal(38,1)); NULL from 10^26 on, where a double has no tenths."""
+    d = F.when(F.abs(x) < F.lit(1e26), x).try_cast("decimal(38,10)")
+    return (F.floor(d * F.lit(10)) / F.lit(10)).cast("decimal(38,1)")
 
 
 def is_int_text(s: Column) -> Column:
@@ -72,8 +73,13 @@ def is_num_text(s: Column) -> Column:
 
 
 def to_long(s: Column) -> Column:
-    """Integer value of integer text, else NULL (no engine-specific rounding of '1.5')."""
-    return F.when(is_int_text(s), F.trim(s).cast("long"))
+    """Integer value of integer text, else NULL (no engine-specific rounding of '1.5'); NULL beyond 64 bits."""
+    return F.when(is_int_text(s), F.trim(s).try_cast("long"))
+
+
+def int_text(s: Column) -> Column:
+    """Integer text without sign and zeros that say nothing; NULL beyond 38 digits."""
+    return F.trim(s).try_cast("decimal(38,0)").cast("string")
 
 
 def to_double(s: Column) -> Column:
@@ -82,26 +88,36 @@ def to_double(s: Column) -> Column:
 
 def typed_name(s: Column) -> Column:
     """the text of int(s), else of floor1(float(s)), else s itself."""
-    return F.coalesce(to_long(s).cast("string"), floor1(to_double(s)).cast("string"), s)
+    return F.coalesce(F.when(is_int_text(s), int_text(s)),
+                      floor1(F.when(~is_int_text(s), to_double(s))).cast("string"), s)
 
 
 # Accepted date layouts and the text shape that selects each (a parse is tried only on text of
-# the right shape, so no row pays for failed parses).
+# the right shape, so no row pays for failed parses). A time of day after the date is ignored.
 DATE_FORMATS = [
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$"),
-    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
     ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("dMMMyyyy", r"^\d{1,2}[A-Za-z]{3}\d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{4,} \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"),
     ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy", r"^\d{4}$"),
 ]
+SHORT_DATE = ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$")
+PIVOT = 69  # fixed value: two-digit years from 69 on are 19yy, earlier ones 20yy
+TIME_OF_DAY = r"(?<=\d)[Tt ]\d{1,2}:\d{2}(:\d{2}([.]\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?$"
 
 
 def to_year(s: Column, formats: list[tuple[str, str]] | None = None) -> Column:
     """the year of date text in any accepted layout (NULL when none fits)."""
-    t = F.trim(s)
-    expr = None
-    for fmt, shape in formats or DATE_FORMATS:
-        parse = F.when(t.rlike(shape), F.try_to_date(t, fmt))
-        expr = parse if expr is None else F.coalesce(expr, parse)
-    return F.year(expr)
+    t = F.regexp_replace(F.trim(s), TIME_OF_DAY, "")
+    years = [F.when(t.rlike(shape), F.year(F.try_to_date(t, fmt))) for fmt, shape in formats or DATE_FORMATS]
+    if formats is None:
+        short = F.when(t.rlike(SHORT_DATE[1]), F.year(F.try_to_date(t, SHORT_DATE[0])))
+        years.append(short - F.when(short % 100 >= PIVOT, 100).otherwise(0))
+    return F.coalesce(*years)

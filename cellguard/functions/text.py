@@ -62,5 +62,5 @@ def search_terms(query: str, min_len: int = 3) -> list[str]:
     """trim, drop '*', require ``min_len`` characters, split on whitespace (driver side, tiny input)."""
     s = query.strip().replace("*", "")
     if len(s) < min_len:
-        raise ValueError(f"Search string must have at least {min_len} characters")
+        raise ValueError(f"search text is shorter than {min_len} characters")
     return s.split()

@@ -55,7 +55,7 @@ def parse_filters(pairs) -> list:
 def _pred(f, i: int) -> Column:
     if isinstance(f, ValueFilter):
         return (F.col("item") == f.item) & F.col("value").isin(list(f.values))
-    p = (F.col("item") == f.item) & F.col("nid").isNotNull()  # the value must resolve (inner join semantics)
+    p = F.col("item") == f.item  # an unresolved value has no number, so it meets no bound
     if f.lo is not None:
         p = p & (F.col("name_numeric") >= F.lit(float(f.lo)))
     if f.hi is not None:
@@ -69,13 +69,21 @@ def select_cases(variable: DataFrame, value: DataFrame, filters: list) -> DataFr
         return variable.select("case").distinct()
     items = sorted({f.item for f in filters})
     v = variable.where(F.col("item").isin(items)).select("case", "item", "value")
-    range_items = sorted({f.item for f in filters if isinstance(f, RangeFilter)})
-    if range_items:
-        vals = value.where(F.col("item").isin(range_items)).select(F.col("id").alias("nid"), "name_numeric")
-        v = v.join(vals, v.value == vals.nid, "left")
+    tests = [_pred(f, i) for i, f in enumerate(filters)]
+    meets = tests[0]
+    for t in tests[1:]:
+        meets = meets | t
+    ranged = [f for f in filters if isinstance(f, RangeFilter)]
+    bounded = sorted({f.item for f in ranged if not f.exists_only})
+    if bounded:
+        # ranges become values first: the (small) value table is cut to those a range admits, and only rows that
+        # meet some filter reach the exchange on case
+        wanted = value.where(F.col("item").isin(bounded)).select("item", F.col("id").alias("value"), "name_numeric")
+        v = v.join(wanted, ["item", "value"], "left")
     else:
-        v = v.withColumn("nid", F.lit(None).cast("long")).withColumn("name_numeric", F.lit(None).cast("double"))
-    flags = [F.bool_or(_pred(f, i)).alias(f"f{i}") for i, f in enumerate(filters)]
+        v = v.withColumn("name_numeric", F.lit(None).cast("double"))
+    v = v.where(meets)
+    flags = [F.bool_or(t).alias(f"f{i}") for i, t in enumerate(tests)]
     g = v.groupBy("case").agg(*flags)
     cond = F.lit(True)
     for i in range(len(filters)):
@@ -88,8 +96,10 @@ def cases_for(variable: DataFrame, value: DataFrame, f) -> DataFrame:
     v = variable.where(F.col("item") == f.item)
     if isinstance(f, ValueFilter):
         return v.where(F.col("value").isin(list(f.values))).select("case").distinct()
-    vals = value.where(F.col("item") == f.item).select(F.col("id").alias("value"), "name_numeric")
-    j = v.join(vals, "value")
+    vals = value.where(F.col("item") == f.item).select("item", F.col("id").alias("value"), "name_numeric")
+    if f.exists_only:
+        return v.select("case").distinct()
+    j = v.join(vals, ["item", "value"])
     if f.lo is not None:
         j = j.where(F.col("name_numeric") >= F.lit(float(f.lo)))
     if f.hi is not None:
@@ -131,8 +141,8 @@ def export_filters(spark, item: DataFrame, value: DataFrame, filters: list) -> D
         .otherwise(F.format_string("(%s >= %s)", "varname", "lo"))
         .alias("text"),
     )
-    ex = named.where(F.col("ids").isNotNull()).select("pos", "varname", F.posexplode("ids").alias("k", "vid"))
-    ex = ex.join(value.select(F.col("id").alias("vid"), "name"), "vid", "left")
+    ex = named.where(F.col("ids").isNotNull()).select("pos", "item", "varname", F.posexplode("ids").alias("k", "vid"))
+    ex = ex.join(value.select("item", F.col("id").alias("vid"), "name"), ["item", "vid"], "left")
     lists = ex.groupBy("pos", "varname").agg(
         F.sort_array(F.collect_list(F.struct("k", "name"))).alias("vs"), F.count("vid").alias("n")
     ).select(

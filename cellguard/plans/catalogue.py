@@ -24,20 +24,19 @@ def range_text(x: Column, is_float: Column) -> Column:
 def item_values(store: Store) -> DataFrame:
     """J8 + J9: (item, value id, name, description, order) for items listed by value.
 
-    Loaded items read their stored id list (J8); items without a stored list fall back to the distinct values the
-    variable table uses (J9), read only for those items.
+    Loaded items without a range read their listed values (J8), as rows, however many; items without metadata fall
+    back to the distinct values the variable table uses (J9), read only for those items.
     """
     it = store.item
-    listed = it.where(F.col("is_loaded") & F.col("values").isNotNull()).select(
-        F.col("id").alias("item"), F.explode("values").alias("vid")
-    )
-    fallback_items = it.where(~F.col("is_loaded")).select(F.col("id").alias("item"))
-    used = store.variable.join(F.broadcast(fallback_items), "item", "left_semi").select(
+    listing = it.where(F.col("is_loaded") & F.col("range_start").isNull()).select(F.col("id").alias("item"))
+    listed = store.value.where("listed").join(listing, "item", "left_semi").select("item", F.col("id").alias("vid"))
+    fallback_items = it.where(~F.col("is_loaded") & F.col("range_start").isNull()).select(F.col("id").alias("item"))
+    used = store.variable.join(fallback_items, "item", "left_semi").select(
         "item", F.col("value").alias("vid")
     ).distinct()
     ids = listed.unionByName(used)
-    v = store.value.select(F.col("id").alias("vid"), "name", "description", "order")
-    return ids.join(v, "vid").select(
+    v = store.value.select("item", F.col("id").alias("vid"), "name", "description", "order")
+    return ids.join(v, ["item", "vid"]).select(
         "item", F.col("vid").alias("value_id"), F.col("name").alias("value_name"),
         F.col("description").alias("value_description"),
         F.coalesce(F.col("order"), F.lit(DEFAULT_ORDER)).cast("int").alias("value_order"),

@@ -131,8 +131,11 @@ def chart_parts(cells: DataFrame, cfg: ChartConfig, jitter: bool = True) -> dict
 
 
 def round2_ratio(num: Column, den: Column) -> Column:
-    """round(num / den, 2), half up, in exact integer arithmetic (same digits in every engine)."""
-    q = F.floor((F.lit(200) * num + den) / (F.lit(2) * den))
+    """round(num / den, 2), ties to even, in exact integer arithmetic (same digits in every engine)."""
+    hundred = F.lit(100) * num
+    low = F.floor(hundred / den)
+    twice = F.lit(2) * (hundred - low * den)  # against den: below, at or above half
+    q = low + F.when((twice > den) | ((twice == den) & (low % 2 != 0)), 1).otherwise(0)
     return (q / F.lit(100.0)).cast("double")
 
 

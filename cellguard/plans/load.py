@@ -10,7 +10,8 @@ per column: a broadcast whose size is the schema width) -> one expression per ru
 
 The per-column min/max for edge rounding (A12) is a groupBy on ``col`` (partial aggregation, one row per column
 out). Code resolution runs on the distinct (col, raw) pairs of coded columns only, and is joined back. Value ids are
-an md5-derived 60-bit number of (variable, name), so they need no global numbering and are equal in every engine.
+an md5-derived 60-bit number of (variable, name), so they need no global numbering and are equal in every engine; they
+are always looked up together with their item. Cases keep their id as text; a missing or repeated id is refused.
 """
 
 from __future__ import annotations
@@ -23,20 +24,20 @@ from pyspark.sql import functions as F
 from ..config import LoadConfig
 from ..functions import codes as K
 from ..functions.rounding import (
-    floor1, int_ceil, int_floor, int_mid, int_only, is_int_text, to_double, to_long, to_year, typed_name,
+    floor1, int_ceil, int_floor, int_mid, int_only, int_text, is_int_text, to_double, to_long, to_year, typed_name,
 )
 from ..functions.text import clean_number, clean_text
 from ..operators.ranges import infer_ranges
 from ..operators.rows import with_row_index
 from ..session import cut_lineage
 
-# Cell texts that count as missing (after lower-casing): the reference's own three plus the tokens
-# its CSV reader turns into missing values by default.
-MISSING = [
-    ".", "", "missing",
-    "#n/a", "#n/a n/a", "#na", "-1.#ind", "-1.#qnan", "-nan", "1.#ind", "1.#qnan", "<na>", "n/a", "na", "null",
-    "nan", "none",
+# Cell texts that a reader of CSV files takes for missing, exactly as written here.
+UNREAD = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+# Cell texts that mean missing after lower-casing.
+MISSING = ["", ".", "missing"]
 
 ROLES = ["age_bl", "age_fu", "gender", "enrollment", "followup_years"]
 MARKER = "__row"
@@ -46,26 +47,36 @@ NUMERIC_KINDS = ["date", "date_int", "age", "year", "int_only"]
 
 @dataclass
 class Store:
-    variable: DataFrame  # (case LONG, item INT, value LONG)
-    value: DataFrame  # (id LONG, item INT, name, name_numeric DOUBLE, description, order INT)
+    variable: DataFrame  # (case STRING, item INT, value LONG)
+    value: DataFrame  # (id LONG, item INT, name, name_numeric DOUBLE, description, order INT, listed BOOLEAN)
     item: DataFrame  # (id, name, varname, description, category, is_numeric, is_loaded, is_float,
-    #                   range_start, range_end, range_step, values ARRAY<LONG>, rounded)
+    #                   range_start, range_end, range_step, rounded); an item's list is its listed values
     category: DataFrame  # (id INT, name, description, order INT)
-    subjects: DataFrame  # (case LONG, age_bl INT, age_fu INT, sex, enrollment, followup_years INT)
+    subjects: DataFrame  # (case STRING, age_bl INT, age_fu INT, sex, enrollment, followup_years INT)
+    report: DataFrame | None = None  # (col, reason, n): cells and chart variables the load could not use
 
     def tables(self) -> dict[str, DataFrame]:
         return {k: getattr(self, k) for k in ("variable", "value", "item", "category", "subjects")}
 
 
 def value_id(varname: Column, name: Column) -> Column:
-    """Stable id of a value of a variable: the first 15 hex digits of md5('varname|name')."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", varname, name)), 1, 15), 16, 10).cast("long")
+    """Id of a value of a variable: the first 15 hex digits of md5('varname|name'), '1.0' counting as '1'.
+
+    Ids are looked up together with their item, so equal ids of two items never meet; two names of one item with
+    one id would be merged, and ``load_cohort`` refuses them.
+    """
+    return F.conv(F.substring(F.md5(F.concat_ws("|", varname, same_number(name))), 1, 15), 16, 10).cast("long")
+
+
+def same_number(name: Column) -> Column:
+    """Names that read as one number get one text: '1.0' becomes '1'."""
+    return F.regexp_replace(name, r"^(-?[0-9]+)\.0$", "$1")
 
 
 def drop_missing(df: DataFrame, col: str) -> DataFrame:
-    """Lower-case the cell and drop missing ones."""
-    v = F.lower(F.col(col))
-    return df.withColumn(col, v).where(F.col(col).isNotNull() & ~F.col(col).isin(MISSING))
+    """Drop cells that say missing, the reader's tokens as written and the others in any case; lower-case the rest."""
+    raw = F.col(col)
+    return df.where(raw.isNotNull() & ~raw.isin(UNREAD)).withColumn(col, F.lower(raw)).where(~F.col(col).isin(MISSING))
 
 
 def prepare_dictionary(dictionary: DataFrame, cfg: LoadConfig) -> DataFrame:
@@ -238,20 +249,17 @@ def normalize_parsed(x: DataFrame, options: DataFrame, cfg: LoadConfig) -> DataF
     if amax is not None and astep is not None:
         edged = F.when((k == "age") & (p1 >= F.lit(amax - astep)), F.lit(amax - astep)).otherwise(edged)
     numeric = k.isin(NUMERIC_KINDS)
-    raw_int = F.trim(F.col("raw")).cast("long")
-    raw_dec = floor1(F.col("_num"))
+    raw_dec = floor1(F.when(~F.col("_isint"), F.col("_num")))
     cols = ["case", "col", "varname", "role", "kind", "item_id"]
     plain = j.select(
         *cols,
         F.when(numeric, edged.cast("string"))
-        .when(F.col("_isint"), raw_int.cast("string"))
-        .when(F.col("_num").isNotNull(), raw_dec.cast("string"))
-        .otherwise(clean_text(F.col("raw"))).alias("name"),
+        .otherwise(F.coalesce(F.when(F.col("_isint"), int_text(F.col("raw"))), raw_dec.cast("string"),
+                              clean_text(F.col("raw")))).alias("name"),
         F.lit(None).cast("int").alias("order"),
         F.lit(False).alias("categorical"),
         F.when(numeric, edged.cast("double"))
-        .when(F.col("_isint"), raw_int.cast("double"))
-        .when(F.col("_num").isNotNull(), raw_dec.cast("double")).alias("num"),
+        .otherwise(F.coalesce(raw_dec.cast("double"), F.col("_num"))).alias("num"),
     )
     coded = x.where(k == "coded").join(resolved, ["col", "raw"], "left").select(
         *cols, F.col("c_name").alias("name"), F.col("c_order").cast("int").alias("order"),
@@ -270,9 +278,9 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     cohort = cohort.toDF(*[c.lower() for c in cohort.columns])
     case_col = cfg.case_col.lower() if cfg.case_col else None
     if case_col:
-        cohort = cohort.withColumn("__case", to_long(F.col(case_col)))
+        cohort = cohort.withColumn("__case", F.col(case_col).cast("string"))
     else:
-        cohort = with_row_index(cohort, "__case")
+        cohort = with_row_index(cohort, "__case").withColumn("__case", F.col("__case").cast("string"))
     columns = [c for c in cohort.columns if c not in ("__case", case_col)]
     dm = [c for c in cfg.datamodel_vars if c in columns]
     if cfg.target_columns:
@@ -289,6 +297,9 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     if materialize:
         # the parsed cells feed the normalisation and its two side tables: compute them once, as stored columns
         cells = cut_lineage(cells, "cells")
+    cases = cells.where(F.col("kind") == "marker").select("case")
+    if case_col:
+        check_cases(cases)
     options = K.value_options(d)
     norm = normalize_parsed(cells.where(F.col("kind") != "marker"), options, cfg)
     if materialize:
@@ -302,10 +313,34 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     if materialize:
         dv = cut_lineage(dv, "values")
     values = _values(dv, options, rules)
-    items = _items(spark, dv, d, rules, values, cfg)
+    items = _items(dv, d, rules, cfg)
     category = _categories(d)
-    subjects = _subjects(cells.where(F.col("kind") == "marker").select("case"), norm, cfg)
-    return Store(variable, values, items, category, subjects)
+    subjects = _subjects(cases, norm, cfg)
+    return Store(variable, values, items, category, subjects, load_report(cells, rules, subjects))
+
+
+def check_cases(cases: DataFrame) -> None:
+    """Refuse a cohort whose case column does not tell its rows apart."""
+    n, known, apart = cases.agg(F.count(F.lit(1)), F.count("case"), F.count_distinct("case")).first()
+    if known < n or apart < n:
+        raise ValueError(f"case column: {n - known} of {n} rows have no id, {known - apart} repeat one")
+
+
+def load_report(cells: DataFrame, rules: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(col, reason, n): per loaded column the missing cells and those that could not be read as the column's kind,
+    and per chart variable the subjects without it."""
+    unread = F.col("kind").isin(NUMERIC_KINDS) & F.col("v0").isNull()
+    rows = subjects.agg(F.count(F.lit(1))).scalar()
+    seen = cells.where(F.col("kind") != "marker").groupBy("col").agg(
+        F.count(F.lit(1)).alias("present"), F.count_if(unread).alias("unreadable"))
+    per = rules.where(F.col("kind") != "excluded").select("col").join(seen, "col", "left").select(
+        "col", F.posexplode(F.array(rows - F.coalesce("present", F.lit(0)), F.coalesce("unreadable", F.lit(0))))
+        .alias("which", "n"))
+    cell_rows = per.select("col", F.when(F.col("which") == 0, "missing").otherwise("unreadable").alias("reason"), "n")
+    charted = ["age_bl", "age_fu", "sex", "enrollment", "followup_years"]
+    counts = subjects.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in charted])
+    lacking = counts.unpivot([], charted, "col", "n").select("col", F.lit("subject without it").alias("reason"), "n")
+    return cell_rows.unionByName(lacking).where(F.col("n") > 0)
 
 
 def distinct_values(norm: DataFrame) -> DataFrame:
@@ -313,19 +348,23 @@ def distinct_values(norm: DataFrame) -> DataFrame:
 
     The value table and the item metadata both read this table, so the normalised rows are aggregated once
     (partial aggregation map-side: a hot value costs one row per task)."""
-    return norm.where(F.col("item_id").isNotNull()).groupBy("varname", "item_id", "name").agg(
-        F.min("order").alias("order"), F.first("num").alias("num"), F.bool_or("categorical").alias("categorical")
-    )
+    number = F.col("same")
+    return norm.where(F.col("item_id").isNotNull()).withColumn("same", same_number(F.col("name"))).groupBy(
+        "varname", "item_id", number).agg(
+        F.min("name").alias("name"), F.min("order").alias("order"), F.first("num").alias("num"),
+        F.bool_or("categorical").alias("categorical")).drop("same")
 
 
 def _values(dv: DataFrame, options: DataFrame, rules: DataFrame) -> DataFrame:
     """Value table: every value seen in the data plus every dictionary option of a loaded coded column."""
-    seen = dv.select("varname", "item_id", "name", "order")
+    seen = dv.select("varname", "item_id", "name", "order", F.lit(True).alias("listed"))
     opts = options.join(
         F.broadcast(rules.where(F.col("kind") == "coded").select("varname", "item_id")),
         options.name == F.col("varname"),
-    ).select("varname", "item_id", F.col("label").alias("name"), "order")
-    allv = seen.unionByName(opts).groupBy("varname", "item_id", "name").agg(F.min("order").alias("order"))
+    ).select("varname", "item_id", F.col("label").alias("name"), "order", F.lit(False).alias("listed"))
+    allv = seen.unionByName(opts).withColumn("same", same_number(F.col("name"))).groupBy(
+        "varname", "item_id", "same").agg(
+        F.min("name").alias("name"), F.min("order").alias("order"), F.bool_or("listed").alias("listed"))
     return allv.select(
         value_id(F.col("varname"), F.col("name")).alias("id"),
         F.col("item_id").alias("item"),
@@ -333,11 +372,13 @@ def _values(dv: DataFrame, options: DataFrame, rules: DataFrame) -> DataFrame:
         to_double(F.col("name")).alias("name_numeric"),
         F.lit(None).cast("string").alias("description"),
         F.col("order").cast("int").alias("order"),
+        "listed",
     )
 
 
-def _items(spark, dv: DataFrame, d: DataFrame, rules: DataFrame, values: DataFrame, cfg: LoadConfig) -> DataFrame:
-    """Per item a numeric range (fixed for date/age/year columns, inferred A13 otherwise) or a value list.
+def _items(dv: DataFrame, d: DataFrame, rules: DataFrame, cfg: LoadConfig) -> DataFrame:
+    """Per item a numeric range (fixed for date/age/year columns, inferred A13 otherwise), or none: the item is
+    listed by its values in the value table, however many they are.
 
     Reads the distinct values (one row per item and value name), never the normalised rows."""
     per = dv
@@ -363,14 +404,6 @@ def _items(spark, dv: DataFrame, d: DataFrame, rules: DataFrame, values: DataFra
     f_step = F.when(k == "age", astep).otherwise(F.lit(5.0))
     valid_range = (F.col("n_text") == 0) & ~F.col("any_cat")
     has_range = fixed | (valid_range & F.col("i_start").isNotNull())
-    short = stats.where(F.col("n_vals") <= cfg.max_value_list).select("item_id")
-    listed = (
-        values.join(short, F.col("item") == F.col("item_id"))
-        .join(per.select(F.col("item_id").alias("item"), "name"), ["item", "name"], "left_semi")
-        .groupBy("item_id")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("order", F.lit(1 << 30)), "name", "id"))).alias("vl"))
-        .select("item_id", F.transform("vl", lambda s: s["id"]).alias("values"))
-    )
     base = d.select(
         (F.col("seq") + 1).cast("int").alias("item_id"),
         clean_text(F.col("label")).alias("name"),
@@ -387,7 +420,6 @@ def _items(spark, dv: DataFrame, d: DataFrame, rules: DataFrame, values: DataFra
         .join(F.broadcast(cats), "domain", "left")
         .join(stats, "item_id", "left")
         .join(inferred, "item_id", "left")
-        .join(listed, "item_id", "left")
     )
     rounded = F.when(k.isin("date", "year", "age"), F.lit(5)).when(k.isin("date_int", "int_only"), F.lit(1))
     is_float = F.when(fixed, F.lit(False)).otherwise(F.coalesce(F.col("i_float"), F.lit(False)))
@@ -398,12 +430,11 @@ def _items(spark, dv: DataFrame, d: DataFrame, rules: DataFrame, values: DataFra
         "description",
         "category",
         "is_numeric",
-        (F.col("kind").isNotNull() & (has_range | F.col("values").isNotNull())).alias("is_loaded"),
+        (F.col("kind").isNotNull() & (has_range | (F.coalesce("n_vals", F.lit(0)) > 0))).alias("is_loaded"),
         F.when(has_range, is_float).otherwise(F.lit(False)).alias("is_float"),
         F.when(has_range, F.when(fixed, f_start).otherwise(F.col("i_start"))).alias("range_start"),
         F.when(has_range, F.when(fixed, f_end).otherwise(F.col("i_end"))).alias("range_end"),
         F.when(has_range, F.when(fixed, f_step).otherwise(F.col("i_step"))).alias("range_step"),
-        F.when(~has_range, F.col("values")).alias("values"),
         rounded.alias("rounded"),
     )
 

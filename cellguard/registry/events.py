@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rounding as R
 from ..functions.privacy import mask
 from ..operators.groups import group_runs
+from ..operators.rows import with_row_index
 from ..operators.visits import mark_returning
+from ..plans.load import drop_missing
 from ..sources.synth import synth_cohort
 from ..sources.testdata import table
 
@@ -55,11 +57,11 @@ def synth(spark, sf):
 
 
 def scalar_rounding(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_quantity").distinct()
+    li = table(spark, sf, "lineitem")
     q = F.col("l_quantity")
     quarter = q / 4
     return li.select(
-        q.alias("x"),
+        "l_orderkey", "l_linenumber", q.alias("x"),
         R.int_round(q, 5).alias("int_round5"),
         R.int_only(quarter).alias("int_only_q"),
         R.int_ceil(q, 5).alias("int_ceil5"),
@@ -72,7 +74,59 @@ def scalar_rounding(spark, sf):
     )
 
 
+def with_gaps(spark, sf):
+    """Events whose user and day are sometimes unknown."""
+    return table(spark, sf, "events").withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id")))
+
+
+def event_runs_null(spark, sf):
+    """W1 with NULL partition keys: users unknown to the log form one group of their own."""
+    return group_runs(with_gaps(spark, sf), ["ts", "event_id"], "event_type", ["user_id"], id_col="event_id")
+
+
+def event_runs_null_split(spark, sf):
+    return group_runs(with_gaps(spark, sf), ["ts", "event_id"], "event_type", ["user_id"], bucket=F.to_date("ts"),
+                      id_col="event_id")
+
+
+def returning_null(spark, sf):
+    """R1 with NULL keys: visits without a user share one key."""
+    return mark_returning(with_gaps(spark, sf).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id")
+
+
+def row_index(spark, sf):
+    """W6 on a shuffled join: every row keeps its place in the sorted order."""
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ordered = j.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return with_row_index(ordered.select("l_orderkey", "l_linenumber", "o_custkey"))
+
+
+# Cell texts that readers get wrong, dealt to the orders by key.
+ODD_CELLS = ["none", "NA", "None", "nan", "Missing", "007", "1.0", "12345678901234567890123", "1e40", "2.79", "9/9/94",
+             "2013/07/21", "21jul2013", "july 21, 2013", "2013-07-21t00:00:00", "3/4/05", "1/2/69", "1/2/68", "1994",
+             "1994.0", "."]
+
+
+def typed_values(spark, sf):
+    """Which cells stay, how they read as values and as dates, over the orders' odd cells."""
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % len(ODD_CELLS)).cast("int").alias("k"))
+    cells = o.withColumn("raw", F.get(F.array(*map(F.lit, ODD_CELLS)), F.col("k")))
+    kept = drop_missing(cells.withColumn("text", F.col("raw")), "text").groupBy("k").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("kept", F.lit(True))
+    counts = cells.groupBy("k", "raw").agg(F.count(F.lit(1)).alias("all"))
+    low = F.lower("raw")
+    year = F.when(F.col("k") >= 10, R.to_year(low))
+    return counts.join(kept, "k", "left").select(
+        "k", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("n", "all").alias("n"),
+        R.typed_name(low).alias("name"), year.alias("year"))
+
+
 QUERIES = {
+    "row_index": row_index,
+    "consecutive_groups_null_keys": event_runs_null,
+    "consecutive_groups_null_keys_split": event_runs_null_split,
+    "returning_visits_null_keys": returning_null,
+    "typed_values": typed_values,
     "consecutive_groups": event_runs,
     "consecutive_groups_split": event_runs_bucketed,
     "returning_visits": returning_visits,
@@ -92,6 +146,12 @@ SELECT user_id, CAST(group_no AS BIGINT) AS group_no, arg_min(event_type, (ts, e
 FROM g GROUP BY user_id, group_no"""
 
 
+_RUNS_NULL = _RUNS.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id) "
+                           "FROM events)")
+_ODD_SQL = ("SELECT CAST(o_orderkey % 21 AS INTEGER) AS k, list_extract(["
+            + ", ".join("'" + x + "'" for x in ODD_CELLS) + "], CAST(o_orderkey % 21 AS INTEGER) + 1) AS raw FROM orders")
+
+
 def _pmod(x, n):
     return f"((({x}) % {n} + {n}) % {n})"
 
@@ -108,7 +168,7 @@ FROM events e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(e
   f.event_id AS first_token
 FROM events e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id
                     FROM events GROUP BY user_id) f ON f.user_id = e.user_id""",
-    "scalar_rounding": f"""SELECT l_quantity AS x,
+    "scalar_rounding": f"""SELECT l_orderkey, l_linenumber, l_quantity AS x,
   CAST(round_even(l_quantity / 5.0, 0) * 5 AS INTEGER) AS int_round5,
   CAST(round_even({_Q4}, 0) AS INTEGER) AS int_only_q,
   CAST(trunc(l_quantity + {_pmod('5.0 - ' + _pmod('l_quantity', '5.0'), '5.0')}) AS INTEGER) AS int_ceil5,
@@ -121,5 +181,23 @@ FROM events e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(e
   CAST(round_even({_Q4} - {_pmod(_Q4, '2.0')}, 0) AS DOUBLE) AS round_down_2,
   CAST(floor({_Q4} * 10) / 10 AS DOUBLE) AS floor1_q,
   CAST(CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END AS BIGINT) AS masked25
-FROM (SELECT DISTINCT l_quantity FROM lineitem)""",
+FROM lineitem""",
+    "row_index": """SELECT l_orderkey, l_linenumber, o_custkey,
+  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_index
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+    "consecutive_groups_null_keys": _RUNS_NULL,
+    "consecutive_groups_null_keys_split": _RUNS_NULL,
+    "returning_visits_null_keys": """WITH e AS (
+  SELECT event_id, ts, CASE WHEN user_id % 5 <> 0 THEN user_id END AS user_id FROM events)
+SELECT e.event_id, e.user_id, e.ts, (e.ts, e.event_id) > (f.ts, f.event_id) AS returning, f.event_id AS first_token
+FROM e JOIN (SELECT user_id, arg_min(ts, (ts, event_id)) AS ts, arg_min(event_id, (ts, event_id)) AS event_id
+             FROM e GROUP BY user_id) f ON f.user_id IS NOT DISTINCT FROM e.user_id""",
+    "typed_values": f"""WITH c AS ({_ODD_SQL})
+SELECT k, kept, count(*) AS n, min(name) AS name, min(year) AS year FROM (
+  SELECT k, raw NOT IN ('', 'NA', 'None', 'nan') AND lower(raw) NOT IN ('.', 'missing') AS kept,
+    CASE k WHEN 5 THEN '7' WHEN 6 THEN '1.0' WHEN 7 THEN '12345678901234567890123' WHEN 8 THEN '1e40'
+           WHEN 9 THEN '2.7' WHEN 19 THEN '1994.0' ELSE lower(raw) END AS name,
+    CASE k WHEN 7 THEN NULL WHEN 10 THEN 1994 WHEN 11 THEN 2013 WHEN 12 THEN 2013 WHEN 13 THEN 2013 WHEN 14 THEN 2013
+           WHEN 15 THEN 2005 WHEN 16 THEN 1969 WHEN 17 THEN 2068 WHEN 18 THEN 1994 END AS year
+  FROM c) GROUP BY k, kept""",
 }

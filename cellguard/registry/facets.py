@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators.ranges import age_axis
 from ..operators.search import search_facets
 from ..plans import catalogue as CT
 from . import store_sql as Q
-from .store import BALANCE, LCFG, LCFG_SHORT_LISTS, PRICE, QTY, SEX, store, vid
+from .store import BALANCE, LCFG, PRICE, QTY, SEX, store, vid
 from . import sqlparts as S
 
 VALUE_IDS = [vid("priority", "high"), vid("gender", "male"), vid("balance_band", "0-2,500")]
@@ -20,8 +22,9 @@ def catalogue(spark, sf):
 
 
 def catalogue_fallback(spark, sf):
-    """Items with more distinct values than the stored-list limit are listed from the variable table."""
-    return CT.catalogue(store(spark, sf, LCFG_SHORT_LISTS))
+    """A store whose item metadata was lost lists its items from the variable table."""
+    s = store(spark, sf)
+    return CT.catalogue(replace(s, item=s.item.withColumn("is_loaded", F.lit(False))))
 
 
 def catalogue_nested(spark, sf):
@@ -29,6 +32,9 @@ def catalogue_nested(spark, sf):
         "category_id", "category_name", F.size("items").alias("n_items"),
         F.aggregate(F.transform("items", lambda i: F.coalesce(F.size(i["values"]), F.lit(0))), F.lit(0),
                     lambda a, b: a + b).alias("n_values"),
+        F.array_join(F.transform("items", lambda i: F.concat_ws(
+            ":", i["id"].cast("string"), F.coalesce(F.array_join(F.transform(i["values"], lambda v: v["name"]), "|"),
+                                                    F.array_join(i["range"], "~")))), ";").alias("members"),
     )
 
 
@@ -77,14 +83,15 @@ def _range_text(x: str) -> str:
 
 CAT_CTES = """
 _iv AS (
-  SELECT id AS item, unnest("values") AS vid FROM s_item WHERE is_loaded AND "values" IS NOT NULL
+  SELECT item, id AS vid FROM s_value WHERE listed
+    AND item IN (SELECT id FROM s_item WHERE is_loaded AND range_start IS NULL)
   UNION ALL
   SELECT DISTINCT item, value FROM s_variable WHERE item IN (SELECT id FROM s_item WHERE NOT is_loaded)
 ),
 _vals AS (
   SELECT _iv.item, x.id AS value_id, x.name AS value_name, x.description AS value_description,
          CAST(coalesce(x."order", 100) AS INTEGER) AS value_order
-  FROM _iv JOIN s_value x ON x.id = _iv.vid
+  FROM _iv JOIN s_value x ON x.id = _iv.vid AND x.item = _iv.item
 ),
 _it AS (
   SELECT id AS item_id, category AS category_id, name AS item_name, description AS item_description,
@@ -140,10 +147,14 @@ SELECT * FROM (
 
 SQL = {
     "catalogue": BASE + "\nSELECT * FROM cat_rows",
-    "catalogue_fallback": S.with_(Q.store_ctes(LCFG_SHORT_LISTS), CAT_CTES) + "\nSELECT * FROM cat_rows",
+    "catalogue_fallback": BASE + "\nSELECT * FROM cat_rows",
     "catalogue_nested": BASE + """
-SELECT category_id, category_name, CAST(count(*) AS INTEGER) AS n_items, CAST(sum(nv) AS INTEGER) AS n_values
-FROM (SELECT category_id, category_name, item_id, count(value_id) AS nv FROM cat_rows GROUP BY ALL) GROUP BY ALL""",
+SELECT category_id, category_name, CAST(count(*) AS INTEGER) AS n_items, CAST(sum(nv) AS INTEGER) AS n_values,
+       string_agg(item_id || ':' || listed, ';' ORDER BY item_id) AS members
+FROM (SELECT category_id, category_name, item_id, count(value_id) AS nv,
+             coalesce(string_agg(value_name, '|' ORDER BY value_order, value_name),
+                      min(range_start || '~' || range_end || '~' || range_step)) AS listed
+      FROM cat_rows GROUP BY category_id, category_name, item_id) GROUP BY category_id, category_name""",
     "category": BASE + "\nSELECT * FROM cat_rows WHERE category_id = 3",
     "category_of_item": S.with_(Q.store_ctes(LCFG))
     + f"\nSELECT id AS item_id, category AS category_id FROM s_item WHERE id IN ({SEX}, {PRICE}, {QTY}, {BALANCE})",

@@ -7,7 +7,19 @@ an anti join, as the reference does) so that they also check the Spark plans' sh
 from __future__ import annotations
 
 from ..config import ChartConfig
-from ..functions.privacy import sql_jitter_and_mask
+
+# Fixed values, stated here on their own: display substitutions, in order.
+SUBSTITUTIONS = [("”", '"'), ("“", '"'), ("’", "'"), ("‘", "'"), ("||||", "\n"), ("||", "\n"), ("≥", ">="), ("≤", "<=")]
+
+
+def sql_jitter_and_mask(value: str, label: str, cfg: ChartConfig, jitter: bool) -> str:
+    """A count with its weekly noise (the first 32 bits of an md5, spread over the jitter range), masked."""
+    if jitter and cfg.jitter_salt is not None:
+        year, week, _ = cfg.as_of.isocalendar()
+        seed = f"md5('{year}-W{week}_' || {label} || '_{cfg.jitter_salt}')"
+        width = cfg.jitter_max - cfg.jitter_min + 1
+        value = f"({value} + CAST('0x' || left({seed}, 8) AS BIGINT) % {width} + {cfg.jitter_min})"
+    return f"CAST(CASE WHEN {value} > {cfg.mask} THEN {value} ELSE 0 END AS BIGINT)"
 
 SUBJECTS_CTE = """
 _lines AS (SELECT l_orderkey, min(l_quantity) AS q_min, max(l_quantity) AS q_max FROM lineitem GROUP BY l_orderkey),
@@ -121,7 +133,9 @@ def chart_ctes(p: str, src: str, cfg: ChartConfig, jitter: bool) -> str:
          '- ' || label, CAST(value AS DOUBLE) FROM {p}_sex
   UNION ALL
   SELECT 4, 1, 'followup-years', '{hdr_fu}',
-         CASE WHEN ok THEN floor((200 * fsum + fcnt) / (2 * fcnt)) / 100.0 ELSE 0.0 END FROM {p}_head
+         CASE WHEN ok THEN (100 * fsum // fcnt + CASE
+           WHEN 2 * (100 * fsum % fcnt) > fcnt THEN 1
+           WHEN 2 * (100 * fsum % fcnt) = fcnt AND (100 * fsum // fcnt) % 2 = 1 THEN 1 ELSE 0 END) / 100.0 ELSE 0.0 END FROM {p}_head
 )"""
 
 
@@ -131,10 +145,8 @@ def with_(*ctes: str) -> str:
 
 def clean_text(x: str) -> str:
     """F1 in DuckDB SQL (same substitutions, same order)."""
-    from ..functions.text import TEXT_SUBS
-
     out = x
-    for src, dst in TEXT_SUBS:
+    for src, dst in SUBSTITUTIONS:
         d = "chr(10)" if dst == "\n" else "'" + dst.replace("'", "''") + "'"
         out = f"replace({out}, '{src.replace(chr(39), chr(39) * 2)}', {d})"
     return out

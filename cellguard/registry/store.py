@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from ..config import ChartConfig, LoadConfig
 from ..operators import filters as FL
 from ..plans import chart as C
@@ -48,7 +50,6 @@ LCFG_PRIORITY = replace(LCFG, min_priority=1)
 LCFG_DICT_ONLY = replace(LCFG, dictionary_only=True)
 LCFG_MAPPED = replace(LCFG, enrollment_mapping="building==construction&machinery==heavy_industry",
                       gender_mapping="female==F&male==M")
-LCFG_SHORT_LISTS = replace(LCFG, max_value_list=3)
 
 
 def store(spark, sf, cfg: LoadConfig = LCFG):
@@ -115,7 +116,35 @@ def _chart(fs, part):
     return run
 
 
+def text_id_subjects(spark, sf):
+    """Q7 with ids that are not numbers: one subject per order, none merged."""
+    w = T.cohort_wide(spark, sf)
+    named = w.withColumn("subject_id", F.concat(F.lit("S-"), F.col("subject_id")))
+    return load_cohort(named, T.dictionary(spark), LCFG).subjects
+
+
+def numbered_subjects(spark, sf):
+    """Q7 without an id column: subjects are numbered by row; counted, as the row order is the input's."""
+    s = load_cohort(T.cohort_wide(spark, sf).drop("subject_id"), T.dictionary(spark), replace(LCFG, case_col=None))
+    return s.subjects.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("case").alias("cases"),
+                          F.min(F.col("case").cast("long")).alias("lowest"),
+                          F.max(F.col("case").cast("long")).alias("highest"))
+
+
+def load_report(spark, sf):
+    """What the load could not use: dates made unreadable in every seventh order, statuses missing in every ninth."""
+    key = F.col("subject_id").cast("long")
+    w = (T.cohort_wide(spark, sf)
+         .withColumn("order_dt", F.when(key % 7 == 0, F.lit("some day")).otherwise(F.col("order_dt")))
+         .withColumn("current_status", F.when(key % 9 == 0, F.lit("NA")).otherwise(F.col("current_status"))))
+    r = load_cohort(w, T.dictionary(spark), LCFG).report
+    return r.where(F.col("col").isin("order_dt", "current_status", "enrollment"))
+
+
 QUERIES = {
+    "load_subjects_text_id": text_id_subjects,
+    "load_subjects_numbered": numbered_subjects,
+    "load_report": load_report,
     "load_variable": lambda spark, sf: store(spark, sf).variable,
     "load_values": lambda spark, sf: store(spark, sf).value,
     "load_items": lambda spark, sf: store(spark, sf).item,
@@ -158,7 +187,7 @@ def _cases_sql(f) -> str:
         cond += f" AND x.name_numeric >= {float(f.lo)}"
     if f.hi is not None:
         cond += f" AND x.name_numeric <= {float(f.hi)}"
-    return (f'SELECT DISTINCT v."case" FROM s_variable v JOIN s_value x ON x.id = v.value '
+    return (f'SELECT DISTINCT v."case" FROM s_variable v JOIN s_value x ON x.id = v.value AND x.item = v.item '
             f"WHERE v.item = {f.item}{cond}")
 
 
@@ -187,7 +216,7 @@ def _export_sql(fs) -> str:
             else:
                 t = f"'(' || {var} || ' >= {f.lo})'"
         else:
-            names = " || ', ' || ".join(f"(SELECT name FROM s_value WHERE id = {v})" for v in f.values)
+            names = " || ', ' || ".join(f"(SELECT name FROM s_value WHERE id = {v} AND item = {f.item})" for v in f.values)
             t = (f"'(' || {var} || ' IN (' || {names} || '))'" if len(f.values) > 1
                  else f"'(' || {var} || ' = ' || {names} || ')'")
         parts.append(t)
@@ -218,6 +247,14 @@ UNION ALL SELECT {zero} FROM {src_b} WHERE (SELECT m FROM mode) = 'empty'"""
 
 
 SQL = {
+    "load_subjects_text_id": _store_sql("""SELECT 'S-' || "case" AS "case", * EXCLUDE ("case") FROM s_subjects"""),
+    "load_subjects_numbered": """SELECT count(*) AS n, count(*) AS cases, CAST(0 AS BIGINT) AS lowest,
+  count(*) - 1 AS highest FROM orders""",
+    "load_report": """SELECT 'order_dt' AS col, 'unreadable' AS reason, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'current_status', 'missing', count(*) FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  WHERE o_orderkey % 9 = 0 OR c_mktsegment IS NULL
+UNION ALL SELECT 'enrollment', 'subject without it', count(*) FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  WHERE o_orderkey % 9 = 0 OR c_mktsegment IS NULL""",
     "load_variable": _store_sql("SELECT * FROM s_variable"),
     "load_values": _store_sql("SELECT * FROM s_value"),
     "load_items": _store_sql("SELECT * FROM s_item"),

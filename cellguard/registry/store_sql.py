@@ -7,9 +7,14 @@ functions, so it is an independent restatement of the load rules, not a copy of
 from __future__ import annotations
 
 from ..config import LoadConfig
-from ..plans.load import MISSING, UNSEEN_ORDER_BASE
 from ..sources import testdata as T
 
+# Fixed values, stated here on their own: what reads as missing, and the order before the first unseen label.
+MISSING_AS_WRITTEN = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                      "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+MISSING_ANY_CASE = ["", ".", "missing"]
+BEFORE_FIRST_UNSEEN = 123
+
 WIDE_COLS = [
     "age_bl", "age_fu", "gender", "current_status", "followup_years", "price_k", "order_dt", "priority",
     "priority_desc", "disc", "qty_avg", "balance_band", "cust_ref", "urgency",
@@ -57,7 +62,11 @@ def typed_name(x: str) -> str:
 
 
 def value_id(varname: str, name: str) -> str:
-    return f"(('0x' || substr(md5({varname} || '|' || {name}), 1, 15))::BIGINT)"
+    return f"(('0x' || substr(md5({varname} || '|' || {same_number(name)}), 1, 15))::BIGINT)"
+
+
+def same_number(name: str) -> str:
+    return rf"regexp_replace({name}, '^(-?[0-9]+)\.0$', '\1')"
 
 
 def _dict_values(min_priority: int = 0) -> str:
@@ -83,7 +92,8 @@ def store_ctes(cfg: LoadConfig) -> str:
     cols = ", ".join(f"({i}, {q(c)})" for i, c in enumerate(WIDE_COLS))
     roles = " ".join(f"WHEN {q(c)} THEN {q(r)}" for c, r in cfg.datamodel_vars.items())
     skip = ", ".join(q(c) for c in sorted(cfg.all_skip_rounding)) or "''"
-    missing = ", ".join(q(m) for m in MISSING)
+    unread = ", ".join(q(m) for m in MISSING_AS_WRITTEN)
+    missing = ", ".join(q(m) for m in MISSING_ANY_CASE)
     amin, amax, astep = cfg.age_min, cfg.age_max, cfg.age_step
     top = amax - astep
     opt_re = r"^([^=\s]+)[=\s]+(.*)$"
@@ -112,7 +122,7 @@ def store_ctes(cfg: LoadConfig) -> str:
 _lines AS (SELECT l_orderkey, min(l_quantity) AS q_min, max(l_quantity) AS q_max, max(l_discount) AS d_max,
                   avg(l_quantity) AS q_avg FROM lineitem GROUP BY l_orderkey),
 wide AS (
-  SELECT o_orderkey AS "case",
+  SELECT CAST(o_orderkey AS VARCHAR) AS "case",
     CAST(CAST(trunc(30 + q_min) AS BIGINT) AS VARCHAR) AS age_bl,
     CAST(CAST(trunc(30 + q_max) AS BIGINT) AS VARCHAR) AS age_fu,
     CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' WHEN 'P' THEN '3' END AS gender,
@@ -167,7 +177,8 @@ opts AS (
 long AS (
   SELECT u."case", u.col, lower(u.raw) AS raw, r.varname, r.role, r.kind, r.item_id
   FROM (UNPIVOT wide ON {", ".join(WIDE_COLS)} INTO NAME col VALUE raw) u JOIN rules r ON r.col = u.col
-  WHERE r.kind != 'excluded' AND u.raw IS NOT NULL AND lower(u.raw) NOT IN ({missing})
+  WHERE r.kind != 'excluded' AND u.raw IS NOT NULL AND u.raw NOT IN ({unread})
+    AND lower(u.raw) NOT IN ({missing})
 ),
 _num0 AS (
   SELECT *, CASE kind
@@ -225,7 +236,7 @@ _res AS (
 ),
 _unseen AS (
   SELECT u.col, u.raw,
-         CAST(floor(coalesce(t.top, {float(UNSEEN_ORDER_BASE)})) + row_number() OVER (PARTITION BY u.col ORDER BY u.raw) AS INTEGER) AS n_order
+         CAST(floor(coalesce(t.top, {float(BEFORE_FIRST_UNSEEN)})) + row_number() OVER (PARTITION BY u.col ORDER BY u.raw) AS INTEGER) AS n_order
   FROM _res u LEFT JOIN _top t ON t.name = u.varname WHERE u.m_name IS NULL AND u.key IS NULL
 ),
 resolved AS (
@@ -244,12 +255,14 @@ s_variable AS (
 ),
 s_value AS (
   SELECT {value_id('varname', 'name')} AS id, item_id AS item, name, {to_double('name')} AS name_numeric,
-         CAST(NULL AS VARCHAR) AS description, CAST(min(ord) AS INTEGER) AS "order"
+         CAST(NULL AS VARCHAR) AS description, "order", listed
   FROM (
-    SELECT varname, item_id, name, ord FROM norm WHERE item_id IS NOT NULL
-    UNION ALL
-    SELECT o.name, r.item_id, o.label, o.ord FROM opts o JOIN rules r ON r.varname = o.name AND r.kind = 'coded'
-  ) GROUP BY varname, item_id, name
+    SELECT varname, item_id, min(name) AS name, CAST(min(ord) AS INTEGER) AS "order", bool_or(seen) AS listed FROM (
+      SELECT varname, item_id, name, ord, true AS seen FROM norm WHERE item_id IS NOT NULL
+      UNION ALL
+      SELECT o.name, r.item_id, o.label, o.ord, false
+      FROM opts o JOIN rules r ON r.varname = o.name AND r.kind = 'coded'
+    ) GROUP BY varname, item_id, {same_number('name')})
 ),
 s_category AS (
   SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS id, domain AS name, CAST(NULL AS VARCHAR) AS description,
@@ -266,11 +279,11 @@ s_subjects AS (
   FROM (SELECT "case", role, name FROM norm WHERE role IS NOT NULL
         UNION ALL SELECT "case", NULL, NULL FROM wide) GROUP BY "case"
 ),
-{ranges_ctes(cfg.max_value_list)},
+{ranges_ctes()},
 s_item AS (
   SELECT d.seq + 1 AS id, d.label AS name, d.name AS varname, d.description, c.id AS category,
     (NOT regexp_matches(trim(d.vals), '^\\w{{1,3}}\\s*=') AND d.vals != '') AS is_numeric,
-    (r.kind IS NOT NULL AND (hr.has_range OR lv.vals IS NOT NULL)) AS is_loaded,
+    (r.kind IS NOT NULL AND (hr.has_range OR st.item_id IS NOT NULL)) AS is_loaded,
     CASE WHEN hr.has_range THEN CASE WHEN r.kind IN ('date', 'year', 'age') THEN false ELSE coalesce(ir.is_float, false) END
          ELSE false END AS is_float,
     CASE WHEN hr.has_range THEN CASE WHEN r.kind = 'age' THEN {float(amin)} WHEN r.kind IN ('date', 'year') THEN st.vmin
@@ -279,14 +292,12 @@ s_item AS (
          ELSE ir."end" END END AS range_end,
     CASE WHEN hr.has_range THEN CASE WHEN r.kind = 'age' THEN {float(astep)} WHEN r.kind IN ('date', 'year') THEN 5.0
          ELSE ir.step END END AS range_step,
-    CASE WHEN NOT hr.has_range THEN lv.vals END AS "values",
     CASE WHEN r.kind IN ('date', 'year', 'age') THEN 5 WHEN r.kind IN ('date_int', 'int_only') THEN 1 END AS rounded
   FROM dict d
   LEFT JOIN (SELECT * FROM rules WHERE item_id IS NOT NULL AND kind != 'excluded') r ON r.item_id = d.seq + 1
   LEFT JOIN (SELECT name AS domain, id FROM s_category) c ON c.domain = d.domain
   LEFT JOIN _istats st ON st.item_id = d.seq + 1
-  LEFT JOIN _irange ir ON ir.item_id = d.seq + 1
-  LEFT JOIN _ilist lv ON lv.item_id = d.seq + 1,
+  LEFT JOIN _irange ir ON ir.item_id = d.seq + 1,
   LATERAL (SELECT (r.kind IN ('date', 'year', 'age'))
                   OR (coalesce(st.n_text, 1) = 0 AND NOT coalesce(st.any_cat, false) AND ir.start IS NOT NULL)
                   AS has_range) hr
@@ -294,8 +305,8 @@ s_item AS (
 )"""
 
 
-def ranges_ctes(max_list: int = 1000) -> str:
-    """A13 in SQL over norm (per item) plus the per-item stats and value lists."""
+def ranges_ctes() -> str:
+    """A13 in SQL over norm (per item) plus the per-item stats."""
     trunc = "trunc"
     return f"""
 _istats AS (
@@ -357,12 +368,4 @@ _irange AS (
     f AS is_float
   FROM (SELECT item_id, CASE WHEN seg THEN nmin ELSE lo END AS s, CASE WHEN seg THEN nmax ELSE hi END AS e,
                CASE WHEN seg THEN r ELSE st END AS p, CASE WHEN seg THEN r_f ELSE lo_f END AS f FROM _a4)
-),
-_ilist AS (
-  SELECT v.item AS item_id, list(v.id ORDER BY coalesce(v."order", 1073741824), v.name, v.id) AS vals
-  FROM s_value v
-  JOIN (SELECT DISTINCT item_id, name FROM norm WHERE item_id IS NOT NULL) u ON u.item_id = v.item AND u.name = v.name
-  WHERE v.item IN (SELECT item_id FROM norm WHERE item_id IS NOT NULL GROUP BY item_id
-                   HAVING count(DISTINCT name) <= {max_list})
-  GROUP BY v.item
 )"""

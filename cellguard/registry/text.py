@@ -10,7 +10,7 @@ from ..operators.groups import consecutive_groups_bucketed
 from . import sqlparts as S
 from ..operators.search import search
 from ..operators.groups import dictionary_view
-from ..sources.files import comments_for, ingest_dictionary, parse_sections, stack_sheets
+from ..sources.files import comments_for, ingest_dictionary, parse_sections, sheet_rows, stack_sheets
 from ..sources.testdata import table
 
 PART_QUERY = "green  bolt*"
@@ -77,6 +77,7 @@ def text_scalars(spark, sf):
         clean_text(F.concat_ws("||", "p_name", "p_type")).alias("cleaned"),
         clean_number(F.concat(F.lit(" $"), F.format_number(F.col("p_retailprice"), 2), F.lit(" "))).alias("number"),
         trunc_decimal(F.col("p_size")).alias("size_text"),
+        trunc_decimal(F.col("p_retailprice")).alias("price_text"),
     )
 
 
@@ -94,19 +95,19 @@ def data_dictionary(spark, sf):
 def dictionary_groups(spark, sf):
     """Q5: consecutive entries of one category, split by blocks of 1000 ids so no task holds every entry."""
     v = dictionary_view(_part_entries(spark, sf), bucket=F.floor(F.col("id") / 1000))
-    return v.select("id", "name", F.size("data").alias("n"), F.col("data")[0]["label"].alias("first_label"),
-                    F.element_at("data", -1)["label"].alias("last_label"))
-
-
-# The market segments of the customer table (one sheet each).
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return v.select("id", "name", F.size("data").alias("n"), F.array_join(F.transform("data", lambda d: F.concat_ws(
+        "=", d["seq"].cast("string"), d["label"], d["category"], d["values"])), "|").alias("members"))
 
 
 def stacked_sheets(spark, sf):
-    """S3: one sheet per market segment, columns kept by name case-insensitively, the sheet name appended."""
+    """S3: two sheets, the customers and the suppliers, columns kept by name in any case, the sheet name appended;
+    customers carry their own sheet names (one per market segment), read in one pass."""
     c = table(spark, sf, "customer")
-    sheets = {seg: c.where(F.col("c_mktsegment") == seg) for seg in SEGMENTS}
-    return stack_sheets(sheets, keep=["C_NAME", "c_acctbal", "c_custkey"], sheet_col="Segment", drop_empty=True)
+    s = table(spark, sf, "supplier").toDF(*[x.replace("s_", "C_", 1) for x in table(spark, sf, "supplier").columns])
+    keep = ["c_name", "C_ACCTBAL"]
+    by_segment = sheet_rows(c, keep=keep, sheet=F.col("c_mktsegment"), sheet_col="Segment", drop_empty=True)
+    suppliers = stack_sheets({"SUPPLIERS": s}, keep=keep, sheet_col="Segment", drop_empty=True)
+    return by_segment.unionByName(suppliers)
 
 
 QUERIES = {
@@ -147,10 +148,9 @@ _parsed AS (
 )"""
 
 SQL = {
-    "stack_sheets": f"""SELECT c_name AS "C_NAME", c_acctbal, c_custkey, c_mktsegment AS "Segment" FROM customer
-WHERE c_mktsegment IN ({", ".join("'" + x + "'" for x in SEGMENTS)})
-  AND (length(trim(CAST(c_name AS VARCHAR))) > 0 OR length(trim(CAST(c_acctbal AS VARCHAR))) > 0
-       OR length(trim(CAST(c_custkey AS VARCHAR))) > 0)""",
+    "stack_sheets": """SELECT c_name, c_acctbal AS "C_ACCTBAL", c_mktsegment AS "Segment" FROM customer
+WHERE c_name <> '' OR c_acctbal IS NOT NULL
+UNION ALL SELECT s_name, s_acctbal, 'SUPPLIERS' FROM supplier WHERE s_name <> '' OR s_acctbal IS NOT NULL""",
     "data_dictionary": """SELECT p_partkey AS id, p_name AS label, CAST(p_partkey AS VARCHAR) AS variable,
   p_brand AS "values", p_type AS category, CAST(p_size AS VARCHAR) AS description
 FROM part WHERE p_partkey IS NOT NULL""",
@@ -160,7 +160,8 @@ FROM part WHERE p_partkey IS NOT NULL""",
                     AND row_number() OVER (ORDER BY p_partkey) > 1 THEN 0 ELSE 1 END AS s
     FROM part WHERE p_partkey IS NOT NULL))
 SELECT min(p_partkey) AS id, arg_min(p_type, p_partkey) AS name, CAST(count(*) AS INTEGER) AS n,
-       arg_min(p_name, p_partkey) AS first_label, arg_max(p_name, p_partkey) AS last_label
+       string_agg(p_partkey || '=' || p_name || '=' || CAST(p_partkey AS VARCHAR) || '=' || p_brand, '|'
+                  ORDER BY p_partkey) AS members
 FROM g GROUP BY grp""",
     "search_parts": f"""SELECT p_partkey, p_name, p_type, {_score_sql(['p_name', 'p_type'], PART_QUERY)} AS score
 FROM part WHERE {_score_sql(['p_name', 'p_type'], PART_QUERY)} > 0""",
@@ -188,6 +189,7 @@ WHERE role = 'user' AND length(v) > 0 AND NOT prefix(v, '#')""",
   upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS cap_name,
   replace(p_name || '||' || p_type, '||', chr(10)) AS cleaned,
   trim(replace(replace(' $' || format('{:,.2f}', p_retailprice) || ' ', ',', ''), '$', '')) AS number,
-  CAST(p_size AS VARCHAR) AS size_text
+  CAST(p_size AS VARCHAR) AS size_text,
+  regexp_replace(CAST(p_retailprice AS VARCHAR), '([.][0-9])[0-9]+$', '\\1') AS price_text
 FROM part""",
 }

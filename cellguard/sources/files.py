@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, not_empty, truncate_description
+from ..functions.text import clean_text, not_empty
 from ..operators.rows import with_row_index
 
 DICTIONARY_FIELDS = ["name", "label", "domain", "description", "priority", "values"]
@@ -27,7 +27,8 @@ def scan_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The dictionary CSV -> (seq, name, label, description, values, domain, priority).
 
     A header *containing* one of the field words maps to that field (first match wins); name, label, domain and
-    description are required; priority defaults to 0; descriptions over 499 characters are cut to 496 + '...'.
+    description are required; priority defaults to 0. Descriptions are kept whole (``truncate_description`` is for
+    display).
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     found: dict[str, str] = {}
@@ -47,49 +48,63 @@ def scan_dictionary(spark: SparkSession, path: str) -> DataFrame:
         "seq",
         clean_text(F.lower(get("name"))).alias("name"),
         clean_text(get("label")).alias("label"),
-        truncate_description(clean_text(get("description"))).alias("description"),
+        clean_text(get("description")).alias("description"),
         F.coalesce(get("values"), F.lit("")).alias("values"),
         get("domain").alias("domain"),
         F.coalesce(get("priority", 0).cast("int"), F.lit(0)).alias("priority"),
     )
 
 
+def _picks(columns: list[str], keep: list | None, ignore: list | None, ignore_case: bool) -> list[Column]:
+    """The kept columns: ``keep`` in its order (named as it names them), else all but ``ignore``; both list names or
+    0-based positions, which may also come as text."""
+    fold = str.lower if ignore_case else str
+
+    def at(spec) -> int | None:
+        named = [i for i, c in enumerate(columns) if fold(c) == fold(str(spec))]
+        if named:
+            return named[0]
+        return int(spec) if str(spec).isdigit() and int(spec) < len(columns) else None
+
+    if keep:
+        found = [(at(s), s) for s in keep]
+        return [F.col(f"`{columns[i]}`").alias(columns[i] if str(s).isdigit() else s) for i, s in found if i is not None]
+    gone = {at(s) for s in ignore or []}
+    return [F.col(f"`{c}`") for i, c in enumerate(columns) if i not in gone]
+
+
+def sheet_rows(df: DataFrame, keep: list | None = None, ignore: list | None = None, sheet: Column | None = None,
+               sheet_col: str | None = "SheetName", drop_empty: bool = False, ignore_case: bool = True) -> DataFrame:
+    """S3 for rows that carry their sheet's name (an expression, e.g. the input file): one pass for all sheets."""
+    picks = _picks(df.columns, keep, ignore, ignore_case)
+    if drop_empty:
+        filled = [F.length(F.trim(p.cast("string"))) > 0 for p in picks]
+        df = df.where(reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in filled]))
+    return df.select(*picks, *([sheet.alias(sheet_col)] if sheet_col and sheet is not None else []))
+
+
 def stack_sheets(sheets: dict[str, DataFrame], keep: list | None = None, ignore: list | None = None,
                  sheet_col: str | None = "SheetName", drop_empty: bool = False, ignore_case: bool = True) -> DataFrame:
-    """S3: union of per-sheet tables with the sheet name as a column.
+    """S3: union of per-sheet tables with the sheet name as a column. Sheets lacking a column get NULL there."""
+    parts = [sheet_rows(df, keep, ignore, F.lit(name), sheet_col, drop_empty, ignore_case)
+             for name, df in sheets.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def scan_sheet_folder(spark: SparkSession, path: str, header_rows: int = 1, **options) -> DataFrame:
+    """S3 over a folder of CSV sheets with one header: each file is a sheet named by the file, read in one pass.
 
-    ``keep`` / ``ignore`` name columns (case-insensitively by default) or give their 0-based positions; with
-    ``keep`` the output follows its order. Sheets lacking a column get NULL there.
+    With ``header_rows`` above 1 the further header lines are dropped: rows that repeat the first file's cells of
+    those lines.
     """
-    parts = []
-    for name, df in sheets.items():
-        cols = df.columns
-
-        def hit(i, c, spec):
-            for s in spec or []:
-                if isinstance(s, int) and s == i:
-                    return True
-                if isinstance(s, str) and (c == s or (ignore_case and c.lower() == s.lower())):
-                    return True
-            return False
-
-        if keep:
-            chosen = []
-            for s in keep:
-                for i, c in enumerate(cols):
-                    if hit(i, c, [s]):
-                        chosen.append(F.col(f"`{c}`").alias(s if isinstance(s, str) else c))
-                        break
-        else:
-            chosen = [F.col(f"`{c}`") for i, c in enumerate(cols) if not hit(i, c, ignore)]
-        part = df.select(*chosen)
-        if drop_empty:
-            part = part.where(reduce(lambda a, b: a | b,
-                                     [F.length(F.trim(F.col(f"`{c}`").cast("string"))) > 0 for c in part.columns]))
-        if sheet_col:
-            part = part.withColumn(sheet_col, F.lit(name))
-        parts.append(part)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if header_rows > 1:
+        extra = [tuple(r) for r in df.limit(header_rows - 1).collect()]
+        for row in extra:
+            same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(df.columns, row)])
+            df = df.where(~same)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)([.][^./]*)?$", 1)
+    return sheet_rows(df, sheet=name, **options)
 
 
 def parse_sections(lines: DataFrame, n_fields: int, names: list[str], sep: str = "==") -> DataFrame:
@@ -185,7 +200,7 @@ def write_rows_csv(df: DataFrame, path: str, cols: list[str] | None = None, join
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as one JSON text (``value``)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def line_not_empty(df: DataFrame, col: str) -> DataFrame:

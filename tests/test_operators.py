@@ -13,7 +13,7 @@ from cellguard.sources.files import to_json_rows
 def test_json_rows(spark):
     df = spark.createDataFrame([(1, "a", None)], "id long, name string, v double")
     out = [json.loads(r.value) for r in to_json_rows(df).collect()]
-    assert out == [{"id": 1, "name": "a"}]
+    assert out == [{"id": 1, "name": "a", "v": None}]
 
 
 def test_truncate_description(spark):
