@@ -61,9 +61,12 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def parts_for(total: int, each: int, spark) -> int:
-    """Parts of about ``each`` bytes, no fewer than the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+LEAST_PARTS = 16
+
+
+def parts_for(total: int, each: int) -> int:
+    """Parts of about ``each`` bytes of text, some at least: their number follows the corpus, not the session."""
+    return max(LEAST_PARTS, -(-total // each))
 
 
 SENT = "part long, block long, sent binary"

@@ -238,7 +238,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
     """Train on the rows whose id ``trains`` accepts and score all: one row per document, see ``SCORES``."""
     held = B.blocks(docs)
     total = held.agg({"n_bytes": "sum"}).first()[0] or 0
-    parts = B.parts_for(total, 16 << 20, docs.sparkSession)
+    parts = B.parts_for(total, 16 << 20)
     least = max(MIN_COUNT, -(-total // RARE))
     words = B.answer(B.send(held, lambda block, _: ask_words(block, trains, parts)),
                      lambda asked: merge_words(asked, least), "words")

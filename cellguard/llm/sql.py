@@ -1,3 +1,64 @@
-"""DuckDB SQL of the registered operators that SQL can express."""
+"""DuckDB SQL of the registered operators that SQL can express.
 
-SQL: dict[str, str] = {}
+Written from the operators' rules on rows and strings, not from their plans: the decontamination query compares the
+window texts at every place of every document, the template query keeps whole lines instead of hashes.
+"""
+
+_A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BETWEEN = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_A_TO_Z}), {_BETWEEN}), lambda x: x <> '')"
+
+OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+doc_windows AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+        FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, k, n, item_id FROM doc_windows JOIN item_windows USING (n, phrase)),
+places AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+           FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+_FIELD = r"'[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'"
+OP10 = rf"""WITH raw AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL),
+forms0 AS (SELECT *, trim(regexp_replace(regexp_replace(line, {_FIELD}), '[\x20\x09-\x0D]+', ' ', 'g')) AS m FROM raw),
+forms1 AS (SELECT *, string_split(m, ' ') AS t, CASE WHEN m = '' THEN 0 ELSE len(string_split(m, ' ')) END AS n,
+                  coalesce(lag(m) OVER o, chr(1)) AS before, coalesce(lead(m) OVER o, chr(1)) AS after
+           FROM forms0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+lines AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM forms1 WHERE n >= 3),
+busy AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(*) >= 8 AND min(m) <> max(m)),
+held AS (SELECT leaf, m, any_value(t) AS t, any_value(n) AS n, count(*) AS held
+         FROM lines WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, m),
+tokens AS (SELECT leaf, m, n, held, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM held),
+sizes AS (SELECT leaf, sum(held) AS everything FROM held GROUP BY leaf),
+votes AS (SELECT leaf, pos, token, sum(held) AS held FROM tokens GROUP BY leaf, pos, token),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY held DESC, token DESC) = 1),
+constants AS (SELECT best.leaf, pos, token FROM best JOIN sizes USING (leaf)
+              WHERE held >= 0.6::DOUBLE * everything AND token <> '<*>'),
+firm AS (SELECT leaf, count(*) AS firm FROM constants GROUP BY leaf),
+agree AS (SELECT leaf, m, any_value(n) AS n, count(*) AS same FROM tokens JOIN constants USING (leaf, pos, token)
+          GROUP BY leaf, m),
+general AS (SELECT leaf, m FROM agree JOIN firm USING (leaf) WHERE same = firm AND firm >= 0.75::DOUBLE * n),
+named AS (SELECT doc_id, i, before, after, CASE WHEN g.m IS NULL THEN 'line ' || l.m ELSE 'leaf ' || l.leaf END AS template
+          FROM lines l LEFT JOIN general g ON g.leaf = l.leaf AND g.m = l.m),
+passed AS (SELECT template, min((doc_id, i)) AS first FROM named GROUP BY template
+           HAVING count(DISTINCT doc_id) >= 8 AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 8
+             AND 2 * greatest(count(DISTINCT before), count(DISTINCT after)) >= count(DISTINCT doc_id)),
+gone AS (SELECT doc_id, i FROM named JOIN passed USING (template) WHERE (doc_id, i) <> first),
+left_over AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_dropped,
+                string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY raw.i) AS text
+              FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = raw.i GROUP BY raw.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       sha256(coalesce(l.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
+
+SQL: dict[str, str] = {"op5_positional_index": OP5, "op10_template_tree": OP10}

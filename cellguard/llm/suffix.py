@@ -309,8 +309,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if ``keep_text``) per document row."""
     held = B.blocks(docs)
     total = held.agg({"n_bytes": "sum"}).first()[0] or 0
-    gram_parts = B.parts_for(total, 24 << 20, docs.sparkSession)
-    parts = B.parts_for(total, 16 << 20, docs.sparkSession)
+    gram_parts = B.parts_for(total, 24 << 20)
+    parts = B.parts_for(total, 16 << 20)
     grams = B.answer(B.send(held, lambda block, _: ask_grams(block, gram_parts)), merge_grams, "grams")
     asked = B.send(held, lambda block, told: ask_stretches(block, told, gram_parts, parts), [grams])
     found = B.answer(asked, merge_stretches, "stretches")
