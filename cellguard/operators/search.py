@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
+from ..session import cut_lineage
 
 
 def score(fields: list[str], terms: list[str]) -> Column:
@@ -51,6 +52,9 @@ def search(
     by_rel = [F.col("score").desc(), F.col(id_col).asc()]
     if limit is not None:
         return hits.orderBy(*by_rel).limit(limit)
+    if order_by_relevance != 0:
+        # sorting reads its input twice (a sample for the ranges first): the texts are scanned once, for the hits
+        hits = cut_lineage(hits, "hits")
     if order_by_relevance < 0:
         return hits.orderBy(*by_rel)
     if order_by_relevance > 0:
