@@ -302,13 +302,11 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
         check_cases(cases)
     options = K.value_options(d)
     norm = normalize_parsed(cells.where(F.col("kind") != "marker"), options, cfg)
+    # ids are stored with the rows: filters on values then reach the scan, and no query hashes names again
+    norm = norm.withColumn("value", value_id(F.col("varname"), F.col("name")))
     if materialize:
         norm = cut_lineage(norm, "eav")
-    vid = value_id(F.col("varname"), F.col("name"))
-
-    variable = norm.where(F.col("item_id").isNotNull()).select(
-        "case", F.col("item_id").alias("item"), vid.alias("value")
-    )
+    variable = norm.where(F.col("item_id").isNotNull()).select("case", F.col("item_id").alias("item"), "value")
     dv = distinct_values(norm)
     if materialize:
         dv = cut_lineage(dv, "values")

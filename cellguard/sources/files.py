@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text, not_empty
 from ..operators.rows import with_row_index
 
+STORE_TABLES = ("variable", "value", "item", "category", "subjects")
+SLICES = 8  # tasks that share the writing of one item
 DICTIONARY_FIELDS = ["name", "label", "domain", "description", "priority", "values"]
 
 
@@ -152,19 +154,23 @@ def latest_checksum(files: DataFrame, order_col: str = "modificationTime") -> Da
 
 
 def write_store(store, path: str, mode: str = "overwrite") -> None:
-    """Every store table as parquet; the variable table partitioned by item (a filter on an item prunes)."""
+    """Every store table as parquet; the variable table partitioned by item (a filter on an item prunes).
+
+    The variable rows are dealt by item and a slice of the cases first, so an item is written by ``SLICES`` tasks at
+    most: few files each, and no task holds a whole item.
+    """
     for name, df in store.tables().items():
-        w = df.write.mode(mode)
         if name == "variable":
-            w = w.partitionBy("item")
-        w.parquet(f"{path}/{name}")
+            df = df.repartition("item", F.pmod(F.xxhash64("case"), F.lit(SLICES)))
+            df.write.mode(mode).partitionBy("item").parquet(f"{path}/{name}")
+        else:
+            df.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def read_store(spark: SparkSession, path: str):
     from ..plans.load import Store
 
-    return Store(**{n: spark.read.parquet(f"{path}/{n}") for n in
-                    ("variable", "value", "item", "category", "subjects")})
+    return Store(**{n: spark.read.parquet(f"{path}/{n}") for n in STORE_TABLES})
 
 
 def save_store_tables(store, prefix: str, buckets: int, mode: str = "overwrite") -> None:
@@ -174,18 +180,26 @@ def save_store_tables(store, prefix: str, buckets: int, mode: str = "overwrite")
     ``groupBy(case)`` and the chart's join of subjects with the selected cases then need no exchange.
     """
     for name, df in store.tables().items():
-        w = df.write.mode(mode).format("parquet")
-        if name == "variable":
-            w = w.partitionBy("item").bucketBy(buckets, "case")
+        bucket = F.pmod(F.hash("case"), F.lit(buckets)) if name in ("variable", "subjects") else None
+        if name == "variable":  # one file per item and bucket
+            w = df.repartition("item", bucket).write.partitionBy("item").bucketBy(buckets, "case")
         elif name == "subjects":
-            w = w.bucketBy(buckets, "case")
-        w.saveAsTable(f"{prefix}_{name}")
+            w = df.repartition(buckets, bucket).write.bucketBy(buckets, "case")
+        else:
+            w = df.write
+        w.mode(mode).format("parquet").saveAsTable(f"{prefix}_{name}")
+
+
+def drop_store_tables(spark: SparkSession, prefix: str) -> None:
+    """S7 lifecycle: drop the store's tables (those that exist)."""
+    for name in STORE_TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {prefix}_{name}")
 
 
 def read_store_tables(spark: SparkSession, prefix: str):
     from ..plans.load import Store
 
-    return Store(**{n: spark.table(f"{prefix}_{n}") for n in ("variable", "value", "item", "category", "subjects")})
+    return Store(**{n: spark.table(f"{prefix}_{n}") for n in STORE_TABLES})
 
 
 def write_rows_csv(df: DataFrame, path: str, cols: list[str] | None = None, join_multiline: str | None = None,

@@ -43,7 +43,7 @@ def test_readme_cohort_loads(spark):
     cfg = LoadConfig(datamodel_vars=ROLES, case_col="subject_id", age_min=30, age_max=100, age_step=5)
     st = load_cohort(cohort, dictionary, cfg)
     subj = sorted(tuple(r) for r in st.subjects.collect())
-    assert subj == [(0, 65, 65, "male", "enrolled", 3), (1, 65, 95, "female", "disenrolled", 27)]
+    assert subj == [("0", 65, 65, "male", "enrolled", 3), ("1", 65, 95, "female", "disenrolled", 27)]
     items = {r.varname: r for r in st.item.collect()}
     assert set(items) == {"gender", "degree", "current_status", "edu_yrs"}
     edu = items["edu_yrs"]
@@ -52,11 +52,46 @@ def test_readme_cohort_loads(spark):
     names = {(r.item, r.name) for r in st.value.collect()}
     assert {(1, "male"), (1, "female"), (2, "doctorate"), (2, "bachelor"), (2, "ged"), (4, "15"), (4, "25")} <= names
     var = {(r.case, r.item) for r in st.variable.collect()}
-    assert var == {(c, i) for c in (0, 1) for i in (1, 2, 3, 4)}
+    assert var == {(c, i) for c in ("0", "1") for i in (1, 2, 3, 4)}
     cats = st.category.collect()
     assert [(c.id, c.name, c.order) for c in cats] == [(1, "Demographics", 0)]
 
 
+def test_repeated_and_missing_ids_are_refused(spark):
+    dictionary = S.scan_dictionary(spark, _write(DICT_CSV, "dict.csv"))
+    cfg = LoadConfig(datamodel_vars=ROLES, case_col="subject_id", age_min=30, age_max=100, age_step=5)
+    head, first, second = COHORT_CSV.strip().split("\n")[:3]
+    for rows in ([first, second, first], [first, "," + second.split(",", 1)[1]]):
+        cohort = S.scan_cohort(spark, _write("\n".join([head, *rows]) + "\n", "cohort.csv"))
+        try:
+            load_cohort(cohort, dictionary, cfg)
+            raise AssertionError("ids that do not tell subjects apart were accepted")
+        except ValueError as e:
+            assert "case column" in str(e)
+
+
+def test_lists_longer_than_a_thousand_values_are_kept(spark):
+    rows = [(str(i), f"word{i}") for i in range(1500)]
+    cohort = spark.createDataFrame(rows, "subject_id string, remark string")
+    dictionary = spark.createDataFrame([(0, "remark", "Remark", "x" * 700, "", "Notes", 0)],
+                                       "seq long, name string, label string, description string, values string, "
+                                       "domain string, priority int")
+    st = load_cohort(cohort, dictionary, LoadConfig(case_col="subject_id"))
+    assert st.value.where("listed").count() == 1500
+    item = st.item.collect()[0]
+    assert item.is_loaded and item.range_start is None and len(item.description) == 700
+
+
+def test_equal_numbers_share_a_value(spark):
+    cohort = spark.createDataFrame([("a", "1"), ("b", "1.0"), ("c", "2.0")], "subject_id string, score string")
+    dictionary = spark.createDataFrame([(0, "score", "Score", "", "", "Notes", 0)],
+                                       "seq long, name string, label string, description string, values string, "
+                                       "domain string, priority int")
+    st = load_cohort(cohort, dictionary, LoadConfig(case_col="subject_id"))
+    assert sorted(r.name for r in st.value.collect()) == ["1", "2.0"]
+    assert st.variable.select("value").distinct().count() == 2
+
+
 def test_dictionary_requires_fields(spark):
     p = _write("Name,Label\nx,y\n", "bad.csv")
     try:
