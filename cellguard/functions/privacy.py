@@ -30,17 +30,3 @@ def jitter_and_mask(value: Column, label: Column, cfg: ChartConfig, jitter: bool
     if jitter and cfg.jitter_salt is not None:
         value = value + noise(label, cfg)
     return mask(value.cast("long"), cfg.mask)
-
-
-def sql_noise(label_sql: str, cfg: ChartConfig) -> str:
-    """The same noise as DuckDB SQL text (used by the oracle queries)."""
-    span = cfg.jitter_max - cfg.jitter_min + 1
-    seed = f"('{cfg.jitter_prefix()}' || {label_sql} || '_{cfg.jitter_salt}')"
-    return f"((('0x' || substr(md5({seed}), 1, 8))::BIGINT % {span}) + ({cfg.jitter_min}))"
-
-
-def sql_jitter_and_mask(value_sql: str, label_sql: str, cfg: ChartConfig, jitter: bool = True) -> str:
-    v = value_sql
-    if jitter and cfg.jitter_salt is not None:
-        v = f"({value_sql} + {sql_noise(label_sql, cfg)})"
-    return f"(CASE WHEN {v} > {cfg.mask} THEN {v} ELSE 0 END)::BIGINT"

@@ -82,7 +82,8 @@ def infer_ranges(values: DataFrame, key: str = "item", v: str = "v", ideal: int
     times = _ceil((high * scale - low * scale) / float(ideal) / (coarse * scale))
     wide = ends.withColumn("many", (high - low) / step > ideal).withColumn(
         "wider", _trunc(times * coarse * scale) / scale).withColumn("wider_float", small)
-    many, wider = F.col("many"), F.col("wider")
+    wider = F.col("wider")
+    many = F.col("many") & (wider > 0)  # a step too fine to widen stays
     out = wide.select(
         key,
         F.when(many, F.floor(low / wider) * wider).otherwise(low).alias("start"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charts, events, facets, store, text
+from . import charts, events, facets, files, store, text
 
-_MODULES = [charts, store, facets, text, events]
+_MODULES = [charts, store, facets, text, events, files]
 
 
 def queries() -> dict:

@@ -49,6 +49,10 @@ def excluded_cases_fu(spark, sf):
     return H.excluded_cases(_subjects(spark, sf), "sex", "age_fu", CFG_JIT)
 
 
+def excluded_cases_bl(spark, sf):
+    return H.excluded_cases(_subjects(spark, sf), "sex", "age_bl", CFG_JIT)
+
+
 def enrollment_by_age_shared_jitter(spark, sf):
     """A3: one jitter offset per label for every bin (the reference's older histogram variant)."""
     m = H.censored_histogram(_subjects(spark, sf), "enrollment", "age_fu", CFG_JIT, jitter_per_bin=False)
@@ -100,6 +104,7 @@ QUERIES = {
     "sex_by_age_jittered": sex_by_age_jittered,
     "sex_totals_fu": sex_totals_fu,
     "excluded_cases_fu": excluded_cases_fu,
+    "excluded_cases_bl": excluded_cases_bl,
     "histogram_shared_jitter": enrollment_by_age_shared_jitter,
     "histogram_bins": histogram_bins,
     "histogram_step_top": histogram_step_top,
@@ -120,9 +125,7 @@ def _matrix_sql(age: str, cfg: ChartConfig) -> str:
 def _shared_jitter_sql() -> str:
     cfg = CFG_JIT
     n = cfg.n_bins
-    from ..functions.privacy import sql_jitter_and_mask
-
-    val = sql_jitter_and_mask("coalesce(c.raw, 0)", S.cap("d.enrollment"), cfg, True)
+    val = S.sql_jitter_and_mask("coalesce(c.raw, 0)", S.cap("d.enrollment"), cfg, True)
     return S.with_(
         S.SUBJECTS_CTE,
         f"""b AS (SELECT enrollment, {S.age_bin('age_fu', cfg)} AS bin FROM subjects WHERE enrollment IS NOT NULL),
@@ -152,6 +155,7 @@ def _chart_sql(select: str, cfg: ChartConfig, jitter: bool) -> str:
     return S.with_(S.SUBJECTS_CTE, S.chart_ctes("q", "subjects", cfg, jitter)) + "\n" + select
 
 
+_M_BL = S.with_(S.SUBJECTS_CTE, S.matrix_ctes("x", "subjects", "age_bl", CFG_JIT, True))
 _M_FU = S.with_(S.SUBJECTS_CTE, S.matrix_ctes("x", "subjects", "age_fu", CFG_JIT, True))
 
 SQL = {
@@ -161,6 +165,8 @@ SQL = {
     "sex_totals_fu": _M_FU + "\nSELECT label, CAST(sum(value) AS BIGINT) AS value FROM x_m GROUP BY label",
     "excluded_cases_fu": _M_FU
     + '\nSELECT b."case" FROM x_b b JOIN x_m m ON b.sex = m.sex AND b.bin = m.bin WHERE m.masked',
+    "excluded_cases_bl": _M_BL
+    + '\nSELECT b."case" FROM x_b b JOIN x_m m ON b.sex = m.sex AND b.bin = m.bin WHERE m.masked',
     "histogram_shared_jitter": _shared_jitter_sql(),
     "histogram_bins": _hist_sql("lineitem", "l_quantity", 0, 5.0, 10, False, []),
     "histogram_step_top": _hist_sql("orders", "o_totalprice", 0, 25000.0, 12, True, ["o_orderstatus"]),

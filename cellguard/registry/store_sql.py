@@ -355,8 +355,8 @@ _a3 AS (
         FROM _a2)
 ),
 _a4 AS (
-  SELECT item_id, seg, lo, hi, st, lo_f, r_f, r,
-    CASE WHEN ceil(lo / r) * r > lo THEN ceil((lo - r) / r) * r ELSE ceil(lo / r) * r END AS nmin,
+  SELECT item_id, seg AND r > 0 AS seg, lo, hi, st, lo_f, r_f, r,
+    floor(lo / r) * r AS nmin,
     ceil(hi / r) * r AS nmax
   FROM _a3
 ),
