@@ -53,28 +53,27 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return cut_lineage(keyed.join(wanted, "term", "left_semi"), "postings")
 
 
-def anchors(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """(phrase, n, offset, term, place): the two rarest terms (places 1 and 2) of the windows that can occur."""
+def anchors(phrases: DataFrame, index: DataFrame) -> list[DataFrame]:
+    """The rarest and second rarest term of the windows that can occur: two tables (phrase, n, offset, term)."""
     counts = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("many"))
     terms = phrases.select("phrase", "n", F.posexplode("words").alias("offset", "term")).join(counts, "term")
     own = Window.partitionBy("phrase")
     found = terms.withColumn("known", F.count(F.lit(1)).over(own)).where("known = n")
-    placed = found.select("phrase", "n", "offset", "term",
-                          F.row_number().over(own.orderBy("many", "offset")).alias("place")).where("place <= 2")
-    return cut_lineage(placed, "anchors")
+    placed = found.withColumn("place", F.row_number().over(own.orderBy("many", "offset"))).where("place <= 2")
+    placed = cut_lineage(placed.select("phrase", "n", "offset", "term", "place"), "places")
+    return [cut_lineage(placed.where(F.col("place") == k).drop("place"), f"anchors{k}") for k in (1, 2)]
 
 
-def moved_lists(index: DataFrame, rare: DataFrame, place: int) -> DataFrame:
-    """Offset-adjusted posting lists of each window's ``place``-th rarest term: (doc_id, text_key, phrase, n, start)."""
-    terms = rare.where(F.col("place") == place).select("phrase", "n", "offset", "term")
+def moved_lists(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Posting lists of one term a window, moved back by its offset: (doc_id, text_key, phrase, n, start)."""
     return (index.where("term <> ''").join(terms, "term")
             .select("doc_id", "text_key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"))
             .where("start >= 0"))
 
 
-def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
+def candidates(index: DataFrame, rare: list[DataFrame]) -> DataFrame:
     """Starts at which the two rarest terms of a window both stand (one term: all its postings)."""
-    first, second = moved_lists(index, rare, 1), moved_lists(index, rare, 2)
+    first, second = (moved_lists(index, terms) for terms in rare)
     one = first.where("n = 1")
     a, b = first.where("n > 1").alias("a"), second.select("doc_id", "text_key", "phrase", "start").alias("b")
     same = (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.text_key") == F.col("b.text_key")) & (
@@ -145,8 +144,8 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, width:
     index = build_index(docs, phrases.select(F.explode("words").alias("term")).distinct())
     rare = anchors(phrases, index)
     cell = F.floor(F.col("start") / (slack + 1))
-    a = moved_lists(index, rare, 1).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("a")
-    b = moved_lists(index, rare, 2).withColumn("cell", cell).alias("b")
+    a = moved_lists(index, rare[0]).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("a")
+    b = moved_lists(index, rare[1]).withColumn("cell", cell).alias("b")
     near = (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.text_key") == F.col("b.text_key")) & (
         F.col("a.cell") == F.col("b.cell")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (
         F.abs(F.col("a.start") - F.col("b.start")) <= slack)

@@ -118,7 +118,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with text rid of boilerplate lines, and n_lines (before) and n_dropped (LONG) after its columns."""
     gone = recurring_lines(docs, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__gone"))
-    gone = cut_lineage(gone, "gone").alias("g")
+    # both sides grow with the corpus: one shuffle by document at every size, not a broadcast while it is small
+    gone = cut_lineage(gone, "gone").hint("merge").alias("g")
     own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).alias("d")
     both = own.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id"))
                     & (F.col("d.__key") == F.col("g.text_key")), "left")
