@@ -52,6 +52,15 @@ LCFG_MAPPED = replace(LCFG, enrollment_mapping="building==construction&machinery
                       gender_mapping="female==F&male==M")
 
 
+def coded_categories(spark, sf):
+    """W4 on a dictionary whose codes come from the tables: the categories that hold coded items."""
+    from ..functions.codes import is_categorical
+    from ..plans.load import _categories, prepare_dictionary
+
+    d = prepare_dictionary(T.dictionary(spark, sf), LCFG)
+    return _categories(d.where(is_categorical(F.col("values"))))
+
+
 def store(spark, sf, cfg: LoadConfig = LCFG):
     return load_cohort(T.cohort_wide(spark, sf), T.dictionary(spark), cfg)
 
@@ -85,7 +94,7 @@ def column_rules_query(spark, sf):
 
     w = T.cohort_wide(spark, sf)
     cols = [c for c in w.columns if c != "subject_id"]
-    d = prepare_dictionary(T.dictionary(spark), LCFG)
+    d = prepare_dictionary(T.dictionary(spark, sf), LCFG)
     return column_rules(spark, cols, d, LCFG).select("col", "role", "kind", "item_id")
 
 
@@ -151,6 +160,7 @@ QUERIES = {
     "load_categories": lambda spark, sf: store(spark, sf).category,
     "load_subjects": lambda spark, sf: store(spark, sf).subjects,
     "column_rules": column_rules_query,
+    "coded_categories": coded_categories,
     "precomputed_chart": precomputed_chart,
     "load_subjects_from_csv": subjects_from_csv,
     "load_items_priority": lambda spark, sf: store(spark, sf, LCFG_PRIORITY).item,
@@ -262,6 +272,16 @@ UNION ALL SELECT 'enrollment', 'subject without it', count(*) FROM orders LEFT J
     "load_subjects": _store_sql("SELECT * FROM s_subjects"),
     "load_subjects_from_csv": _store_sql("SELECT * FROM s_subjects"),
     "precomputed_chart": _chart_sel_sql(None, "counts"),
+    "coded_categories": BASE + """, coded_dict AS (
+  SELECT seq, domain FROM dict WHERE name NOT IN ('current_status', 'priority')
+    AND regexp_matches(trim(vals), '^\\w{1,3}\\s*=')
+  UNION ALL SELECT seq, domain FROM dict WHERE name = 'current_status'
+    AND EXISTS (SELECT * FROM customer WHERE c_mktsegment IS NOT NULL)
+  UNION ALL SELECT seq, domain FROM dict WHERE name = 'priority'
+    AND EXISTS (SELECT * FROM orders WHERE o_orderpriority IS NOT NULL))
+SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS id, domain AS name, CAST(NULL AS VARCHAR) AS description,
+       CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS "order"
+FROM (SELECT domain, min(seq) AS f FROM coded_dict GROUP BY domain)""",
     "column_rules": _store_sql("SELECT col, role, kind, item_id FROM rules"),
     "load_items_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_item",
     "load_categories_priority": S.with_(Q.store_ctes(LCFG_PRIORITY)) + "\nSELECT * FROM s_category",

@@ -129,9 +129,23 @@ DATAMODEL_VARS = {
 }
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """The dictionary above as a DataFrame with its row position (``seq``), as ``scan_dictionary`` returns it."""
+def dictionary(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """The dictionary above as a DataFrame with its row position (``seq``), as ``scan_dictionary`` returns it.
+
+    Given the tables' folder, the codes of enrolment and priority come from the values the tables hold."""
     rows = [(i, *r) for i, r in enumerate(DICTIONARY)]
-    return spark.createDataFrame(
+    d = spark.createDataFrame(
         rows, "seq long, name string, label string, description string, values string, domain string, priority int"
     )
+    if sf_dir is None:
+        return d
+
+    def codes(name: str, text) -> object:
+        found = F.sort_array(F.collect_set(text))
+        numbered = F.transform(found, lambda x, i: F.concat_ws(" = ", (i + 1).cast("string"), F.regexp_replace(
+            x, "^[0-9]-", "")))
+        return table(spark, sf_dir, name).agg(F.array_join(numbered, "||")).scalar()
+
+    status, priority = codes("customer", F.lower("c_mktsegment")), codes("orders", F.lower("o_orderpriority"))
+    return d.withColumn("values", F.when(F.col("name") == "current_status", status)
+                        .when(F.col("name") == "priority", priority).otherwise(F.col("values")))
