@@ -1,16 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Nodes are contexts of up to ``DEPTH`` preceding words. A context is a candidate if it occurs in at least
-``MIN_COUNT`` training places and one place per ``RARE`` bytes of corpus (so there are at most as many candidates as
-``RARE`` a depth, whatever the corpus). It is retained if its next-symbol distribution diverges from that of its longest
-suffix: the mean leave-one-out gain of its training places, in nats, reaches ``GAIN``. Next-symbol distributions hold
-every training place of the corpus and are smoothed towards the suffix: P(w|s) = (n(s,w) + MU P(w|suffix)) / (n(s) +
-MU), down to the root's (c+1) / (N+V+1). A token is scored in the state of the longest retained suffix of the words
+Nodes are contexts of up to ``DEPTH`` preceding words. A context is a candidate if it occurs in at least ``MIN_COUNT``
+training places, however large the corpus is. It is retained if its next-symbol distribution diverges from that of its
+longest suffix: the mean leave-one-out gain of its training places, in nats, reaches ``GAIN``. Next-symbol distributions
+hold every training place of the corpus and are smoothed towards the suffix: P(w|s) = (n(s,w) + MU P(w|suffix)) / (n(s)
++ MU), down to the root's (c+1) / (N+V+1). A token is scored in the state of the longest retained suffix of the words
 before it in its document.
 
 Counts are merged in hash-dealt parts from distinct entries a block (see ``blocks``), so a frequent word or a copied
-document is one entry a block; the vocabulary and the distributions are never gathered in one place. Only candidate
-contexts, at most ``RARE`` a depth, reach the driver.
+document is one entry a block. A context's entries meet in one part, which decides whether it is retained, and the
+answers take counts and decisions back to the blocks that hold the context. Contexts of so many places that a part
+would grow by them (more than one of ``HOT`` of all tokens) are dealt by their next word too; only their gains, of at
+most ``HOT`` contexts a depth, are added up on the driver. The vocabulary, the candidates and the distributions are never
+gathered in one place.
+
+Words are counted by themselves. Contexts are told apart by 64-bit hashes of their words, among the candidates of one
+depth; entries by that and the next word's hash.
 
 Tokens: words between ASCII white space with A-Z lower-cased, and one end token a document. A null text is empty (its
 end alone). Training rows are those the caller marks; a null doc_id counts as the empty id. Repeated rows count and
@@ -29,15 +34,25 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 
-DEPTH, MIN_COUNT, RARE = 2, 10, 1 << 17
+DEPTH, MIN_COUNT = 4, 10
+HOT, HOT_LEAST = 4096, 1024
 GAIN, MU = 0.01, 500.0
+UNITS = 1 << 20  # a nat in the whole numbers that parts' gains are added in
 END = b""
 
 
-def word_parts(words: list[bytes], parts: int) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+    return np.fromiter((xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of word sequences followed by one more word."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15) + words
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 class Tokens:
@@ -52,175 +67,135 @@ class Tokens:
             numbers += [index.setdefault(w, len(index)) for w in words]
             self.lengths.append(len(words))
         self.words = list(index)
+        self.hash = word_hashes(self.words)
         self.number = np.array(numbers, np.int64)
-        lengths = np.array(self.lengths, np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        self.place = np.arange(len(self.number)) - np.repeat(starts, lengths)
+        self.end = index.get(END, -1)
+        self.doc = np.repeat(np.arange(len(texts)), np.array(self.lengths, np.int64))
         self.train = np.array([trains(i) for i in ids], bool)
         self.weight = self.train[self.doc].astype(np.int64)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.number, self.weight, len(self.words)).astype(np.int64)
 
-    def contexts(self, depth: int, known: dict[tuple, int]) -> np.ndarray:
-        """Number of the candidate context made of the ``depth`` words before each token, or -1."""
-        out = np.full(len(self.number), -1, np.int64)
-        if depth == 1:
-            own = np.array([known.get((w,), -1) for w in self.words] or [-1], np.int64)
-            out[1:] = own[self.number[:-1]]
-        else:
-            local = {w: i for i, w in enumerate(self.words)}
-            size = len(self.words) + 1
-            keys = {}
-            for words, number in known.items():
-                at = [local.get(w) for w in words]
-                if None not in at:
-                    keys[sum(a * size ** (depth - 1 - k) for k, a in enumerate(at))] = number
-            if keys and len(self.number) > depth:
-                joined = np.zeros(len(self.number) - depth, np.int64)
-                for k in range(depth):
-                    joined = joined * size + self.number[k:len(self.number) - depth + k]
-                values = np.array(sorted(keys), np.int64)
-                at = np.minimum(np.searchsorted(values, joined), len(values) - 1)
-                numbers = np.array([keys[v] for v in values.tolist()], np.int64)
-                out[depth:] = np.where(values[at] == joined, numbers[at], -1)
-        out[self.place < depth] = -1
-        return out
+    def parts(self, parts: int) -> np.ndarray:
+        return (self.hash % np.uint64(parts)).astype(np.int64)
 
 
 class Model:
-    """What every task needs: totals, and the candidate contexts of each depth with counts and whether retained."""
+    """What every task needs: totals, how contexts are dealt, and the hashes of the retained hot ones of each depth."""
 
-    def __init__(self, total: int, distinct: int):
-        self.total, self.distinct = total, distinct
-        self.known: list[dict[tuple, int]] = []
-        self.count: list[np.ndarray] = []
+    def __init__(self, total: int, distinct: int, parts: int = B.LEAST_PARTS):
+        self.total, self.distinct, self.parts = total, distinct, parts
+        self.least, self.hot = MIN_COUNT, max(HOT_LEAST, -(-total // HOT))
         self.kept: list[np.ndarray] = []
 
     def root(self, c: np.ndarray) -> np.ndarray:
         return (c + 1.0) / (self.total + self.distinct + 1.0)
 
 
-class Entries:
-    """The distinct (context, next word) entries of a block at one depth, dealt by the next word."""
-
-    def __init__(self, tokens: Tokens, depth: int, model: Model, parts: int):
-        self.state = tokens.contexts(depth, model.known[depth - 1])
-        self.at = np.nonzero(self.state >= 0)[0]
-        size = len(tokens.words)
-        key = self.state[self.at] * size + tokens.number[self.at]
-        self.key, self.first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
-        self.context, self.word = self.key // size, self.key % size
-        self.count = np.bincount(self.inverse, tokens.weight[self.at], len(self.key)).astype(np.int64)
-        self.part = word_parts(tokens.words, parts)[self.word] if size else self.word
-
-    def told(self, answers: dict, field: int) -> np.ndarray:
-        out = np.zeros(len(self.key), np.int64)
+class Places:
+    """A block's places: the candidate context of the present depth before each token, and its probability so far."""
+
+    def __init__(self, tokens: Tokens, model: Model, answers: list[dict]):
+        """``answers``: of the words, then of each depth that is known."""
+        self.tokens, self.model = tokens, model
+        self.counts = np.zeros(len(tokens.words), np.int64)
+        for p, own in B.split_by(tokens.parts(model.parts)):
+            self.counts[own] = answers[0][p]
+        self.base = model.root(self.counts)[tokens.number]
+        self.now = self.base.copy()
+        self.count, self.hash = self.counts, tokens.hash  # of the contexts by their numbers
+        self._follow(tokens.number, np.arange(len(tokens.number)), np.arange(len(tokens.words)))
+        for depth, answer in enumerate(answers[1:]):
+            self._step(answer, depth)
+
+    def _follow(self, number: np.ndarray, at: np.ndarray, last: np.ndarray) -> None:
+        """Sequences ``number``, ending at the tokens ``at``, are the contexts of the next tokens if frequent."""
+        fit = ((self.count >= self.model.least) & (last != self.tokens.end))[number]
+        self.context = np.full(len(self.tokens.number), -1, np.int64)
+        self.context[at[fit] + 1] = number[fit]  # a document's last token is its end: there is a next one
+        self.at = np.nonzero(self.context >= 0)[0]
+        size = max(1, len(self.tokens.words))
+        key = self.context[self.at] * size + self.tokens.number[self.at]
+        key, self.first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.of, self.word = key // size, key % size  # context and next word of the distinct entries
+        both = longer(self.hash[self.of], self.tokens.hash[self.word])
+        self.hot = self.count[self.of] >= self.model.hot
+        dealt = np.where(self.hot, both, self.hash[self.of])
+        self.part = (dealt % np.uint64(self.model.parts)).astype(np.int64)
+        self.longer = both
+
+    def _step(self, answer: dict, depth: int) -> None:
+        seen, kept = np.zeros(len(self.of), np.int64), np.zeros(len(self.of), bool)
         for p, own in B.split_by(self.part):
-            out[own] = answers[p][field]
-        return out
-
-
-def word_counts(tokens: Tokens, parts: int, answers: dict) -> np.ndarray:
-    out = np.zeros(len(tokens.words), np.int64)
-    for p, own in B.split_by(word_parts(tokens.words, parts)):
-        out[own] = answers[p][0]
-    return out
-
-
-def probabilities(tokens: Tokens, model: Model, parts: int, answers: list[dict], depth: int) -> tuple:
-    """(root probability, probability in the longest retained state up to ``depth``) of each token, and word counts."""
-    counts = word_counts(tokens, parts, answers[0])
-    root = model.root(counts)[tokens.number]
-    now = root.copy()
-    for d in range(1, depth + 1):
-        entries = Entries(tokens, d, model, parts)
-        seen = entries.told(answers[d - 1], 1)[entries.inverse]
-        state = entries.state[entries.at]
-        kept = model.kept[d - 1][state] if len(state) else np.zeros(0, bool)
-        at, state, seen = entries.at[kept], state[kept], seen[kept]
-        now[at] = (seen + MU * now[at]) / (model.count[d - 1][state] + MU)
-    return root, now, counts
+            seen[own], kept[own] = answer[p]
+        kept = np.where(self.hot, np.isin(self.hash[self.of], self.model.kept[depth]), kept)
+        use = kept[self.inverse]
+        at, entry = self.at[use], self.inverse[use]
+        self.now[at] = (seen[entry] + MU * self.now[at]) / (self.count[self.of[entry]] + MU)
+        self.count, self.hash = seen, self.longer
+        self._follow(self.inverse, self.at, self.word)
 
 
 def ask_words(block: tuple, trains, parts: int) -> dict:
     tokens = Tokens(*block, trains)
     counts = tokens.counts()
-    return {p: ([tokens.words[i] for i in own], counts[own]) for p, own in B.split_by(word_parts(tokens.words, parts))}
+    return {p: ([tokens.words[i] for i in own], counts[own]) for p, own in B.split_by(tokens.parts(parts))}
 
 
-def merged_words(asked: list) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
-    """(distinct words, number of each question's words, training counts)."""
+def merge_words(asked: list) -> tuple[list, pd.DataFrame]:
+    """Answers: training counts of the words; facts: totals."""
     index: dict[bytes, int] = {}
     numbers = [np.array([index.setdefault(w, len(index)) for w in a[0]], np.int64) for a in asked]
     counts = np.zeros(len(index), np.int64)
     for number, a in zip(numbers, asked):
         counts[number] += a[1]
-    return list(index), numbers, counts
-
+    return [counts[n] for n in numbers], pd.DataFrame({"n": [int(counts.sum())], "v": [int((counts > 0).sum())]})
 
-def merge_words(asked: list, least: int) -> tuple[list, pd.DataFrame]:
-    """No answers; facts: totals (word null), and the words frequent enough for contexts."""
-    words, _, counts = merged_words(asked)
-    often = np.nonzero((counts >= least) & (np.array([w != END for w in words]) if words else True))[0]
-    known = pd.DataFrame({"word": [None, *[words[i] for i in often]],
-                          "n": [int(counts.sum()), *counts[often].tolist()],
-                          "v": [int((counts > 0).sum()), *[0] * len(often)]})
-    return [], known
 
-
-def ask_entries(block: tuple, told: list[dict], trains, parts: int, model: Model, depth: int) -> dict:
-    """Per part: its words and their counts (first depth), entries (context, word, count) and suffix probabilities."""
+def ask_entries(block: tuple, told: list[dict], trains, model: Model) -> dict:
+    """Per part: contexts (hash, count), next words' hashes, and entries (context, word, count, suffix probability)."""
     tokens = Tokens(*block, trains)
-    entries = Entries(tokens, depth, model, parts)
-    counts = tokens.counts()
-    suffix = None
-    if depth > 1:
-        _, now, _ = probabilities(tokens, model, parts, told, depth - 1)
-        suffix = now[entries.at][entries.first]
+    places = Places(tokens, model, told)
+    count = np.bincount(places.inverse, tokens.weight[places.at], len(places.of)).astype(np.int32)
+    lower = places.now[places.at][places.first]
     out = {}
-    of_part = dict(B.split_by(entries.part))
-    for p, own in B.split_by(word_parts(tokens.words, parts)):
-        held = of_part.get(p, np.zeros(0, np.int64))
-        if depth > 1:
-            if not len(held):
-                continue
-            own = np.unique(entries.word[held])
-        local = np.searchsorted(own, entries.word[held])
-        out[p] = ([tokens.words[i] for i in own], counts[own], entries.context[held].astype(np.int32),
-                  local.astype(np.int32), entries.count[held].astype(np.int32),
-                  None if suffix is None else suffix[held])
+    for p, own in B.split_by(places.part):
+        contexts, context = np.unique(places.of[own], return_inverse=True)
+        words, word = np.unique(places.word[own], return_inverse=True)
+        out[p] = (places.hash[contexts], places.count[contexts], tokens.hash[words], context.astype(np.int32),
+                  word.astype(np.int32), count[own], lower[own])
     return out
 
 
-def merge_entries(asked: list, least: int, model: Model, depth: int) -> tuple[list, pd.DataFrame]:
-    """Answers (word counts, entry counts); facts: gain and next candidates of each context."""
-    words, numbers, counts = merged_words(asked)
-    size = max(1, len(words))
-    keys = np.concatenate([a[2].astype(np.int64) * size + n[a[3]] for a, n in zip(asked, numbers)])
-    key, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    seen = np.bincount(inverse, np.concatenate([a[4] for a in asked]), len(key)).astype(np.int64)
-    context, word = key // size, key % size
-    lower = model.root(counts)[word] if depth == 1 else np.concatenate([a[5] for a in asked])[first]
-    of = model.count[depth - 1][context] if len(key) else seen
+def merge_entries(asked: list, model: Model) -> tuple[list, pd.DataFrame]:
+    """Answers (entry counts, whether the context is retained); facts: hot contexts' gains, number of next candidates."""
+    def merged(hashes: int, local: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct hashes, number of each sent one, number of each entry's)."""
+        values, number = np.unique(np.concatenate([a[hashes] for a in asked]), return_inverse=True)
+        starts = np.cumsum([0, *[len(a[hashes]) for a in asked[:-1]]])
+        return values, number, number[np.concatenate([a[local] + s for a, s in zip(asked, starts)])]
+
+    contexts, sent, context = merged(0, 3)
+    words, _, word = merged(2, 4)
+    of = np.zeros(len(contexts), np.int64)
+    of[sent] = np.concatenate([a[1] for a in asked])
+    key, first, inverse = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
+    seen = np.bincount(inverse, np.concatenate([a[5] for a in asked]), len(key)).astype(np.int64)
+    lower = np.concatenate([a[6] for a in asked])[first]
+    context, word = key // len(words), key % len(words)
     places = seen > 0
-    gain = np.zeros(len(key))
-    gain[places] = seen[places] * np.log((seen[places] - 1 + MU * lower[places])
-                                         / (of[places] - 1 + MU) / lower[places])
-    contexts, at = np.unique(context, return_inverse=True)
-    sums = np.bincount(at, gain, len(contexts))
-    often = np.nonzero(seen >= least)[0]
-    often = often[[words[w] != END for w in word[often]]] if len(often) else often
-    known = pd.DataFrame({"context": [*contexts.tolist(), *context[often].tolist()],
-                          "word": [*[None] * len(contexts), *[words[w] for w in word[often]]],
-                          "gain": [*sums.tolist(), *[0.0] * len(often)],
-                          "n": [*[0] * len(contexts), *seen[often].tolist()]})
-    back, start = [], 0
-    for a, n in zip(asked, numbers):
-        back.append((counts[n], seen[inverse[start:start + len(a[2])]]))
-        start += len(a[2])
-    return back, known
+    n, low = seen[places], lower[places]
+    gain = n * np.log((n - 1 + MU * low) / (of[context[places]] - 1 + MU) / low)
+    gain = np.bincount(context[places], gain, len(contexts))
+    kept = gain >= GAIN * of
+    hot = np.nonzero(of >= model.hot)[0]
+    following = int(((seen >= model.least) & (words[word] != word_hashes([END])[0])).sum())
+    known = pd.DataFrame({"context": pd.array([None, *contexts[hot].view(np.int64).tolist()], "Int64"),
+                          "gain": [0, *np.round(gain[hot] * UNITS).astype(np.int64).tolist()],
+                          "n": [following, *of[hot].tolist()]})
+    ends = np.cumsum([len(a[3]) for a in asked])
+    return [(seen[i], kept[context[i]]) for i in np.split(inverse, ends[:-1])], known
 
 
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -239,37 +214,21 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
     held = B.blocks(docs)
     total = held.agg({"n_bytes": "sum"}).first()[0] or 0
     parts = B.parts_for(total, 16 << 20)
-    least = max(MIN_COUNT, -(-total // RARE))
-    words = B.answer(B.send(held, lambda block, _: ask_words(block, trains, parts)),
-                     lambda asked: merge_words(asked, least), "words")
-    known = B.facts(words, "word binary, n long, v long")
-    row = known.where("word is null").agg(F.sum("n"), F.sum("v")).first()
-    model = Model(row[0] or 0, row[1] or 0)
-    often = known.where("word is not null").select("word", "n").collect()  # at most RARE rows
-    often = sorted((bytes(r["word"]), r["n"]) for r in often)
-    first = {(w,): i for i, (w, _) in enumerate(often)}
-    model.known.append(first)
-    model.count.append(np.array([n for _, n in often], np.int64))
-    rounds: list[DataFrame] = []
+    words = B.answer(B.send(held, lambda block, _: ask_words(block, trains, parts)), merge_words, "words")
+    row = B.facts(words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    model = Model(row[0] or 0, row[1] or 0, parts)
+    rounds: list[DataFrame] = [words]
     for d in range(1, depth + 1):
-        if not model.known[d - 1] and d > 1:
-            break
-        asked = B.send(held, lambda block, told, d=d: ask_entries(block, told, trains, parts, model, d), list(rounds))
-        back = B.answer(asked, lambda asked, d=d: merge_entries(asked, least, model, d), f"depth{d}")
-        own = B.facts(back, "context long, word binary, gain double, n long")
-        gains = own.where("word is null").groupBy("context").agg(F.sum("gain").alias("gain")).collect()
-        gain = np.zeros(len(model.known[d - 1]))
-        for r in gains:  # one row per candidate, at most RARE
-            gain[r["context"]] = r["gain"]
-        model.kept.append(gain >= GAIN * np.maximum(model.count[d - 1], 1))
+        asked = B.send(held, lambda block, told: ask_entries(block, told, trains, model), list(rounds))
+        back = B.answer(asked, lambda asked: merge_entries(asked, model), f"depth{d}")
+        own = B.facts(back, "context long, gain long, n long")
+        own = own.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("n").alias("sum"), F.max("n").alias("n"))
+        own = own.collect()  # hot contexts, at most HOT, and the number of next candidates
+        kept = [r["context"] for r in own if r["context"] is not None and r["gain"] >= GAIN * r["n"] * UNITS]
+        model.kept.append(np.array(kept, np.int64).view(np.uint64))
         rounds.append(back)
-        if d < depth:
-            names = {i: c for c, i in model.known[d - 1].items()}
-            longer = [((*names[r["context"]], bytes(r["word"])), r["n"]) for r in
-                      own.where("word is not null").select("context", "word", "n").collect()]
-            longer = sorted(x for x in longer if x[0][1:] in model.known[d - 1])
-            model.known.append({c: i for i, (c, _) in enumerate(longer)})
-            model.count.append(np.array([n for _, n in longer], np.int64))
+        if not any(r["sum"] for r in own if r["context"] is None):
+            break
     used = len(rounds)
 
     def score(key, block: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -277,13 +236,14 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
         for data in block["data"]:
             ids, texts = B.unpack(data)
             tokens = Tokens(ids, texts, trains)
-            root, now, counts = probabilities(tokens, model, parts, B.by_round(back, used), used)
+            places = Places(tokens, model, B.by_round(back, used))
             n = len(ids)
+            known = np.bincount(tokens.doc, places.counts[tokens.number] > 0, n).astype(int)
             frames.append(pd.DataFrame({
                 "doc_id": pd.array(ids, "Int64"), "held_out": ~tokens.train,
-                "n_tokens": tokens.lengths, "n_known": np.bincount(tokens.doc, counts[tokens.number] > 0, n).astype(int),
-                "train_tokens": model.total, "base_score": np.bincount(tokens.doc, np.log10(root), n),
-                "score": np.bincount(tokens.doc, np.log10(now), n)}))
+                "n_tokens": tokens.lengths, "n_known": known, "train_tokens": model.total,
+                "base_score": np.bincount(tokens.doc, np.log10(places.base), n),
+                "score": np.bincount(tokens.doc, np.log10(places.now), n)}))
         return pd.concat(frames)
 
     return B.with_answers(held, rounds, score, SCORES)

@@ -20,6 +20,36 @@ def base_scores(rows, trains):
                 sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in ws)) for i, ws in tokens.items()}
 
 
+def tree_scores(rows, trains, depth, least, gain, mu):
+    """doc_id -> score by the suffix tree over all contexts of up to ``depth`` words, from plain counts of n-grams."""
+    tokens = {i: (t or "").encode().lower().split() + [b""] for i, t in rows}
+    grams = collections.Counter(tuple(ws[k:k + n]) for i, ws in tokens.items() if trains(i)
+                                for n in range(1, depth + 2) for k in range(len(ws) - n + 1))
+    total = sum(c for g, c in grams.items() if len(g) == 1)
+    distinct = sum(len(g) == 1 for g in grams)
+    kept = {}
+
+    def probability(context, word):
+        """In the longest retained suffix of ``context``."""
+        if not context:
+            return (grams[(word,)] + 1) / (total + distinct + 1)
+        lower = probability(context[1:], word)
+        return (grams[(*context, word)] + mu * lower) / (grams[context] + mu) if kept.get(context) else lower
+
+    following = collections.defaultdict(list)
+    for g in grams:
+        following[g[:-1]].append(g[-1])
+    for s in sorted((s for s in following if s and grams[s] >= least), key=len):
+        total_gain = 0
+        for w in following[s]:
+            n, lower = grams[(*s, w)], probability(s[1:], w)
+            total_gain += n * math.log((n - 1 + mu * lower) / (grams[s] - 1 + mu) / lower)
+        kept[s] = total_gain >= gain * grams[s]
+    scores = {i: sum(math.log10(probability(tuple(ws[max(0, k - depth):k]), ws[k])) for k in range(len(ws)))
+              for i, ws in tokens.items()}
+    return scores, kept
+
+
 def simhash(text, words=4):
     import xxhash
 

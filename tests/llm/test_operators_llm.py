@@ -94,6 +94,24 @@ def test_suffix_tree_contexts_help(spark):
     assert held[0] > 0.7 * held[1]  # the second word of a pair is nearly free
 
 
+@pytest.mark.parametrize("hot", [20, pst.HOT_LEAST])
+def test_suffix_tree_keeps_rare_contexts(spark, monkeypatch, hot):
+    """Contexts seen about twenty times count in a corpus of any size; all scores equal those from plain n-gram counts."""
+    rng = random.Random(2)
+    phrases = [" ".join(f"{a}{i}" for a in "opqrs") for i in range(1200)]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(phrases) if rng.random() < 0.08 else f"filler{int(rng.paretovariate(0.7)) % 9000}"
+                 for _ in range(1100)]
+        rows.append((i, " ".join(words)))
+    assert sum(len(t) for _, t in rows) > 19 << 17  # a bar of one place per 2^17 bytes would pass few of the phrases
+    monkeypatch.setattr(pst, "HOT_LEAST", hot)
+    got = pst.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), pst.by_crc(2, 7))
+    want, kept = brute.tree_scores(rows, pst.by_crc(2, 7), pst.DEPTH, pst.MIN_COUNT, pst.GAIN, pst.MU)
+    assert sum(kept.get(tuple(p.encode().split()[:3]), False) for p in phrases) > 1000
+    assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_suffix_tree_edges(spark, docs, none):
     assert pst.score_texts(none, pst.by_crc(2, 7)).collect() == []
     got = pst.score_texts(docs, pst.by_crc(2, 7)).collect()
