@@ -8,8 +8,8 @@ farther than the chi-square cutoff are rejected. Distances are counted in logari
 pre-aggregated pass over the narrow statistics, however large a group is; what is joined back is one row per group.
 
 Groups under ``SMALL`` documents that pass the base rules use their language's estimate, and that of all documents if
-the language is as small. Spread below ``FLOOR`` in a coordinate counts as that much, so that a constant statistic does
-not reject the first document that differs by a little.
+the language is as small. Spread below ``FLOOR`` in a coordinate, given those before it, counts as that much, so that a
+constant statistic does not reject the first document that differs by a little.
 
 A null text counts as empty and fails the base rules, as every text under ``MIN_WORDS`` words does. Null language or
 source form groups of their own. Repeated rows are judged alike. An empty table gives an empty result. Equality of
@@ -28,13 +28,13 @@ from cellguard.session import cut_lineage
 from .common import let
 
 MIN_WORDS, SMALL, KEEP, STEPS = 50, 100, 0.75, 5
-CUTOFF = 1 - 1e-9
+CUTOFF = 0.999
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 BINS_PER_E = 48
 POSITION = (1 << 26) - 1  # low bits of a packed hash: place of a window in its text
 VECTOR = ["x_len", "x_sym", "x_dup", "x_rep"]
-FLOOR = {"x_len": 0.15, "x_sym": 0.12, "x_dup": 0.15, "x_rep": 0.1}
+FLOOR = {"x_len": 0.05, "x_sym": 0.05, "x_dup": 0.06, "x_rep": 0.03}
 
 
 def repeat_words(words: Column) -> Column:
@@ -124,11 +124,10 @@ def estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
     for i in p:
         for j in range(i + 1):
             c = F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            if i == j:
-                c = F.greatest(c, F.lit(0.0)) + F.lit(FLOOR[VECTOR[i]] ** 2)
             for k in range(j):
                 c = c - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-12))) if i == j else c / F.col(f"l_{j}{j}"))
+            floor = F.lit(FLOOR[VECTOR[i]] ** 2)
+            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, floor)) if i == j else c / F.col(f"l_{j}{j}"))
     det = sum((F.log(F.col(f"l_{i}{i}")) for i in p), F.lit(0.0))
     return out.select(*keys, *[f"m_{i}" for i in p], *[f"l_{i}{j}" for i in p for j in range(i + 1)],
                       det.alias("log_det"))

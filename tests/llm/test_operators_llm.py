@@ -318,6 +318,28 @@ def test_chi_square():
     assert mcd.chi_square_quantile(0.99, 2) == pytest.approx(9.2103, abs=1e-3)
 
 
+def test_quality_rejects_outliers_in_each_statistic(spark):
+    """A text that stands apart from its clean source in one statistic alone is rejected, the source is kept."""
+    rng = random.Random(6)
+
+    def word(n=None):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n or rng.randrange(3, 9)))
+
+    def lines(words):
+        return "\n".join(" ".join(words[k:k + 10]) for k in range(0, len(words), 10))
+
+    clean = [lines([word() for _ in range(rng.randrange(80, 300))]) for _ in range(300)]
+    apart = {1000: lines([word(30) for _ in range(100)]), 1001: lines([word()[:-1] + "#" for _ in range(100)]),
+             1002: "\n".join(f"{word()} {word()} {word()}\nyes no" for _ in range(20)),
+             1003: lines([w for _ in range(9) for w in ("one", "more", "time", word(), word(), word(), word())])}
+    rows = [*enumerate(clean), *apart.items()]
+    docs = spark.createDataFrame([(i, t, "aa", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in mcd.quality(docs).collect()}
+    assert not any(got[i]["base_failed"] for i in apart) and got[1002]["n_dup_lines"] == 19
+    assert not any(got[i]["kept"] for i in apart)
+    assert sum(got[i]["kept"] for i in range(300)) >= 295
+
+
 def test_mcd_resists_contamination(spark):
     """A fifth of the rows far off do not hide one another, and the bulk stays inside."""
     rng = np.random.default_rng(2)
