@@ -135,3 +135,60 @@ def repeats(rows, length=50):
 
 def in_bucket(doc, m):
     return crc32(b"" if doc is None else str(doc).encode()) % m
+
+
+def repaired(conversations):
+    """conv_id -> the contract's row for damaged conversations, by a plain table over (row, state) with whole edit strings."""
+    space = " \t\n\x0b\x0c\r"
+    text_of = lambda x: " " if x is None else str(x)
+    by_conv = collections.defaultdict(list)
+    for conv, turn, role, text in conversations:
+        role, text = text_of(role), text_of(text)
+        kind = crc32(f"{text_of(conv)}:{text_of(turn)}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        by_conv[conv] += [(turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    steps = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    target = {"": "u", "s": "u", "u": "a", "a": "u"}
+    names = {"u": "user", "a": "assistant"}
+    out = {}
+    for conv, rows in by_conv.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{r[1]}\0{r[2]}".encode()).hexdigest()))
+        seen, faults = set(), []
+        for _, role, text in rows:
+            body = text.rstrip(space)
+            faults.append("blank" if not body else "duplicate" if (role, text) in seen
+                          else "truncated" if body[-1] not in ".!?" else "")
+            seen.add((role, text))
+
+        def grow(best):
+            """Insertions, until nothing gets cheaper."""
+            for _ in range(4):
+                for q, (cost, audit, kept) in list(best.items()):
+                    to = target[q]
+                    new = (cost + 5, audit + "I", [*kept, (names[to], "")])
+                    if to not in best or new[:2] < best[to][:2]:
+                        best[to] = new
+            return best
+
+        best = grow({"": (0, "", [])})
+        for (_, role, text), fault in zip(rows, faults):
+            after = {}
+            late = 5 * (fault == "truncated")
+            for q, (cost, audit, kept) in best.items():
+                ways = [(q, cost + 2, audit + "D", kept)]
+                if fault not in ("blank", "duplicate"):
+                    ways.append((target[q], cost + 1 + late, audit + "R", [*kept, (names[target[q]], text)]))
+                    if role[:1] in steps[q]:
+                        ways.append((steps[q][role[0]], cost + late, audit + "K", [*kept, (role, text)]))
+                for to, *new in ways:
+                    if to not in after or tuple(new[:2]) < after[to][:2]:
+                        after[to] = tuple(new)
+            best = grow(after)
+        cost, audit, kept = min((best[q] for q in ("", "a") if q in best), key=lambda x: x[:2])
+        at = [t for t, _, _ in rows if t is not None]
+        digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+        out[conv] = (max(at) - min(at) + 1 - len(set(at)) if at else 0, *(faults.count(f) for f in (
+            "blank", "duplicate", "truncated")), sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au")
+                                                     for a, b in zip(rows, rows[1:])), cost, audit, digest)
+    return out
