@@ -61,4 +61,37 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
        sha256(coalesce(l.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
 
-SQL: dict[str, str] = {"op5_positional_index": OP5, "op10_template_tree": OP10}
+
+
+def _rounds(n: int) -> str:
+    """The assignment and the new centroids of each round, and the last assignment."""
+    distance = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = []
+    for r in range(n + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT k.n, any_value(k.vec_id) AS vec_id, any_value(k.v) AS v,
+       min((({distance})::HUGEINT, c.c)) AS best FROM kept k, c{r} c GROUP BY k.n)""")
+        if r < n:
+            out.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT best[2] AS c, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (
+        SELECT best, generate_subscripts(v, 1) AS i, unnest(v)::HUGEINT AS x FROM a{r}) GROUP BY best[2], i)
+    GROUP BY c) m ON m.c = c.c)""")
+    return ",\n".join(out)
+
+
+OP12 = f"""WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM whole),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER w - 1)::INTEGER AS c, v FROM kept
+  QUALIFY row_number() OVER w <= 40 WINDOW w AS (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v)),
+{_rounds(5)},
+hashes AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c5)
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance,
+       (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+       centroid_sha256
+FROM a5 JOIN hashes ON hashes.c = best[2]"""
+
+SQL: dict[str, str] = {"op5_positional_index": OP5, "op10_template_tree": OP10, "op12_zone_maps": OP12}
