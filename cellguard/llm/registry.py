@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bundles, hilbert, langid, mcd, packing, postings, pst, repair, simhash, suffix, templates, zonemaps
+from . import (bundles, hilbert, langid, mcd, packing, postings, pst, repair, simhash, styletree, suffix, templates,
+               zonemaps)
 from .common import id_bucket, table
 from .sql import SQL as SQL
 
@@ -87,7 +88,11 @@ def op12_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zonemaps.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_tree, op2_hilbert_shards, op3_simhash_pivots, op4_output_codes, op5_positional_index, op6_warc_bundles,
     op7_robust_outliers, op8_suffix_arrays, op9_cutting_stock, op10_template_tree,
-    op11_block_repair, op12_zone_maps)}
+    op11_block_repair, op12_zone_maps, op13_style_tree)}
