@@ -73,14 +73,14 @@ class Encoder:
 
     Merges never cross the pre-tokens of the vocabulary's pattern, and a pre-token never crosses the start of
     `` word`` or a single line break, so the ids of a text are those of such chunks in order. Any other white space
-    (runs, tabs, leading or trailing) sends the whole text to the tokenizer instead.
+    (runs, tabs, leading or trailing) or the name of an added token sends the whole text to the tokenizer instead.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Chunks(self.tokenizer)
 
     def packed(self, text: str) -> bytes:
@@ -88,7 +88,7 @@ class Encoder:
             self.memo.clear()
         memo = self.memo
         try:
-            if "\0" not in text:
+            if "\0" not in text and not any(t in text for t in self.added):
                 return b"".join([memo[c] for c in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")])
         except ValueError:
             pass

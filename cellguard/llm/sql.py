@@ -27,33 +27,58 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN places ON places.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
 
 _FIELD = r"'[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'"
+
+
+def _template_rounds(n: int) -> str:
+    """Each round's groups, constants and settled forms; places are spelled out as paths."""
+    out = []
+    for r in range(n):
+        out.append(f"""size{r} AS (SELECT place, sum(held) FILTER (pos = 1) AS everything FROM t{r} GROUP BY place
+  HAVING min(m) <> max(m) AND sum(held) FILTER (pos = 1) >= 8),
+vote{r} AS (SELECT place, pos, token, sum(held) AS votes FROM t{r} GROUP BY place, pos, token),
+best{r} AS MATERIALIZED (
+  SELECT *, token <> '<*>' AND votes >= 0.6::DOUBLE * everything AS fixed FROM vote{r} JOIN size{r} USING (place)
+  QUALIFY row_number() OVER (PARTITION BY place, pos ORDER BY votes DESC, token DESC) = 1),
+judged{r} AS (SELECT place, count(*) FILTER (fixed) AS constants,
+                     arg_max(pos, (votes, -pos)) FILTER (NOT fixed AND token <> '<*>') AS split FROM best{r} GROUP BY place),
+agree{r} AS (SELECT t.place, m, count(*) AS same FROM t{r} t JOIN best{r} b
+             ON b.place = t.place AND b.pos = t.pos AND b.token = t.token AND b.fixed GROUP BY t.place, m),
+state{r} AS MATERIALIZED (
+  SELECT f.place, f.m, split, constants >= 0.75::DOUBLE * n AS firm,
+         constants >= 0.75::DOUBLE * n AND coalesce(same, 0) = constants AS fits
+  FROM (SELECT DISTINCT place, m, n FROM t{r}) f JOIN judged{r} USING (place)
+  LEFT JOIN agree{r} a ON a.place = f.place AND a.m = f.m),
+found{r} AS (SELECT m, 'template {r} ' || place AS template FROM state{r} WHERE fits)""")
+        if r + 1 < n:
+            out.append(f"""next{r} AS (
+  SELECT place, m, place || ' rest' AS next FROM state{r} WHERE firm AND NOT fits
+  UNION ALL
+  SELECT s.place, s.m, s.place || ' at ' || s.split || ' ' || t.token
+  FROM state{r} s JOIN t{r} t ON t.place = s.place AND t.m = s.m AND t.pos = s.split
+  JOIN vote{r} v ON v.place = s.place AND v.pos = s.split AND v.token = t.token
+  WHERE NOT firm AND votes >= 8),
+t{r + 1} AS MATERIALIZED (
+  SELECT t.m, n, held, next AS place, pos, token FROM t{r} t JOIN next{r} x ON x.place = t.place AND x.m = t.m)""")
+    return ",\n".join(out)
+
+
 OP10 = rf"""WITH raw AS (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
+  SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL),
 forms0 AS (SELECT *, trim(regexp_replace(regexp_replace(line, {_FIELD}), '[\x20\x09-\x0D]+', ' ', 'g')) AS m FROM raw),
-forms1 AS (SELECT *, string_split(m, ' ') AS t, CASE WHEN m = '' THEN 0 ELSE len(string_split(m, ' ')) END AS n,
-                  coalesce(lag(m) OVER o, chr(1)) AS before, coalesce(lead(m) OVER o, chr(1)) AS after
-           FROM forms0 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-lines AS (SELECT *, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM forms1 WHERE n >= 3),
-busy AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(*) >= 8 AND min(m) <> max(m)),
-held AS (SELECT leaf, m, any_value(t) AS t, any_value(n) AS n, count(*) AS held
-         FROM lines WHERE leaf IN (SELECT leaf FROM busy) GROUP BY leaf, m),
-tokens AS (SELECT leaf, m, n, held, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM held),
-sizes AS (SELECT leaf, sum(held) AS everything FROM held GROUP BY leaf),
-votes AS (SELECT leaf, pos, token, sum(held) AS held FROM tokens GROUP BY leaf, pos, token),
-best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY held DESC, token DESC) = 1),
-constants AS (SELECT best.leaf, pos, token FROM best JOIN sizes USING (leaf)
-              WHERE held >= 0.6::DOUBLE * everything AND token <> '<*>'),
-firm AS (SELECT leaf, count(*) AS firm FROM constants GROUP BY leaf),
-agree AS (SELECT leaf, m, any_value(n) AS n, count(*) AS same FROM tokens JOIN constants USING (leaf, pos, token)
-          GROUP BY leaf, m),
-general AS (SELECT leaf, m FROM agree JOIN firm USING (leaf) WHERE same = firm AND firm >= 0.75::DOUBLE * n),
-named AS (SELECT doc_id, i, before, after, CASE WHEN g.m IS NULL THEN 'line ' || l.m ELSE 'leaf ' || l.leaf END AS template
-          FROM lines l LEFT JOIN general g ON g.leaf = l.leaf AND g.m = l.m),
-passed AS (SELECT template, min((doc_id, i)) AS first FROM named GROUP BY template
-           HAVING count(DISTINCT doc_id) >= 8 AND greatest(count(DISTINCT before), count(DISTINCT after)) >= 8
-             AND 2 * greatest(count(DISTINCT before), count(DISTINCT after)) >= count(DISTINCT doc_id)),
-gone AS (SELECT doc_id, i FROM named JOIN passed USING (template) WHERE (doc_id, i) <> first),
+forms1 AS (SELECT *, string_split(m, ' ') AS t FROM forms0 WHERE m <> ''),
+lines AS MATERIALIZED (SELECT *, len(t) AS n, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM forms1),
+busy AS (SELECT leaf FROM lines WHERE n > 3 GROUP BY leaf HAVING count(*) >= 8 AND min(m) <> max(m)),
+held AS (SELECT leaf, m, any_value(t) AS t, any_value(n) AS n, count(DISTINCT text) AS held
+         FROM lines WHERE n > 3 AND leaf IN (SELECT leaf FROM busy) GROUP BY leaf, m),
+t0 AS MATERIALIZED (SELECT m, n, held, leaf AS place, generate_subscripts(t, 1) AS pos, unnest(t) AS token FROM held),
+{_template_rounds(3)},
+general AS (SELECT * FROM found0 UNION ALL SELECT * FROM found1 UNION ALL SELECT * FROM found2),
+named AS MATERIALIZED (SELECT doc_id, i, text, coalesce(template, 'line ' || l.m) AS template
+                       FROM lines l LEFT JOIN general g ON g.m = l.m),
+passed AS (SELECT template, min((doc_id, i)) AS first, arg_min(text, (doc_id, i)) AS own FROM named GROUP BY template
+           HAVING count(DISTINCT text) >= 8),
+gone AS (SELECT doc_id, i FROM named JOIN passed USING (template) WHERE text <> own OR i <> first[2]),
 left_over AS (SELECT raw.doc_id, count(*) AS n_lines, count(gone.i) AS n_dropped,
                 string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY raw.i) AS text
               FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.i = raw.i GROUP BY raw.doc_id)
@@ -62,7 +87,6 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
 FROM documents d LEFT JOIN left_over l ON l.doc_id = d.doc_id"""
 
 
-
 def _rounds(n: int) -> str:
     """The assignment and the new centroids of each round, and the last assignment."""
     distance = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"

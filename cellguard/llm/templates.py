@@ -1,22 +1,22 @@
 """Dropping boilerplate lines by a log-template tree, in DataFrame functions only.
 
-A line's tokens are its runs of non-space characters; a token with a digit is a variable field ``<*>``. The fixed-depth
-tree goes by token count and the first ``DEPTH`` (masked) tokens. In each leaf that enough documents reach, a position
-stays constant if one token holds it in at least ``SHARE`` of the leaf's documents and is a variable field otherwise;
-if constants make up ``CONSTANT`` of the positions, that generalised line is the leaf's template, and lines agreeing
-with all its constants belong to it. Every other line is its own template (its masked tokens).
-
-A template is boilerplate if it stands in at least ``MIN_DOCS`` documents and in as many surroundings: the distinct
-lines before it, or after it, must number at least half of its documents. Lines that recur only because whole
-documents are copies keep the same neighbours and are left to near-duplicate detection. All occurrences but the
-first (by doc_id, text, line) are dropped.
+A line's tokens are its runs of non-space characters; a token with a digit is a variable field ``<*>``, and a line's
+form is its tokens so masked. The fixed-depth tree goes by token count and the first ``DEPTH`` tokens, and from there a
+leaf is settled in ``ROUNDS`` rounds. In a group of forms a position is constant if one token holds it in at least
+``SHARE`` of the group's (text, form) pairs. If constants make up ``CONSTANT`` of the positions, they are a template, to
+which every form that agrees with all of them belongs; the forms that disagree are a group of their own in the next
+round. Else the group is split by the token at the position that is nearest to constant, so one leaf may hold many
+templates; tokens in fewer than ``MIN_DOCS`` texts there make no group. A form that no template takes is its own.
+
+A template is boilerplate if it stands in at least ``MIN_DOCS`` distinct texts: copies of a document count once. All its
+lines go but the first line of the first text (by doc_id, text, line) that has it; documents with that same text
+all keep it, so copies stay copies.
 
 Counts run over all documents; they are pre-aggregated per task before each shuffle, so a line that a third of all
 documents share is one row per task. Only leaves and templates that recur are joined back.
 
-Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Null texts have no lines and stay null. Documents are
-told apart by (doc_id, xxhash64 of the text): repeated rows count as one document and get equal results. Extra columns
-pass through. Empty tables give empty results.
+Lines without a token are never dropped. Null texts have no lines and stay null. Texts are told apart by xxhash64.
+Extra columns pass through, save n_lines and n_dropped where they are added. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from cellguard.session import cut_lineage
 
 from .common import let
 
-DEPTH, MIN_TOKENS, MIN_DOCS = 3, 3, 8
+DEPTH, ROUNDS, MIN_DOCS = 3, 3, 8
 SHARE, CONSTANT = 0.6, 0.75
 FIELD = "<*>"
 
@@ -40,93 +40,118 @@ def masked(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line, n, form, leaf, before, after): one row per line of at least ``MIN_TOKENS`` tokens."""
+    """(doc_id, text_key, line, n, form, leaf): one row per line with a token."""
     text = F.col("text").cast("string")
 
-    def shaped(line: Column) -> Column:
+    def shaped(line: Column, at: Column) -> Column:
         return let(masked(line), lambda m: let(F.split(m, " "), lambda t: F.struct(
-            F.when(m == "", 0).otherwise(F.size(t)).alias("n"), F.xxhash64(m).alias("form"),
+            at.alias("line"), F.when(m == "", 0).otherwise(F.size(t)).alias("n"), F.xxhash64(m).alias("form"),
             F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"))))
 
-    def around(lines: Column) -> Column:
-        return F.transform(lines, lambda x, i: F.struct(
-            i.alias("line"), x["n"].alias("n"), x["form"].alias("form"), x["leaf"].alias("leaf"),
-            F.coalesce(F.get(lines, i - 1)["form"], F.lit(0)).alias("before"),
-            F.coalesce(F.get(lines, i + 1)["form"], F.lit(0)).alias("after")))
-
-    rows = let(F.transform(F.split(text, "\n"), shaped), lambda lines: F.filter(
-        around(lines), lambda r: r["n"] >= MIN_TOKENS))
+    rows = F.filter(F.transform(F.split(text, "\n"), shaped), lambda r: r["n"] > 0)
     return (docs.where("text is not null")
             .select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), F.explode(rows).alias("r"))
             .select("doc_id", "text_key", "r.*"))
 
 
-def leaf_templates(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(form, template) of the lines that belong to a generalised template (template: a LONG other than the form)."""
-    busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("many"), F.min("form").alias("a"), F.max("form").alias("b"))
-    busy = cut_lineage(busy.where((F.col("many") >= MIN_DOCS) & (F.col("a") != F.col("b"))).select("leaf"), "leaves")
-    forms = (lines.join(busy, "leaf", "left_semi").groupBy("leaf", "form", "n")
-             .agg(F.count(F.lit(1)).alias("held")))
+def busy_forms(docs: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """(form, n, held, place, pos, token): forms that share a leaf with others, in how many texts they stand."""
+    longer = lines.where(F.col("n") > DEPTH)  # shorter lines are alone in their leaf
+    busy = longer.groupBy("leaf").agg(F.count(F.lit(1)).alias("many"), F.min("form").alias("a"), F.max("form").alias("b"))
+    busy = cut_lineage(busy.where((F.col("many") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"), "leaves")
+    forms = (longer.join(busy, "leaf", "left_semi").select("leaf", "form", "n", "text_key").distinct()
+             .groupBy("leaf", "form", "n").agg(F.count(F.lit(1)).alias("held")))
     forms = cut_lineage(forms, "forms")
     # the words of those forms, from the texts: only forms of busy leaves leave the scan
     texts = docs.where("text is not null").select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("l"))
     words = (texts.select(masked(F.col("l")).alias("m")).select(F.xxhash64("m").alias("form"), "m")
              .join(forms.select("form"), "form", "left_semi").groupBy("form").agg(F.min("m").alias("m")))
-    tokens = cut_lineage(forms.join(words, "form").select(
-        "leaf", "form", "n", "held", F.posexplode(F.split("m", " ")).alias("pos", "token")), "tokens")
-    sizes = forms.groupBy("leaf").agg(F.sum("held").alias("all"))
-    votes = tokens.groupBy("leaf", "pos", "token").agg(F.sum("held").alias("held"))
-    best = votes.groupBy("leaf", "pos").agg(F.max(F.struct("held", "token")).alias("top"))
-    constants = (best.join(sizes, "leaf").where((F.col("top.held") >= SHARE * F.col("all"))
-                                                & (F.col("top.token") != FIELD))
-                 .select("leaf", "pos", F.col("top.token").alias("token")))
-    firm = constants.groupBy("leaf").agg(F.count(F.lit(1)).alias("constants"))
-    agree = (tokens.join(constants, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "form", "n")
-             .agg(F.count(F.lit(1)).alias("same")))
-    fit = agree.join(firm, "leaf").where((F.col("same") == F.col("constants"))
-                                         & (F.col("constants") >= CONSTANT * F.col("n")))
-    return fit.select("form", F.xxhash64(F.lit("template"), "leaf").alias("template"))
+    return forms.join(words, "form").select(
+        "form", "n", "held", F.col("leaf").alias("place"), F.posexplode(F.split("m", " ")).alias("pos", "token"))
+
+
+def leaf_templates(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(form, template) of the lines that belong to a generalised template (template: a LONG other than the form)."""
+    tokens = cut_lineage(busy_forms(docs, lines, min_docs), "tokens")
+    found = []
+    for turn in range(ROUNDS):
+        sizes = tokens.where("pos = 0").groupBy("place").agg(
+            F.sum("held").alias("all"), F.min("form").alias("a"), F.max("form").alias("b"))
+        sizes = sizes.where((F.col("a") != F.col("b")) & (F.col("all") >= min_docs)).select("place", "all")
+        votes = tokens.groupBy("place", "pos", "token").agg(F.sum("held").alias("votes"))
+        best = votes.groupBy("place", "pos").agg(F.max(F.struct("votes", "token")).alias("top")).join(sizes, "place")
+        fixed = (F.col("top.token") != FIELD) & (F.col("top.votes") >= SHARE * F.col("all"))
+        near = F.when((F.col("top.token") != FIELD) & ~fixed, F.struct("top.votes", (-F.col("pos")).alias("less")))
+        best = cut_lineage(best.select("place", "pos", F.col("top.token").alias("token"), fixed.alias("fixed"),
+                                       near.alias("near")), "best")
+        judged = best.groupBy("place").agg(F.count_if("fixed").alias("constants"), (-F.max("near")["less"]).alias("split"))
+        agree = (tokens.join(best.where("fixed").select("place", "pos", "token"), ["place", "pos", "token"], "left_semi")
+                 .groupBy("place", "form").agg(F.count(F.lit(1)).alias("same")))
+        firm = F.col("constants") >= CONSTANT * F.col("n")
+        state = (tokens.select("place", "form", "n").distinct().join(judged, "place").join(agree, ["place", "form"], "left")
+                 .select("place", "form", "split", firm.alias("firm"),
+                         (firm & (F.coalesce("same", F.lit(0)) == F.col("constants"))).alias("fits")))
+        state = cut_lineage(state, "state")
+        found.append(state.where("fits").select("form", F.xxhash64(F.lit("template"), F.lit(turn), "place").alias("template")))
+        if turn + 1 < ROUNDS:
+            rest = state.where("firm and not fits").select(
+                "place", "form", F.xxhash64(F.col("place"), F.lit("rest")).alias("next"))
+            common = votes.where(F.col("votes") >= min_docs).select("place", F.col("pos").alias("split"), "token")
+            parts = (state.where("not firm and split is not null")
+                     .join(tokens.select("place", "form", F.col("pos").alias("split"), "token"), ["place", "form", "split"])
+                     .join(common, ["place", "split", "token"], "left_semi")
+                     .select("place", "form", F.xxhash64("place", "split", "token").alias("next")))
+            tokens = cut_lineage(tokens.join(rest.unionByName(parts), ["place", "form"]).select(
+                "form", "n", "held", F.col("next").alias("place"), "pos", "token"), "tokens")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, text_key, line, template) of the lines to drop: all but the first of each boilerplate template."""
+    """(doc_id, text_key, line, template) of the lines to drop: all of a boilerplate template but its first."""
     lines = cut_lineage(line_rows(docs), "lines")
-    general = cut_lineage(leaf_templates(docs, lines), "templates")
+    general = cut_lineage(leaf_templates(docs, lines, min_docs), "templates")
     named = lines.join(general, "form", "left").withColumn("template", F.coalesce("template", "form"))
-    # cheap counts first; exact counts of documents and neighbours only for templates that can pass
+    # cheap counts first; exact counts of texts only for templates that can pass
     often = named.groupBy("template").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") >= min_docs)
     often = cut_lineage(often.select("template"), "often")
     named = cut_lineage(named.join(often, "template", "left_semi")
-                        .select("doc_id", "text_key", "line", "template", "before", "after"), "named")
-
-    def counted(name: str, *cols: str) -> DataFrame:
-        return (named.select("template", *cols).distinct().groupBy("template")
-                .agg(F.count(F.lit(1)).alias(name)))
-
-    counts = (counted("documents", "doc_id", "text_key").join(counted("befores", "before"), "template")
-              .join(counted("afters", "after"), "template"))
-    around = F.greatest("befores", "afters")
-    passed = counts.where((F.col("documents") >= min_docs) & (around >= min_docs)
-                          & (2 * around >= F.col("documents"))).select("template")
+                        .select("doc_id", "text_key", "line", "template"), "named")
+    passed = (named.select("template", "text_key").distinct().groupBy("template")
+              .agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("template"))
     first = named.groupBy("template").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"))
     passed = cut_lineage(passed.join(first, "template"), "passed")
     return (named.join(passed, "template")
-            .where(~F.struct("doc_id", "text_key", "line").eqNullSafe(F.col("first")))
+            .where((F.col("text_key") != F.col("first.text_key")) | (F.col("line") != F.col("first.line")))
             .select("doc_id", "text_key", "line", "template"))
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with text rid of boilerplate lines, and n_lines (before) and n_dropped (LONG) after its columns."""
-    gone = recurring_lines(docs, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__gone"))
+def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(row, text, n_lines, n_dropped): every row of ``docs`` whole, and its text rid of boilerplate lines."""
+    gone = recurring_lines(docs, min_docs).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
     # both sides grow with the corpus: one shuffle by document at every size, not a broadcast while it is small
     gone = cut_lineage(gone, "gone").hint("merge").alias("g")
-    own = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).alias("d")
-    both = own.join(gone, F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id"))
-                    & (F.col("d.__key") == F.col("g.text_key")), "left")
-    lines = F.split(F.col("d.text").cast("string"), "\n")
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias(
+        "id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    both = own.join(gone, F.col("id").eqNullSafe(F.col("g.doc_id")) & (F.col("key") == F.col("g.text_key")), "left")
+    lines = F.split("text", "\n")
     left = let(lines, lambda all_: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("g.__gone")), lambda i: F.get(all_, i)), "\n"))
-    text = F.when(F.col("g.__gone").isNull(), F.col("d.text")).otherwise(left)
-    kept = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    return both.select(*kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size("g.__gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone")), lambda i: F.get(all_, i)), "\n"))
+    return both.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+                       F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+COUNTS = ("n_lines", "n_dropped")
+
+
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with text rid of boilerplate lines, and n_lines (before) and n_dropped (LONG) after its columns.
+
+    Columns of ``docs`` that bear those two names give way to them; ``cleaned`` keeps them.
+    """
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in COUNTS]
+    return cleaned(docs, min_docs).select(*kept, *COUNTS)

@@ -435,8 +435,7 @@ def test_encoder_matches_the_tokenizer():
 
     path = registry.tokenizer_path()
     enc, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "\na", "a \nb", "a\n b", "a\tb", "it's we'll 'tis",
+    odd = ["hello <|endoftext|> world", "a<|endoftext|><|endoftext|>\nb", "<|endoftext", "", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "\na", "a \nb", "a\n b", "a\tb", "it's we'll 'tis",
            "12 3a .,; x\0y", "a\x1cb", "\xa0x y", "<|endoftext|> x", "ÄÖ ß straße, größe. ²x", "x" * 3000, "a.b,c"]
     for text in [*odd, *(t for _, t, *_ in ROWS if t)]:
         want = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -475,14 +474,62 @@ def test_template_tree(spark, docs, none):
     assert templates.without_recurring_lines(none).collect() == []
 
 
+def lines_left(spark, rows):
+    got = templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r["doc_id"]: (r["text"] or "").split("\n") for r in got.collect()}
+
+
+NAMES = [f"{a}{b}{c}" for a in ("ann", "bob", "eve", "joe") for b in ("ette", "ard", "lin", "son") for c in "pqrs"]
+
+
 def test_template_tree_generalises_words(spark):
     """A field without digits varies: the leaf's constant positions make the template."""
-    names = [f"{a}{b}" for a in ("ann", "bob", "eve", "joe") for b in ("ette", "ard", "lin", "son")]
-    rows = [(i, f"intro {i * 'x'} line number one\nPosted by user {n} in the news\nend {i * 'y'} of this text")
-            for i, n in enumerate(names)]
-    got = templates.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    left = {r["doc_id"]: r["text"] for r in got.collect()}
-    assert "Posted by" in left[0] and not any("Posted by" in left[i] for i in range(1, 16))
+    left = lines_left(spark, [(i, f"intro {n} line {i * 'x'}\nPosted by user {n} in the news\nend {n} of text {i * 'y'}")
+                              for i, n in enumerate(NAMES[:16])])
+    assert "Posted by" in left[0][1] and all(len(left[i]) == 2 for i in range(1, 16))
+
+
+def test_template_tree_takes_lines_between_blank_lines_and_whole_blocks(spark):
+    rows = [(i, f"{n} tells\n\nSubscribe to our letter today\n\n{n} ends\nfirst of block\nsecond of block here\nthird\nRead more")
+            for i, n in enumerate(NAMES[:40])]
+    left = lines_left(spark, rows)
+    assert left[0] == rows[0][1].split("\n")
+    for i in range(1, 40):
+        assert left[i] == [f"{NAMES[i]} tells", "", "", f"{NAMES[i]} ends"]
+
+
+def test_template_tree_holds_several_templates_a_leaf(spark):
+    ends = ("in the daily news", "for all our friends")
+    prose = "Posted by user {} {} {} {} {}"
+    rows = [(i, f"own {n}\nPosted by user {n} {ends[i % 2]}") for i, n in enumerate(NAMES[:60])]
+    rows += [(100 + i, prose.format(*(NAMES[(i * 7 + k * 11) % 64][k:] for k in range(5)))) for i in range(30)]
+    left = lines_left(spark, rows)
+    assert [i for i in range(60) if len(left[i]) == 2] == [0, 1]
+    assert all(left[100 + i] == [rows[60 + i][1]] for i in range(30))
+
+
+def test_template_tree_counts_copies_once(spark):
+    text = "\n".join(f"{n} says what nobody else does" for n in NAMES[:5])
+    rows = [(i, text) for i in range(30)] + [(100 + i, f"{n}\nkept by seven texts") for i, n in enumerate(NAMES[:7])]
+    rows += [(200, "kept by seven texts\nshared foot line"), (201, "kept by seven texts\nshared foot line")]
+    rows += [(300 + i, f"{n} has\nshared foot line") for i, n in enumerate(NAMES[:9])]
+    left = lines_left(spark, rows)
+    assert all(left[i] == text.split("\n") for i in range(30))
+    assert left[100] == [NAMES[0], "kept by seven texts"] and left[101] == [NAMES[1]]  # the copies are its eighth text
+    assert left[200] == left[201] == ["shared foot line"] and left[300] == [f"{NAMES[0]} has"]
+
+
+def test_line_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline as P
+
+    rows = [(i, f"{n}\nshared line of all", 5, "a", i, {"k": n}) for i, n in enumerate(NAMES[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_dropped int, row string, n_chars long, gone map<string,string>")
+    got = P.line_stage(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        i = r["doc_id"]
+        want = rows[i][1] if i == 0 else NAMES[i]
+        assert tuple(r)[1:] == (want, 5, "a", 0 if i == 0 else len(want), {"k": NAMES[i]})
 
 
 def test_pipeline(spark, docs, items, tmp_path):
@@ -509,6 +556,8 @@ def test_pipeline(spark, docs, items, tmp_path):
 def test_registered_queries_return_every_row(spark, name):
     got = registry.QUERIES[name](spark, SMALL)
     n = got.count()
-    source = "pages" if name.startswith("op6") else "documents"
-    rows = spark.read.parquet(f"{SMALL}/{source}.parquet").count()
+    source = {"op6": "pages", "op11": "conversations", "op12": "embeddings", "op13": "pages"}.get(
+        name.split("_")[0], "documents")
+    rows = spark.read.parquet(f"{SMALL}/{source}.parquet")
+    rows = rows.select("conv_id").distinct().count() if source == "conversations" else rows.count()
     assert n >= rows if name.startswith("op9") else n == rows
