@@ -74,11 +74,14 @@ def select_cases(variable: DataFrame, value: DataFrame, filters: list) -> DataFr
     for t in tests[1:]:
         meets = meets | t
     ranged = [f for f in filters if isinstance(f, RangeFilter)]
-    bounded = sorted({f.item for f in ranged if not f.exists_only})
+    bounded = [f for f in ranged if not f.exists_only]
     if bounded:
-        # ranges become values first: the (small) value table is cut to those a range admits, and only rows that
-        # meet some filter reach the exchange on case
-        wanted = value.where(F.col("item").isin(bounded)).select("item", F.col("id").alias("value"), "name_numeric")
+        # ranges become values first: the value table is cut to those a range admits, and only rows that meet some
+        # filter reach the exchange on case
+        admits = _pred(bounded[0], 0)
+        for f in bounded[1:]:
+            admits = admits | _pred(f, 0)
+        wanted = value.where(admits).select("item", F.col("id").alias("value"), "name_numeric")
         v = v.join(wanted, ["item", "value"], "left")
     else:
         v = v.withColumn("name_numeric", F.lit(None).cast("double"))

@@ -3,6 +3,8 @@
 A new group starts whenever ``key`` differs from the previous row's (in ``order`` within ``partition``); a key
 may recur later as a new group. The plain form is a ``lag`` + running ``sum`` window per partition.
 
+``group_runs`` without a bucket and ``dictionary_pages`` need no hint: see ``ranks``.
+
 ``consecutive_groups_bucketed`` splits each partition further by an order-compatible ``bucket`` (e.g. the day of a
 timestamp) so one hot partition key is spread over many tasks: island starts are counted inside each
 (partition, bucket), and a small per-(partition, bucket) table (one row per bucket) supplies the offsets and
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import last_start, paged, runs
+
 
 def _eq_null_safe(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
@@ -66,9 +70,14 @@ def consecutive_groups_bucketed(df: DataFrame, order: list[str], key: str, parti
 
 def group_runs(df: DataFrame, order: list[str], key: str, partition: list[str], bucket: Column | None = None,
                id_col: str | None = None) -> DataFrame:
-    """One row per consecutive run: (partition..., group_no, key, first_id, n, first, last)."""
-    g = (consecutive_groups_bucketed(df, order, key, partition, bucket) if bucket is not None
-         else consecutive_groups(df, order, key, partition))
+    """One row per consecutive run: (partition..., group_no, key, first_id, n, first, last).
+
+    Without a ``bucket`` the rows are range-partitioned and runs carried over the borders (``ranks.runs``), so a
+    partition key of any size spreads over many tasks.
+    """
+    if bucket is None:
+        return runs(df, order, key, partition, id_col)
+    g = consecutive_groups_bucketed(df, order, key, partition, bucket)
     first_col = id_col or order[0]
     return g.groupBy(*partition, "group_no").agg(
         F.min_by(key, F.struct(*order)).alias(key),
@@ -94,3 +103,18 @@ def dictionary_view(entries: DataFrame, seq: str = "id", key: str = "category",
         F.min(seq).alias("id"), F.min_by(key, F.col(seq)).alias("name"),
         F.sort_array(F.collect_list(member)).alias("data"),
     )
+
+
+def dictionary_pages(entries: DataFrame, size: int, seq: str = "id", key: str = "category") -> DataFrame:
+    """Q5 for groups of any length: (group_no, id, name, page, data), each run's members in pages of ``size`` rows.
+
+    A run's place is its first sequence number; members find their run by a join on the range of sequence numbers
+    turned into an equality: every member takes the start of the last run that begins at or before it.
+    """
+    found = runs(entries, [seq], key).select("group_no", F.col("first").alias("id"), F.col(key).alias("name"))
+    member = entries.select(
+        F.col(seq).alias("seq"), "label", F.col("variable").alias("category"), "description",
+        F.coalesce(F.col("values"), F.lit("")).alias("values"))
+    placed = last_start(member, "seq", found.select("id"), "id")
+    pages = paged(placed, ["id"], ["seq"], size, "data")
+    return found.join(pages, "id").select("group_no", "id", "name", "page", "data")

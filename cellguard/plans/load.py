@@ -28,6 +28,7 @@ from ..functions.rounding import (
 )
 from ..functions.text import clean_number, clean_text
 from ..operators.ranges import infer_ranges
+from ..operators.ranks import grouped_rank
 from ..operators.rows import with_row_index
 from ..session import cut_lineage
 
@@ -124,7 +125,7 @@ def column_rules(spark, columns: list[str], dictionary: DataFrame, cfg: LoadConf
         (F.col("seq") + 1).cast("int").alias("item_id"),
         K.is_categorical(F.col("values")).alias("coded"),
     )
-    r = r.join(F.broadcast(d), "varname", "left")
+    r = r.join(d, "varname", "left")
     in_dict = F.col("item_id").isNotNull()
     included = F.col("named") & (in_dict | F.col("role").isNotNull())
     kind = (
@@ -140,9 +141,10 @@ def column_rules(spark, columns: list[str], dictionary: DataFrame, cfg: LoadConf
 def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
     """J5 + J6 + W7 on distinct (col, raw) of coded columns -> (col, raw, name, order, categorical).
 
-    The distinct cells are read once: they are left-joined with three small lookups built from the dictionary
-    options (exact code, label, labelled ranges; each a broadcast of dictionary size), one ``groupBy`` picks the
-    lowest-order match of each kind, and one window numbers unseen labels after the largest code (W7).
+    The distinct cells are read once: they are left-joined with three lookups built from the dictionary options
+    (exact code, label, labelled ranges; Spark broadcasts those whose size it knows to be small), and one ``groupBy``
+    picks the lowest-order match of each kind. Unseen labels are numbered after the largest code (W7) by a rank over
+    range partitions, so a free-text column with very many labels spreads over many tasks.
     """
     o = options.select(F.col("name").alias("varname"), "code_key", "order", "label", "lo", "lo_incl", "hi",
                        "hi_incl", "rng_float")
@@ -160,10 +162,10 @@ def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
         .withColumn("x", to_double(clean_number(F.col("raw"))))
     )
     cand = (
-        d.join(F.broadcast(exact), ["varname", "key"], "left")
-        .join(F.broadcast(by_label), ["varname", "raw"], "left")
-        .join(F.broadcast(ranges), (F.col("varname") == F.col("r_var")) & K.in_range(F.col("x")), "left")
-        .join(F.broadcast(top), F.col("varname") == F.col("t_var"), "left")
+        d.join(exact, ["varname", "key"], "left")
+        .join(by_label, ["varname", "raw"], "left")
+        .join(ranges, (F.col("varname") == F.col("r_var")) & K.in_range(F.col("x")), "left")
+        .join(top, F.col("varname") == F.col("t_var"), "left")
     )
     best = cand.groupBy("col", "varname", "raw", "key").agg(
         F.first("e", ignorenulls=True).alias("e"), F.first("l", ignorenulls=True).alias("l"),
@@ -172,13 +174,14 @@ def _resolve_codes(coded: DataFrame, options: DataFrame) -> DataFrame:
     m_name = F.coalesce(F.col("e.n"), F.col("l.n"), F.col("r.n"))
     m_order = F.coalesce(F.col("e.o"), F.col("l.o"), F.col("r.o"))
     unseen = m_name.isNull() & F.col("key").isNull()
-    w = Window.partitionBy("col", unseen).orderBy("raw")
-    n_order = F.when(unseen, F.floor(F.coalesce(F.col("top"), F.lit(float(UNSEEN_ORDER_BASE)))) + F.row_number().over(w))
     name = F.coalesce(m_name, F.when(F.col("key").isNotNull(), typed_name(F.col("raw"))), clean_text(F.col("raw")))
-    return best.select(
-        "col", "raw", name.alias("name"), F.coalesce(m_order, n_order).cast("int").alias("order"),
-        m_name.isNotNull().alias("categorical"),
-    )
+    best = cut_lineage(best.select("col", "raw", name.alias("name"), m_order.alias("m_order"), unseen.alias("unseen"),
+                                   m_name.isNotNull().alias("categorical"), "top"), "codes")
+    numbered = grouped_rank(best.where("unseen"), ["col"], ["raw"], "place")
+    n_order = F.floor(F.coalesce(F.col("top"), F.lit(float(UNSEEN_ORDER_BASE)))) + F.col("place") + 1
+    return (best.where("not unseen").select("col", "raw", "name", F.col("m_order").cast("int").alias("order"), "categorical")
+            .unionByName(numbered.select("col", "raw", "name", F.coalesce("m_order", n_order).cast("int").alias("order"),
+                                         "categorical")))
 
 
 def parse_cells(long: DataFrame, rules: DataFrame) -> DataFrame:
@@ -310,6 +313,7 @@ def load_cohort(cohort: DataFrame, dictionary: DataFrame, cfg: LoadConfig, mater
     dv = distinct_values(norm)
     if materialize:
         dv = cut_lineage(dv, "values")
+    check_value_ids(dv)
     values = _values(dv, options, rules)
     items = _items(dv, d, rules, cfg)
     category = _categories(d)
@@ -324,6 +328,14 @@ def check_cases(cases: DataFrame) -> None:
         raise ValueError(f"case column: {n - known} of {n} rows have no id, {known - apart} repeat one")
 
 
+def check_value_ids(dv: DataFrame) -> None:
+    """Refuse two names of one item that would get one id, and so be taken for one value."""
+    ids = dv.groupBy("item_id", value_id(F.col("varname"), F.col("name")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    met = ids.where("n > 1").orderBy("item_id", "id").first()
+    if met:
+        raise ValueError(f"item {met['item_id']}: {met['n']} values have the id {met['id']}")
+
+
 def load_report(cells: DataFrame, rules: DataFrame, subjects: DataFrame) -> DataFrame:
     """(col, reason, n): per loaded column the missing cells and those that could not be read as the column's kind,
     and per chart variable the subjects without it."""
@@ -415,7 +427,7 @@ def _items(dv: DataFrame, d: DataFrame, rules: DataFrame, cfg: LoadConfig) -> Da
     it = (
         base.join(kinds, "item_id", "left")
         .where(F.col("has_values") | F.col("kind").isNotNull())
-        .join(F.broadcast(cats), "domain", "left")
+        .join(cats, "domain", "left")
         .join(stats, "item_id", "left")
         .join(inferred, "item_id", "left")
     )

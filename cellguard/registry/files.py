@@ -1,22 +1,22 @@
-"""Registered queries over files written from the given tables: dictionary scan (S2), checksums (S6, L3), store round
-trip (S7), JSON rows (S9), field tests (F24), letter codes (F15), range inference over plain columns (A13)."""
+"""Registered queries over files written from the given tables: dictionary scan (S2), checksums (S6, L3), store versions
+(S7), JSON rows (S9), field tests (F24), letter codes (F15), range inference over plain columns (A13)."""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..functions.codes import base36
 from ..operators.ranges import infer_ranges
 from ..session import ensure_checkpoint_dir
-from ..sources.files import (
-    file_checksums, latest_checksum, line_not_empty, read_store, scan_dictionary, to_json_rows, write_store,
-)
+from ..sources.files import file_checksums, latest_checksum, line_not_empty, scan_dictionary, to_json_rows
+from ..sources.lifecycle import append_cases, create_store, read_version, replace_item
 from ..sources.testdata import table
 from . import sqlparts as S
 from . import store_sql as Q
-from .store import LCFG, store
+from .store import BALANCE, LCFG, PRICE, SQL as TABLE_SQL, store
 
 
 def _folder(spark, name: str) -> str:
@@ -34,19 +34,62 @@ def dictionary_file(spark, sf):
     return scan_dictionary(spark, path).select("name", "label", "description", "values", "domain", "priority")
 
 
+LINES_A_FILE = 4096
+
+
 def checksum(spark, sf):
-    """The checksum of the last file of a folder, the region names line by line."""
-    path = _folder(spark, "names")
-    table(spark, sf, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey").select(
-        "r_name").write.text(path)
-    return latest_checksum(file_checksums(spark, f"{path}/part-*"))
+    """The checksums of files written from lineitem, each order's lines in the file of its block of orders."""
+    path = _folder(spark, "lines")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")])
+    block = F.floor(F.col("l_orderkey") / LINES_A_FILE)
+    (table(spark, sf, "lineitem").select(block.alias("block"), "l_orderkey", "l_linenumber", "l_partkey", line.alias("value"))
+     .repartition("block").sortWithinPartitions("block", "l_orderkey", "l_linenumber", "l_partkey")
+     .select("block", "value").write.partitionBy("block").text(path))
+    found = file_checksums(spark, f"{path}/block=*/part-*")
+    return found.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("long").alias("block"), "length", "md5")
+
+
+def newest_checksum(spark, sf):
+    """L3: the checksum of the last of those files, by name."""
+    made = checksum(spark, sf).select(F.col("block").alias("modificationTime"), F.col("block").alias("path"), "md5")
+    return latest_checksum(made)
+
+
+def _read_back(name: str):
+    """The store written as a version and read back, one of its five tables."""
+    def run(spark, sf):
+        path = _folder(spark, "store")
+        create_store(store(spark, sf), path)
+        back = getattr(read_version(spark, path), name)
+        return back.select("case", F.col("item").cast("int").alias("item"), "value") if name == "variable" else back
+
+    return run
 
 
-def store_round_trip(spark, sf):
-    """The variable table written by item and read back."""
+def _halves(spark, sf):
+    """The store's cases dealt over two stores by their number."""
+    s = store(spark, sf)
+    odd = F.col("case").cast("long") % 2 == 1
+    return [replace(s, variable=s.variable.where(t), subjects=s.subjects.where(t)) for t in (odd, ~odd)]
+
+
+def store_appended(spark, sf):
+    """Half the cases written, the others appended; the subjects of both."""
+    path = _folder(spark, "store")
+    first, second = _halves(spark, sf)
+    create_store(first, path)
+    append_cases(second, path)
+    return read_version(spark, path).subjects
+
+
+def store_item_replaced(spark, sf):
+    """One item's rows replaced by those of the odd cases, another item deleted; the variable table."""
     path = _folder(spark, "store")
-    write_store(store(spark, sf), path)
-    return read_store(spark, path).variable.select("case", F.col("item").cast("int").alias("item"), "value")
+    s = store(spark, sf)
+    create_store(s, path)
+    replace_item(path, PRICE, s.variable.where((F.col("item") == PRICE) & (F.col("case").cast("long") % 2 == 1)))
+    replace_item(path, BALANCE, None)
+    return read_version(spark, path).variable
 
 
 def json_rows(spark, sf):
@@ -88,7 +131,14 @@ def ranges_of_columns(spark, sf):
 QUERIES = {
     "dictionary_file": dictionary_file,
     "file_checksum": checksum,
-    "store_round_trip": store_round_trip,
+    "latest_checksum": newest_checksum,
+    "store_round_trip": _read_back("variable"),
+    "store_round_trip_values": _read_back("value"),
+    "store_round_trip_items": _read_back("item"),
+    "store_round_trip_categories": _read_back("category"),
+    "store_round_trip_subjects": _read_back("subjects"),
+    "store_appended": store_appended,
+    "store_item_replaced": store_item_replaced,
     "json_rows": json_rows,
     "not_empty_rows": not_empty_rows,
     "letter_codes": letter_codes,
@@ -99,12 +149,23 @@ _NORM = "\nUNION ALL ".join(
     f"SELECT {item} AS item_id, CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS name, false AS categorical FROM {name}"
     for item, (name, expr) in RANGED.items())
 
+_CHECKSUMS = f"""SELECT l_orderkey // {LINES_A_FILE} AS block, CAST(sum(length(line) + 1) AS BIGINT) AS length,
+  md5(string_agg(line || chr(10), '' ORDER BY l_orderkey, l_linenumber, l_partkey)) AS md5
+FROM (SELECT *, concat_ws(',', l_orderkey, l_linenumber, l_partkey) AS line FROM lineitem) GROUP BY 1"""
+
 SQL = {
     "dictionary_file": """SELECT lower('P' || p_partkey) AS name, p_name AS label, repeat(p_name, 40) AS description,
   p_brand AS "values", p_type AS domain, 0 AS priority FROM part""",
-    "file_checksum": """SELECT 'md5' AS type, md5(string_agg(r_name || chr(10), '' ORDER BY r_regionkey)) AS value
-FROM region""",
+    "file_checksum": f"SELECT * FROM ({_CHECKSUMS})",
+    "latest_checksum": f"SELECT 'md5' AS type, arg_max(md5, block) AS value FROM ({_CHECKSUMS})",
     "store_round_trip": S.with_(Q.store_ctes(LCFG)) + "\nSELECT * FROM s_variable",
+    "store_round_trip_values": TABLE_SQL["load_values"],
+    "store_round_trip_items": TABLE_SQL["load_items"],
+    "store_round_trip_categories": TABLE_SQL["load_categories"],
+    "store_round_trip_subjects": TABLE_SQL["load_subjects"],
+    "store_appended": TABLE_SQL["load_subjects"],
+    "store_item_replaced": S.with_(Q.store_ctes(LCFG)) + f"""
+SELECT * FROM s_variable WHERE item <> {BALANCE} AND (item <> {PRICE} OR CAST("case" AS BIGINT) % 2 = 1)""",
     "json_rows": """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","third":'
   || coalesce(CAST(nullif(s_nationkey % 3, 0) AS VARCHAR), 'null') || '}' AS value FROM supplier""",
     "not_empty_rows": """SELECT c_custkey, c_mktsegment AS segment FROM customer

@@ -106,6 +106,60 @@ def _sel(fs):
     return run
 
 
+def _coded(spark, sf):
+    """The store's variable table by value codes, written and read back, and the codes."""
+    import uuid
+
+    from ..operators import cohort_index as X
+    from ..session import cut_lineage, ensure_checkpoint_dir
+
+    s = store(spark, sf)
+    codes = cut_lineage(X.value_codes(s.value), "value-codes")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/coded-{uuid.uuid4().hex}"
+    return s, codes, X.write_coded(X.coded_variable(s.variable, codes), path)
+
+
+def _sel_codes(fs):
+    def run(spark, sf):
+        from ..operators import cohort_index as X
+
+        _, codes, coded = _coded(spark, sf)
+        return X.select_cases_coded(coded, codes, fs)
+
+    return run
+
+
+def _bitmaps(spark, sf, fs):
+    from ..operators import cohort_index as X
+    from ..session import cut_lineage
+
+    s, codes, coded = _coded(spark, sf)
+    numbers = cut_lineage(X.case_numbers(s.subjects), "case-numbers")
+    index = cut_lineage(X.case_bitmaps(coded, numbers), "case-bitmaps")
+    return X.select_bitmaps(index, codes, fs), numbers
+
+
+def filter_bitmaps(spark, sf):
+    """P5, U1 on bitmaps: the cases of the four-filter conjunction."""
+    from ..operators import cohort_index as X
+
+    return X.cases_of(*_bitmaps(spark, sf, F_AND))
+
+
+def filter_bitmap_count(spark, sf):
+    """U2 on bitmaps: how many cases the conjunction selects, without naming one."""
+    from ..operators import cohort_index as X
+
+    return X.count_cases(_bitmaps(spark, sf, F_AND)[0])
+
+
+def value_codes(spark, sf):
+    """Every value's place in its item's order."""
+    from ..operators import cohort_index as X
+
+    return X.value_codes(store(spark, sf).value).select("item", "value", "code")
+
+
 def filter_intersect(spark, sf):
     s = store(spark, sf)
     return FL.intersect_cases(s.variable, s.value, F_AND)
@@ -174,6 +228,13 @@ QUERIES = {
     "filter_values": _sel(F_VALUES),
     "filter_conjunction": _sel(F_AND),
     "filter_intersect": filter_intersect,
+    "value_codes": value_codes,
+    "filter_codes_range": _sel_codes(F_RANGE),
+    "filter_codes_open": _sel_codes(F_OPEN),
+    "filter_codes_conjunction": _sel_codes(F_AND),
+    "filter_codes_empty": _sel_codes(F_EMPTY),
+    "filter_bitmaps": filter_bitmaps,
+    "filter_bitmap_count": filter_bitmap_count,
     "filter_empty": _sel(F_EMPTY),
     "filter_export": filter_export,
     "chart_filtered_counts": _chart(F_AND, "subject_counts"),
@@ -293,6 +354,14 @@ FROM (SELECT domain, min(seq) AS f FROM coded_dict GROUP BY domain)""",
     "filter_exists": _store_sql(_sel_sql(F_EXISTS)),
     "filter_values": _store_sql(_sel_sql(F_VALUES)),
     "filter_conjunction": _store_sql(_sel_sql(F_AND)),
+    "value_codes": _store_sql("""SELECT item, id AS value, CAST(row_number() OVER (
+  PARTITION BY item ORDER BY name_numeric IS NULL, name_numeric, name, id) - 1 AS INTEGER) AS code FROM s_value"""),
+    "filter_codes_range": _store_sql(_sel_sql(F_RANGE)),
+    "filter_codes_open": _store_sql(_sel_sql(F_OPEN)),
+    "filter_codes_conjunction": _store_sql(_sel_sql(F_AND)),
+    "filter_codes_empty": _store_sql(_sel_sql(F_EMPTY)),
+    "filter_bitmaps": _store_sql(_sel_sql(F_AND)),
+    "filter_bitmap_count": _store_sql(f"SELECT count(*) AS n FROM ({_sel_sql(F_AND)})"),
     "filter_intersect": _store_sql(_sel_sql(F_AND)),
     "filter_empty": _store_sql(_sel_sql(F_EMPTY)),
     "filter_export": _store_sql(f"SELECT {_export_sql(F_EXPORT)} AS filterstring"),

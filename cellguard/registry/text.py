@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize, clean_number, clean_text, trunc_decimal
-from ..operators.groups import consecutive_groups_bucketed
+from ..operators.groups import dictionary_pages
+from ..operators.ranks import runs
 from . import sqlparts as S
 from ..operators.search import search
 from ..operators.groups import dictionary_view
@@ -49,12 +50,11 @@ def tabs(spark, sf):
     """Lines ordered by (order, header, line), a new tab whenever the header changes; one row per tab."""
     p = parse_sections(_section_lines(spark, sf), 3, ["header", "order", "text_type", "text"]).withColumn(
         "order", F.col("order").cast("int"))
-    # global order split by its leading key, so no single task sorts every line
-    g = consecutive_groups_bucketed(p, ["order", "header", "line"], "header", [], F.col("order"))
-    return g.groupBy("group_no").agg(
-        F.min("header").alias("header"), F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("first_line"),
-        F.sum(F.length("text")).alias("chars"),
-    )
+    # sorted over all tasks; runs that reach over a border are joined by a table of the borders
+    g = runs(p, ["order", "header", "line"], "header", id_col="line", sums={
+        "chars": F.length("text").cast("long"), "text_sum": F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")})
+    return g.select("group_no", "header", F.col("n").alias("n_lines"), F.col("first_id").alias("first_line"), "chars",
+                    "text_sum")
 
 
 def comments(spark, sf):
@@ -65,7 +65,7 @@ def comments(spark, sf):
                                  F.regexp_replace("text", "\n", " ")).alias("value"))
     p = parse_sections(lines, 2, ["location", "line_no", "comment"])
     return comments_for(p, "user").select("line", "location", F.col("line_no").cast("int").alias("line_no"),
-                                          F.length("comment").alias("comment_len"))
+                                          F.length("comment").alias("comment_len"), F.md5("comment").alias("comment_md5"))
 
 
 def text_scalars(spark, sf):
@@ -99,6 +99,21 @@ def dictionary_groups(spark, sf):
         "=", d["seq"].cast("string"), d["label"], d["category"], d["values"])), "|").alias("members"))
 
 
+PAGE = 2  # rows of a dictionary page: small, so that the parts' runs fill more than one
+
+
+def dictionary_in_pages(spark, sf):
+    """Q5 in pages: lines of the orders table by priority as one long dictionary, its runs cut into pages."""
+    o = table(spark, sf, "orders")
+    entries = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"),
+                       F.col("o_custkey").cast("string").alias("variable"), F.col("o_orderstatus").alias("category"),
+                       F.lit(None).cast("string").alias("description"), F.col("o_orderdate").cast("string").alias("values"))
+    v = dictionary_pages(entries, PAGE)
+    return v.select("group_no", "id", "name", "page", F.size("data").alias("n"), F.array_join(F.transform(
+        "data", lambda d: F.concat_ws("=", d["seq"].cast("string"), d["label"], d["category"], d["values"])), "|")
+        .alias("members"))
+
+
 def stacked_sheets(spark, sf):
     """S3: two sheets, the customers and the suppliers, columns kept by name in any case, the sheet name appended;
     customers carry their own sheet names (one per market segment), read in one pass."""
@@ -114,6 +129,7 @@ QUERIES = {
     "stack_sheets": stacked_sheets,
     "data_dictionary": data_dictionary,
     "dictionary_view": dictionary_groups,
+    "dictionary_pages": dictionary_in_pages,
     "search_parts": search_parts,
     "search_documents": search_documents,
     "search_documents_top": search_documents_top,
@@ -176,15 +192,26 @@ _g AS (SELECT *, sum(s) OVER (ORDER BY "order", header, line ROWS UNBOUNDED PREC
   SELECT *, CASE WHEN lag(header) OVER (ORDER BY "order", header, line) IS NOT DISTINCT FROM header
                   AND row_number() OVER (ORDER BY "order", header, line) > 1 THEN 0 ELSE 1 END AS s FROM _parsed))
 SELECT CAST(group_no AS BIGINT) AS group_no, min(header) AS header, count(*) AS n_lines, min(line) AS first_line,
-       CAST(sum(length(text)) AS BIGINT) AS chars
+       CAST(sum(length(text)) AS BIGINT) AS chars,
+       CAST(sum(CAST('0x' || substr(md5(text), 1, 8) AS BIGINT)) AS BIGINT) AS text_sum
 FROM _g GROUP BY group_no""",
-    "comments": """SELECT line, 'user' AS location, CAST(turn AS INTEGER) AS line_no,
-  CAST(length(""" + S.clean_text("""CASE WHEN length(v) - length(replace(v, '==', '')) >= 4
-    THEN substr(v, length(split_part(v, '==', 1)) + length(split_part(v, '==', 2)) + 5) ELSE '' END""") + """)
-  AS INTEGER) AS comment_len
-FROM (SELECT conv_id * 1000 + turn AS line, turn, role,
-             trim(concat_ws('==', role, CAST(turn AS VARCHAR), replace(text, chr(10), ' '))) AS v FROM conversations)
-WHERE role = 'user' AND length(v) > 0 AND NOT prefix(v, '#')""",
+    "comments": """SELECT line, 'user' AS location, line_no, CAST(length(comment) AS INTEGER) AS comment_len,
+  md5(comment) AS comment_md5
+FROM (SELECT line, CAST(turn AS INTEGER) AS line_no, """ + S.clean_text("""CASE WHEN length(v) - length(replace(v, '==', '')) >= 4
+    THEN substr(v, length(split_part(v, '==', 1)) + length(split_part(v, '==', 2)) + 5) ELSE '' END""") + """ AS comment
+  FROM (SELECT conv_id * 1000 + turn AS line, turn, role,
+               trim(concat_ws('==', role, CAST(turn AS VARCHAR), replace(text, chr(10), ' '))) AS v FROM conversations)
+  WHERE role = 'user' AND length(v) > 0 AND NOT prefix(v, '#'))""",
+    "dictionary_pages": f"""WITH g AS (
+  SELECT *, sum(s) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS grp FROM (
+    SELECT *, CASE WHEN lag(o_orderstatus) OVER (ORDER BY o_orderkey) IS NOT DISTINCT FROM o_orderstatus
+                    AND row_number() OVER (ORDER BY o_orderkey) > 1 THEN 0 ELSE 1 END AS s FROM orders)),
+p AS (SELECT *, min(o_orderkey) OVER (PARTITION BY grp) AS id,
+             (row_number() OVER (PARTITION BY grp ORDER BY o_orderkey) - 1) // {PAGE} AS page FROM g)
+SELECT CAST(grp AS BIGINT) AS group_no, id, o_orderstatus AS name, page, CAST(count(*) AS INTEGER) AS n,
+       string_agg(o_orderkey || '=' || o_orderpriority || '=' || o_custkey || '=' || o_orderdate, '|'
+                  ORDER BY o_orderkey) AS members
+FROM p GROUP BY grp, id, o_orderstatus, page""",
     "scalar_text": """SELECT p_partkey,
   upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS cap_name,
   replace(p_name || '||' || p_type, '||', chr(10)) AS cleaned,

@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session; set a scratch one only when none is configured.
 
     On a cluster ``spark.checkpoint.dir`` must name a shared folder (HDFS, object store); it is read, never
-    overridden. Only an unset value (local runs, tests) falls back to a fresh folder. Recording the fallback in the
+    overridden, and a cluster without one is refused. Only a local session falls back to a fresh folder. Recording the fallback in the
     session is best effort: ``cut_lineage`` only needs the returned path.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             current = None
     if current:
         return current
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="cellguard-ckpt-", dir=os.environ.get("CELLGUARD_SCRATCH", "/tmp"))
     for record in (lambda: spark.conf.set("spark.checkpoint.dir", path),
                    lambda: spark.sparkContext.setCheckpointDir(path)):
