@@ -65,6 +65,7 @@ class LoadConfig:
     gender_mapping: str | None = None
     min_priority: int = 0
     target_columns: tuple[str, ...] | None = None
+    round_years: int = 5  # 1 keeps columns of years (not ages) at whole years instead of 5-year bins (decision D16)
 
     @property
     def followup_column(self) -> str | None:

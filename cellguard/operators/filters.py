@@ -120,12 +120,13 @@ def intersect_cases(variable: DataFrame, value: DataFrame, filters: list) -> Dat
     return out
 
 
-def export_filters(spark, item: DataFrame, value: DataFrame, filters: list) -> DataFrame:
+def export_filters(spark, item: DataFrame, value: DataFrame, filters: list, quote: bool = False) -> DataFrame:
     """One row ``filterstring`` such as ``(price_k >= 100 AND price_k <= 200) AND (priority IN (urgent, high))``.
 
     The filter list is user input (a handful of rows); it is joined with the item and value tables so names come
-    from the store. Value names stay unquoted and in input order (decision D22).
+    from the store. Value names stay in input order, and unquoted unless ``quote`` asks for SQL texts (decision D22).
     """
+    said = F.concat(F.lit("'"), F.replace("name", F.lit("'"), F.lit("''")), F.lit("'")) if quote else F.col("name")
     rows = []
     for pos, f in enumerate(filters):
         if isinstance(f, RangeFilter):
@@ -145,7 +146,7 @@ def export_filters(spark, item: DataFrame, value: DataFrame, filters: list) -> D
         .alias("text"),
     )
     ex = named.where(F.col("ids").isNotNull()).select("pos", "item", "varname", F.posexplode("ids").alias("k", "vid"))
-    ex = ex.join(value.select("item", F.col("id").alias("vid"), "name"), ["item", "vid"], "left")
+    ex = ex.join(value.select("item", F.col("id").alias("vid"), said.alias("name")), ["item", "vid"], "left")
     lists = ex.groupBy("pos", "varname").agg(
         F.sort_array(F.collect_list(F.struct("k", "name"))).alias("vs"), F.count("vid").alias("n")
     ).select(

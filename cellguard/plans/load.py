@@ -114,7 +114,8 @@ def column_rules(spark, columns: list[str], dictionary: DataFrame, cfg: LoadConf
         if f["has_date"]:
             kind = "date_int" if var in skip else "date"
         elif f["has_age_year"] or f["has_years"]:
-            kind = "int_only" if var in skip else ("age" if f["has_age"] else "year")
+            whole = var in skip or (cfg.round_years == 1 and not f["has_age"])
+            kind = "int_only" if whole else ("age" if f["has_age"] else "year")
         else:
             kind = None  # coded or raw, decided by the dictionary
         rows.append((pos, c, var, cfg.datamodel_vars.get(var), kind, True))

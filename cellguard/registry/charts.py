@@ -49,8 +49,26 @@ def excluded_cases_fu(spark, sf):
     return H.excluded_cases(_subjects(spark, sf), "sex", "age_fu", CFG_JIT)
 
 
+THIN = "sex <> 'other' OR `case` % 50 = 0"
+
+
 def excluded_cases_bl(spark, sf):
-    return H.excluded_cases(_subjects(spark, sf), "sex", "age_bl", CFG_JIT)
+    """A6 where one sex is thin enough for its cells to be masked at every scale."""
+    return H.excluded_cases(_subjects(spark, sf).where(THIN), "sex", "age_bl", CFG_JIT)
+
+
+def chart_incremental(spark, sf):
+    """S10 as a mergeable state: half the subjects first, the others appended; the unfiltered chart of both."""
+    import uuid
+
+    from ..plans.precompute import append_state, chart_from_state
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    s = _subjects(spark, sf)
+    append_state(s.where("`case` % 2 = 0"), CFG_CHART, path)
+    append_state(s.where("`case` % 2 = 1"), CFG_CHART, path)
+    return chart_from_state(spark, CFG_CHART, path).subject_counts
 
 
 def enrollment_by_age_shared_jitter(spark, sf):
@@ -105,6 +123,7 @@ QUERIES = {
     "sex_totals_fu": sex_totals_fu,
     "excluded_cases_fu": excluded_cases_fu,
     "excluded_cases_bl": excluded_cases_bl,
+    "chart_incremental": chart_incremental,
     "histogram_shared_jitter": enrollment_by_age_shared_jitter,
     "histogram_bins": histogram_bins,
     "histogram_step_top": histogram_step_top,
@@ -155,7 +174,6 @@ def _chart_sql(select: str, cfg: ChartConfig, jitter: bool) -> str:
     return S.with_(S.SUBJECTS_CTE, S.chart_ctes("q", "subjects", cfg, jitter)) + "\n" + select
 
 
-_M_BL = S.with_(S.SUBJECTS_CTE, S.matrix_ctes("x", "subjects", "age_bl", CFG_JIT, True))
 _M_FU = S.with_(S.SUBJECTS_CTE, S.matrix_ctes("x", "subjects", "age_fu", CFG_JIT, True))
 
 SQL = {
@@ -165,12 +183,14 @@ SQL = {
     "sex_totals_fu": _M_FU + "\nSELECT label, CAST(sum(value) AS BIGINT) AS value FROM x_m GROUP BY label",
     "excluded_cases_fu": _M_FU
     + '\nSELECT b."case" FROM x_b b JOIN x_m m ON b.sex = m.sex AND b.bin = m.bin WHERE m.masked',
-    "excluded_cases_bl": _M_BL
+    "excluded_cases_bl": S.with_(S.SUBJECTS_CTE, f"few AS (SELECT * FROM subjects WHERE {THIN.replace('`', chr(34))})",
+                                 S.matrix_ctes("x", "few", "age_bl", CFG_JIT, True))
     + '\nSELECT b."case" FROM x_b b JOIN x_m m ON b.sex = m.sex AND b.bin = m.bin WHERE m.masked',
     "histogram_shared_jitter": _shared_jitter_sql(),
     "histogram_bins": _hist_sql("lineitem", "l_quantity", 0, 5.0, 10, False, []),
     "histogram_step_top": _hist_sql("orders", "o_totalprice", 0, 25000.0, 12, True, ["o_orderstatus"]),
     "chart_unfiltered_counts": _chart_sql("SELECT * FROM q_counts", CFG_CHART, False),
+    "chart_incremental": _chart_sql("SELECT * FROM q_counts", CFG_CHART, False),
     "chart_unfiltered_age_fu": _chart_sql(
         "SELECT bin, bucket, label, value FROM q_fu_m", CFG_CHART, False
     ),

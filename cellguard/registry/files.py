@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.codes import base36
 from ..operators.ranges import infer_ranges
 from ..session import ensure_checkpoint_dir
-from ..sources.files import file_checksums, latest_checksum, line_not_empty, scan_dictionary, to_json_rows
+from ..sources.files import (
+    file_checksums, latest_checksum, line_not_empty, nested_rows, scan_dictionary, scan_sheet_folder, to_json_rows,
+    write_rows_csv,
+)
 from ..sources.lifecycle import append_cases, create_store, read_version, replace_item
 from ..sources.testdata import table
 from . import sqlparts as S
@@ -98,6 +101,42 @@ def json_rows(spark, sf):
     return to_json_rows(s.select("s_suppkey", "s_name", F.expr("nullif(s_nationkey % 3, 0)").alias("third")))
 
 
+HEADERS = ["c_custkey,c_name,", "number,name,balance", "c_custkey,c_name,"]
+
+
+def sheet_files(spark, sf):
+    """S3: one file a market segment with three header rows, and a data row that reads like a header."""
+    path = _folder(spark, "sheets")
+    c = table(spark, sf, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", F.col("c_acctbal").cast("string"))
+    rows = c.select("c_mktsegment", F.col("c_custkey").alias("at"), line.alias("value"))
+    few = c.select("c_mktsegment").distinct()
+    head = few.select("c_mktsegment", F.posexplode(F.array(*map(F.lit, HEADERS)))).select(
+        "c_mktsegment", (F.col("pos") - 9).alias("at"), F.col("col").alias("value"))
+    again = few.select("c_mktsegment", F.lit(1 << 40).alias("at"), F.lit(HEADERS[0]).alias("value"))
+    (rows.unionByName(head).unionByName(again).repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "at")
+     .select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(path))
+    return scan_sheet_folder(spark, f"{path}/*/part-*", header_rows=3, keep=["C_NAME", 0, "balance"],
+                             sheet_name="c_mktsegment=([^/]+)/").select(
+        F.col("C_NAME").alias("name"), F.col("c_custkey").alias("number"), "balance", F.col("SheetName").alias("sheet"))
+
+
+def nested_csv(spark, sf):
+    """Customers by nation as lists of structs, written as rows and read back."""
+    path = _folder(spark, "nested")
+    c = table(spark, sf, "customer")
+    lists = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("block")).agg(F.collect_list(F.struct(
+        F.col("c_custkey").alias("number"), F.concat("c_name", F.lit("\n"), "c_mktsegment").alias("who"))).alias("cells"))
+    write_rows_csv(nested_rows(lists, "block", "cells"), path, join_multiline=" / ")
+    return spark.read.option("header", True).csv(path)
+
+
+def json_options(spark, sf):
+    """A map cell's named entries as columns."""
+    e = table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("cells"))
+    return nested_rows(e, "event_id", "cells", ["k", "absent"])
+
+
 def not_empty_rows(spark, sf):
     """customers whose segment, with one segment blanked and one removed, is still a text."""
     c = table(spark, sf, "customer").select("c_custkey", F.expr(
@@ -140,6 +179,9 @@ QUERIES = {
     "store_appended": store_appended,
     "store_item_replaced": store_item_replaced,
     "json_rows": json_rows,
+    "sheet_files": sheet_files,
+    "nested_csv": nested_csv,
+    "nested_map": json_options,
     "not_empty_rows": not_empty_rows,
     "letter_codes": letter_codes,
     "infer_ranges": ranges_of_columns,
@@ -168,6 +210,12 @@ SQL = {
 SELECT * FROM s_variable WHERE item <> {BALANCE} AND (item <> {PRICE} OR CAST("case" AS BIGINT) % 2 = 1)""",
     "json_rows": """SELECT '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '","third":'
   || coalesce(CAST(nullif(s_nationkey % 3, 0) AS VARCHAR), 'null') || '}' AS value FROM supplier""",
+    "sheet_files": """SELECT c_name AS name, CAST(c_custkey AS VARCHAR) AS number, CAST(c_acctbal AS VARCHAR) AS balance,
+  c_mktsegment AS sheet FROM customer
+UNION ALL SELECT 'c_name', 'c_custkey', NULL, c_mktsegment FROM customer GROUP BY c_mktsegment""",
+    "nested_csv": """SELECT CAST(c_custkey // 100 AS VARCHAR) AS block, CAST(c_custkey AS VARCHAR) AS number,
+  c_name || ' / ' || c_mktsegment AS who FROM customer""",
+    "nested_map": """SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS absent FROM events""",
     "not_empty_rows": """SELECT c_custkey, c_mktsegment AS segment FROM customer
 WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""",
     "letter_codes": """SELECT p_partkey, CAST(ascii(lower(p_name[1])) - 87 AS BIGINT) AS code FROM part""",

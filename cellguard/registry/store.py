@@ -170,6 +170,12 @@ def filter_export(spark, sf):
     return FL.export_filters(spark, s.item, s.value, F_EXPORT)
 
 
+def filter_export_quoted(spark, sf):
+    """P13 with SQL texts for the value names."""
+    s = store(spark, sf)
+    return FL.export_filters(spark, s.item, s.value, F_EXPORT, quote=True)
+
+
 def _chart(fs, part):
     def run(spark, sf):
         s = store(spark, sf)
@@ -237,6 +243,7 @@ QUERIES = {
     "filter_bitmap_count": filter_bitmap_count,
     "filter_empty": _sel(F_EMPTY),
     "filter_export": filter_export,
+    "filter_export_quoted": filter_export_quoted,
     "chart_filtered_counts": _chart(F_AND, "subject_counts"),
     "chart_filtered_age_bl": _chart(F_AND, "age_bl"),
     "chart_filtered_age_fu": _chart(F_AND, "age_fu"),
@@ -273,7 +280,7 @@ def _store_sql(select: str) -> str:
     return BASE + "\n" + select
 
 
-def _export_sql(fs) -> str:
+def _export_sql(fs, quote: str = "") -> str:
     parts = []
     for pos, f in enumerate(fs):
         var = f"(SELECT varname FROM s_item WHERE id = {f.item})"
@@ -287,7 +294,8 @@ def _export_sql(fs) -> str:
             else:
                 t = f"'(' || {var} || ' >= {f.lo})'"
         else:
-            names = " || ', ' || ".join(f"(SELECT name FROM s_value WHERE id = {v} AND item = {f.item})" for v in f.values)
+            mark = f"'{quote}'"
+            names = " || ', ' || ".join(f"{mark} || (SELECT name FROM s_value WHERE id = {v} AND item = {f.item}) || {mark}" for v in f.values)
             t = (f"'(' || {var} || ' IN (' || {names} || '))'" if len(f.values) > 1
                  else f"'(' || {var} || ' = ' || {names} || ')'")
         parts.append(t)
@@ -365,6 +373,7 @@ FROM (SELECT domain, min(seq) AS f FROM coded_dict GROUP BY domain)""",
     "filter_intersect": _store_sql(_sel_sql(F_AND)),
     "filter_empty": _store_sql(_sel_sql(F_EMPTY)),
     "filter_export": _store_sql(f"SELECT {_export_sql(F_EXPORT)} AS filterstring"),
+    "filter_export_quoted": _store_sql(f"""SELECT {_export_sql(F_EXPORT, "''")} AS filterstring"""),
     "chart_filtered_counts": _chart_sel_sql(F_AND, "counts"),
     "chart_filtered_age_bl": _chart_sel_sql(F_AND, "bl"),
     "chart_filtered_age_fu": _chart_sel_sql(F_AND, "fu"),

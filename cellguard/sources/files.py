@@ -3,10 +3,15 @@ checksums (S6, L3), store and result sinks (S7, S8, S9)."""
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.text import clean_text, not_empty
 from ..operators.rows import with_row_index
@@ -93,20 +98,70 @@ def stack_sheets(sheets: dict[str, DataFrame], keep: list | None = None, ignore:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def scan_sheet_folder(spark: SparkSession, path: str, header_rows: int = 1, **options) -> DataFrame:
-    """S3 over a folder of CSV sheets with one header: each file is a sheet named by the file, read in one pass.
+FILE_STEM = r"([^/]+?)([.][^./]*)?$"
 
-    With ``header_rows`` above 1 the further header lines are dropped: rows that repeat the first file's cells of
-    those lines.
+
+def scan_sheet_folder(spark: SparkSession, path: str, header_rows: int = 1, keep: list | None = None,
+                      ignore: list | None = None, sheet_col: str | None = "SheetName", drop_empty: bool = False,
+                      ignore_case: bool = True, sheet_name: str = FILE_STEM) -> DataFrame:
+    """S3 over a folder of CSV sheets: each file is a sheet, named by ``sheet_name`` in its path.
+
+    The first ``header_rows`` rows of a file, by position, are headers: a column goes by its name in any of them (the
+    last one that tells) or by its 0-based position. Files may have different headers; a sheet that lacks a column has
+    NULL there. ``keep`` gives the columns and their order, else all but ``ignore`` come in order of appearance. A file
+    is read by one task, as its rows only have a position within it; its rows leave the task in batches.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    if header_rows > 1:
-        extra = [tuple(r) for r in df.limit(header_rows - 1).collect()]
-        for row in extra:
-            same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(df.columns, row)])
-            df = df.where(~same)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)([.][^./]*)?$", 1)
-    return sheet_rows(df, sheet=name, **options)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    fold = str.lower if ignore_case else str
+
+    def rows(content: bytes):
+        return csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+
+    def places(headers: list[list[str]]) -> dict[int, str]:
+        """Position -> the column's name in the result."""
+        found: dict[int, str] = {}
+        wanted = {fold(str(k)): str(k) for k in keep or []}
+        gone = {fold(str(k)) for k in ignore or []}
+        for row in headers:
+            for j, name in enumerate(row):
+                if keep and (fold(name) in wanted or str(j) in wanted):
+                    found[j] = wanted.get(fold(name)) or found.get(j) or name
+                elif not keep and name and fold(name) not in gone and str(j) not in gone:
+                    found[j] = name
+        return {j: name for j, name in found.items() if name}
+
+    def headers(frames):
+        for frame in frames:
+            for file, content in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                named = places(list(itertools.islice(rows(content), header_rows)))
+                yield pa.RecordBatch.from_pylist([{"path": file, "at": j, "name": n} for j, n in named.items()], pa.schema(
+                    [("path", pa.string()), ("at", pa.int64()), ("name", pa.string())]))
+
+    def body(frames):
+        kind = pa.schema([("path", pa.string()), ("cells", pa.map_(pa.string(), pa.string()))])
+        for frame in frames:
+            for file, content in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                left = rows(content)
+                named = places(list(itertools.islice(left, header_rows)))
+                while found := list(itertools.islice(left, 4096)):
+                    cells = [{"path": file, "cells": [(fold(n), row[j] or None) for j, n in named.items() if j < len(row)]}
+                             for row in found if row]
+                    yield pa.RecordBatch.from_pylist(cells, kind)
+
+    said = files.mapInArrow(headers, "path string, at long, name string")
+    first = said.groupBy(F.lower("name") if ignore_case else F.col("name")).agg(
+        F.min(F.struct("path", "at", "name")).alias("f"))
+    seen = {fold(r["f"]["name"]): r["f"]["name"] for r in sorted(first.collect(), key=lambda r: r["f"][:2])}  # the columns
+    if keep:
+        seen = {fold(str(k)): str(k) for k in keep if fold(str(k)) in seen} | {
+            k: v for k, v in seen.items() if k not in {fold(str(x)) for x in keep}}
+    cells = files.mapInArrow(body, "path string, cells map<string,string>")
+    picks = [F.col("cells")[k].alias(name) for k, name in seen.items()]
+    if drop_empty and seen:
+        filled = [F.length(F.trim(F.col("cells")[k])) > 0 for k in seen]
+        cells = cells.where(reduce(lambda x, y: x | y, [F.coalesce(f, F.lit(False)) for f in filled]))
+    name = [F.regexp_extract("path", sheet_name, 1).alias(sheet_col)] if sheet_col else []
+    return cells.select(*picks, *name)
 
 
 def parse_sections(lines: DataFrame, n_fields: int, names: list[str], sep: str = "==") -> DataFrame:
@@ -212,6 +267,33 @@ def write_rows_csv(df: DataFrame, path: str, cols: list[str] | None = None, join
     out.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
+def nested_rows(df: DataFrame, key: str, value: str, order: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Rows of a table whose ``value`` holds a map, a struct, or a list, ready for ``write_rows_csv``.
+
+    A map gives a row: the key and the entries named by ``order``; a struct its fields (or those of ``order``). A list
+    gives a row an element: the key and the element, or the fields of a struct element, or the first ``width`` cells
+    of a list element. An empty list gives none.
+    """
+    kind = df.schema[value].dataType
+    if isinstance(kind, ArrayType):
+        df = df.select(key, F.explode(value).alias("__cell"))
+        kind = kind.elementType
+    else:
+        df = df.select(key, F.col(value).alias("__cell"))
+    cell = F.col("__cell")
+    if isinstance(kind, MapType):
+        if not order:
+            raise ValueError("a map's columns need an order")
+        return df.select(key, *[F.element_at(cell, F.lit(c)).alias(c) for c in order])
+    if isinstance(kind, StructType):
+        return df.select(key, *[cell[c].alias(c) for c in order or kind.fieldNames()])
+    if isinstance(kind, ArrayType):
+        if not width:
+            raise ValueError("lists in a list need a width")
+        return df.select(key, *[F.get(cell, i).alias(f"c{i + 1}") for i in range(width)])
+    return df.select(key, cell.alias(value))
+
+
 def to_json_rows(df: DataFrame) -> DataFrame:
     """Each row as one JSON text (``value``)."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
