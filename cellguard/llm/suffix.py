@@ -27,6 +27,9 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cellguard.session import cut_lineage
 
 from . import blocks as B
 
@@ -150,8 +153,12 @@ def dealt_contents(block: tuple, told: dict, gram_parts: int, parts: int):
 
 
 def ask_stretches(block: tuple, told: list[dict], gram_parts: int, parts: int) -> dict:
-    _, _, _, dealt, texts, least, hashes = dealt_contents(block, told[0], gram_parts, parts)
-    return {p: ([texts[i] for i in own], least[own], hashes[own]) for p, own in dealt}
+    """The questions, and under ``B.OWN`` what the block needs to read their answers: where its chosen stretches lie."""
+    found, chosen, number, dealt, texts, least, hashes = dealt_contents(block, told[0], gram_parts, parts)
+    first = found.first[chosen]
+    places = (first.astype(np.uint32), (found.last[chosen] - first).astype(np.uint8), number.astype(np.uint32),
+              [(p, own.astype(np.uint32)) for p, own in dealt], len(texts))
+    return {B.OWN: places} | {p: ([texts[i] for i in own], least[own], hashes[own]) for p, own in dealt}
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,17 +296,15 @@ def merge_stretches(asked: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[t
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def spans(found: Stretches, chosen: np.ndarray, number: np.ndarray, least: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """True for every byte of the block to remove."""
-    n = len(found.data)
+def spans(n: int, first: np.ndarray, last: np.ndarray, later: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """True for every byte of a block of ``n`` to remove: whole stretches that are ``later`` than another document's
+    equal one, and the windows of the others that ``bits`` name."""
     change = np.zeros(n + 1, np.int64)
-    later = found.ids[found.doc[chosen]] > least[number] if len(chosen) else np.zeros(0, bool)
-    np.add.at(change, found.first[chosen[later]], 1)
-    np.add.at(change, found.last[chosen[later]] + LENGTH, -1)
-    some = chosen[~later]
-    mask = bits[number[~later]]
+    np.add.at(change, first[later], 1)
+    np.add.at(change, last[later] + LENGTH, -1)
+    some, mask = first[~later], bits[~later]
     for k in range(SPAN):
-        at = found.first[some[(mask >> np.uint32(k)) & np.uint32(1) == 1]] + k
+        at = some[(mask >> np.uint32(k)) & np.uint32(1) == 1] + k
         np.add.at(change, at, 1)
         np.add.at(change, at + LENGTH, -1)
     return np.cumsum(change)[:n] > 0
@@ -312,28 +317,34 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     gram_parts = B.parts_for(total, 24 << 20)
     parts = B.parts_for(total, 16 << 20)
     grams = B.answer(B.send(held, lambda block, _: ask_grams(block, gram_parts)), merge_grams, "grams")
-    asked = B.send(held, lambda block, told: ask_stretches(block, told, gram_parts, parts), [grams])
-    found = B.answer(asked, merge_stretches, "stretches")
+    # written, as the questions are read twice: by the parts, and what a block keeps for itself by the block
+    asked = cut_lineage(B.send(held, lambda block, told: ask_stretches(block, told, gram_parts, parts), [grams]), "asked")
+    kept_places = asked.where(f"part = {B.OWN}").select("block", "part", F.col("sent").alias("answer"))
+    found = B.answer(asked.where(f"part <> {B.OWN}"), merge_stretches, "stretches")
 
     def judge(key, block: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for data in block["data"]:
-            told = B.by_round(back, 2)
+            own_places, told = B.by_round(back, 2)
             ids, texts = B.unpack(data)
-            seen, chosen, number, dealt, contents, _, _ = dealt_contents((ids, texts), told[0], gram_parts, parts)
-            least, bits = np.zeros(len(contents), np.int64), np.zeros(len(contents), np.uint32)
+            first, more, number, dealt, many = own_places[B.OWN]
+            first = first.astype(np.int64)
+            least, bits = np.zeros(many, np.int64), np.zeros(many, np.uint32)
             for p, own in dealt:
-                least[own], bits[own] = told[1][p]
-            gone = spans(seen, chosen, number, least, bits)
-            raw = np.frombuffer(seen.data, np.uint8)
-            for doc, end, length in zip(ids, seen.ends.tolist(), seen.lengths.tolist()):
+                least[own], bits[own] = told[p]
+            ends = np.cumsum([len(t) for t in texts])
+            by = np.array([LAST if i is None else i for i in ids], np.int64)[np.searchsorted(ends, first, side="right")]
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            gone = spans(len(raw), first, first + more, by > least[number], bits[number])
+            for doc, end, text in zip(ids, ends.tolist(), texts):
+                length = len(text)
                 cut = gone[end - length:end]
                 runs = int(cut[:1].sum() + (cut[1:] & ~cut[:-1]).sum())
-                kept = raw[end - length:end][~cut].tobytes() if runs else seen.data[end - length:end]
+                kept = raw[end - length:end][~cut].tobytes() if runs else text
                 rows.append((doc, length, int(cut.sum()), runs, hashlib.sha256(kept).hexdigest(),
                              *([kept] if keep_text else [])))
         names = [c.split()[0] for c in RESULT.split(", ")] + ["kept"] * keep_text
         out = pd.DataFrame(rows, columns=names)
         return out.astype({"doc_id": "Int64"})
 
-    return B.with_answers(held, [grams, found], judge, RESULT + ", kept binary" * keep_text)
+    return B.with_answers(held, [kept_places, found], judge, RESULT + ", kept binary" * keep_text)
