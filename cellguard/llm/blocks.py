@@ -34,30 +34,35 @@ def unpack(data):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(data)))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[bytes], int]]:
+    """(doc ids with None for null, texts as UTF-8 bytes, their bytes) of each block; a null text is empty."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            body = (text.as_py() or "").encode()
+            ids.append(doc)
+            texts.append(body)
+            n += len(body)
+            if n >= size:
+                yield ids, texts, n
+                ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts, n
+
+
+def shaped(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(block, n_bytes, data): data packs (doc ids with None for null, texts as UTF-8 bytes; a null text is empty)."""
+    """(block, n_bytes, data): data packs (doc ids, texts), see ``gathered``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, n = [], [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pack((ids, texts))], pa.binary())],
-                                              names=["n_bytes", "data"])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                body = (text.as_py() or "").encode()
-                ids.append(doc)
-                texts.append(body)
-                n += len(body)
-                if n >= size:
-                    yield out()
-                    ids, texts, n = [], [], 0
-        if ids:
-            yield out()
-
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        gather, "n_bytes long, data binary")
+        for ids, texts, n in gathered(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pack((ids, texts))], pa.binary())],
+                                             names=["n_bytes", "data"])
+
+    packed = shaped(docs).mapInArrow(gather, "n_bytes long, data binary")
     return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -72,10 +77,11 @@ def parts_for(total: int, each: int) -> int:
 SENT = "part long, block long, sent binary"
 
 
-def send(held: DataFrame, ask: Callable[[tuple, list], dict[int, object]], answers: list[DataFrame] = ()) -> DataFrame:
-    """(part, block, sent): ``ask((ids, texts), answers)`` gives each part's question of a block.
+def send(held: DataFrame, ask: Callable[[tuple, list], dict[int, object]], answers: list[DataFrame] = (),
+         tasks: int | None = None) -> DataFrame:
+    """(part, block, sent): ``ask(unpacked data, answers)`` gives each part's question of a block.
 
-    ``answers`` are earlier rounds: each is passed as {part: answer} of that block.
+    ``answers`` are earlier rounds: each is passed as {part: answer} of that block. ``tasks``: see ``with_answers``.
     """
     if not answers:
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +101,7 @@ def send(held: DataFrame, ask: Callable[[tuple, list], dict[int, object]], answe
             frames.append(pd.DataFrame({"part": list(asked), "block": key[0], "sent": [pack(x) for x in asked.values()]}))
         return pd.concat(frames) if frames else pd.DataFrame({"part": [], "block": [], "sent": []})
 
-    return with_answers(held, answers, one, SENT)
+    return with_answers(held, answers, one, SENT, tasks)
 
 
 def by_round(back: pd.DataFrame, rounds: int) -> list[dict]:
@@ -105,16 +111,24 @@ def by_round(back: pd.DataFrame, rounds: int) -> list[dict]:
     return out
 
 
-def with_answers(held: DataFrame, answers: list[DataFrame], one: Callable, schema: str) -> DataFrame:
-    """``one(key, block rows, answer rows)`` for each block with the answers of all rounds."""
+def with_answers(held: DataFrame, answers: list[DataFrame], one: Callable, schema: str,
+                 tasks: int | None = None) -> DataFrame:
+    """``one(key, block rows, answer rows)`` for each block with the answers of all rounds.
+
+    The exchange has ``tasks`` tasks, or as many as the session says.
+    """
     back = None
     for r, a in enumerate(answers):
         a = a.where(f"block <> {OWN}").select("block", "part", "answer", F.lit(r).alias("round"))
         back = a if back is None else back.unionByName(a)
-    return held.select("block", "data").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(one, schema)
+    held = held.select("block", "data")
+    if tasks:
+        held, back = held.repartition(tasks, "block"), back.repartition(tasks, "block")
+    return held.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(one, schema)
 
 
-def answer(sent: DataFrame, merge: Callable[[list], tuple[list, pd.DataFrame | None]], name: str) -> DataFrame:
+def answer(sent: DataFrame, merge: Callable[[list], tuple[list, pd.DataFrame | None]], name: str,
+           tasks: int | None = None) -> DataFrame:
     """(block, part, answer): ``merge`` maps the questions of one part, a block each, to their answers in order.
 
     The frame it returns beside them (or None) is what the part knows by itself, see ``facts``.
@@ -129,6 +143,8 @@ def answer(sent: DataFrame, merge: Callable[[list], tuple[list, pd.DataFrame | N
             out = pd.concat([out, own], ignore_index=True)
         return out
 
+    if tasks:
+        sent = sent.repartition(tasks, "part")
     return cut_lineage(sent.groupBy("part").applyInPandas(one, "block long, part long, answer binary"), name)
 
 

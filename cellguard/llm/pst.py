@@ -7,15 +7,17 @@ hold every training place of the corpus and are smoothed towards the suffix: P(w
 + MU), down to the root's (c+1) / (N+V+1). A token is scored in the state of the longest retained suffix of the words
 before it in its document.
 
-Counts are merged in hash-dealt parts from distinct entries a block (see ``blocks``), so a frequent word or a copied
-document is one entry a block. A context's entries meet in one part, which decides whether it is retained, and the
-answers take counts and decisions back to the blocks that hold the context. Contexts of so many places that a part
-would grow by them (more than one of ``HOT`` of all tokens) are dealt by their next word too; only their gains, of at
-most ``HOT`` contexts a depth, are added up on the driver. The vocabulary, the candidates and the distributions are never
-gathered in one place.
-
-Words are counted by themselves. Contexts are told apart by 64-bit hashes of their words, among the candidates of one
-depth; entries by that and the next word's hash.
+Texts are cut into words once; blocks then hold word numbers. Counts are merged in hash-dealt parts from distinct
+entries a block (see ``blocks``), so a frequent word or a copied document is one entry a block. A context's entries meet
+in one part, which decides whether it is retained, and the answers take counts and decisions back to the blocks that
+hold the context. Parts also tell which words and entries stand in one block only. Every longer entry around such a one
+is then known to that block, which counts it by itself and sends its context's gain in their place. Contexts of so many
+places that a part would grow by them (more than one of ``HOT`` of all tokens) are dealt by their next word too; only
+their gains, of at most ``HOT`` contexts a depth, are added up on the driver. The vocabulary, the candidates and the
+distributions are never gathered in one place.
+
+Words are counted by themselves and numbered. Contexts are told apart by 64-bit hashes of their words' numbers, among the
+candidates of one depth; entries by that and the next word's number.
 
 Tokens: words between ASCII white space with A-Z lower-cased, and one end token a document. A null text is empty (its
 end alone). Training rows are those the caller marks; a null doc_id counts as the empty id. Repeated rows count and
@@ -24,11 +26,12 @@ score each. An empty table gives an empty result; without training rows every pr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,30 +58,62 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def small(numbers: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest unsigned type that holds them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def joined(answer: dict, like: tuple) -> list[np.ndarray]:
+    """The arrays that parts answered, in the parts' order; arrays of the types ``like`` if none did."""
+    if not answer:
+        return [np.zeros(0, t) for t in like]
+    return [np.concatenate(x) for x in zip(*(answer[p] for p in sorted(answer)))]
+
+
 class Tokens:
-    """A block's tokens as numbers of its distinct words."""
-
-    def __init__(self, ids: list, texts: list[bytes], trains: Callable[[int | None], bool]):
-        index: dict[bytes, int] = {}
-        numbers, self.lengths = [], []
-        for text in texts:
-            words = text.lower().split()
-            words.append(END)
-            numbers += [index.setdefault(w, len(index)) for w in words]
-            self.lengths.append(len(words))
-        self.words = list(index)
-        self.hash = word_hashes(self.words)
-        self.number = np.array(numbers, np.int64)
-        self.end = index.get(END, -1)
-        self.doc = np.repeat(np.arange(len(texts)), np.array(self.lengths, np.int64))
-        self.train = np.array([trains(i) for i in ids], bool)
-        self.weight = self.train[self.doc].astype(np.int64)
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.number, self.weight, len(self.words)).astype(np.int64)
-
-    def parts(self, parts: int) -> np.ndarray:
-        return (self.hash % np.uint64(parts)).astype(np.int64)
+    """A block's tokens as places of its distinct words, which are ordered by part."""
+
+    def __init__(self, ids: list, train: np.ndarray, lengths: np.ndarray, number: np.ndarray, end: int):
+        self.ids, self.train, self.lengths, self.end = ids, train, lengths, end
+        self.number = number.astype(np.int64)
+        self.doc = np.repeat(np.arange(len(ids)), lengths)
+        self.weight = train[self.doc].astype(np.int64)
+
+
+def tokenise(ids: list, texts: list[bytes], trains: Callable[[int | None], bool], parts: int) -> tuple[tuple, dict]:
+    """What ``Tokens`` takes, and per part: its number, words and their training counts."""
+    index: dict[bytes, int] = {}
+    numbers, lengths = [], []
+    for text in texts:
+        words = text.lower().split()
+        words.append(END)
+        numbers += [index.setdefault(w, len(index)) for w in words]
+        lengths.append(len(words))
+    words = list(index)
+    dealt = (word_hashes(words) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(dealt, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    train = np.array([trains(i) for i in ids], bool)
+    tokens = (ids, train, np.array(lengths, np.int64), place[np.array(numbers, np.int64)], int(place[index[END]]))
+    counts = np.bincount(tokens[3], np.repeat(train, tokens[2]), len(words)).astype(np.int64)
+    return tokens, {p: (p, b" ".join([words[i] for i in own]), small(counts[place[own]]))
+                    for p, own in B.split_by(dealt)}
+
+
+def tokenised(docs: DataFrame, trains: Callable[[int | None], bool], parts: int) -> DataFrame:
+    """(block, data, words): the packed tokens of each block, and its questions about words."""
+    sent = pa.list_(pa.struct([("part", pa.int64()), ("sent", pa.binary())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, _ in B.gathered(batches, B.BLOCK):
+            tokens, asked = tokenise(ids, texts, trains, parts)
+            words = [{"part": p, "sent": B.pack(x)} for p, x in asked.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([B.pack(tokens)], pa.binary()), pa.array([words], sent)],
+                                             names=["data", "words"])
+
+    packed = B.shaped(docs).mapInArrow(read, "data binary, words array<struct<part: bigint, sent: binary>>")
+    return B.cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()), "tokens")
 
 
 class Model:
@@ -99,103 +134,134 @@ class Places:
     def __init__(self, tokens: Tokens, model: Model, answers: list[dict]):
         """``answers``: of the words, then of each depth that is known."""
         self.tokens, self.model = tokens, model
-        self.counts = np.zeros(len(tokens.words), np.int64)
-        for p, own in B.split_by(tokens.parts(model.parts)):
-            self.counts[own] = answers[0][p]
+        self.counts, self.code, alone = joined(answers[0], (np.int64, np.int64, bool))
         self.base = model.root(self.counts)[tokens.number]
         self.now = self.base.copy()
-        self.count, self.hash = self.counts, tokens.hash  # of the contexts by their numbers
-        self._follow(tokens.number, np.arange(len(tokens.number)), np.arange(len(tokens.words)))
+        self.alone = alone[tokens.number]  # the longest sequence known to end at the token is in this block only
+        self.word_hash = longer(np.zeros(len(self.code), np.uint64), self.code.astype(np.uint64))
+        self.count, self.hash = self.counts, self.word_hash  # of the contexts by their numbers
+        self._follow(tokens.number, np.arange(len(tokens.number)), np.arange(len(self.code)))
         for depth, answer in enumerate(answers[1:]):
             self._step(answer, depth)
 
     def _follow(self, number: np.ndarray, at: np.ndarray, last: np.ndarray) -> None:
         """Sequences ``number``, ending at the tokens ``at``, are the contexts of the next tokens if frequent."""
-        fit = ((self.count >= self.model.least) & (last != self.tokens.end))[number]
-        self.context = np.full(len(self.tokens.number), -1, np.int64)
-        self.context[at[fit] + 1] = number[fit]  # a document's last token is its end: there is a next one
-        self.at = np.nonzero(self.context >= 0)[0]
-        size = max(1, len(self.tokens.words))
-        key = self.context[self.at] * size + self.tokens.number[self.at]
-        key, self.first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        tokens, model = self.tokens, self.model
+        fit = ((self.count >= model.least) & (last != tokens.end))[number]
+        context = np.full(len(tokens.number), -1, np.int64)
+        context[at[fit] + 1] = number[fit]  # a document's last token is its end: there is a next one
+        self.at = np.nonzero(context >= 0)[0]
+        size = max(1, len(self.code))
+        self.inverse, key = pd.factorize(context[self.at] * size + tokens.number[self.at])
+        self.first = np.nonzero(np.diff(np.maximum.accumulate(self.inverse), prepend=-1))[0]
         self.of, self.word = key // size, key % size  # context and next word of the distinct entries
-        both = longer(self.hash[self.of], self.tokens.hash[self.word])
-        self.hot = self.count[self.of] >= self.model.hot
-        dealt = np.where(self.hot, both, self.hash[self.of])
-        self.part = (dealt % np.uint64(self.model.parts)).astype(np.int64)
-        self.longer = both
+        self.seen = np.bincount(self.inverse, tokens.weight[self.at], len(key)).astype(np.int64)
+        self.longer = longer(self.hash[self.of], self.word_hash[self.word])
+        self.hot = self.count[self.of] >= model.hot
+        here = self.at[self.first]
+        self.own = self.alone[here] | self.alone[here - 1]  # as is its suffix or its context
+        self._deal()
+
+    def _deal(self) -> None:
+        """Order what is sent: (part, context) pairs, and the entries that may stand in other blocks by them."""
+        parts, size = np.uint64(self.model.parts), max(1, len(self.count))
+        shared = np.nonzero(~self.own)[0]
+        of, hot = self.of[shared], self.hot[shared]
+        part = (np.where(hot, self.longer[shared], self.hash[of]) % parts).astype(np.int64)
+        contexts = np.unique(self.of)
+        home = (self.hash[contexts] % parts).astype(np.int64) * size + contexts
+        pairs = np.unique(np.concatenate([home, part * size + of]))
+        self.pair_part, self.pair_context = pairs // size, pairs % size
+        self.at_home = np.searchsorted(pairs, home)  # pairs that carry a context's own gain and get its decision
+        pair = np.searchsorted(pairs, part * size + of)
+        order = np.lexsort((self.code[self.word[shared]], pair))
+        self.sent, self.pair = shared[order], pair[order]
 
     def _step(self, answer: dict, depth: int) -> None:
-        seen, kept = np.zeros(len(self.of), np.int64), np.zeros(len(self.of), bool)
-        for p, own in B.split_by(self.part):
-            seen[own], kept[own] = answer[p]
-        kept = np.where(self.hot, np.isin(self.hash[self.of], self.model.kept[depth]), kept)
-        use = kept[self.inverse]
+        kept, seen, alone = joined(answer, (bool, np.int64, bool))
+        self.seen[self.sent], self.own[self.sent] = seen, alone
+        retained = np.zeros(len(self.count), bool)
+        retained[self.pair_context[self.at_home]] = kept[self.at_home]
+        entry = np.where(self.hot, np.isin(self.hash[self.of], self.model.kept[depth]), retained[self.of])
+        use = entry[self.inverse]
         at, entry = self.at[use], self.inverse[use]
-        self.now[at] = (seen[entry] + MU * self.now[at]) / (self.count[self.of[entry]] + MU)
-        self.count, self.hash = seen, self.longer
+        self.now[at] = (self.seen[entry] + MU * self.now[at]) / (self.count[self.of[entry]] + MU)
+        self.alone[self.at] = self.own[self.inverse]
+        self.count, self.hash = self.seen, self.longer
         self._follow(self.inverse, self.at, self.word)
 
 
-def ask_words(block: tuple, trains, parts: int) -> dict:
-    tokens = Tokens(*block, trains)
-    counts = tokens.counts()
-    return {p: ([tokens.words[i] for i in own], counts[own]) for p, own in B.split_by(tokens.parts(parts))}
+def gains(n: np.ndarray, of: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Leave-one-out gain of entries of ``n`` training places, over the context's ``of`` and the suffix' probability."""
+    return n * np.log((n - 1 + MU * lower) / (of - 1 + MU) / lower)
 
 
-def merge_words(asked: list) -> tuple[list, pd.DataFrame]:
-    """Answers: training counts of the words; facts: totals."""
+def merge_words(asked: list, parts: int) -> tuple[list, pd.DataFrame]:
+    """Answers: training counts of the words, their numbers, whether they are in one block only; facts: totals."""
     index: dict[bytes, int] = {}
-    numbers = [np.array([index.setdefault(w, len(index)) for w in a[0]], np.int64) for a in asked]
+    numbers = [np.array([index.setdefault(w, len(index)) for w in a[1].split(b" ")], np.int64) for a in asked]
     counts = np.zeros(len(index), np.int64)
     for number, a in zip(numbers, asked):
-        counts[number] += a[1]
-    return [counts[n] for n in numbers], pd.DataFrame({"n": [int(counts.sum())], "v": [int((counts > 0).sum())]})
-
-
-def ask_entries(block: tuple, told: list[dict], trains, model: Model) -> dict:
-    """Per part: contexts (hash, count), next words' hashes, and entries (context, word, count, suffix probability)."""
-    tokens = Tokens(*block, trains)
+        counts[number] += a[2]
+    alone = np.bincount(np.concatenate(numbers), minlength=len(index)) == 1
+    codes = np.arange(1, len(index) + 1) * parts + asked[0][0]
+    if END in index:
+        codes[index[END]] = 0
+    return ([(small(counts[n]), small(codes[n]), alone[n]) for n in numbers],
+            pd.DataFrame({"n": [int(counts.sum())], "v": [int((counts > 0).sum())]}))
+
+
+def ask_entries(block: tuple, told: list[dict], model: Model) -> dict:
+    """Per part: contexts (hash, count, gain by this block's own entries), whether an own entry is a next candidate,
+    and shared entries (context, word, count, suffix probability)."""
+    tokens = Tokens(*block)
     places = Places(tokens, model, told)
-    count = np.bincount(places.inverse, tokens.weight[places.at], len(places.of)).astype(np.int32)
     lower = places.now[places.at][places.first]
+    own = places.own & (places.seen > 0)
+    of = places.of[own]
+    gain = np.bincount(of, gains(places.seen[own], places.count[of], lower[own]), max(1, len(places.count)))
+    local = np.zeros(len(places.pair_part), np.int64)
+    local[places.at_home] = np.round(gain[places.pair_context[places.at_home]] * UNITS)
+    more = int((own & (places.seen >= model.least) & (places.word != tokens.end)).sum())
+    code, count, low = places.code[places.word[places.sent]], places.seen[places.sent], lower[places.sent]
     out = {}
-    for p, own in B.split_by(places.part):
-        contexts, context = np.unique(places.of[own], return_inverse=True)
-        words, word = np.unique(places.word[own], return_inverse=True)
-        out[p] = (places.hash[contexts], places.count[contexts], tokens.hash[words], context.astype(np.int32),
-                  word.astype(np.int32), count[own], lower[own])
+    for p, pairs in B.split_by(places.pair_part):
+        lo, hi = np.searchsorted(places.pair, [pairs[0], pairs[-1] + 1])
+        contexts = places.pair_context[pairs]
+        out[p] = (places.hash[contexts], small(places.count[contexts]), local[pairs], more,
+                  (places.pair[lo:hi] - pairs[0]).astype(np.int32), small(code[lo:hi]), small(count[lo:hi]),
+                  low[lo:hi].astype(np.float32))
     return out
 
 
 def merge_entries(asked: list, model: Model) -> tuple[list, pd.DataFrame]:
-    """Answers (entry counts, whether the context is retained); facts: hot contexts' gains, number of next candidates."""
-    def merged(hashes: int, local: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, number of each sent one, number of each entry's)."""
-        values, number = np.unique(np.concatenate([a[hashes] for a in asked]), return_inverse=True)
-        starts = np.cumsum([0, *[len(a[hashes]) for a in asked[:-1]]])
-        return values, number, number[np.concatenate([a[local] + s for a, s in zip(asked, starts)])]
-
-    contexts, sent, context = merged(0, 3)
-    words, _, word = merged(2, 4)
+    """Answers (whether contexts are retained; entries' counts and whether they are in one block only); facts: hot
+    contexts' gains, whether there are next candidates."""
+    contexts, sent = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    sizes = np.cumsum([0, *[len(a[0]) for a in asked]])
     of = np.zeros(len(contexts), np.int64)
     of[sent] = np.concatenate([a[1] for a in asked])
-    key, first, inverse = np.unique(context * len(words) + word, return_index=True, return_inverse=True)
-    seen = np.bincount(inverse, np.concatenate([a[5] for a in asked]), len(key)).astype(np.int64)
-    lower = np.concatenate([a[6] for a in asked])[first]
-    context, word = key // len(words), key % len(words)
-    places = seen > 0
-    n, low = seen[places], lower[places]
-    gain = n * np.log((n - 1 + MU * low) / (of[context[places]] - 1 + MU) / low)
-    gain = np.bincount(context[places], gain, len(contexts))
-    kept = gain >= GAIN * of
+    local = np.zeros(len(contexts), np.int64)
+    np.add.at(local, sent, np.concatenate([a[2] for a in asked]))
+    context = sent[np.concatenate([a[4] + s for a, s in zip(asked, sizes)])]
+    code = np.concatenate([a[5] for a in asked]).astype(np.int64)
+    size = int(code.max(initial=0)) + 1
+    key, first, inverse = np.unique(context * size + code, return_index=True, return_inverse=True)
+    seen = np.bincount(inverse, np.concatenate([a[6] for a in asked]), len(key)).astype(np.int64)
+    alone = np.bincount(inverse, minlength=len(key)) == 1
+    low = np.concatenate([a[7] for a in asked])[first].astype(np.float64)
+    context, code = key // size, key % size
+    held = seen > 0
+    gain = np.bincount(context[held], gains(seen[held], of[context[held]], low[held]), len(contexts))
+    kept = gain + local / UNITS >= GAIN * of
     hot = np.nonzero(of >= model.hot)[0]
-    following = int(((seen >= model.least) & (words[word] != word_hashes([END])[0])).sum())
+    following = int(((seen >= model.least) & (code != 0)).sum()) + sum(a[3] for a in asked)
+    hot_gain = np.round(gain[hot] * UNITS).astype(np.int64) + local[hot]
     known = pd.DataFrame({"context": pd.array([None, *contexts[hot].view(np.int64).tolist()], "Int64"),
-                          "gain": [0, *np.round(gain[hot] * UNITS).astype(np.int64).tolist()],
-                          "n": [following, *of[hot].tolist()]})
-    ends = np.cumsum([len(a[3]) for a in asked])
-    return [(seen[i], kept[context[i]]) for i in np.split(inverse, ends[:-1])], known
+                          "gain": [0, *hot_gain.tolist()], "n": [following, *of[hot].tolist()]})
+    ends = np.cumsum([0, *[len(a[4]) for a in asked]])
+    return [(kept[sent[a:b]], small(seen[inverse[c:d]]), alone[inverse[c:d]])
+            for a, b, c, d in zip(sizes, sizes[1:], ends, ends[1:])], known
 
 
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -211,16 +277,16 @@ def by_crc(hold_out: int, of: int) -> Callable[[int | None], bool]:
 
 def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: int = DEPTH) -> DataFrame:
     """Train on the rows whose id ``trains`` accepts and score all: one row per document, see ``SCORES``."""
-    held = B.blocks(docs)
-    total = held.agg({"n_bytes": "sum"}).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = B.parts_for(total, 16 << 20)
-    words = B.answer(B.send(held, lambda block, _: ask_words(block, trains, parts)), merge_words, "words")
+    held = tokenised(docs, trains, parts)
+    words = B.answer(held.select("block", F.inline("words")), lambda asked: merge_words(asked, parts), "words", parts)
     row = B.facts(words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     model = Model(row[0] or 0, row[1] or 0, parts)
     rounds: list[DataFrame] = [words]
     for d in range(1, depth + 1):
-        asked = B.send(held, lambda block, told: ask_entries(block, told, trains, model), list(rounds))
-        back = B.answer(asked, lambda asked: merge_entries(asked, model), f"depth{d}")
+        asked = B.send(held, lambda block, told: ask_entries(block, told, model), list(rounds), 2 * parts)
+        back = B.answer(asked, lambda asked: merge_entries(asked, model), f"depth{d}", parts)
         own = B.facts(back, "context long, gain long, n long")
         own = own.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("n").alias("sum"), F.max("n").alias("n"))
         own = own.collect()  # hot contexts, at most HOT, and the number of next candidates
@@ -234,16 +300,15 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
     def score(key, block: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for data in block["data"]:
-            ids, texts = B.unpack(data)
-            tokens = Tokens(ids, texts, trains)
+            tokens = Tokens(*B.unpack(data))
             places = Places(tokens, model, B.by_round(back, used))
-            n = len(ids)
+            n = len(tokens.ids)
             known = np.bincount(tokens.doc, places.counts[tokens.number] > 0, n).astype(int)
             frames.append(pd.DataFrame({
-                "doc_id": pd.array(ids, "Int64"), "held_out": ~tokens.train,
+                "doc_id": pd.array(tokens.ids, "Int64"), "held_out": ~tokens.train,
                 "n_tokens": tokens.lengths, "n_known": known, "train_tokens": model.total,
                 "base_score": np.bincount(tokens.doc, np.log10(places.base), n),
                 "score": np.bincount(tokens.doc, np.log10(places.now), n)}))
         return pd.concat(frames)
 
-    return B.with_answers(held, rounds, score, SCORES)
+    return B.with_answers(held, rounds, score, SCORES, 2 * parts)
