@@ -82,20 +82,20 @@ class Tokens:
 
 def tokenise(ids: list, texts: list[bytes], trains: Callable[[int | None], bool], parts: int) -> tuple[tuple, dict]:
     """What ``Tokens`` takes, and per part: its number, words and their training counts."""
-    index: dict[bytes, int] = {}
-    numbers, lengths = [], []
+    said, lengths = [], []
     for text in texts:
-        words = text.lower().split()
-        words.append(END)
-        numbers += [index.setdefault(w, len(index)) for w in words]
-        lengths.append(len(words))
-    words = list(index)
+        before = len(said)
+        said += text.lower().split()
+        said.append(END)
+        lengths.append(len(said) - before)
+    coded = pa.array(said, pa.large_binary()).dictionary_encode()
+    words, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
     dealt = (word_hashes(words) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(dealt, kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     train = np.array([trains(i) for i in ids], bool)
-    tokens = (ids, train, np.array(lengths, np.int64), place[np.array(numbers, np.int64)], int(place[index[END]]))
+    tokens = (ids, train, np.array(lengths, np.int64), place[numbers], int(place[words.index(END)]))
     counts = np.bincount(tokens[3], np.repeat(train, tokens[2]), len(words)).astype(np.int64)
     return tokens, {p: (p, b" ".join([words[i] for i in own]), small(counts[place[own]]))
                     for p, own in B.split_by(dealt)}
@@ -131,8 +131,8 @@ class Model:
 class Places:
     """A block's places: the candidate context of the present depth before each token, and its probability so far."""
 
-    def __init__(self, tokens: Tokens, model: Model, answers: list[dict]):
-        """``answers``: of the words, then of each depth that is known."""
+    def __init__(self, tokens: Tokens, model: Model, answers: list[dict], last: bool = False):
+        """``answers``: of the words, then of each depth that is known; after the last one no place is followed."""
         self.tokens, self.model = tokens, model
         self.counts, self.code, alone = joined(answers[0], (np.int64, np.int64, bool))
         self.base = model.root(self.counts)[tokens.number]
@@ -143,6 +143,8 @@ class Places:
         self._follow(tokens.number, np.arange(len(tokens.number)), np.arange(len(self.code)))
         for depth, answer in enumerate(answers[1:]):
             self._step(answer, depth)
+            if not last or depth + 2 < len(answers):
+                self._next()
 
     def _follow(self, number: np.ndarray, at: np.ndarray, last: np.ndarray) -> None:
         """Sequences ``number``, ending at the tokens ``at``, are the contexts of the next tokens if frequent."""
@@ -165,16 +167,22 @@ class Places:
     def _deal(self) -> None:
         """Order what is sent: (part, context) pairs, and the entries that may stand in other blocks by them."""
         parts, size = np.uint64(self.model.parts), max(1, len(self.count))
-        shared = np.nonzero(~self.own)[0]
-        of, hot = self.of[shared], self.hot[shared]
-        part = (np.where(hot, self.longer[shared], self.hash[of]) % parts).astype(np.int64)
-        contexts = np.unique(self.of)
+        present = np.zeros(size, bool)
+        present[self.of] = True
+        contexts = np.nonzero(present)[0]
         home = (self.hash[contexts] % parts).astype(np.int64) * size + contexts
-        pairs = np.unique(np.concatenate([home, part * size + of]))
+        shared = np.nonzero(~self.own)[0]
+        of = self.of[shared]
+        hot = np.nonzero(self.hot[shared])[0]
+        away = (self.longer[shared[hot]] % parts).astype(np.int64) * size + of[hot]
+        pairs = np.unique(np.concatenate([home, away]))
         self.pair_part, self.pair_context = pairs // size, pairs % size
         self.at_home = np.searchsorted(pairs, home)  # pairs that carry a context's own gain and get its decision
-        pair = np.searchsorted(pairs, part * size + of)
-        order = np.lexsort((self.code[self.word[shared]], pair))
+        at = np.zeros(size, np.int64)
+        at[contexts] = self.at_home
+        pair = at[of]
+        pair[hot] = np.searchsorted(pairs, away)
+        order = np.argsort(pair, kind="stable")
         self.sent, self.pair = shared[order], pair[order]
 
     def _step(self, answer: dict, depth: int) -> None:
@@ -186,6 +194,8 @@ class Places:
         use = entry[self.inverse]
         at, entry = self.at[use], self.inverse[use]
         self.now[at] = (self.seen[entry] + MU * self.now[at]) / (self.count[self.of[entry]] + MU)
+
+    def _next(self) -> None:
         self.alone[self.at] = self.own[self.inverse]
         self.count, self.hash = self.seen, self.longer
         self._follow(self.inverse, self.at, self.word)
@@ -301,7 +311,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
         frames = []
         for data in block["data"]:
             tokens = Tokens(*B.unpack(data))
-            places = Places(tokens, model, B.by_round(back, used))
+            places = Places(tokens, model, B.by_round(back, used), last=True)
             n = len(tokens.ids)
             known = np.bincount(tokens.doc, places.counts[tokens.number] > 0, n).astype(int)
             frames.append(pd.DataFrame({
