@@ -9,6 +9,11 @@ Spark writes and commits the files: each bundle is one row of a text write whose
 the seek table's magic number, one row a file. So the folder may be in any store that Spark reaches, and a lost task
 leaves no half file. Bundles hold at most ``BUNDLE`` uncompressed bytes plus one record, frames ``FRAME`` plus one.
 
+Records carry the mandatory headers, with the time of the write as WARC-Date. Record ids are unique. A response that
+revisits refer to has an id that follows from its page and payload, so revisits in other files name it in WARC-Refers-To.
+If the response's row itself is repeated, no copy is singled out: they get ids of their own, and revisits name only their
+target's page (X-Refers-To) and the payload digest.
+
 Null payloads count as empty. Rows with equal payloads are told by length and SHA-1: the smallest page_id is the
 response (all rows that share it, if rows repeat), others are revisits without payload. Null ids are written as rows
 of their own and are never the smallest unless every id of the payload is null (then all are responses). Empty
@@ -23,8 +28,10 @@ import json
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,34 +135,63 @@ def seek(data: bytes, record_id: str) -> bytes:
     return read_frame(data, frame)[at:at + length]
 
 
+def seek_in(file, record_id: str) -> bytes:
+    """One record of a seekable file object, reading its footer, its record index and one frame by ranges."""
+    import zstandard
+
+    def ranged(at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
+
+    file.seek(0, 2)
+    end = file.tell()
+    count, _, _ = struct.unpack("<IBI", ranged(end - 9, 9))
+    frames = frame_table(ranged(end - 9 - 8 * count, 9 + 8 * count))
+    at, packed, _ = frames[-1]
+    index = json.loads(zstandard.ZstdDecompressor().decompress(ranged(at + 8, packed - 8)))
+    _, frame, start, length = next(e for e in index if e[0] == record_id)
+    at, packed, _ = frames[frame]
+    return zstandard.ZstdDecompressor().decompress(ranged(at, packed))[start:start + length]
+
+
+def response_id(page: int, sha1: str) -> str:
+    """Record id of a response that stands once, known to every task that writes a revisit of it."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{sha1}')}"
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, sha1 (hex), first (the smallest page_id of an equal payload)."""
+    """page_id, url, payload, sha1 (hex), first (the smallest page_id of an equal payload), rows of that page_id."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     shaped = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     keyed = shaped.withColumn("size", F.octet_length("payload")).withColumn("sha1", F.sha1("payload"))
     # pre-aggregated before the shuffle, written, so that the join back is a plain one that AQE may split on hot keys
-    groups = keyed.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = cut_lineage(groups.where("n > 1").select("sha1", "size", "first"), "payloads")
+    groups = keyed.groupBy("sha1", "size", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("sha1", "size").agg(
+        F.min("page_id").alias("first"), F.min_by("n", "page_id").alias("rows"), F.sum("n").alias("n"))
+    groups = cut_lineage(groups.where("n > 1").select("sha1", "size", "first", "rows"), "payloads")
     return keyed.join(groups, ["sha1", "size"], "left").drop("size")
 
 
 def write_bundles(pages: DataFrame, path: str) -> None:
     """Write the pages as WARC records into seekable bundles under ``path``."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def bundles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, count = Bundle(), 0
+        now, count, task = Bundle(), 0, TaskContext.get().partitionId()
         for frame in frames:
-            for page, url, payload, sha1, first in zip(frame["page_id"], frame["url"], frame["payload"],
-                                                       frame["sha1"], frame["first"]):
+            for page, url, payload, sha1, first, rows in zip(frame["page_id"], frame["url"], frame["payload"],
+                                                             frame["sha1"], frame["first"], frame["rows"]):
                 page = None if pd.isna(page) else int(page)
+                once = page is not None if pd.isna(first) else rows == 1
                 first = page if pd.isna(first) else int(first)
                 revisit = first is not None and page != first
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                extra = {"X-Page-ID": "null" if page is None else page, "X-Payload-Length": len(payload)}
+                extra = {"WARC-Date": date, "X-Page-ID": "null" if page is None else page, "X-Payload-Length": len(payload)}
                 if revisit:
                     extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                              **({"WARC-Refers-To": f"<{response_id(first, sha1)}>"} if once else {}),
                               "X-Refers-To": first}
-                record_id = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{sha1}/{count}')}"
+                record_id = (response_id(page, sha1) if once and page == first else
+                             f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{sha1}/{task}/{count}')}")
                 count += 1
                 now.add(record_id, warc_record("revisit" if revisit else "response", record_id, url, digest,
                                                b"" if revisit else bytes(payload), extra))
@@ -165,7 +201,7 @@ def write_bundles(pages: DataFrame, path: str) -> None:
         if now.index:
             yield pd.DataFrame({"value": [now.close()[:-1]]})
 
-    rows = with_revisits(pages).select("page_id", "url", "payload", "sha1", "first")
+    rows = with_revisits(pages).select("page_id", "url", "payload", "sha1", "first", "rows")
     made = rows.mapInPandas(bundles, "value binary").select(F.col("value").cast("string"))
     (made.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1")
      .option("lineSep", LAST.decode("latin-1")).option("compression", "none").text(path))

@@ -1,5 +1,6 @@
 """The training-data operators against plain-Python versions, on fixtures with nulls, copies, ties and long texts."""
 
+import io
 import os
 import random
 import sys
@@ -292,6 +293,48 @@ def test_bundles_round_trip(spark, tmp_path):
     assert bundles.bundle_pages(pages.where("false"), str(tmp_path / "none")).collect() == []
 
 
+def test_bundles_are_valid_warc(spark, tmp_path):
+    """Every record has a date and an id of its own, also if rows repeat; revisits name their response's record."""
+    rows = [(1, "u1", "<a>"), (3, "u3", "<a>"), (4, "u4", "<a>"), (2, "u2", "<b>"), (2, "u2", "<b>"), (7, "u7", "<b>"),
+            (None, "u", "<c>"), (None, "u", "<c>"), (5, "u5", None), (6, "u6", "")] + [(9, "u9", "<d>")] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    bundles.write_bundles(pages, str(tmp_path / "w"))
+    heads = {}
+    for f in (tmp_path / "w").glob("part-*"):
+        for record_id, *_ in bundles.record_index(f.read_bytes()):
+            with f.open("rb") as file:
+                head, _ = bundles.parse_record(bundles.seek_in(file, record_id))
+            assert head["WARC-Record-ID"] == f"<{record_id}>" and head["WARC-Date"].endswith("Z")
+            assert record_id not in heads
+            heads[record_id] = head
+    assert len(heads) == len(rows)
+    named = {h["X-Page-ID"]: h["WARC-Refers-To"] for h in heads.values() if "WARC-Refers-To" in h}
+    assert set(named) == {"3", "4", "6"}  # page 7 revisits a row that stands twice
+    for page, to in named.items():
+        target = heads[to.strip("<>")]
+        assert target["WARC-Type"] == "response" and target["X-Page-ID"] == {"3": "1", "4": "1", "6": "5"}[page]
+
+
+def test_bundles_seek_reads_ranges(tmp_path):
+    """One record of a file costs its footer, record index and one frame."""
+    now = bundles.Bundle()
+    for k in range(60):
+        now.add(f"id{k}", bundles.warc_record("response", f"id{k}", "u", "d", os.urandom(20_000), {}))
+    data = now.close()
+
+    class Counting(io.BytesIO):
+        total = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            self.total += len(got)
+            return got
+
+    file = Counting(data)
+    assert bundles.seek_in(file, "id33") == bundles.seek(data, "id33")
+    assert file.total < len(data) / 3
+
+
 def test_bundles_close_when_full(spark, tmp_path, monkeypatch):
     now = bundles.Bundle()
     for k in range(50):
