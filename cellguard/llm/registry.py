@@ -11,9 +11,9 @@ from .common import id_bucket, table
 from .sql import SQL as SQL
 
 SHARDS = 16
-#: Source and language spread by hash, id and size by their ranges: what training readers filter on.
-DIMENSIONS = [hilbert.Dimension("lang", "category"), hilbert.Dimension("source", "category"),
-              hilbert.Dimension("doc_id", "linear"), hilbert.Dimension("size", "log")]
+#: What training readers filter on; most of them read one language, which therefore leads by two bits.
+DIMENSIONS = [hilbert.Dimension("lang", "category", lead=2), hilbert.Dimension("source", "category"),
+              hilbert.Dimension("doc_id"), hilbert.Dimension("size")]
 
 
 def tokenizer_path() -> str:

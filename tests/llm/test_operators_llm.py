@@ -17,7 +17,7 @@ import brute  # noqa: E402
 from cellguard.llm import (bundles, hilbert, langid, mcd, packing, postings, pst, registry, simhash,  # noqa: E402
                            suffix, templates)
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block long, root string"
 
 
@@ -137,7 +137,7 @@ def test_hilbert_curve_visits_every_cell_by_single_steps():
 
 
 def test_hilbert_shards(spark, docs, none):
-    dims = [hilbert.Dimension("lang", "category"), hilbert.Dimension("doc_id"), hilbert.Dimension("n_chars", "log")]
+    dims = [hilbert.Dimension("lang", "category"), hilbert.Dimension("doc_id"), hilbert.Dimension("n_chars")]
     got = hilbert.hilbert_shards(docs, dims, 16, ["doc_id", "n_chars"]).collect()
     assert len(got) == len(ROWS)
     sizes = Counter(r["shard"] for r in got)
@@ -150,8 +150,40 @@ def test_hilbert_shards(spark, docs, none):
     assert sorted(r["shard"] for r in few) == [0, 1, 2]
 
 
+def test_hilbert_shards_prune_by_language_and_source(spark):
+    """What a min/max reader of one language or source opens is little more than what holds it."""
+    got = registry.op2_hilbert_shards(spark, MIDDLE).select("doc_id", "shard")
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang", "source")
+    placed = got.join(docs, "doc_id").toPandas()
+    size = len(placed) / 16
+    for column, slack, spread in (("lang", 1.0, 4), ("source", 1.5, 10)):
+        ends = placed.groupby("shard")[column].agg(["min", "max"])
+        for value, rows in placed.groupby(column):
+            opened = ((ends["min"] <= value) & (value <= ends["max"])).sum()
+            assert opened <= slack * rows["shard"].nunique()
+            assert opened <= len(rows) / size + spread  # those its rows fill, and few more
+
+
+def test_hilbert_borders(spark):
+    rows = [(i, "b" if i < 60 else ("a" if i < 80 else f"c{i}")) for i in range(100)] + [(10 ** 12, None)]
+    df = spark.createDataFrame(rows, "x long, c string").repartition(5)
+    borders = hilbert.number_borders(df, ["x"], 4)["x"]
+    assert np.abs(borders - [25, 50, 75]).max() <= 1  # the far value squeezes nothing
+    cells = dict(hilbert.category_borders(df, "c", 8))
+    assert cells["a"] == 0 and cells["b"] == 4 and list(cells) == sorted(cells) and max(cells.values()) == 7
+
+
+def test_hilbert_keeps_clashing_columns(spark, docs):
+    clash = docs.withColumn("Shard", F.lit("mine")).withColumn("_rank", F.lit(1)).withColumn("slot", F.lit(2)).withColumn(
+        "slot_in", F.lit(3)).withColumn("a.b", F.lit(4))
+    got = hilbert.hilbert_shards(clash, [hilbert.Dimension("lang", "category"), hilbert.Dimension("a.b")], 4, ["doc_id"])
+    row = got.first()
+    assert got.count() == len(ROWS) and len(set(got.columns)) == len(got.columns) == len(clash.columns) + 3
+    assert (row["Shard_in"], row["_rank"], row["slot_in_in"], row["slot_in"], row["a.b"]) == ("mine", 1, 2, 3, 4)
+
+
 def test_hilbert_files_prune(spark, docs, tmp_path):
-    dims = [hilbert.Dimension("source", "category"), hilbert.Dimension("n_chars", "log")]
+    dims = [hilbert.Dimension("source", "category"), hilbert.Dimension("n_chars")]
     sharded = hilbert.hilbert_shards(docs, dims, 4, ["doc_id", "n_chars"])
     hilbert.write_shards(sharded, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ROWS)
