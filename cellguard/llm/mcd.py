@@ -8,8 +8,11 @@ farther than the chi-square cutoff are rejected. Distances are counted in logari
 pre-aggregated pass over the narrow statistics, however large a group is; what is joined back is one row per group.
 
 Groups under ``SMALL`` documents that pass the base rules use their language's estimate, and that of all documents if
-the language is as small. Spread below ``FLOOR`` in a coordinate, given those before it, counts as that much, so that a
-constant statistic does not reject the first document that differs by a little.
+the language is as small. Most clean texts hold no symbol and no repeated line, so the core often has no spread there at
+all. Every statistic comes from a count, though, and a count of independent events scatters even where its rate is the
+same for all documents: by the delta method its transformed value has a variance known from the text's length alone
+(``NOISE``). A coordinate's spread, given those before it, is therefore never taken to be less than the mean of that
+variance over the core's documents, nor than that of the document judged. ``rejections`` reports the verdicts by language and source.
 
 A null text counts as empty and fails the base rules, as every text under ``MIN_WORDS`` words does. Null language or
 source form groups of their own. Repeated rows are judged alike. An empty table gives an empty result. Equality of
@@ -34,11 +37,11 @@ SYMBOLS = r"[#*$%&|<>]"
 BINS_PER_E = 48
 POSITION = (1 << 26) - 1  # low bits of a packed hash: place of a window in its text
 VECTOR = ["x_len", "x_sym", "x_dup", "x_rep"]
-FLOOR = {"x_len": 0.05, "x_sym": 0.05, "x_dup": 0.06, "x_rep": 0.03}
+NOISE = ["v_len", "v_sym", "v_dup", "v_rep"]  # variances of the coordinates under equal rates
 
 
 def repeat_words(words: Column) -> Column:
-    """Number of words inside three-word windows that occur at least twice among ``words``."""
+    """Struct of n, the words inside three-word windows that occur at least twice among ``words``, and their runs."""
     def window(w: Column, i: Column) -> Column:
         return F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
@@ -59,11 +62,13 @@ def repeat_words(words: Column) -> Column:
                                          F.struct(window(w, i).alias("t"), i.alias("p")))))
         same = let(exact, lambda s: neighbours(s, lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))))
         places = F.array_sort(F.transform(same, lambda x: x["p"]))
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop"))
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop"), F.lit(0).alias("runs"))
         return F.aggregate(places, zero, lambda a, p: F.struct(
-            (a["n"] + p + 3 - F.greatest(p, a["stop"])).alias("n"), (p + 3).alias("stop")), lambda a: a["n"])
+            (a["n"] + p + 3 - F.greatest(p, a["stop"])).alias("n"), (p + 3).alias("stop"),
+            (a["runs"] + F.when((p > a["stop"]) | (a["n"] == 0), 1).otherwise(0)).alias("runs")))
 
-    return F.when(F.size(words) < 4, 0).otherwise(let(words, count))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop"), F.lit(0).alias("runs"))
+    return F.when(F.size(words) < 4, none).otherwise(let(words, count))
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -76,23 +81,32 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         let(words, lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+            repeat_words(w).alias("repeats"))).alias("w"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda s: F.struct(F.size(s).alias("n"), (F.size(s) - F.size(F.array_distinct(s))).alias("d")))
-        .alias("l")).select("doc_id", "lang", "source", "w.*", "n_symbols",
+        .alias("l")).select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols",
+                            F.col("w.repeats.n").cast("long").alias("n_repeat_words"),
+                            F.col("w.repeats.runs").alias("n_repeat_runs"),
                             F.col("l.d").cast("long").alias("n_dup_lines"), F.col("l.n").alias("n_lines"))
 
 
 def with_vector(stats: DataFrame) -> DataFrame:
-    """Adds base_failed and the transformed vector."""
+    """Adds base_failed, the transformed vector and its counting noise.
+
+    A count c of events in n places scatters by sqrt(c): log(c / n) then has the variance 1 / c, sqrt(c / n) has 1 / 4n.
+    A passage found a second time is one event and two runs of repeated words, however long it is.
+    """
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    chars, lines = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (stats.withColumn("base_failed", failed)
-            .withColumn("x_len", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n) * 2)
+            .withColumn("x_len", F.log(chars / n) * 2)
             .withColumn("x_sym", F.sqrt(F.col("n_symbols") / n))
-            .withColumn("x_dup", F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))))
+            .withColumn("x_dup", F.sqrt(F.col("n_dup_lines") / lines))
             # chance repeats grow with the square of the length: this ratio does not depend on it
-            .withColumn("x_rep", F.sqrt(F.col("n_repeat_words") / (n * F.sqrt(n)))))
+            .withColumn("x_rep", F.sqrt(F.col("n_repeat_runs") / (2 * n * F.sqrt(n))))
+            .withColumn("v_len", 4 / chars).withColumn("v_sym", 1 / (4 * n)).withColumn("v_dup", 1 / (4 * lines))
+            .withColumn("v_rep", 1 / (4 * n * F.sqrt(n))))
 
 
 def chi_square_cdf(x: float, k: int) -> float:
@@ -115,32 +129,41 @@ def chi_square_quantile(p: float, k: int) -> float:
     return hi
 
 
-def estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean m_i, lower Cholesky factor l_ij of the covariance and log determinant, from n, s_i and s_ij."""
+def consistency() -> float:
+    """By how much the covariance of the central ``KEEP`` share of normal rows falls short of that of all."""
+    p = len(VECTOR)
+    return KEEP / chi_square_cdf(chi_square_quantile(KEEP, p), p + 2)
+
+
+def estimates(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Mean m_i, lower Cholesky factor l_ij of ``factor`` times the covariance and log determinant, from ``moments``."""
     p = range(len(VECTOR))
     out = sums
     for i in p:
         out = out.withColumn(f"m_{i}", F.col(f"s_{i}") / F.col("n"))
     for i in p:
         for j in range(i + 1):
-            c = F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
+            c = (F.col(f"s_{i}{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) * F.lit(factor)
             for k in range(j):
                 c = c - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            floor = F.lit(FLOOR[VECTOR[i]] ** 2)
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, floor)) if i == j else c / F.col(f"l_{j}{j}"))
+            least = F.col(f"s_v{i}") / F.col("n")
+            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(c, least)) if i == j else c / F.col(f"l_{j}{j}"))
     det = sum((F.log(F.col(f"l_{i}{i}")) for i in p), F.lit(0.0))
     return out.select(*keys, *[f"m_{i}" for i in p], *[f"l_{i}{j}" for i in p for j in range(i + 1)],
                       det.alias("log_det"))
 
 
 def distance(df: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution with the joined estimate."""
+    """Adds d2, the squared Mahalanobis distance, by forward substitution with the joined estimate.
+
+    A document shorter than its group's others scatters more: its own counting noise counts where it is the larger.
+    """
     out = df
     for i in range(len(VECTOR)):
         z = F.col(VECTOR[i]) - F.col(f"m_{i}")
         for j in range(i):
             z = z - F.col(f"l_{i}{j}") * F.col(f"z_{j}")
-        out = out.withColumn(f"z_{i}", z / F.col(f"l_{i}{i}"))
+        out = out.withColumn(f"z_{i}", z / F.greatest(F.col(f"l_{i}{i}"), F.sqrt(NOISE[i])))
     d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(VECTOR))), F.lit(0.0))
     return out.withColumn("d2", d2).drop(*[f"z_{i}" for i in range(len(VECTOR))])
 
@@ -148,13 +171,14 @@ def distance(df: DataFrame) -> DataFrame:
 def moments() -> list[Column]:
     p = range(len(VECTOR))
     return [F.count(F.lit(1)).alias("n"), *[F.sum(VECTOR[i]).alias(f"s_{i}") for i in p],
+            *[F.sum(NOISE[i]).alias(f"s_v{i}") for i in p],
             *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s_{i}{j}") for i in p for j in range(i + 1)]]
 
 
 def robust_estimates(rows: DataFrame, key: str) -> DataFrame:
-    """MCD estimate per ``key`` over rows with the vector; one row per key."""
-    sums = [c for c in ["n", *[f"s_{i}" for i in range(len(VECTOR))],
-                        *[f"s_{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)]]]
+    """MCD estimate per ``key`` over rows with the vector and its noise; one row per key."""
+    p, factor = range(len(VECTOR)), consistency()
+    sums = ["n", *[f"s_{i}" for i in p], *[f"s_v{i}" for i in p], *[f"s_{i}{j}" for i in p for j in range(i + 1)]]
     plain = cut_lineage(estimates(rows.groupBy(key).agg(*moments()), [key]), "start")
     centred = rows.join(plain, key)
     inside = F.lit(True)
@@ -174,7 +198,7 @@ def robust_estimates(rows: DataFrame, key: str) -> DataFrame:
             .withColumn("all", F.sum("n").over(Window.partitionBy(key, "start"))))
         core = bins.where(F.col("below") < KEEP * F.col("all"))
         core = core.groupBy(key, "start").agg(*[F.sum(c).alias(c) for c in sums])
-        now = cut_lineage(estimates(core, [key, "start"]), "mcd")
+        now = cut_lineage(estimates(core, [key, "start"], factor), "mcd")
     best = now.groupBy(key).agg(F.min(F.struct("log_det", "start")).alias("b"))
     best = best.select(key, F.col("b.start").alias("start"))
     return cut_lineage(now.join(best, [key, "start"]).drop("start"), "mcd")
@@ -193,14 +217,18 @@ def quality(docs: DataFrame) -> DataFrame:
     use = F.when(F.col("n") >= SMALL, F.col("own")).when(F.col("n_tongue") >= SMALL, F.col("tongue")).otherwise("all")
     chosen = cut_lineage(counts.join(tongues, "tongue").select("own", "tongue", use.alias("key")), "levels")
     wanted = chosen.select("key").distinct()
-    taught = good.select(F.explode(F.array(*levels.values())).alias("key"), *VECTOR).join(wanted, "key", "left_semi")
+    taught = good.select(F.explode(F.array(*levels.values())).alias("key"), *VECTOR, *NOISE).join(wanted, "key", "left_semi")
     fitted = robust_estimates(cut_lineage(taught, "taught"), "key")
-    p = len(VECTOR)
-    core = chi_square_quantile(KEEP, p)  # the core's covariance is too small by this known factor
-    factor = KEEP / chi_square_cdf(core, p + 2)
-    limit = chi_square_quantile(CUTOFF, p) * factor
+    limit = chi_square_quantile(CUTOFF, len(VECTOR))
     judged = distance(stats.withColumn("own", levels["own"]).join(chosen.select("own", "key"), "own", "left")
                       .join(fitted, "key", "left"))
     inlier = F.coalesce(F.col("d2") <= limit, F.lit(True))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", F.col("d2"), (~F.col("base_failed") & inlier).alias("kept"))
+
+
+def rejections(judged: DataFrame) -> DataFrame:
+    """Per language and source of ``quality``'s rows: documents, those the base rules fail, those the distance rejects."""
+    return judged.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("n_failed"),
+        F.count_if(~F.col("base_failed") & ~F.col("kept")).alias("n_rejected"))

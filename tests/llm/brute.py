@@ -192,3 +192,24 @@ def repaired(conversations):
             "blank", "duplicate", "truncated")), sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au")
                                                      for a, b in zip(rows, rows[1:])), cost, audit, digest)
     return out
+
+
+def fast_mcd(x, keep, rng, starts=300):
+    """Mean and covariance of the ``keep`` share of rows with the least determinant found from random starts."""
+    import numpy as np
+
+    h, best = int(np.ceil(keep * len(x))), None
+    for _ in range(starts):
+        core = x[rng.choice(len(x), x.shape[1] + 1, replace=False)]
+        last = np.inf
+        while True:
+            mean, cov = core.mean(axis=0), np.cov(core.T, bias=True)
+            det = np.linalg.det(cov)
+            if len(core) == h and not det < last * (1 - 1e-12):
+                break
+            last = det if len(core) == h else np.inf
+            d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.pinv(cov), x - mean)
+            core = x[np.argsort(d2, kind="stable")[:h]]
+        if best is None or det < best[0]:
+            best = (det, mean, cov)
+    return best[1:]

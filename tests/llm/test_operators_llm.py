@@ -415,17 +415,59 @@ def test_quality_rejects_outliers_in_each_statistic(spark):
     assert sum(got[i]["kept"] for i in range(300)) >= 295
 
 
+def vectors(spark, x, noise=1e-6):
+    rows = [("g", i, *map(float, r), *[noise] * 4) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "key string, i long, " + ", ".join(f"{c} double" for c in mcd.VECTOR + mcd.NOISE))
+
+
+def distances(df):
+    est = mcd.robust_estimates(df, "key")
+    d2 = mcd.distance(df.join(est, "key")).select("i", "d2").orderBy("i").collect()
+    return est.first(), np.array([r["d2"] for r in d2])
+
+
 def test_mcd_resists_contamination(spark):
     """A fifth of the rows far off do not hide one another, and the bulk stays inside."""
     rng = np.random.default_rng(2)
     good = rng.normal(0, 1, (400, 4)) @ np.diag([1, 2, 1, 0.5])
     bad = rng.normal(9, 0.3, (100, 4))
-    rows = [("g", *map(float, x)) for x in np.vstack([good, bad])]
-    df = spark.createDataFrame(rows, "key string, " + ", ".join(f"{x} double" for x in mcd.VECTOR))
-    est = mcd.robust_estimates(df, "key")
-    d2 = np.array([r["d2"] for r in mcd.distance(df.join(est, "key")).select("d2", "x_len").collect()])
+    est, d2 = distances(vectors(spark, np.vstack([good, bad])))
     assert np.sort(d2)[399] * 3 < np.sort(d2)[400]
-    assert np.abs([est.first()[f"m_{i}"] for i in range(4)]).max() < 0.5
+    assert np.abs([est[f"m_{i}"] for i in range(4)]).max() < 0.5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mcd_against_many_random_starts(spark, seed):
+    """As small a determinant as the best of 300 random starts, and the same rows beyond the cutoff."""
+    rng = np.random.default_rng(seed)
+    mix = np.array([[1, 0, 0, 0], [0.6, 1, 0, 0], [0, -0.4, 2, 0], [0.3, 0, 0, 0.5]])
+    x = np.vstack([rng.normal(0, 1, (340, 4)) @ mix, rng.normal(0, 1, (60, 4)) @ mix + [14, -9, 12, 6]])
+    mean, cov = brute.fast_mcd(x, mcd.KEEP, rng)
+    cov = cov * mcd.consistency()
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    est, got = distances(vectors(spark, x))
+    assert 2 * est["log_det"] <= np.linalg.slogdet(cov)[1] + 0.2  # a core's last bin is taken whole
+    limit = mcd.chi_square_quantile(mcd.CUTOFF, 4)
+    far = np.abs(want - limit) > 0.1 * limit  # rows at the very cutoff may fall to either side
+    assert ((got > limit) == (want > limit))[far].all() and (got > limit)[340:].all() and (got > limit)[:340].sum() <= 4
+
+
+def test_quality_keeps_clean_texts_with_rare_events(spark):
+    """Where each text holds symbols and repeated lines by chance alone, about the nominal share is rejected."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+
+    def text():
+        lines = [" ".join(rng.choice(words) + ("#" if rng.random() < 0.002 else "") for _ in range(9))
+                 for _ in range(rng.randrange(12, 40))]
+        return "\n".join(x if rng.random() > 0.01 else lines[0] for x in lines)
+
+    docs = spark.createDataFrame([(i, text(), "aa", "s") for i in range(1500)],
+                                 "doc_id long, text string, lang string, source string")
+    judged = mcd.quality(docs).cache()
+    row = mcd.rejections(judged).first()
+    assert judged.where("n_symbols > 0 or n_dup_lines > 0").count() > 500
+    assert (row["n"], row["n_failed"]) == (1500, 0) and row["n_rejected"] <= 12
 
 
 def test_suffix_arrays_against_brute_force(spark, docs, none):
