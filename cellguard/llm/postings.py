@@ -3,8 +3,8 @@
 The index stores one posting (term, document, position) for every occurrence of a benchmark term in the corpus, and
 one length row per document under the empty term, in the checkpoint folder. A benchmark window is looked up from its
 two rarest terms: their posting lists, moved back by the term's offset in the window, must meet at the same start.
-Phrase matches are the meeting starts whose document words equal the window; proximity matches are those where the
-two lists meet within a slack instead.
+Phrase matches are the meeting starts whose document words equal the window. For proximity matches the two lists need
+only meet within a slack; then every word of the window that the corpus holds must stand within that slack of its place.
 
 Documents are told apart by (doc_id, xxhash64 of the text), so null ids, ids given twice and repeated rows each keep
 their own result; repeated rows get equal ones. Null and wordless texts have no words and no hits. A null benchmark
@@ -53,22 +53,25 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return cut_lineage(keyed.join(wanted, "term", "left_semi"), "postings")
 
 
-def anchors(phrases: DataFrame, index: DataFrame) -> list[DataFrame]:
-    """The rarest and second rarest term of the windows that can occur: two tables (phrase, n, offset, term)."""
+def anchors(phrases: DataFrame, index: DataFrame, whole: bool = True) -> list[DataFrame]:
+    """The rarest and second rarest term of the windows that can occur: two tables (phrase, n, offset, term).
+
+    A ``whole`` window can occur if the corpus holds all its words; otherwise more than half of them are enough.
+    """
     counts = index.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("many"))
     terms = phrases.select("phrase", "n", F.posexplode("words").alias("offset", "term")).join(counts, "term")
     own = Window.partitionBy("phrase")
-    found = terms.withColumn("known", F.count(F.lit(1)).over(own)).where("known = n")
+    found = terms.withColumn("known", F.count(F.lit(1)).over(own)).where("known = n" if whole else "2 * known > n")
     placed = found.withColumn("place", F.row_number().over(own.orderBy("many", "offset"))).where("place <= 2")
     placed = cut_lineage(placed.select("phrase", "n", "offset", "term", "place"), "places")
     return [cut_lineage(placed.where(F.col("place") == k).drop("place"), f"anchors{k}") for k in (1, 2)]
 
 
-def moved_lists(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Posting lists of one term a window, moved back by its offset: (doc_id, text_key, phrase, n, start)."""
+def moved_lists(index: DataFrame, terms: DataFrame, least: int = 0) -> DataFrame:
+    """Posting lists of one term a window, moved back by its offset: (doc_id, text_key, phrase, n, start >= least)."""
     return (index.where("term <> ''").join(terms, "term")
             .select("doc_id", "text_key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"))
-            .where("start >= 0"))
+            .where(F.col("start") >= least))
 
 
 def candidates(index: DataFrame, rare: list[DataFrame]) -> DataFrame:
@@ -139,14 +142,45 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIN
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int, width: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, phrase, start): the two rarest terms of a window stand within ``slack`` of their distance."""
+    """(doc_id, text_key, phrase, words, start): windows whose words stand within ``slack`` of their places.
+
+    The window's rarest word fixes ``start``; every other word that occurs anywhere in ``docs`` must stand at most
+    ``slack`` from its place there, in any order. Words that no document holds are passed over, if the window has more
+    words that do occur. A window of one word matches where it stands; ``slack`` 0 gives phrase matches of whole windows.
+    """
     phrases, _ = windows(benchmark, width)
-    index = build_index(docs, phrases.select(F.explode("words").alias("term")).distinct())
-    rare = anchors(phrases, index)
+    terms = phrases.select("phrase", F.posexplode("words").alias("offset", "term"))
+    index = build_index(docs, terms.select("term").distinct())
+    rare = anchors(phrases, index, whole=False)
+    occurring = cut_lineage(index.where("term <> ''").select("term").distinct(), "occurring")
+    present = terms.join(occurring, "term").groupBy("phrase").agg(  # at most ``width`` entries
+        F.collect_list(F.struct("offset", "term")).alias("present"))
     cell = F.floor(F.col("start") / (slack + 1))
-    a = moved_lists(index, rare[0]).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("a")
-    b = moved_lists(index, rare[1]).withColumn("cell", cell).alias("b")
+    first = moved_lists(index, rare[0], -slack)
+    a = first.where("n > 1").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("a")
+    b = moved_lists(index, rare[1], -2 * slack).withColumn("cell", cell).alias("b")
     near = (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.text_key") == F.col("b.text_key")) & (
         F.col("a.cell") == F.col("b.cell")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (
         F.abs(F.col("a.start") - F.col("b.start")) <= slack)
-    return a.join(b, near, "left_semi").select("doc_id", "text_key", "phrase", "start").distinct()
+    met = a.join(b, near, "left_semi").drop("cell").unionByName(first.where("n = 1"))
+    met = cut_lineage(met.join(present, "phrase"), "near")
+    # one row per document: its places of rare words, bounded by its own length and the windows that hold them
+    per_doc = met.groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("phrase", "start", "present")).alias("found")).alias("f")
+    key = F.xxhash64(F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("body"),
+                        key.alias("text_key")).distinct().alias("d")
+    both = texts.join(per_doc, (F.col("d.text_key") == F.col("f.text_key"))
+                      & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")))
+
+    def stands(w: Column, start: Column, t: Column) -> Column:
+        place = start + t["offset"]
+        low = F.greatest(place - slack, F.lit(0))
+        return F.array_contains(F.slice(w, low + 1, place + slack - low + 1), t["term"])
+
+    true = let(words_of(F.col("body")), lambda w: F.filter(
+        "found", lambda c: F.forall(c["present"], lambda t: stands(w, c["start"], t))))
+    hits = both.select("d.doc_id", "d.text_key", F.explode(true).alias("hit"))
+    hits = hits.select("doc_id", "text_key", "hit.phrase", "hit.start")
+    return hits.join(phrases.select("phrase", "words"), "phrase").select(
+        "doc_id", "text_key", "phrase", "words", "start")

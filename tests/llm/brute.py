@@ -213,3 +213,26 @@ def fast_mcd(x, keep, rng, starts=300):
         if best is None or det < best[0]:
             best = (det, mean, cov)
     return best[1:]
+
+
+def proximity(rows, items, slack, width=10):
+    """Counts of (doc_id, window words, start), once a distinct (doc_id, text), at which all words of a window that occur in ``rows`` stand near their place."""
+    def cut(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LETTERS))
+
+    texts = [(i, cut(t)) for i, t in rows]
+    count = collections.Counter(w for _, ws in texts for w in ws)
+    windows = {tuple(ws[k:k + width]) for ws in (cut(t) for _, t in items) if ws
+               for k in range(max(1, len(ws) - width + 1))}
+    found = collections.Counter()
+    for window in windows:
+        present = [(o, w) for o, w in enumerate(window) if count[w]]
+        if 2 * len(present) <= len(window):
+            continue
+        offset, rarest = min(present, key=lambda x: (count[x[1]], x[0]))
+        for i, ws in ((i, cut(t)) for i, t in set(rows)):
+            for start in (p - offset for p, w in enumerate(ws) if w == rarest):
+                near = all(w in ws[max(start + o - slack, 0):start + o + slack + 1] for o, w in present)
+                if near and start >= -slack:
+                    found[i, window, start] += 1
+    return found

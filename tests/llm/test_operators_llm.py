@@ -285,13 +285,41 @@ def test_contamination(spark, docs, items, none):
     assert kept.columns == docs.columns and kept.count() == sum(v for k, v in want.items() if not k[2])
 
 
-def test_contamination_proximity(spark):
-    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta odd gamma delta epsilon zeta"),
-            (3, "zeta " + "x " * 50 + "alpha")]
+def near_places(spark, rows, items, slack):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
-    near = {r["doc_id"] for r in postings.proximity_matches(docs, items, 3).collect()}
-    assert {1, 2} <= near and 3 not in near
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = postings.proximity_matches(docs, bench, slack).collect()
+    return Counter((r["doc_id"], tuple(r["words"]), r["start"]) for r in got)
+
+
+def test_contamination_proximity(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    rows = [(1, item), (2, "alpha beta odd gamma delta epsilon zeta"), (3, "zeta " + "x " * 50 + "alpha"),
+            (4, "beta alpha delta gamma zeta epsilon"), (5, "alpha beta gamma"), (None, "one " + item), (6, None), (7, "")]
+    near = Counter({i for i, *_ in near_places(spark, rows, [(1, item)], 3)})
+    assert set(near) == {1, 2, 4, None}
+    assert {i for i, *_ in near_places(spark, rows, [(1, item)], 0)} == {1, None}
+    # a word that no document holds is passed over, but not most of a window's words; in row 4 the rarest word, delta,
+    # stands one place early, which puts alpha two places from its own
+    assert {i for i, *_ in near_places(spark, rows, [(1, item.replace("gamma", "unheard"))], 1)} == {1, 2, None}
+    assert not near_places(spark, rows, [(1, "alpha new words only here"), (2, None)], 3)
+    assert {i for i, *_ in near_places(spark, rows, [(1, "Odd!")], 3)} == {2}
+    assert not near_places(spark, [], [(1, item)], 3) and not near_places(spark, rows, [], 3)
+
+
+@pytest.mark.parametrize("slack", [0, 2])
+def test_contamination_proximity_against_brute_force(spark, slack):
+    rng = random.Random(slack)
+    words = "a b c d e f g h i j k l".split()
+    rows = [(i % 40, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 120)))) for i in range(60)] * 2
+    items = []
+    for k in range(25):
+        own = rng.choice(rows)[1].split()[:rng.randrange(1, 14)]
+        if k % 3 == 0 and len(own) > 3:
+            own[2], own[0] = own[0], rng.choice([own[2], "absent"])
+        items.append((k, " ".join(own)))
+    want = brute.proximity(rows, items, slack)
+    assert near_places(spark, rows, items, slack) == want and len(want) > 25
 
 
 def test_bundles_round_trip(spark, tmp_path):
