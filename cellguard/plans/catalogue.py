@@ -31,7 +31,8 @@ def item_values(store: Store) -> DataFrame:
     listing = it.where(F.col("is_loaded") & F.col("range_start").isNull()).select(F.col("id").alias("item"))
     listed = store.value.where("listed").join(listing, "item", "left_semi").select("item", F.col("id").alias("vid"))
     fallback_items = it.where(~F.col("is_loaded") & F.col("range_start").isNull()).select(F.col("id").alias("item"))
-    used = store.variable.join(fallback_items, "item", "left_semi").select(
+    # a row an item at most: broadcast, so that the variable table is never shuffled for it
+    used = store.variable.join(F.broadcast(fallback_items), "item", "left_semi").select(
         "item", F.col("value").alias("vid")
     ).distinct()
     ids = listed.unionByName(used)
@@ -108,8 +109,8 @@ def categories_of_values(store: Store, value_ids: list[int]) -> DataFrame:
     # partitions at run time instead of reading every partition for a value filter
     vals = store.value.where(F.col("id").isin(value_ids)).select(F.col("id").alias("value_id"),
                                                                   F.col("item").alias("item_id"))
-    v = store.variable
-    used = v.join(vals, (v.item == vals.item_id) & (v.value == vals.value_id), "left_semi").select(
+    v = store.variable.where(F.col("value").isin(value_ids))
+    used = v.join(F.broadcast(vals), (v.item == vals.item_id) & (v.value == vals.value_id), "left_semi").select(
         F.col("value").alias("value_id"), F.col("item").alias("item_id")
     ).distinct()
     return used.join(store.item.select(F.col("id").alias("item_id"), F.col("category").alias("category_id")),

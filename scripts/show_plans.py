@@ -20,7 +20,7 @@ from cellguard.operators.search import search  # noqa: E402
 from cellguard.plans.chart import cell_table, chart_parts  # noqa: E402
 from cellguard.functions.codes import value_options  # noqa: E402
 from cellguard.plans.load import (  # noqa: E402
-    column_rules, drop_missing, load_cohort, normalize_parsed, parse_cells, prepare_dictionary,
+    cells_of, column_rules, load_cohort, normal_coded, prepare_dictionary,
 )
 from cellguard.registry.store import CFG_F, F_AND, LCFG  # noqa: E402
 from cellguard.registry.text import DOC_QUERY  # noqa: E402
@@ -50,17 +50,16 @@ def main() -> None:
     st = read_store_tables(spark, prefix)
     sel = FL.select_cases(st.variable, st.value, F_AND[:3])
     cells = cell_table(st.subjects, CFG_F, sel)
-    wide = T.cohort_wide(spark, sf).withColumn("__case", F.col("subject_id").cast("long"))
-    cols = [c for c in wide.columns if c not in ("__case", "subject_id")]
+    wide = cut_lineage(T.cohort_wide(spark, sf).withColumnRenamed("subject_id", "__case"), "cohort")
+    cols = [c for c in wide.columns if c != "__case"]
     d = prepare_dictionary(T.dictionary(spark), LCFG)
-    long = drop_missing(wide.select(F.col("__case").alias("case"), *cols).unpivot(["case"], cols, "col", "raw"),
-                        "raw")
-    parsed = cut_lineage(parse_cells(long, column_rules(spark, cols, d, LCFG)), "cells")
+    rules = column_rules(spark, cols, d, LCFG).where(F.col("kind") == "coded")
+    coded = cells_of(wide, [r["col"] for r in rules.collect()], rules)
     sections = [
-        ("Load: normalisation of the parsed cells",
-         "Reads the materialised parsed cells; numeric/raw cells join only the per-column stats (broadcast), coded "
-         "cells join the resolved codes (one pass over their distinct values with dictionary-size broadcasts).",
-         normalize_parsed(parsed, value_options(d), LCFG)),
+        ("Load: normalisation of the coded cells",
+         "Reads the coded columns of the materialised cohort; the cells join the resolved codes, worked out over their "
+         "distinct values with dictionary-size broadcasts.",
+         normal_coded(coded, value_options(d), cut_lineage)),
         ("Filtered cell table (bucketed store, three filters)",
          "Partition pruning on item, no exchange for the `groupBy(case)` or the subjects join (buckets on case); "
          "the only exchange is the partial-aggregated cell table.", cells),

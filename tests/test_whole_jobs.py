@@ -23,3 +23,44 @@ def test_excluded_cases_bl_reads_every_subject(spark, tmp_path):
     _write_tables(spark, tmp_path, orders, [(k, 20.0) for k, _, _ in orders], [(1, 10.0, "BUILDING")])
     got = sorted(r["case"] for r in charts.excluded_cases_bl(spark, str(tmp_path)).collect())
     assert got == [1, 2, 3, 50]
+
+
+def test_load_parses_a_cell_as_its_own_kind_only(spark, tmp_path, monkeypatch):
+    # dates are not tried on numbers, and value ids are hashed per cell for raw texts only
+    import cellguard.plans.load as L
+    from cellguard.registry import store as RS
+
+    orders = [(k, 1, "FOP"[k % 3]) for k in range(1, 9)]
+    _write_tables(spark, tmp_path, orders, [(k, 10.0 + 3 * k) for k, _, _ in orders], [(1, 10.0, "BUILDING")])
+    plans, cut = [], L.cut_lineage
+
+    def seen(df, name="cut"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().lower()))
+        return cut(df, name)
+
+    monkeypatch.setattr(L, "cut_lineage", seen)
+    st = RS.store(spark, str(tmp_path))
+    dated = [p.count("gettimestamp") for name, p in plans if name == "numbers"]
+    assert sorted(dated) == [0, 1]
+    assert [p.count("md5(") for name, p in plans if name == "eav"] == [1]
+    names = {(r["item"], r["name"]) for r in st.value.where("listed").collect()}
+    assert {(RS.ORDER_DT, "1995"), (RS.PRIORITY, "urgent"), (RS.SEX, "male"), (RS.PRICE, "3")} <= names
+
+
+def test_catalogue_and_value_lookup_do_not_shuffle_the_variable_table(spark, tmp_path):
+    from cellguard.plans import catalogue as CT
+    from cellguard.registry import store as RS
+
+    orders = [(k, 1, "FOP"[k % 3]) for k in range(1, 9)]
+    _write_tables(spark, tmp_path, orders, [(k, 10.0 + 3 * k) for k, _, _ in orders], [(1, 10.0, "BUILDING")])
+    st = RS.store(spark, str(tmp_path))
+    male = RS.vid("gender", "male")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = CT.categories_of_values(st, [male])
+        text = plan._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [item" in text and "LeftSemi" in text.split("BroadcastHashJoin [item", 1)[1][:80]
+        assert [r["item_id"] for r in plan.collect()] == [RS.SEX]
+        assert "LeftSemi, BuildRight" in CT.catalogue(st)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
