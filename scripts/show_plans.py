@@ -20,7 +20,7 @@ from cellguard.operators.search import search  # noqa: E402
 from cellguard.plans.chart import cell_table, chart_parts  # noqa: E402
 from cellguard.functions.codes import value_options  # noqa: E402
 from cellguard.plans.load import (  # noqa: E402
-    cells_of, column_rules, load_cohort, normal_coded, prepare_dictionary,
+    column_rules, distinct_cells, load_cohort, normal_coded, prepare_dictionary,
 )
 from cellguard.registry.store import CFG_F, F_AND, LCFG  # noqa: E402
 from cellguard.registry.text import DOC_QUERY  # noqa: E402
@@ -54,12 +54,12 @@ def main() -> None:
     cols = [c for c in wide.columns if c != "__case"]
     d = prepare_dictionary(T.dictionary(spark), LCFG)
     rules = column_rules(spark, cols, d, LCFG).where(F.col("kind") == "coded")
-    coded = cells_of(wide, [r["col"] for r in rules.collect()], rules)
+    coded = distinct_cells(wide, [r["col"] for r in rules.collect()]).join(F.broadcast(rules), "col")
     sections = [
         ("Load: normalisation of the coded cells",
-         "Reads the coded columns of the materialised cohort; the cells join the resolved codes, worked out over their "
+         "Reads the coded columns of the materialised cohort; the distinct cells join the resolved codes, worked out over their "
          "distinct values with dictionary-size broadcasts.",
-         normal_coded(coded, value_options(d), cut_lineage)),
+         normal_coded(coded, value_options(d))),
         ("Filtered cell table (bucketed store, three filters)",
          "Partition pruning on item, no exchange for the `groupBy(case)` or the subjects join (buckets on case); "
          "the only exchange is the partial-aggregated cell table.", cells),

@@ -64,3 +64,42 @@ def test_catalogue_and_value_lookup_do_not_shuffle_the_variable_table(spark, tmp
         assert "LeftSemi, BuildRight" in CT.catalogue(st)._jdf.queryExecution().sparkPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_load_parses_a_distinct_cell_once_and_any_join_gives_the_same_store(spark, monkeypatch):
+    import cellguard.plans.load as L
+    from cellguard.config import LoadConfig
+
+    rows = [(str(k), ["5/1/1997", "5/1/1997", "NA", "some day"][k % 4], ["40", "41", " 41", "Missing"][k % 4],
+             ["1", "female", "Other", "nan", None, "x||y"][k % 6], ["2.57", "1.0", "1", "Free Text", "none", "."][k % 6])
+            for k in range(24)]
+    cohort = spark.createDataFrame(rows, "subject_id string, order_dt string, age_bl string, gender string, note string")
+    entries = [("order_dt", ""), ("age_bl", ""), ("gender", "1 = female||2 = male"), ("note", "")]
+    d = spark.createDataFrame([(i, n, n, n, v, "D", 0) for i, (n, v) in enumerate(entries)],
+                              "seq long, name string, label string, description string, values string, domain string, "
+                              "priority int")
+    cfg = LoadConfig(datamodel_vars={"age_bl": "age_bl", "gender": "gender"}, case_col="subject_id", age_min=35,
+                     age_max=75, age_step=5)
+    parsed, cut = [], L.cut_lineage
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        if name == "numbers":
+            parsed.append(out.count())
+        return out
+
+    def rows_of(store):
+        tables = store.tables() | {"report": store.report}
+        return {n: sorted(map(str, (r.asDict() for r in t.collect()))) for n, t in tables.items()}
+
+    monkeypatch.setattr(L, "cut_lineage", counted)
+    by_broadcast = rows_of(L.load_cohort(cohort, d, cfg))
+    assert parsed == [2, 3]  # distinct cells that say something, of 18 dates and 18 ages
+    monkeypatch.setattr(L, "FEW_CELLS", 0)
+    assert rows_of(L.load_cohort(cohort, d, cfg)) == by_broadcast
+    assert all(any(f"'item': {i}, 'name': '{n}'" in r for r in by_broadcast["value"])
+               for i, n in [(1, "1995"), (3, "female"), (3, "other"), (4, "2.5"), (4, "free text"), (4, "none")])
+    for col, reason, count in [("order_dt", "missing", 6), ("order_dt", "unreadable", 6), ("gender", "missing", 8),
+                               ("age_bl", "missing", 6), ("note", "missing", 4)]:
+        assert str({"col": col, "reason": reason, "n": count}) in by_broadcast["report"]
+    assert not any("'age_bl', 'reason': 'unreadable'" in r for r in by_broadcast["report"])
