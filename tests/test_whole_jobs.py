@@ -103,3 +103,46 @@ def test_load_parses_a_distinct_cell_once_and_any_join_gives_the_same_store(spar
                                ("age_bl", "missing", 6), ("note", "missing", 4)]:
         assert str({"col": col, "reason": reason, "n": count}) in by_broadcast["report"]
     assert not any("'age_bl', 'reason': 'unreadable'" in r for r in by_broadcast["report"])
+
+
+def test_stored_rows_hold_ids_only_and_subjects_get_their_names(spark, monkeypatch):
+    import cellguard.plans.load as L
+    from cellguard.config import LoadConfig
+
+    rows = [("a", "1", "41", "x"), ("b", "2", None, "y"), ("c", None, "77", "y")]
+    cohort = spark.createDataFrame(rows, "subject_id string, gender string, age_bl string, note string")
+    entries = [("gender", "1 = female||2 = male"), ("note", "")]  # the age is a chart variable only
+    d = spark.createDataFrame([(i, n, n, n, v, "D", 0) for i, (n, v) in enumerate(entries)],
+                              "seq long, name string, label string, description string, values string, domain string, "
+                              "priority int")
+    cfg = LoadConfig(datamodel_vars={"age_bl": "age_bl", "gender": "gender"}, case_col="subject_id", age_min=35,
+                     age_max=75, age_step=5)
+    stored, cut = [], L.cut_lineage
+
+    def seen(df, name="cut"):
+        if name == "eav":
+            stored.append(df.columns)
+        return cut(df, name)
+
+    monkeypatch.setattr(L, "cut_lineage", seen)
+    for few in (100_000, 0):
+        monkeypatch.setattr(L, "FEW_CELLS", few)
+        st = L.load_cohort(cohort, d, cfg)
+        got = {r["case"]: (r["sex"], r["age_bl"]) for r in st.subjects.collect()}
+        assert got == {"a": ("female", 40), "b": ("male", None), "c": (None, 70)}
+        assert sorted((r["case"], r["item"]) for r in st.variable.collect()) == [
+            ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 2)]
+    assert stored == [["case", "item", "value"]] * 2
+
+
+def test_two_decimals_are_cast_and_read_as_formatted(spark):
+    from pyspark.sql import functions as F
+
+    from cellguard.sources import testdata as T
+
+    odd = [0.0, -0.0, 0.004, -0.004, 0.005, -0.005, 0.0099, 2.675, 1.005, -1.005, 25.125, 1e12, 1e300, float("nan"),
+           float("inf"), 999999999999.995, None]
+    x = spark.createDataFrame([(v,) for v in [*odd, *[k / 1000 for k in range(-3000, 3000)]]], "x double")
+    told = x.select(T._fmt2("x").alias("new"), F.when(F.col("x").isNotNull(), F.format_string("%.2f", "x")).alias("old"))
+    assert told.where("not (new <=> old)").count() == 0
+    assert "decimal(18,2)" in told._jdf.queryExecution().optimizedPlan().toString().lower()
