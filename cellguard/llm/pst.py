@@ -77,7 +77,7 @@ class Tokens:
         self.ids, self.train, self.lengths, self.end = ids, train, lengths, end
         self.number = number.astype(np.int64)
         self.doc = np.repeat(np.arange(len(ids)), lengths)
-        self.weight = train[self.doc].astype(np.int64)
+        self.weight = train[self.doc].astype(np.float64)
 
 
 def tokenise(ids: list, texts: list[bytes], trains: Callable[[int | None], bool], parts: int) -> tuple[tuple, dict]:
@@ -175,25 +175,33 @@ class Places:
         of = self.of[shared]
         hot = np.nonzero(self.hot[shared])[0]
         away = (self.longer[shared[hot]] % parts).astype(np.int64) * size + of[hot]
-        pairs = np.unique(np.concatenate([home, away]))
+        pairs = np.sort(np.concatenate([home, away]))
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         self.pair_part, self.pair_context = pairs // size, pairs % size
         self.at_home = np.searchsorted(pairs, home)  # pairs that carry a context's own gain and get its decision
         at = np.zeros(size, np.int64)
         at[contexts] = self.at_home
         pair = at[of]
         pair[hot] = np.searchsorted(pairs, away)
-        order = np.argsort(pair, kind="stable")
-        self.sent, self.pair = shared[order], pair[order]
+        # sorted by pair, then by place: one sort of whole numbers that hold both, as long as they fit
+        bits = len(pair).bit_length()
+        if len(pairs).bit_length() + bits < 64:
+            both = np.sort(pair << bits | np.arange(len(pair)))
+            self.sent, self.pair = shared[both & ((1 << bits) - 1)], both >> bits
+        else:
+            order = np.argsort(pair, kind="stable")
+            self.sent, self.pair = shared[order], pair[order]
 
     def _step(self, answer: dict, depth: int) -> None:
         kept, seen, alone = joined(answer, (bool, np.int64, bool))
         self.seen[self.sent], self.own[self.sent] = seen, alone
         retained = np.zeros(len(self.count), bool)
         retained[self.pair_context[self.at_home]] = kept[self.at_home]
-        entry = np.where(self.hot, np.isin(self.hash[self.of], self.model.kept[depth]), retained[self.of])
-        use = entry[self.inverse]
+        hot = np.nonzero(self.count >= self.model.hot)[0]
+        retained[hot] = np.isin(self.hash[hot], self.model.kept[depth])
+        use = retained[self.of][self.inverse]
         at, entry = self.at[use], self.inverse[use]
-        self.now[at] = (self.seen[entry] + MU * self.now[at]) / (self.count[self.of[entry]] + MU)
+        self.now[at] = (self.seen[entry] + MU * self.now[at]) / (self.count[self.of] + MU)[entry]
 
     def _next(self) -> None:
         self.alone[self.at] = self.own[self.inverse]
