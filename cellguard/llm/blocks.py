@@ -145,7 +145,8 @@ def answer(sent: DataFrame, merge: Callable[[list], tuple[list, pd.DataFrame | N
 
     if tasks:
         sent = sent.repartition(tasks, "part")
-    return cut_lineage(sent.groupBy("part").applyInPandas(one, "block long, part long, answer binary"), name)
+    answered = sent.groupBy("part").applyInPandas(one, "block long, part long, answer binary")
+    return cut_lineage(answered, name, free=True)  # a round's questions are not read again
 
 
 OWN = -1  # stands for the block in rows that hold a part's own knowledge

@@ -32,6 +32,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,33 +71,65 @@ def joined(answer: dict, like: tuple) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(answer[p] for p in sorted(answer)))]
 
 
+def ordered(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order of pairs of whole numbers from 0 on, and both in it: one sort of numbers that hold all, if they fit."""
+    bits, wide = len(high).bit_length(), int(low.max(initial=0)).bit_length()
+    if int(high.max(initial=0)).bit_length() + wide + bits < 64:
+        both = np.sort((high.astype(np.int64) << wide | low) << bits | np.arange(len(high)))
+        order, both = both & ((1 << bits) - 1), both >> bits
+        return order, both >> wide, both & ((1 << wide) - 1)
+    order = np.lexsort((low, high))
+    return order, high[order], low[order]
+
+
+def changes(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether a pair of an ordered list differs from the one before it."""
+    new = np.ones(len(high), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    return new
+
+
 class Tokens:
     """A block's tokens as places of its distinct words, which are ordered by part."""
 
     def __init__(self, ids: list, train: np.ndarray, lengths: np.ndarray, number: np.ndarray, end: int):
-        self.ids, self.train, self.lengths, self.end = ids, train, lengths, end
-        self.number = number.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(ids)), lengths)
-        self.weight = train[self.doc].astype(np.float64)
+        self.ids, self.train, self.lengths, self.number, self.end = ids, train, lengths, number, end
+        self.weight = np.repeat(train.astype(np.float64), lengths)
+
+    def by_doc(self, values: np.ndarray) -> np.ndarray:
+        """Sums of the tokens' values."""
+        return np.bincount(np.repeat(np.arange(len(self.ids)), self.lengths), values, len(self.ids))
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of UTF-8 texts, the places among them of all tokens in order, and the texts' numbers of tokens."""
+    _, offsets, body = pa.array(texts, pa.large_binary()).buffers()
+    lower = pc.ascii_lower(pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, body]))
+    cut = pc.ascii_split_whitespace(lower)
+    said, ends = cut.flatten(), cut.offsets.to_numpy()
+    full = pc.not_equal(pc.binary_length(said), 0)  # white space around a text leaves empty pieces
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    coded = said.filter(full).dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    lengths = np.diff(before[ends - ends[0]]) + 1
+    numbers = np.full(len(coded) + len(texts), len(words), np.int32)
+    inside = np.ones(len(numbers), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    numbers[inside] = coded.indices.to_numpy()
+    return [*words, END], numbers, lengths.astype(np.int64)
 
 
 def tokenise(ids: list, texts: list[bytes], trains: Callable[[int | None], bool], parts: int) -> tuple[tuple, dict]:
     """What ``Tokens`` takes, and per part: its number, words and their training counts."""
-    said, lengths = [], []
-    for text in texts:
-        before = len(said)
-        said += text.lower().split()
-        said.append(END)
-        lengths.append(len(said) - before)
-    coded = pa.array(said, pa.large_binary()).dictionary_encode()
-    words, numbers = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    words, numbers, lengths = split_words(texts)
     dealt = (word_hashes(words) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(dealt, kind="stable")
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     train = np.array([trains(i) for i in ids], bool)
-    tokens = (ids, train, np.array(lengths, np.int64), place[numbers], int(place[words.index(END)]))
-    counts = np.bincount(tokens[3], np.repeat(train, tokens[2]), len(words)).astype(np.int64)
+    numbers = place[numbers]
+    tokens = (ids, train, lengths, numbers, int(place[-1]))
+    counts = np.bincount(numbers, np.repeat(train, lengths), len(words)).astype(np.int64)
     return tokens, {p: (p, b" ".join([words[i] for i in own]), small(counts[place[own]]))
                     for p, own in B.split_by(dealt)}
 
@@ -129,84 +162,89 @@ class Model:
 
 
 class Places:
-    """A block's places: the candidate context of the present depth before each token, and its probability so far."""
+    """A block's places: distinct entries of the present depth (context, next word), and which the tokens end.
+
+    What an entry's places share is held once an entry: its count, its hash, its word, whether it is in this block only,
+    its probability. An entry's ``parent`` is that of its context's suffix, one depth before; words are those of depth 0.
+    """
 
     def __init__(self, tokens: Tokens, model: Model, answers: list[dict], last: bool = False):
         """``answers``: of the words, then of each depth that is known; after the last one no place is followed."""
-        self.tokens, self.model = tokens, model
-        self.counts, self.code, alone = joined(answers[0], (np.int64, np.int64, bool))
-        self.base = model.root(self.counts)[tokens.number]
-        self.now = self.base.copy()
-        self.alone = alone[tokens.number]  # the longest sequence known to end at the token is in this block only
+        self.tokens, self.model, self.depth = tokens, model, 0
+        self.counts, self.code, self.own = joined(answers[0], (np.int64, np.int64, bool))
+        self.base = model.root(self.counts)
         self.word_hash = longer(np.zeros(len(self.code), np.uint64), self.code.astype(np.uint64))
-        self.count, self.hash = self.counts, self.word_hash  # of the contexts by their numbers
-        self._follow(tokens.number, np.arange(len(tokens.number)), np.arange(len(self.code)))
-        for depth, answer in enumerate(answers[1:]):
-            self._step(answer, depth)
-            if not last or depth + 2 < len(answers):
-                self._next()
-
-    def _follow(self, number: np.ndarray, at: np.ndarray, last: np.ndarray) -> None:
-        """Sequences ``number``, ending at the tokens ``at``, are the contexts of the next tokens if frequent."""
-        tokens, model = self.tokens, self.model
-        fit = ((self.count >= model.least) & (last != tokens.end))[number]
-        context = np.full(len(tokens.number), -1, np.int64)
-        context[at[fit] + 1] = number[fit]  # a document's last token is its end: there is a next one
-        self.at = np.nonzero(context >= 0)[0]
-        size = max(1, len(self.code))
-        self.inverse, key = pd.factorize(context[self.at] * size + tokens.number[self.at])
-        self.first = np.nonzero(np.diff(np.maximum.accumulate(self.inverse), prepend=-1))[0]
-        self.of, self.word = key // size, key % size  # context and next word of the distinct entries
-        self.seen = np.bincount(self.inverse, tokens.weight[self.at], len(key)).astype(np.int64)
-        self.longer = longer(self.hash[self.of], self.word_hash[self.word])
-        self.hot = self.count[self.of] >= model.hot
-        here = self.at[self.first]
-        self.own = self.alone[here] | self.alone[here - 1]  # as is its suffix or its context
+        self.count, self.hash, self.now = self.counts, self.word_hash, self.base
+        self.word = np.arange(len(self.code), dtype=np.int32)
+        self.at, self.entry = np.arange(len(tokens.number)), tokens.number  # entries that end at these tokens
+        self.known = [(self.at, self.entry, self.now)]
+        self._follow()
+        for answer in answers[1:]:
+            self._step(answer)
+            if not last or self.depth + 1 < len(answers):
+                self._follow()
+
+    def _follow(self) -> None:
+        """Entries are the contexts of the next tokens if frequent, numbered by part."""
+        tokens, model, before = self.tokens, self.model, self.entry
+        fit = np.nonzero((self.count >= model.least) & (self.word != tokens.end))[0]
+        order, part, fit = ordered((self.hash[fit] % np.uint64(model.parts)).astype(np.int64), fit)
+        self.part, self.context_count, self.context_hash = part, self.count[fit], self.hash[fit]
+        context = np.full(len(self.count), -1, np.int32)
+        context[fit] = np.arange(len(fit))
+        ending = np.zeros(len(tokens.number), np.int32)
+        ending[self.at] = before
+        of = context[before]
+        here = of >= 0
+        self.at = self.at[here] + 1  # a document's last token is its end: there is a next one
+        order, of, parent = ordered(of[here], ending[self.at])
+        new = changes(of, parent)
+        self.entry = np.empty(len(order), np.int32)
+        self.entry[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.of, parent = of[new], parent[new]
+        self.word, self.lower = self.word[parent], self.now[parent]
+        self.own = self.own[parent] | self.own[fit][self.of]  # as is its suffix or its context
+        self.seen = np.bincount(self.entry, tokens.weight[self.at], len(parent)).astype(np.int64)
+        self.longer = longer(self.context_hash[self.of], self.word_hash[self.word])
         self._deal()
 
     def _deal(self) -> None:
         """Order what is sent: (part, context) pairs, and the entries that may stand in other blocks by them."""
-        parts, size = np.uint64(self.model.parts), max(1, len(self.count))
-        present = np.zeros(size, bool)
-        present[self.of] = True
-        contexts = np.nonzero(present)[0]
-        home = (self.hash[contexts] % parts).astype(np.int64) * size + contexts
-        shared = np.nonzero(~self.own)[0]
+        shared, contexts = np.nonzero(~self.own)[0], np.arange(len(self.part))
         of = self.of[shared]
-        hot = np.nonzero(self.hot[shared])[0]
-        away = (self.longer[shared[hot]] % parts).astype(np.int64) * size + of[hot]
-        pairs = np.sort(np.concatenate([home, away]))
-        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
-        self.pair_part, self.pair_context = pairs // size, pairs % size
-        self.at_home = np.searchsorted(pairs, home)  # pairs that carry a context's own gain and get its decision
-        at = np.zeros(size, np.int64)
-        at[contexts] = self.at_home
-        pair = at[of]
-        pair[hot] = np.searchsorted(pairs, away)
-        # sorted by pair, then by place: one sort of whole numbers that hold both, as long as they fit
-        bits = len(pair).bit_length()
-        if len(pairs).bit_length() + bits < 64:
-            both = np.sort(pair << bits | np.arange(len(pair)))
-            self.sent, self.pair = shared[both & ((1 << bits) - 1)], both >> bits
-        else:
-            order = np.argsort(pair, kind="stable")
-            self.sent, self.pair = shared[order], pair[order]
-
-    def _step(self, answer: dict, depth: int) -> None:
+        self.hot = self.context_count >= self.model.hot
+        hot = np.nonzero(self.hot[of])[0]
+        if not len(hot):  # they are in order
+            self.pair_part, self.pair_context, self.at_home, self.sent, self.pair = self.part, contexts, contexts, shared, of
+            return
+        part = self.part[of]
+        part[hot] = (self.longer[shared[hot]] % np.uint64(self.model.parts)).astype(np.int64)
+        order, part, of = ordered(np.concatenate([self.part, part]), np.concatenate([contexts, of]))
+        new = changes(part, of)
+        self.pair_part, self.pair_context = part[new], of[new]
+        pair, entry = np.cumsum(new) - 1, order >= len(contexts)
+        self.at_home = pair[~entry]  # pairs that carry a context's own gain and get its decision
+        self.sent, self.pair = shared[order[entry] - len(contexts)], pair[entry]
+
+    def _step(self, answer: dict) -> None:
         kept, seen, alone = joined(answer, (bool, np.int64, bool))
         self.seen[self.sent], self.own[self.sent] = seen, alone
-        retained = np.zeros(len(self.count), bool)
-        retained[self.pair_context[self.at_home]] = kept[self.at_home]
-        hot = np.nonzero(self.count >= self.model.hot)[0]
-        retained[hot] = np.isin(self.hash[hot], self.model.kept[depth])
-        use = retained[self.of][self.inverse]
-        at, entry = self.at[use], self.inverse[use]
-        self.now[at] = (self.seen[entry] + MU * self.now[at]) / (self.count[self.of] + MU)[entry]
-
-    def _next(self) -> None:
-        self.alone[self.at] = self.own[self.inverse]
+        retained = kept[self.at_home]
+        retained[self.hot] = np.isin(self.context_hash[self.hot], self.model.kept[self.depth])
+        use = np.nonzero(retained[self.of])[0]
+        self.now = self.lower.copy()
+        self.now[use] = (self.seen[use] + MU * self.lower[use]) / (self.context_count[self.of[use]] + MU)
         self.count, self.hash = self.seen, self.longer
-        self._follow(self.inverse, self.at, self.word)
+        self.known.append((self.at, self.entry, self.now))
+        self.depth += 1
+
+    def sums(self) -> tuple:
+        """Per document: known tokens, base score, and score by the longest known entries that end at its tokens."""
+        tokens, out = self.tokens, np.zeros(len(self.tokens.number))
+        for at, entry, now in self.known:
+            out[at] = np.log10(now)[entry]
+        known, base = (self.counts > 0)[tokens.number], np.log10(self.base)[tokens.number]
+        return tokens.by_doc(known).astype(int), tokens.by_doc(base), tokens.by_doc(out)
 
 
 def gains(n: np.ndarray, of: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -216,39 +254,38 @@ def gains(n: np.ndarray, of: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 def merge_words(asked: list, parts: int) -> tuple[list, pd.DataFrame]:
     """Answers: training counts of the words, their numbers, whether they are in one block only; facts: totals."""
-    index: dict[bytes, int] = {}
-    numbers = [np.array([index.setdefault(w, len(index)) for w in a[1].split(b" ")], np.int64) for a in asked]
-    counts = np.zeros(len(index), np.int64)
-    for number, a in zip(numbers, asked):
-        counts[number] += a[2]
-    alone = np.bincount(np.concatenate(numbers), minlength=len(index)) == 1
-    codes = np.arange(1, len(index) + 1) * parts + asked[0][0]
-    if END in index:
-        codes[index[END]] = 0
+    said = pc.split_pattern(pa.array([a[1] for a in asked], pa.large_binary()), b" ")
+    coded = said.flatten().dictionary_encode()
+    size, number = len(coded.dictionary), coded.indices.to_numpy()
+    counts = np.bincount(number, np.concatenate([a[2] for a in asked]), size).astype(np.int64)
+    alone = np.bincount(number, minlength=size) == 1
+    codes = np.arange(1, size + 1) * parts + asked[0][0]
+    codes[pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)] = 0  # END
+    numbers = np.split(number, np.cumsum([len(a[2]) for a in asked])[:-1])
     return ([(small(counts[n]), small(codes[n]), alone[n]) for n in numbers],
             pd.DataFrame({"n": [int(counts.sum())], "v": [int((counts > 0).sum())]}))
 
 
-def ask_entries(block: tuple, told: list[dict], model: Model) -> dict:
+def ask_entries(places: Places) -> dict:
     """Per part: contexts (hash, count, gain by this block's own entries), whether an own entry is a next candidate,
-    and shared entries (context, word, count, suffix probability)."""
-    tokens = Tokens(*block)
-    places = Places(tokens, model, told)
-    lower = places.now[places.at][places.first]
-    own = places.own & (places.seen > 0)
-    of = places.of[own]
-    gain = np.bincount(of, gains(places.seen[own], places.count[of], lower[own]), max(1, len(places.count)))
+    and shared entries (how many a context, words, counts, suffix probabilities of those with a count)."""
+    model, end = places.model, places.tokens.end
+    own = np.nonzero(places.own & (places.seen > 0))[0]
+    of, seen = places.of[own], places.seen[own]
+    gain = np.bincount(of, gains(seen, places.context_count[of], places.lower[own]), len(places.part))
     local = np.zeros(len(places.pair_part), np.int64)
-    local[places.at_home] = np.round(gain[places.pair_context[places.at_home]] * UNITS)
-    more = int((own & (places.seen >= model.least) & (places.word != tokens.end)).sum())
-    code, count, low = places.code[places.word[places.sent]], places.seen[places.sent], lower[places.sent]
+    local[places.at_home] = np.round(gain * UNITS)
+    more = int(((seen >= model.least) & (places.word[own] != end)).sum())
+    sent = places.sent
+    code, count, low = places.code[places.word[sent]], places.seen[sent], places.lower[sent].astype(np.float32)
+    sizes = np.bincount(places.pair, minlength=len(places.pair_part))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
     out = {}
     for p, pairs in B.split_by(places.pair_part):
-        lo, hi = np.searchsorted(places.pair, [pairs[0], pairs[-1] + 1])
+        lo, hi = bounds[pairs[0]], bounds[pairs[-1] + 1]
         contexts = places.pair_context[pairs]
-        out[p] = (places.hash[contexts], small(places.count[contexts]), local[pairs], more,
-                  (places.pair[lo:hi] - pairs[0]).astype(np.int32), small(code[lo:hi]), small(count[lo:hi]),
-                  low[lo:hi].astype(np.float32))
+        out[p] = (places.context_hash[contexts], small(places.context_count[contexts]), local[pairs], more,
+                  small(sizes[pairs]), small(code[lo:hi]), small(count[lo:hi]), low[lo:hi][count[lo:hi] > 0])
     return out
 
 
@@ -261,13 +298,15 @@ def merge_entries(asked: list, model: Model) -> tuple[list, pd.DataFrame]:
     of[sent] = np.concatenate([a[1] for a in asked])
     local = np.zeros(len(contexts), np.int64)
     np.add.at(local, sent, np.concatenate([a[2] for a in asked]))
-    context = sent[np.concatenate([a[4] + s for a, s in zip(asked, sizes)])]
+    context = np.repeat(sent, np.concatenate([a[4] for a in asked]).astype(np.int64))
     code = np.concatenate([a[5] for a in asked]).astype(np.int64)
     size = int(code.max(initial=0)) + 1
-    key, first, inverse = np.unique(context * size + code, return_index=True, return_inverse=True)
-    seen = np.bincount(inverse, np.concatenate([a[6] for a in asked]), len(key)).astype(np.int64)
+    key, inverse = np.unique(context * size + code, return_inverse=True)
+    count = np.concatenate([a[6] for a in asked])
+    seen = np.bincount(inverse, count, len(key)).astype(np.int64)
     alone = np.bincount(inverse, minlength=len(key)) == 1
-    low = np.concatenate([a[7] for a in asked])[first].astype(np.float64)
+    low = np.ones(len(key))
+    low[inverse[count > 0]] = np.concatenate([a[7] for a in asked])  # the same in all blocks
     context, code = key // size, key % size
     held = seen > 0
     gain = np.bincount(context[held], gains(seen[held], of[context[held]], low[held]), len(contexts))
@@ -277,7 +316,7 @@ def merge_entries(asked: list, model: Model) -> tuple[list, pd.DataFrame]:
     hot_gain = np.round(gain[hot] * UNITS).astype(np.int64) + local[hot]
     known = pd.DataFrame({"context": pd.array([None, *contexts[hot].view(np.int64).tolist()], "Int64"),
                           "gain": [0, *hot_gain.tolist()], "n": [following, *of[hot].tolist()]})
-    ends = np.cumsum([0, *[len(a[4]) for a in asked]])
+    ends = np.cumsum([0, *[len(a[5]) for a in asked]])
     return [(kept[sent[a:b]], small(seen[inverse[c:d]]), alone[inverse[c:d]])
             for a, b, c, d in zip(sizes, sizes[1:], ends, ends[1:])], known
 
@@ -302,8 +341,9 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
     row = B.facts(words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     model = Model(row[0] or 0, row[1] or 0, parts)
     rounds: list[DataFrame] = [words]
+
     for d in range(1, depth + 1):
-        asked = B.send(held, lambda block, told: ask_entries(block, told, model), list(rounds), 2 * parts)
+        asked = B.send(held, lambda block, told: ask_entries(Places(Tokens(*block), model, told)), list(rounds), 2 * parts)
         back = B.answer(asked, lambda asked: merge_entries(asked, model), f"depth{d}", parts)
         own = B.facts(back, "context long, gain long, n long")
         own = own.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("n").alias("sum"), F.max("n").alias("n"))
@@ -319,14 +359,10 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], depth: in
         frames = []
         for data in block["data"]:
             tokens = Tokens(*B.unpack(data))
-            places = Places(tokens, model, B.by_round(back, used), last=True)
-            n = len(tokens.ids)
-            known = np.bincount(tokens.doc, places.counts[tokens.number] > 0, n).astype(int)
+            known, base, scored = Places(tokens, model, B.by_round(back, used), last=True).sums()
             frames.append(pd.DataFrame({
-                "doc_id": pd.array(tokens.ids, "Int64"), "held_out": ~tokens.train,
-                "n_tokens": tokens.lengths, "n_known": known, "train_tokens": model.total,
-                "base_score": np.bincount(tokens.doc, np.log10(places.base), n),
-                "score": np.bincount(tokens.doc, np.log10(places.now), n)}))
+                "doc_id": pd.array(tokens.ids, "Int64"), "held_out": ~tokens.train, "n_tokens": tokens.lengths,
+                "n_known": known, "train_tokens": model.total, "base_score": base, "score": scored}))
         return pd.concat(frames)
 
     return B.with_answers(held, rounds, score, SCORES, 2 * parts)
